@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.functions.timecols import hour_floor
+from hourcast.functions.timecols import epoch_hours, hour_floor
+from hourcast.operators.bucketed import running_count
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -50,35 +51,13 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "ts_utc", "hourly_count"))
 
 
-def running_count(df: DataFrame, keys: list[str], order: list[str],
-                  bucket: str, name: str) -> DataFrame:
-    """``count(*) over (partition by keys order by order)`` without a hot task.
-
-    A plain window puts every row of a key in one task, and a single series may
-    hold a third of all rows.  Instead: (1) count rows per (key, bucket) with a
-    map-side combined aggregate, (2) turn the small per-bucket table into an
-    offset with a window over buckets, (3) number rows inside (key, bucket) and
-    add the offset.  The big window is partitioned by (key, bucket), so a hot
-    key spreads over as many tasks as it has buckets.
-    """
-    per_bucket = (df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
-                  .withColumn("_offset", F.coalesce(F.sum("_n").over(
-                      Window.partitionBy(*keys).orderBy(bucket)
-                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                  .drop("_n"))
-    inner = Window.partitionBy(*keys, bucket).orderBy(*order)
-    return (df.join(per_bucket, on=[*keys, bucket], how="inner")
-            .withColumn(name, F.row_number().over(inner) + F.col("_offset"))
-            .drop("_offset"))
-
-
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric samples; ``counter_value`` is a running count that wraps at 50."""
     ev = table(spark, sf_dir, "events")
     base = ev.select("event_id", "ts", F.col("event_type").alias("job"),
                      (F.col("user_id") % 5).cast("int").alias("instance"),
                      F.when(F.col("event_type") == "error", 0).otherwise(1).alias("up"),
-                     "value", hour_floor("ts").alias("_bucket"))
+                     "value", epoch_hours("ts").alias("_bucket"))
     numbered = running_count(base, ["job", "instance"], ["ts", "event_id"],
                              "_bucket", "_rc")
     return numbered.select("event_id", "ts", "job", "instance", "up", "value",

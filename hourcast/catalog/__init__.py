@@ -1,7 +1,7 @@
 """Named queries with their DuckDB twins (imported for registration)."""
 
 from hourcast.catalog import registry
-from hourcast.catalog import ledgers, monitoring, series  # noqa: F401
+from hourcast.catalog import alerting, ledgers, monitoring, series  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE

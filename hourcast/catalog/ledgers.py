@@ -303,12 +303,11 @@ FROM p CROSS JOIN b""", FAM)
 def refresh_report(spark, sf_dir):
     """Counters served before / after a refresh (two as-of cut-offs)."""
     lg = ledger(spark, sf_dir)
-    bounds = lg.agg(F.max("promoted_at").alias("t_after")).withColumn(
-        "t_before", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
-    p = (lg.filter((F.col("status") == "promoted") & (F.col("artifact_type") == "predictions"))
-         .crossJoin(F.broadcast(bounds)))
-    before = F.count_distinct(F.when(F.col("promoted_at") <= F.col("t_before"), F.col("counter_id")))
-    after = F.count_distinct(F.when(F.col("promoted_at") <= F.col("t_after"), F.col("counter_id")))
+    t_after = lg.agg(F.max("promoted_at")).scalar()
+    t_before = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    p = lg.filter((F.col("status") == "promoted") & (F.col("artifact_type") == "predictions"))
+    before = F.count_distinct(F.when(F.col("promoted_at") <= t_before, F.col("counter_id")))
+    after = F.count_distinct(F.when(F.col("promoted_at") <= t_after, F.col("counter_id")))
     return p.agg(before.alias("loaded_before"), after.alias("loaded_after"),
                  (after - before).alias("added"))
 
@@ -328,11 +327,10 @@ FROM plan LEFT JOIN cur ON plan.counter_id = cur.counter_id AND plan.artifact_ty
 def path_resolution(spark, sf_dir):
     """Upstream path from the current manifest, else the planned path."""
     cur = LG.current(ledger(spark, sf_dir))
-    steps = spark.createDataFrame([("interim_dataset",), ("feature_dataset",), ("predictions",)],
-                                  "artifact_type string")
+    steps = F.array(*[F.lit(s) for s in ("interim_dataset", "feature_dataset", "predictions")])
     plan = (table(spark, sf_dir, "customer")
-            .select(F.col("c_custkey").cast("string").alias("counter_id"))
-            .crossJoin(F.broadcast(steps)))  # three fixed step names: bounded broadcast
+            .select(F.col("c_custkey").cast("string").alias("counter_id"),
+                    F.explode(steps).alias("artifact_type")))  # three fixed steps per counter
     j = plan.join(cur, ["counter_id", "artifact_type"], "left")
     published = F.concat_ws("/", F.lit("artifacts"), "artifact_type", "counter_id", "run_id")
     return j.select("counter_id", "artifact_type",

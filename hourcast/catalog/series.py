@@ -10,7 +10,7 @@ from hourcast.functions.calendar import add_calendar, clamp_round, dst_status, f
 from hourcast.functions.timecols import day_floor
 from hourcast.operators import sequence as seq
 from hourcast.operators.evaluate import kpi_unpivot, metric_aggs, round_doubles
-from hourcast.plans.scenarios import scenario_table
+from hourcast.plans.scenarios import scenario_array
 from hourcast.sources.tables import counts, table, with_views
 
 FAM = "series"
@@ -105,13 +105,13 @@ WHERE sc.start_pct < sc.end_pct
 def scenario_slices(spark, sf_dir):
     """A9 + A23 + A24: every scenario's percent slice of every counter in one plan.
 
-    The scenario table is a fixed handful of rows (one per configured run), so
-    broadcasting it is bounded; the counts side is never shuffled for it.
+    The scenarios are a fixed handful of configured runs: each row is fanned
+    out over a literal array (no join, no shuffle) and filtered at once.
     """
     numbered = seq.number_rows(counts(spark, sf_dir))
-    sc = F.broadcast(scenario_table(spark))
+    fanned = numbered.withColumn("sc", F.explode(scenario_array())).select("*", "sc.*")
     keep = seq.percent_slice_filter(F.col("rn"), F.col("n"), F.col("start_pct"), F.col("end_pct"))
-    return (numbered.join(sc, how="inner", on=F.lit(True)).filter(keep)
+    return (fanned.filter(keep)
             .select("scenario", "counter_id", "ts_utc", "hourly_count", "rn"))
 
 
@@ -294,10 +294,10 @@ def kpi_samples(spark, sf_dir):
         F.count(F.when(is_test, e)).alias("n_obs"),
         F.count(F.when(~is_test, F.col("seasonal_pred"))).alias("n_obs_train"),
         F.max("ts_utc").alias("last_ts"), F.min("ts_utc").alias("first_ts"))
-    # one-row aggregate joined back by broadcast: no global window, no single task
-    asof = g.agg(F.max("last_ts").alias("_asof"))
-    h = g.crossJoin(F.broadcast(asof)).withColumns({
-        "freshness_days": freshness_days("last_ts", F.col("_asof")),
+    # global as-of as a scalar subquery: no global window, no join
+    asof = g.agg(F.max("last_ts")).scalar()
+    h = g.withColumns({
+        "freshness_days": freshness_days("last_ts", asof),
         "day_offset_days": freshness_days("first_ts", F.col("last_ts")),
         "mape_class": F.when(F.col("mape") >= 60, 2.0).when(F.col("mape") >= 30, 1.0).otherwise(0.0),
     })
@@ -319,10 +319,8 @@ FROM x""", FAM)
 def clamped_window_bounds(spark, sf_dir):
     """A42 over every distinct order date: shift = days * 0.25, clamp to [0, 100]."""
     o = table(spark, sf_dir, "orders").select("o_orderdate")
-    anchor = o.agg(F.min("o_orderdate").alias("_anchor"))
-    d = o.distinct()
-    x = d.crossJoin(F.broadcast(anchor)).withColumn(
-        "days", freshness_days(F.col("_anchor"), F.col("o_orderdate")))
+    anchor = o.agg(F.min("o_orderdate")).scalar()
+    x = o.distinct().withColumn("days", freshness_days(anchor, F.col("o_orderdate")))
     shift = F.greatest(F.lit(0.0), F.col("days") * 0.25)
     return x.select("o_orderdate", F.col("days").cast("bigint").alias("days"),
                     clamp_round(shift).alias("start_pct"),

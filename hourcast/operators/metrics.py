@@ -86,17 +86,17 @@ def histogram_quantile(hist: DataFrame, keys: list[str], qs: list[float],
                        bounds: list[float], spark) -> DataFrame:
     """``histogram_quantile`` with linear interpolation inside the bucket.
 
-    Works on the (keys × buckets) count table; the quantile list is a fixed
-    handful of values, broadcast.  A rank in the ``+Inf`` bucket returns the
-    highest finite bound, as Prometheus does.
+    Works on the (keys × buckets) count table; each row is fanned out over the
+    fixed quantile list (a literal array, no join).  A rank in the ``+Inf``
+    bucket returns the highest finite bound, as Prometheus does.
     """
     w = Window.partitionBy(*keys).orderBy("le")
     cum = hist.withColumns({
         "cum": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "total": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding,
                                                Window.unboundedFollowing))})
-    q = spark.createDataFrame([(float(v),) for v in qs], "q double")
-    ranked = cum.crossJoin(F.broadcast(q)).withColumn("rank", F.col("q") * F.col("total"))
+    q = F.array(*[F.lit(float(v)) for v in qs])
+    ranked = cum.withColumn("q", F.explode(q)).withColumn("rank", F.col("q") * F.col("total"))
     hit = ranked.filter(F.col("cum") >= F.col("rank"))
     pick = hit.groupBy(*keys, "q").agg(
         F.min_by(F.struct("le", "cum", "n", "rank"), F.col("le")).alias("b"))

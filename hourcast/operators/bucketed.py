@@ -23,35 +23,47 @@ def _cols(xs):
 
 
 def bucketed_lag(df: DataFrame, keys: list[str], order: list[str], bucket: str,
-                 value: str, name: str) -> DataFrame:
-    """``lag(value) over (partition by keys order by order)`` split by bucket."""
-    inner = Window.partitionBy(*keys, bucket).orderBy(*_cols(order))
+                 value: str, name: str, reverse: bool = False) -> DataFrame:
+    """``lag(value) over (partition by keys order by order)`` split by bucket;
+    ``reverse`` gives ``lead`` (next value in series order)."""
+    cols = _cols(order)
+    inner = Window.partitionBy(*keys, bucket).orderBy(*([c.desc() for c in cols] if reverse else cols))
     tagged = df.withColumns({"_prev_in": F.lag(value).over(inner),
                              "_first_in": F.row_number().over(inner) == 1})
+    pick = F.min_by if reverse else F.max_by
     last = (df.groupBy(*keys, bucket)
-            .agg(F.max_by(F.col(value), F.struct(*_cols(order))).alias("_last")))
-    carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)))
-             .drop("_last"))
+            .agg(pick(F.col(value), F.struct(*cols)).alias("_last")))
+    bw = Window.partitionBy(*keys).orderBy(F.col(bucket).desc() if reverse else F.col(bucket))
+    carry = last.withColumn("_carry", F.lag("_last").over(bw)).drop("_last")
     return (tagged.join(carry, [*keys, bucket], "inner")
             .withColumn(name, F.when(F.col("_first_in"), F.col("_carry")).otherwise(F.col("_prev_in")))
             .drop("_prev_in", "_first_in", "_carry"))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: str,
-                value: str | Column, name: str) -> DataFrame:
-    """Inclusive running sum in series order: per-bucket totals become offsets
-    (window over the small bucket table), then a window inside (key, bucket)."""
+                value: str | Column, name: str, agg: str = "sum",
+                exclusive: bool = False) -> DataFrame:
+    """Running ``sum`` (or ``max``) in series order: per-bucket totals become
+    offsets (window over the small bucket table), then a window inside
+    (key, bucket).  ``exclusive`` leaves the current row out."""
+    fn = {"sum": F.sum, "max": F.max}[agg]
     v = F.col(value) if isinstance(value, str) else value
     base = df.withColumn("_v", v)
-    per_bucket = (base.groupBy(*keys, bucket).agg(F.sum("_v").alias("_s"))
-                  .withColumn("_offset", F.coalesce(F.sum("_s").over(
+    empty = F.lit(0) if agg == "sum" else F.lit(None)
+    per_bucket = (base.groupBy(*keys, bucket).agg(fn("_v").alias("_s"))
+                  .withColumn("_offset", F.coalesce(fn("_s").over(
                       Window.partitionBy(*keys).orderBy(bucket)
-                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                      .rowsBetween(Window.unboundedPreceding, -1)), empty))
                   .drop("_s"))
     inner = (Window.partitionBy(*keys, bucket).orderBy(*_cols(order))
-             .rowsBetween(Window.unboundedPreceding, 0))
+             .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+    within = fn("_v").over(inner)
+    if agg == "sum":
+        combined = F.coalesce(within, F.lit(0)) + F.col("_offset")
+    else:
+        combined = F.greatest(within, F.col("_offset"))  # greatest skips nulls
     return (base.join(per_bucket, [*keys, bucket], "inner")
-            .withColumn(name, F.sum("_v").over(inner) + F.col("_offset"))
+            .withColumn(name, combined)
             .drop("_v", "_offset"))
 
 

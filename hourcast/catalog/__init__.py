@@ -1,7 +1,7 @@
 """Named queries with their DuckDB twins (imported for registration)."""
 
 from hourcast.catalog import registry
-from hourcast.catalog import alerting, enrichment, history, ledgers, monitoring, series, text  # noqa: F401
+from hourcast.catalog import alerting, enrichment, history, ledgers, models, monitoring, series, text  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE

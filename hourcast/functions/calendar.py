@@ -19,8 +19,9 @@ PARIS = "Europe/Paris"
 # ISO week/52, day-of-year/365).  Week 53 and day 366 wrap past one turn.
 CYCLES = {"hour": 24, "day_of_week": 7, "month": 12, "week": 52, "day_of_year": 365}
 
-ISO_OFFSET_FORMAT = "yyyy-MM-dd HH:mm:ssXX"
-ISO_T_OFFSET_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXX"
+# strict formats: offset with or without a colon, space or 'T' separator
+STRICT_FORMATS = ["yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXX",
+                  "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXX"]
 
 
 def to_local(utc_ntz: str | Column, tz: str = PARIS) -> Column:
@@ -39,8 +40,7 @@ def parse_utc(text: str | Column) -> Column:
     an explicit offset, so the session zone only matters for offset-less input.
     """
     t = _c(text)
-    strict = F.coalesce(F.try_to_timestamp(t, F.lit(ISO_OFFSET_FORMAT)),
-                        F.try_to_timestamp(t, F.lit(ISO_T_OFFSET_FORMAT)))
+    strict = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in STRICT_FORMATS])
     lenient = F.try_to_timestamp(t)
     return _ltz_to_utc_ntz(F.coalesce(strict, lenient))
 

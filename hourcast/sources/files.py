@@ -108,18 +108,18 @@ def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
     ``error`` instead of failing the job: ``bad_json``, ``not_an_object``,
     ``invalid_manifest`` (unknown field or missing required field).
     """
-    raw = (spark.read.option("wholetext", True).text(pattern)
+    raw = (spark.read.text(pattern, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
-    as_map = F.from_json("text", T.MapType(T.StringType(), T.StringType()))
+    keys = F.json_object_keys("text")          # null unless a valid JSON object
     parsed = F.from_json("text", MANIFEST_SCHEMA)
     known = F.array(*[F.lit(f.name) for f in MANIFEST_SCHEMA.fields])
     trimmed = F.ltrim("text")
-    out = raw.withColumns({"_map": as_map, "m": parsed})
-    extra = F.array_except(F.map_keys("_map"), known)
-    error = (F.when(~trimmed.startswith("{"),
-                    F.when(trimmed.startswith("[") | trimmed.rlike(r"^[0-9\"tfn-]"), "not_an_object")
-                    .otherwise("bad_json"))
-             .when(F.col("_map").isNull(), F.lit("bad_json"))
+    out = raw.withColumns({"_keys": keys, "m": parsed})
+    extra = F.array_except(F.col("_keys"), known)
+    error = (F.when(F.col("_keys").isNull(),
+                    F.when(trimmed.startswith("{"), F.lit("bad_json"))
+                    .when(F.try_parse_json("text").isNotNull(), F.lit("not_an_object"))
+                    .otherwise(F.lit("bad_json")))
              .when(F.size(extra) > 0, F.lit("invalid_manifest"))
              .when(F.col("m.artifact_type").isNull() | F.col("m.counter_id").isNull(), F.lit("invalid_manifest")))
     pointer = F.regexp_extract("path", r"/([^/]+)/current\.json$", 1)

@@ -96,13 +96,8 @@ SELECT e.alertname, e.ts, e.alert_id FROM ev e JOIN chain c ON e.alert_id = c.al
 def alert_throttle(spark, sf_dir):
     """Grouped notifications with a per-severity repeat interval."""
     ev = alert_events(spark, sf_dir)
-    outs = []
-    for severity, seconds in REPEAT_SECONDS.items():
-        cond = F.col("severity").isNull() if severity is None else F.col("severity") == severity
-        part = ev.filter(cond)
-        sent = A.throttle(spark, part, ["alertname"], "ts", "alert_id", seconds * 1_000_000)
-        outs.append(sent.select("alertname", "ts", F.col("eid").alias("alert_id")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    rep = F.lit(REPEAT_SECONDS[None] * 1_000_000)
+    for severity in ("critical", "warning"):
+        rep = F.when(F.col("severity") == severity, F.lit(REPEAT_SECONDS[severity] * 1_000_000)).otherwise(rep)
+    sent = A.throttle(spark, ev, ["alertname"], "ts", "alert_id", rep)
+    return sent.select("alertname", "ts", F.col("eid").alias("alert_id"))

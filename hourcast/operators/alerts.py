@@ -9,10 +9,12 @@ single task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourcast.functions.timecols import epoch_micros
+from hourcast.operators.asof import asof_join
 from hourcast.operators.bucketed import bucketed_lag, running_sum
 
 
@@ -59,63 +61,71 @@ def held_steps(steps: DataFrame, keys: list[str], bucket: str, cond: Column) ->
                         & (prev_b == F.col(bucket) - 1)).withColumnRenamed("_c", "condition")
 
 
-def _next_event(ev: DataFrame, g: list[str], repeat_us: int) -> DataFrame:
+BUCKET_US = 3_600_000_000  # one hour: spreads a hot alert group over its hours
+
+
+def _next_event(ev: DataFrame, g: list[str]) -> DataFrame:
     """For each event, the first event of its group at or after ``ts + repeat``.
 
-    Buckets are ``repeat`` wide, so the target of an event in bucket b lies in
-    bucket b+1: search there by a window over (group, bucket) – at most one
-    repeat interval of events – and fall back to the first event of the first
-    non-empty bucket after b+1, found on the small per-bucket table.
+    A forward as-of join is a backward one on negated time: the latest
+    ``-t_event <= -(t + repeat)`` is the earliest event at or after the target;
+    ``-eid`` as tie-break keeps the smallest id among equal times.  The as-of
+    operator splits every group into hour buckets (no hot task, no pairs).
     """
-    e = ev.withColumn("_b", F.floor(F.col("_us") / F.lit(repeat_us)).cast("bigint"))
-    events = e.select(*g, F.col("_b").alias("_bk"), F.col("_us").alias("_time"), F.lit(1).alias("_kind"),
-                      F.col("eid").alias("_eid"), F.lit(None).cast("bigint").alias("_src"))
-    targets = e.select(*g, (F.col("_b") + 1).alias("_bk"), (F.col("_us") + repeat_us).alias("_time"),
-                       F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_eid"),
-                       F.col("eid").alias("_src"))
-    w = (Window.partitionBy(*g, "_bk").orderBy("_time", "_kind", "_eid")
-         .rowsBetween(0, Window.unboundedFollowing))
-    within = (events.unionByName(targets)
-              .withColumn("_hit", F.first("_eid", ignorenulls=True).over(w))
-              .filter(F.col("_kind") == 0)
-              .select(*g, "_bk", F.col("_src").alias("eid"), F.col("_hit").alias("nxt_in")))
-    # first event of each non-empty bucket, and the answer for "after bucket q"
-    eb = e.groupBy(*g, "_b").agg(F.min_by("eid", F.struct("_us", "eid")).alias("_first"))
-    q = eb.select(*g, (F.col("_b") + 1).alias("_b")).distinct()
-    un = (eb.select(*g, "_b", F.lit(0).alias("_kind"), "_first")
-          .unionByName(q.select(*g, "_b", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_first"))))
-    wa = Window.partitionBy(*g).orderBy("_b", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    after = (un.withColumn("_after", F.first("_first", ignorenulls=True).over(wa))
-             .filter(F.col("_kind") == 1).select(*g, F.col("_b").alias("_bk"), "_after"))
-    return (within.join(after, [*g, "_bk"], "left")
-            .select(*g, "eid", F.coalesce("nxt_in", "_after").alias("nxt")))
+    targets = ev.select(*g, F.col("eid").alias("src"),
+                        (-(F.col("_us") + F.col("_rep"))).alias("_neg_target"))
+    events = ev.select(*g, (-F.col("_us")).alias("_neg_us"), F.col("eid").alias("nxt"),
+                       (-F.col("eid")).alias("_neg_eid"))
+    j = asof_join(targets, events, g, "_neg_target", "_neg_us", ["nxt"], BUCKET_US,
+                  right_tie=["_neg_eid"], numeric_time=True)
+    return j.select(*g, F.col("src").alias("eid"), "nxt")
 
 
 def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str,
-             repeat_us: int, max_rounds: int = 64) -> DataFrame:
+             repeat_us: Column, max_rounds: int = 64) -> DataFrame:
     """Notifications of one alert group – the first firing, then the first
     firing at least ``repeat`` after the last notification, and so on.
 
-    The chain is a sequential fold, computed in parallel by pointer doubling:
-    ``J_k(i)`` is the 2^k-th successor of event i and the notified set grows as
-    ``S_{k+1} = S_k ∪ J_k(S_k)``.  Each round is two equi-joins; rounds are
-    ``log2(#notifications)``; each round is checkpointed (lineage stays short
-    and a lost executor recomputes one round, not the whole chain).
+    The chain is a sequential fold, computed in parallel by pointer doubling.
+    Seeds: every firing whose gap to the previous firing of its group is at
+    least ``repeat`` is certainly notified (the last notification is no later
+    than that previous firing), and so is each group's first firing.  From the
+    seeds, ``S_{k+1} = S_k ∪ J_k(S_k)`` with ``J_k`` the 2^k-th successor, so
+    the number of rounds is log2 of the longest seed-free stretch of the chain.
+    Each round is two equi-joins and is checkpointed (short lineage; a lost
+    executor recomputes one round).
     """
+    # the input is read by every round: materialise it once in the checkpoint folder
     base = ev.select(*g, F.col(ts).alias("ts"), F.col(eid).cast("bigint").alias("eid"),
-                     epoch_micros(ts).alias("_us"))
-    jump = _next_event(base, g, repeat_us).select("eid", "nxt").checkpoint()
-    heads = base.groupBy(*g).agg(F.min_by("eid", F.struct("_us", "eid")).alias("eid"))
-    chosen = heads.select("eid").checkpoint()
-    n = chosen.count()
-    for _ in range(max_rounds):
-        step = chosen.join(jump, "eid").select(F.col("nxt").alias("eid")).filter(F.col("eid").isNotNull())
-        grown = chosen.unionByName(step).distinct().checkpoint()
-        m = grown.count()
-        if m == n:
+                     epoch_micros(ts).alias("_us"), repeat_us.cast("bigint").alias("_rep")).checkpoint()
+    jump = _next_event(base, g).select("eid", "nxt").checkpoint()
+    lagged = bucketed_lag(base.withColumn("_bk", F.floor(F.col("_us") / F.lit(BUCKET_US)).cast("bigint")),
+                          g, ["_us", "eid"], "_bk", "_us", "_prev_us")
+    seeds = lagged.filter(F.col("_prev_us").isNull()
+                          | (F.col("_us") - F.col("_prev_us") >= F.col("_rep"))).select("eid")
+    chosen = seeds.checkpoint()
+    frontier = chosen
+    held = []
+    for k in range(max_rounds):
+        # nodes reached from the frontier through J_k that are not chosen yet
+        new = (frontier.join(jump, "eid").select(F.col("nxt").alias("eid"))
+               .filter(F.col("eid").isNotNull()).distinct()
+               .join(chosen, "eid", "left_anti"))
+        new = new.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(new)
+        if new.isEmpty():
             break
-        chosen, n = grown, m
+        # every chosen node must also jump by 2^k later on; the frontier of the
+        # next round is the whole chosen set (S_{k+1} = S_k ∪ J_k(S_k))
+        chosen = chosen.unionByName(new)
         j2 = (jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.eid"), "left")
               .select(F.col("a.eid").alias("eid"), F.col("b.nxt").alias("nxt")))
-        jump = j2.checkpoint()
-    return base.join(chosen, "eid", "left_semi").select(*g, "ts", "eid")
+        if k % 3 == 2:  # cut lineage every few rounds in the shared checkpoint folder
+            chosen, jump = chosen.checkpoint(), j2.checkpoint()
+        else:
+            chosen, jump = (chosen.persist(StorageLevel.MEMORY_AND_DISK),
+                            j2.persist(StorageLevel.MEMORY_AND_DISK))
+        frontier = chosen
+    out = base.join(chosen, "eid", "left_semi").select(*g, "ts", "eid")
+    return out
+

@@ -22,12 +22,16 @@ from hourcast.functions.timecols import epoch_micros
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str,
               right_time: str, right_cols: list[str], bucket_us: int,
-              right_tie: list[str] | None = None, prefix: str = "") -> DataFrame:
+              right_tie: list[str] | None = None, prefix: str = "",
+              numeric_time: bool = False) -> DataFrame:
+    """``numeric_time``: the time columns are already integers (e.g. negated
+    microseconds for a forward search) instead of timestamps."""
     tie = right_tie or []
     payload_fields = [right_time, *[c for c in right_cols if c != right_time]]
-    lt = left.withColumns({"_t": epoch_micros(left_time), "_kind": F.lit(1)})
+    as_us = (lambda c: F.col(c).cast("bigint")) if numeric_time else epoch_micros
+    lt = left.withColumns({"_t": as_us(left_time), "_kind": F.lit(1)})
     lt = lt.withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_us)).cast("bigint"))
-    rt = right.select(*keys, epoch_micros(right_time).alias("_t"),
+    rt = right.select(*keys, as_us(right_time).alias("_t"),
                       F.struct(*[F.col(c).alias(c) for c in payload_fields]).alias("_payload"),
                       *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)])
     rt = rt.withColumns({"_kind": F.lit(0),

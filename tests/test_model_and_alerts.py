@@ -94,7 +94,7 @@ def test_throttle_matches_sequential_fold(spark):
     for sev, sec in REPEAT_SECONDS.items():
         part = pdf[pdf.severity.isna()] if sev is None else pdf[pdf.severity == sev]
         sdf = ev.filter(F.col("severity").isNull() if sev is None else F.col("severity") == sev)
-        got = A.throttle(spark, sdf, ["alertname"], "ts", "alert_id", sec * 1_000_000)
+        got = A.throttle(spark, sdf, ["alertname"], "ts", "alert_id", F.lit(sec * 1_000_000))
         got_ids = set(r.eid for r in got.collect())
         exp = set()
         for _, g in part.groupby("alertname"):

@@ -1,7 +1,8 @@
 """Named queries with their DuckDB twins (imported for registration)."""
 
 from hourcast.catalog import registry
-from hourcast.catalog import alerting, enrichment, history, ledgers, models, monitoring, runs, series, text  # noqa: F401
+from hourcast.catalog import (  # noqa: F401
+    alerting, artifacts, enrichment, history, ledgers, models, monitoring, runs, series, text)
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE

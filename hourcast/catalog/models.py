@@ -205,11 +205,10 @@ def ridge_forecast(spark, sf_dir):
     return round_doubles(ridge_forecast_df(spark, sf_dir))
 
 
-@query("gbt_scoring", None, FAM)
-def gbt_scoring(spark, sf_dir):
-    """A85 + A86 + A90: one global gradient-boosted model (seed 1) over the
-    counters' training rows, counter and orientation one-hot encoded (unseen
-    level -> all zeros), scoring the test rows one step ahead."""
+def _gbt_fit(spark, sf_dir):
+    """A85 + A86: one global gradient-boosted model (seed 1) over all
+    counters' complete-case training rows; counter and orientation are one-hot
+    encoded (an unseen level gives all zeros)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -217,15 +216,60 @@ def gbt_scoring(spark, sf_dir):
     c = add_calendar(counts(spark, sf_dir), "ts_utc", prefix="ts")
     s = seq.add_ar_features(seq.time_split(c, TEST_RATIO), NB_AR, NB_MM, ROLL)
     feats = [f"target_ar_{k}" for k in range(1, NB_AR + 1)] + [f"target_mm_{ROLL}_1"] + EXOG
-    s = seq.complete_case(s, feats)
     idx = StringIndexer(inputCols=["counter_id", "orientation"], outputCols=["_cid", "_ori"],
                         handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=["_cid", "_ori"], outputCols=["_cid_v", "_ori_v"], dropLast=True,
                         handleInvalid="keep")
-    vec = VectorAssembler(inputCols=feats + ["_cid_v", "_ori_v"], outputCol="features")
+    vec = VectorAssembler(inputCols=feats + ["_cid_v", "_ori_v"], outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(labelCol="label", featuresCol="features", seed=1, maxIter=20, maxDepth=5)
     data = s.withColumn("label", F.col("hourly_count").cast("double"))
-    model = Pipeline(stages=[idx, ohe, vec, gbt]).fit(data.filter(~F.col("is_test")))
-    scored = model.transform(data.filter(F.col("is_test")))
+    train = seq.complete_case(data.filter(~F.col("is_test")), feats)
+    model = Pipeline(stages=[idx, ohe, vec, gbt]).fit(train)
+    return model, data, feats
+
+
+@query("gbt_scoring", None, FAM)
+def gbt_scoring(spark, sf_dir):
+    """A86 + A90: the global GBT model scoring the test rows one step ahead
+    (lags from observed values)."""
+    model, data, feats = _gbt_fit(spark, sf_dir)
+    test = seq.complete_case(data.filter(F.col("is_test")), feats)
+    scored = model.transform(test)
     return round_doubles(scored.select("counter_id", "ts_utc", F.col("hourly_count").alias("y_true"),
                                        F.col("prediction").alias("y_pred")))
+
+
+def gbt_forecast_df(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    model, data, feats = _gbt_fit(spark, sf_dir)
+    gbt = model.stages[-1]
+    trees = [MD.tree_arrays(t) for t in gbt.trees]          # bounded: maxIter x 2^(depth+1)
+    weights = list(gbt.treeWeights)
+    n_lag = NB_AR + NB_MM
+    test = data.filter(F.col("is_test")).fillna(0.0, subset=feats[:n_lag])
+    tail = F.slice(vector_to_array("features"), n_lag + 1, 1 << 16)   # exogenous + one-hot part
+    rows = model.transform(test).select("counter_id", "rn", "ts_utc", "hourly_count", tail.alias("tail"))
+    plan = rows.groupBy("counter_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "tail"))), lambda z: z["tail"]).alias("exog"),
+        F.count(F.lit(1)).alias("horizon"), F.min("rn").alias("first_rn"))
+    keep = max(NB_AR, NB_MM * ROLL)
+    buf = MD.tail_values(data.filter(~F.col("is_test")), ["counter_id"], "rn", "hourly_count", keep)
+    plan = plan.join(buf, "counter_id")
+
+    def predict(b, i):
+        x = F.concat(F.array(*MD.buffer_features(b, NB_AR, NB_MM, ROLL)), F.element_at(F.col("exog"), i))
+        return MD.ensemble_predict(x, trees, weights, gbt.getMaxDepth())
+
+    fold = MD.fold_steps(F.col("buffer"), F.col("horizon"), keep, predict)
+    preds = plan.select("counter_id", "first_rn", F.posexplode(fold).alias("step0", "y_pred"))
+    preds = preds.withColumn("rn", F.col("first_rn") + F.col("step0")).drop("first_rn", "step0")
+    return (rows.join(preds, ["counter_id", "rn"], "left")
+            .select("counter_id", "ts_utc", F.col("hourly_count").alias("y_true"), "y_pred"))
+
+
+@query("gbt_forecast", None, FAM)
+def gbt_forecast(spark, sf_dir):
+    """A32 + A91 (tree variant): recursive multi-step forecast with the GBT
+    model – the fitted trees become bounded node arrays and the ensemble is
+    evaluated inside the per-counter SQL fold (no Python per step)."""
+    return round_doubles(gbt_forecast_df(spark, sf_dir))

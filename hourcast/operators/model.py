@@ -124,6 +124,31 @@ def ols_ar1(df: DataFrame, keys: list[str], x: str, y: str, lam: float = 0.0) ->
 
 # ---------------------------------------------------------- recursive fold
 
+def fold_steps(buffer: Column, horizon: Column, keep: int, predict) -> Column:
+    """Generic recursive fold: ``predict(buf, i)`` gives step i's value from
+    the buffer (last ``keep`` values); the value is appended and the buffer
+    trimmed.  Returns the array of the ``horizon`` predictions."""
+    def step(acc, i):
+        pred = predict(acc["buf"], i)
+        new_buf = F.slice(F.concat(acc["buf"], F.array(pred)), -keep, keep)
+        return F.struct(new_buf.alias("buf"), F.concat(acc["preds"], F.array(pred)).alias("preds"))
+
+    init = F.struct(F.slice(buffer.cast("array<double>"), -keep, keep).alias("buf"),
+                    F.array().cast("array<double>").alias("preds"))
+    steps = F.when(horizon >= 1, F.sequence(F.lit(1), horizon.cast("int"))).otherwise(
+        F.array().cast("array<int>"))
+    return F.aggregate(steps, init, step, lambda acc: acc["preds"])
+
+
+def buffer_features(buf: Column, nb_ar: int, nb_mm: int, roll: int) -> list[Column]:
+    """Lag and trailing-mean features of the next step from the buffer."""
+    feats = [F.element_at(buf, -k) for k in range(1, nb_ar + 1)]
+    for k in range(1, nb_mm + 1):
+        w = k * roll
+        feats.append(F.aggregate(F.slice(buf, -w, w), F.lit(0.0), lambda s, v: s + v) / F.lit(float(w)))
+    return feats
+
+
 def recursive_fold(buffer: Column, horizon: Column, intercept: Column, ar_coef: Column,
                    nb_ar: int, mm_coef: Column | None = None, nb_mm: int = 0, roll: int = 1,
                    exog: Column | None = None, exog_coef: Column | None = None) -> Column:
@@ -177,3 +202,66 @@ def tail_values(df: DataFrame, keys: list[str], order: str, value: str, k: int)
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
                                                           F.col(value).cast("double").alias("v")))),
                     lambda s: s["v"]).alias("buffer"))
+
+
+# ------------------------------------------------------- tree ensembles
+
+def tree_arrays(tree) -> dict:
+    """Pre-order node arrays of a fitted MLlib regression tree (bounded by
+    ``2^(depth+1)`` nodes): feature index, threshold, children, leaf flag and
+    leaf value.  Binary categorical splits become ``x <= 0.5`` tests."""
+    feat, thr, left, right, leaf, val = [], [], [], [], [], []
+
+    def visit(node) -> int:
+        i = len(feat)
+        feat.append(0), thr.append(0.0), left.append(0), right.append(0)
+        leaf.append(True), val.append(float(node.prediction()))
+        if node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            leaf[i] = False
+            feat[i] = int(split.featureIndex())
+            kind = split.getClass().getSimpleName()
+            lo, hi = visit(node.leftChild()), visit(node.rightChild())
+            if kind == "ContinuousSplit":
+                thr[i], left[i], right[i] = float(split.threshold()), lo, hi
+            else:
+                cats = sorted(float(c) for c in split.leftCategories())
+                if cats == [0.0]:
+                    thr[i], left[i], right[i] = 0.5, lo, hi
+                elif cats == [1.0]:
+                    thr[i], left[i], right[i] = 0.5, hi, lo
+                else:
+                    raise ValueError(f"unsupported categorical split {cats}")
+        return i
+
+    visit(tree._java_obj.rootNode())
+    return {"feat": feat, "thr": thr, "left": left, "right": right, "leaf": leaf, "val": val}
+
+
+def _descend(x, feat, thr, left, right, leaf):
+    """One level of a tree walk: a leaf keeps its index, otherwise go to the
+    child chosen by ``x[feature] <= threshold``."""
+    def down(node, _):
+        i = node + 1
+        go_left = F.element_at(x, F.element_at(feat, i) + 1) <= F.element_at(thr, i)
+        return F.when(F.element_at(leaf, i), node).when(go_left, F.element_at(left, i)) \
+            .otherwise(F.element_at(right, i))
+    return down
+
+
+def ensemble_predict(x: Column, trees: list[dict], weights: list[float], max_depth: int) -> Column:
+    """Σ wₜ·treeₜ(x) as a JVM expression: each tree walks ``max_depth`` levels
+    over literal node arrays (a leaf keeps its index)."""
+    total = F.lit(0.0)
+    for t, w in zip(trees, weights):
+        feat = F.array(*[F.lit(v) for v in t["feat"]])
+        thr = F.array(*[F.lit(v) for v in t["thr"]])
+        left = F.array(*[F.lit(v) for v in t["left"]])
+        right = F.array(*[F.lit(v) for v in t["right"]])
+        leaf = F.array(*[F.lit(v) for v in t["leaf"]])
+        val = F.array(*[F.lit(v) for v in t["val"]])
+
+        down = _descend(x, feat, thr, left, right, leaf)
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.lit(0), down)
+        total = total + F.lit(float(w)) * F.element_at(val, end + 1)
+    return total

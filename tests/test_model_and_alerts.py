@@ -135,3 +135,22 @@ def test_asof_join_matches_merge_asof(spark):
     a = sorted(zip(got.k, got.t_left, got.val.fillna(99).round(9)))
     b = sorted(zip(exp.k, exp.t_left, exp.val.fillna(99).round(9)))
     assert a == b
+
+
+def test_tree_ensemble_in_sql_matches_mllib_and_recursion_runs(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from hourcast.catalog import models as CM
+    from hourcast.operators import sequence as seq
+    model, data, feats = CM._gbt_fit(spark, SMALL)
+    gbt = model.stages[-1]
+    trees = [MD.tree_arrays(t) for t in gbt.trees]
+    test = seq.complete_case(data.filter(F.col("is_test")), feats)
+    sc = model.transform(test).select("prediction", vector_to_array("features").alias("x"))
+    mine = MD.ensemble_predict(F.col("x"), trees, list(gbt.treeWeights), gbt.getMaxDepth())
+    diff = sc.select(F.max(F.abs(F.col("prediction") - mine))).first()[0]
+    assert diff < 1e-9
+    out = CM.gbt_forecast_df(spark, SMALL)
+    n_test = data.filter(F.col("is_test")).count()
+    assert out.count() == n_test
+    assert out.filter(F.col("y_pred").isNull()).count() == 0

@@ -199,12 +199,9 @@ def point_in_polygon(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
         "event_id", ((F.col("value") % 250) / 100.0).alias("x"), ((F.col("user_id") % 120) / 100.0).alias("y"))
     p = EN.point_in_polygon(ev, "x", "y")
-    hits = p.groupBy("event_id").agg(
-        F.count(F.when(F.col("inside"), 1)).alias("n_hits"),
-        F.max(F.when(F.col("inside"), F.col("polygon"))).alias("label"))
     assigned = (F.when(F.col("n_hits") == 0, "none").when(F.col("n_hits") > 1, "multiple")
-                .otherwise(F.col("label")))
-    return hits.groupBy(assigned.alias("polygon")).agg(F.count(F.lit(1)).alias("n_points"))
+                .otherwise(F.element_at("polygons", 1)))
+    return p.groupBy(assigned.alias("polygon")).agg(F.count(F.lit(1)).alias("n_points"))
 
 
 def _raw_counts(spark, sf_dir):

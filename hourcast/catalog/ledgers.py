@@ -8,7 +8,7 @@ from hourcast.catalog.registry import query
 from hourcast.functions import labels as L
 from hourcast.functions.timecols import day_floor
 from hourcast.operators import ledger as LG
-from hourcast.sources.tables import access_log, counts, job_log, ledger, table, with_views
+from hourcast.sources.tables import access_log, counts, job_log, ledger, ledger_columns, table, with_views
 
 FAM = "ledger"
 
@@ -44,13 +44,12 @@ def promotion_history(spark, sf_dir):
 
 def _manifest_base(spark, sf_dir):
     """Manifest records derived from orders (one per run) and their customer."""
-    lg = ledger(spark, sf_dir)
-    o = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("run_id"), "o_orderpriority", "o_orderstatus",
-        "o_custkey")
+    # one scan of orders gives the ledger columns and the order attributes
+    lg = table(spark, sf_dir, "orders").select(*ledger_columns(), "o_orderpriority", "o_orderstatus",
+                                               "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     prio, seg = F.col("o_orderpriority"), F.col("c_mktsegment")
-    m = (lg.join(o, "run_id").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    m = (lg.join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
          .select("run_id", "counter_id", "status", "promoted_at", "o_orderstatus", "o_orderpriority",
                  "c_mktsegment",
                  F.when(seg == "MACHINERY", F.lit("model_bundle"))

@@ -116,27 +116,32 @@ def polygon_array() -> Column:
     return F.array(*items)
 
 
-def point_in_polygon(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Ray casting per (point, polygon).  Invalid rings (< 3 vertices) are
-    quarantined, a bounding box prunes candidates before the edge loop, and a
-    point inside several polygons is flagged.  The edge loop is an
-    ``aggregate`` over the ring, evaluated in the JVM."""
-    p = points.withColumn("_poly", F.explode(polygon_array()))
-    ring = F.col("_poly.ring")
-    valid = F.size(ring) >= 3
-    xs, ys = F.transform(ring, lambda v: v["x"]), F.transform(ring, lambda v: v["y"])
-    in_box = ((F.col(x) >= F.array_min(xs)) & (F.col(x) <= F.array_max(xs))
-              & (F.col(y) >= F.array_min(ys)) & (F.col(y) <= F.array_max(ys)))
+def _inside(x: Column, y: Column, poly: Column) -> Column:
+    """Ray casting for one polygon: valid ring (>= 3 vertices), bounding box,
+    odd number of edge crossings of the ray towards +x."""
+    ring = poly["ring"]
     n = F.size(ring)
+    xs, ys = F.transform(ring, lambda v: v["x"]), F.transform(ring, lambda v: v["y"])
+    in_box = (x >= F.array_min(xs)) & (x <= F.array_max(xs)) & (y >= F.array_min(ys)) & (y <= F.array_max(ys))
 
     def crossing(acc, i):
         a = F.element_at(ring, i + 1)
         b = F.element_at(ring, (i + 1) % n + 1)
-        straddles = (a["y"] > F.col(y)) != (b["y"] > F.col(y))
-        x_cross = (b["x"] - a["x"]) * (F.col(y) - a["y"]) / (b["y"] - a["y"]) + a["x"]
-        return acc + F.when(straddles & (F.col(x) < x_cross), 1).otherwise(0)
+        straddles = (a["y"] > y) != (b["y"] > y)
+        x_cross = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
+        return acc + F.when(straddles & (x < x_cross), 1).otherwise(0)
 
     crossings = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), crossing)
-    inside = valid & in_box & (crossings % 2 == 1)
-    return p.withColumns({"polygon": F.col("_poly.label"), "ring_valid": valid, "inside": inside}) \
-        .drop("_poly")
+    return (n >= 3) & in_box & (crossings % 2 == 1)
+
+
+def point_in_polygon(points: DataFrame, x: str, y: str) -> DataFrame:
+    """The polygons containing each point, computed inside the row (the
+    boundary set is a bounded literal array), so no shuffle and no pairs.
+    Invalid rings never match; ``n_hits > 1`` is the several-hits warning."""
+    px, py = F.col(x), F.col(y)
+    hits = F.filter(polygon_array(), lambda p: _inside(px, py, p))
+    labels = F.transform(hits, lambda p: p["label"])
+    invalid = F.size(F.filter(polygon_array(), lambda p: F.size(p["ring"]) < 3))
+    return points.withColumns({"polygons": labels, "n_hits": F.size(labels),
+                               "n_invalid_rings": invalid})

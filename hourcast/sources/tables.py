@@ -84,17 +84,21 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "event_id", state.alias("state"), F.col("ts").alias("updated_at"))
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def ledger_columns() -> list:
+    """The ledger projection of an ``orders`` row (one run per order)."""
     status = (F.when(F.col("o_orderstatus") == "F", "promoted")
               .when(F.col("o_orderstatus") == "O", "validated").otherwise("archived"))
     atype = (F.when(F.col("o_orderkey") % 3 == 0, "predictions")
              .when(F.col("o_orderkey") % 3 == 1, "feature_dataset")
              .otherwise("interim_dataset"))
-    return o.select(F.col("o_custkey").cast("string").alias("counter_id"),
-                    F.col("o_orderkey").cast("string").alias("run_id"),
-                    status.alias("status"), atype.alias("artifact_type"),
-                    F.col("o_orderdate").alias("promoted_at"))
+    return [F.col("o_custkey").cast("string").alias("counter_id"),
+            F.col("o_orderkey").cast("string").alias("run_id"),
+            status.alias("status"), atype.alias("artifact_type"),
+            F.col("o_orderdate").alias("promoted_at")]
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(*ledger_columns())
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

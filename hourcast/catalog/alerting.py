@@ -25,13 +25,12 @@ REPEAT_SECONDS = {"critical": 15, "warning": 3600, None: 300}
 
 @query("held_alert", with_views("samples") + f""",
 s AS (SELECT instance, ts, event_id, up = 0 AS cond,
-        lag(up = 0) OVER (PARTITION BY instance ORDER BY ts, event_id) AS prev FROM samples),
-c AS (SELECT *, CAST(sum(CASE WHEN prev IS NULL OR prev <> cond THEN 1 ELSE 0 END)
-        OVER (PARTITION BY instance ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS island
-      FROM s)
-SELECT instance, island, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_samples,
+        row_number() OVER (PARTITION BY instance ORDER BY ts, event_id) AS n_all,
+        sum(CASE WHEN up = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY instance ORDER BY ts, event_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_true FROM samples)
+SELECT instance, CAST(n_all - n_true AS BIGINT) AS island, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_samples,
        epoch_us(max(ts)) - epoch_us(min(ts)) >= {HOLD_MINUTES * 60_000_000} AS fired
-FROM c WHERE cond GROUP BY instance, island""", FAM)
+FROM s WHERE cond GROUP BY instance, n_all - n_true""", FAM)
 def held_alert(spark, sf_dir):
     """``up == 0`` held for the hold time, per instance over all jobs."""
     s = samples(spark, sf_dir).withColumn("bucket", hour_bucket())

@@ -15,23 +15,29 @@ from pyspark.sql import functions as F
 
 from hourcast.functions.timecols import epoch_micros
 from hourcast.operators.asof import asof_join
-from hourcast.operators.bucketed import bucketed_lag, running_sum
+from hourcast.operators.bucketed import bucketed_lag, running_aggs
 
 
 def held(df: DataFrame, keys: list[str], order: list[str], bucket: str, cond: Column,
          hold_us: int) -> DataFrame:
     """Islands of consecutive samples where ``cond`` holds; an island
-    fires when it lasts at least ``hold_us`` (gaps-and-islands)."""
+    fires when it lasts at least ``hold_us`` (gaps-and-islands).
+
+    ``island`` = (running count of all samples) - (running count of true
+    samples) = number of false samples before the run: constant inside a run
+    of true samples and different across runs.  Both counts come from one
+    bucketed prefix-sum pass; the islands are then a plain aggregate.
+    """
     ts = order[0]
     c = df.withColumn("_cond", cond)
-    c = bucketed_lag(c, keys, order, bucket, "_cond", "_prev")
-    change = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("_cond")), 1).otherwise(0)
-    c = running_sum(c, keys, order, bucket, change.cast("bigint"), "island")
+    c = running_aggs(c, keys, order, bucket, {
+        "_n_all": (F.lit(1).cast("bigint"), "sum"),
+        "_n_true": (F.col("_cond").cast("bigint"), "sum")})
+    t = c.filter(F.col("_cond")).withColumn("island", F.col("_n_all") - F.col("_n_true"))
     span = F.max(epoch_micros(ts)) - F.min(epoch_micros(ts))
-    return (c.filter(F.col("_cond"))
-            .groupBy(*keys, "island")
-            .agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),
-                 F.count(F.lit(1)).alias("n_samples"), (span >= F.lit(hold_us)).alias("fired")))
+    return t.groupBy(*keys, "island").agg(
+        F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n_samples"),
+        (span >= F.lit(hold_us)).alias("fired"))
 
 
 def changes(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: str,

@@ -40,31 +40,41 @@ def bucketed_lag(df: DataFrame, keys: list[str], order: list[str], bucket: str,
             .drop("_prev_in", "_first_in", "_carry"))
 
 
+def running_aggs(df: DataFrame, keys: list[str], order: list[str], bucket: str,
+                 specs: dict[str, tuple[Column, str]], exclusive: bool = False) -> DataFrame:
+    """Several running ``sum``/``max`` columns in series order in one pass.
+
+    ``specs`` maps output name -> (value column, "sum" | "max").  Per-bucket
+    totals become offsets through one window over the small bucket table, one
+    join brings them back, and one window inside (key, bucket) finishes every
+    column.  ``exclusive`` leaves the current row out.
+    """
+    fns = {"sum": F.sum, "max": F.max}
+    base = df.withColumns({f"_v_{n}": v for n, (v, _) in specs.items()})
+    over_buckets = (Window.partitionBy(*keys).orderBy(bucket)
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    per_bucket = base.groupBy(*keys, bucket).agg(
+        *[fns[a](f"_v_{n}").alias(f"_s_{n}") for n, (_, a) in specs.items()])
+    per_bucket = per_bucket.select(*keys, bucket, *[
+        (F.coalesce(fns[a](f"_s_{n}").over(over_buckets), F.lit(0)) if a == "sum"
+         else fns[a](f"_s_{n}").over(over_buckets)).alias(f"_o_{n}") for n, (_, a) in specs.items()])
+    inner = (Window.partitionBy(*keys, bucket).orderBy(*_cols(order))
+             .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+    out = {}
+    for n, (_, a) in specs.items():
+        within = fns[a](f"_v_{n}").over(inner)
+        out[n] = (F.coalesce(within, F.lit(0)) + F.col(f"_o_{n}") if a == "sum"
+                  else F.greatest(within, F.col(f"_o_{n}")))  # greatest skips nulls
+    drop = [f"_v_{n}" for n in specs] + [f"_o_{n}" for n in specs]
+    return base.join(per_bucket, [*keys, bucket], "inner").withColumns(out).drop(*drop)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: str,
                 value: str | Column, name: str, agg: str = "sum",
                 exclusive: bool = False) -> DataFrame:
-    """Running ``sum`` (or ``max``) in series order: per-bucket totals become
-    offsets (window over the small bucket table), then a window inside
-    (key, bucket).  ``exclusive`` leaves the current row out."""
-    fn = {"sum": F.sum, "max": F.max}[agg]
+    """One running ``sum`` (or ``max``) column; see ``running_aggs``."""
     v = F.col(value) if isinstance(value, str) else value
-    base = df.withColumn("_v", v)
-    empty = F.lit(0) if agg == "sum" else F.lit(None)
-    per_bucket = (base.groupBy(*keys, bucket).agg(fn("_v").alias("_s"))
-                  .withColumn("_offset", F.coalesce(fn("_s").over(
-                      Window.partitionBy(*keys).orderBy(bucket)
-                      .rowsBetween(Window.unboundedPreceding, -1)), empty))
-                  .drop("_s"))
-    inner = (Window.partitionBy(*keys, bucket).orderBy(*_cols(order))
-             .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
-    within = fn("_v").over(inner)
-    if agg == "sum":
-        combined = F.coalesce(within, F.lit(0)) + F.col("_offset")
-    else:
-        combined = F.greatest(within, F.col("_offset"))  # greatest skips nulls
-    return (base.join(per_bucket, [*keys, bucket], "inner")
-            .withColumn(name, combined)
-            .drop("_v", "_offset"))
+    return running_aggs(df, keys, order, bucket, {name: (v, agg)}, exclusive)
 
 
 def running_count(df: DataFrame, keys: list[str], order: list[str], bucket: str,

@@ -84,12 +84,10 @@ def overlap_flags(intervals: DataFrame, key: str, start: str, end: str, label: s
     """An interval overlapping an earlier-starting interval with a
     different label.  Per label, the running max end of earlier intervals is a
     bucketed prefix max, so no pairs are formed and hot keys stay split."""
-    from hourcast.operators.bucketed import running_sum
-    out = intervals
-    for lab in labels:
-        out = running_sum(out, [key], [start, "_tie"], bucket,
-                          F.when(F.col(label) == lab, F.col(end)), f"_maxend_{lab}",
-                          agg="max", exclusive=True)
+    from hourcast.operators.bucketed import running_aggs
+    out = running_aggs(intervals, [key], [start, "_tie"], bucket,
+                       {f"_maxend_{lab}": (F.when(F.col(label) == lab, F.col(end)), "max") for lab in labels},
+                       exclusive=True)
     conflict = F.lit(False)
     for lab in labels:
         conflict = conflict | ((F.col(label) != lab) & (F.col(f"_maxend_{lab}") > F.col(start)))

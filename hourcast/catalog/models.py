@@ -171,6 +171,23 @@ NB_AR, NB_MM, ROLL = 7, 1, 24
 EXOG = ["ts_sin_hour", "ts_cos_hour", "ts_sin_day_of_week", "ts_cos_day_of_week"]
 
 
+@query("history_gate", with_views("counts") + f""",
+r AS (SELECT counter_id, hourly_count, row_number() OVER (PARTITION BY counter_id ORDER BY ts_utc) AS rn,
+        count(*) OVER (PARTITION BY counter_id) AS n FROM counts)
+SELECT counter_id, count(hourly_count) AS n_history, CAST({max(NB_AR, NB_MM * ROLL)} AS BIGINT) AS required,
+  CASE WHEN count(hourly_count) < {max(NB_AR, NB_MM * ROLL)} THEN 'insufficient_history' END AS reject_reason
+FROM r WHERE rn <= n - CAST(floor(CAST(n AS DOUBLE) * {TEST_RATIO}) AS BIGINT) GROUP BY 1""", FAM)
+def history_gate(spark, sf_dir):
+    """Training history of each counter against ``max(ar, mm·roll)``;
+    a counter below it is rejected instead of forecast."""
+    s = seq.time_split(counts(spark, sf_dir), TEST_RATIO).filter(~F.col("is_test"))
+    return MD.history_gate(s, ["counter_id"], "hourly_count", NB_AR, NB_MM, ROLL)
+
+
+def _sufficient(spark, sf_dir):
+    return history_gate(spark, sf_dir).filter(F.col("reject_reason").isNull()).select("counter_id")
+
+
 def ridge_forecast_df(spark, sf_dir):
     c = counts(spark, sf_dir)
     c = add_calendar(c, "ts_utc", prefix="ts")
@@ -186,7 +203,8 @@ def ridge_forecast_df(spark, sf_dir):
         F.transform(F.array_sort(F.collect_list(F.struct("rn", F.array(*[F.col(e) for e in EXOG]).alias("x")))),
                     lambda z: z["x"]).alias("exog"),
         F.count(F.lit(1)).alias("horizon"), F.min("rn").alias("first_rn"))
-    plan = model.join(buf, "counter_id").join(exog, "counter_id")
+    plan = (model.join(buf, "counter_id").join(exog, "counter_id")
+            .join(_sufficient(spark, sf_dir), "counter_id", "left_semi"))  # A33 gate
     coef = F.col("coef")
     fold = MD.recursive_fold(F.col("buffer"), F.col("horizon"), F.col("intercept"),
                              F.slice(coef, 1, NB_AR), NB_AR, F.slice(coef, NB_AR + 1, NB_MM), NB_MM, ROLL,
@@ -254,7 +272,7 @@ def gbt_forecast_df(spark, sf_dir):
         F.count(F.lit(1)).alias("horizon"), F.min("rn").alias("first_rn"))
     keep = max(NB_AR, NB_MM * ROLL)
     buf = MD.tail_values(data.filter(~F.col("is_test")), ["counter_id"], "rn", "hourly_count", keep)
-    plan = plan.join(buf, "counter_id")
+    plan = plan.join(buf, "counter_id").join(_sufficient(spark, sf_dir), "counter_id", "left_semi")
 
     def predict(b, i):
         x = F.concat(F.array(*MD.buffer_features(b, NB_AR, NB_MM, ROLL)), F.element_at(F.col("exog"), i))

@@ -101,3 +101,11 @@ def outcome(status_code: Column, timed_out: Column, job_type: Column) -> tuple[C
     msg = F.when(code.isNotNull(), F.concat_ws(" ", code, F.lit("status"),
                                                status_code.cast("string")))
     return code, msg, retry
+
+
+def manifest_metadata(m: DataFrame) -> DataFrame:
+    """Sanitised projection of a manifest – flat identity fields plus the
+    lineage as one ``source`` struct (storage details are not exposed)."""
+    return m.select("artifact_type", "status", "run_id", "counter_id", "created_at",
+                    F.struct(F.col("source_raw_file_name").alias("raw_file_name"),
+                             F.col("checksum_sha256").alias("checksum_sha256")).alias("source"))

@@ -25,6 +25,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def typed_columns(df: DataFrame, exclude: list[str] = ()) -> tuple[list[str], list[str]]:
+    """Numeric and text feature columns from the schema; booleans,
+    timestamps and other types are left out, as the reference's column
+    transformer has no remainder."""
+    num, txt = [], []
+    for f in df.schema.fields:
+        if f.name in exclude:
+            continue
+        if isinstance(f.dataType, T.NumericType):
+            num.append(f.name)
+        elif isinstance(f.dataType, T.StringType):
+            txt.append(f.name)
+    return num, txt
+
+
+def history_gate(train: DataFrame, keys: list[str], target: str, nb_ar: int, nb_mm: int,
+                 roll: int) -> DataFrame:
+    """Per key, the non-null history length against ``max(ar, mm·roll)``;
+    keys below it are rejected with a reason instead of forecasting."""
+    required = max(nb_ar, nb_mm * roll)
+    g = train.groupBy(*keys).agg(F.count(target).alias("n_history"))
+    return g.withColumns({
+        "required": F.lit(required).cast("bigint"),
+        "reject_reason": F.when(F.col("n_history") < required, F.lit("insufficient_history"))})
+
+
 def feature_stats(df: DataFrame, keys: list[str], numeric: list[str],
                   categorical: list[str]) -> DataFrame:
     """Mean and **population** std per numeric feature, sorted category

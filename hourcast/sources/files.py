@@ -46,6 +46,17 @@ def normalize_raw(df: DataFrame) -> DataFrame:
                      F.col(TARGET_COL).try_cast("bigint").alias("hourly_count"))
 
 
+# Columns dropped before modelling (weather and location
+# attributes embedded in the raw file).
+COLUMNS_TO_DROP = ["weather_code_wmo_code", "weather_code_wmo_code_category", "temperature_2m_c",
+                   "rain_mm", "snowfall_cm", "latitude", "longitude", "arrondissement", "elevation"]
+
+
+def drop_listed(df: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """Drop the listed columns that exist, plus caller extras."""
+    return df.drop(*COLUMNS_TO_DROP, *extra)
+
+
 def select_counter(df: DataFrame, site: str | None, orientation: str | None) -> DataFrame:
     """A10: exact two-column key, null keys matched as values (``<=>``)."""
     return df.filter(F.col("nom_du_site_de_comptage").eqNullSafe(F.lit(site))

@@ -110,6 +110,9 @@ def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str
     seeds = lagged.filter(F.col("_prev_us").isNull()
                           | (F.col("_us") - F.col("_prev_us") >= F.col("_rep"))).select("eid")
     chosen = seeds.checkpoint()
+    # keep the chosen set at a fixed partition count: a union adds the new
+    # rows' partitions every round, coalesce folds them back without a shuffle
+    n_parts = max(1, chosen.rdd.getNumPartitions())
     frontier = chosen
     held = []
     for k in range(max_rounds):
@@ -123,7 +126,7 @@ def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str
             break
         # every chosen node must also jump by 2^k later on; the frontier of the
         # next round is the whole chosen set (S_{k+1} = S_k ∪ J_k(S_k))
-        chosen = chosen.unionByName(new)
+        chosen = chosen.unionByName(new).coalesce(n_parts)
         j2 = (jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.eid"), "left")
               .select(F.col("a.eid").alias("eid"), F.col("b.nxt").alias("nxt")))
         if k % 3 == 2:  # cut lineage every few rounds in the shared checkpoint folder

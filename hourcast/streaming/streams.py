@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hourcast.functions.timecols import epoch_micros
+from pyspark.errors import AnalysisException
+
+from hourcast.functions.timecols import epoch_micros, hour_floor
 from hourcast.operators import canonical as C
 
 EVENTS_SCHEMA = T.StructType([
@@ -129,28 +131,48 @@ def held_alerts(stream: DataFrame, hold_us: int) -> DataFrame:
 
 
 def correction_sink(target: str):
-    """``foreachBatch`` that merges each micro-batch of revisions into the
-    canonical table and overwrites only the touched counter partitions.
+    """``foreachBatch`` that turns each micro-batch of events into
+    revision rows (counter, hour, snapshot) and merges them into the canonical
+    ledger at ``target``, overwriting only the counters the batch touched.
 
-    Re-running a batch id gives the same output (idempotent overwrite)."""
+    Rows carry their ``batch_id``: a replayed batch replaces its own earlier
+    contribution, so the sink is idempotent under retries.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        revisions = batch.select("counter_id", "ts_utc", "snapshot_no", "hourly_count")
-        touched = revisions.select("counter_id").distinct()
+        rev = (batch.select(counter_col().alias("counter_id"), hour_floor("ts").alias("ts_utc"),
+                            ((F.col("user_id") % 3) + 1).cast("int").alias("snapshot_no"))
+               .groupBy("counter_id", "ts_utc", "snapshot_no").agg(F.count(F.lit(1)).alias("hourly_count"))
+               .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
+        touched = rev.select("counter_id").distinct()
         try:
-            prior = spark.read.parquet(target).join(touched, "counter_id", "left_semi")
-            prior = prior.select("counter_id", "ts_utc", "snapshot_no", "hourly_count")
-            revisions = prior.unionByName(revisions)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            pass
-        # keep every revision (ledger), current view is recomputed on read
-        latest = revisions.dropDuplicates(["counter_id", "ts_utc", "snapshot_no"])
-        # the target is read and overwritten in one job: cut the lineage first
-        # with a reliable checkpoint in the shared checkpoint folder
-        C.write_canonical(latest.checkpoint(eager=True), target)
+            prior = (spark.read.parquet(target).join(touched, "counter_id", "left_semi")
+                     .filter(F.col("batch_id") != batch_id)
+                     .select("counter_id", "ts_utc", "snapshot_no", "hourly_count", "batch_id"))
+            merged = prior.unionByName(rev)
+        except AnalysisException:  # first batch: the table does not exist yet
+            merged = rev
+        # read and overwrite the same partitions: cut the lineage first with a
+        # reliable checkpoint in the shared checkpoint folder
+        C.write_canonical(merged.checkpoint(eager=True), target)
     return write
 
 
+def run_corrections(spark: SparkSession, sf_dir: str, timeout_s: int = 900) -> DataFrame:
+    """Drive S5 over the events files; returns the canonical revision ledger."""
+    base = checkpoint_path(spark, "s5_corrections")
+    target = os.path.join(base, "canonical")
+    writer = (events_stream(spark, sf_dir).writeStream.queryName(f"s5_{uuid.uuid4().hex[:6]}")
+              .option("checkpointLocation", os.path.join(base, "state"))
+              .foreachBatch(correction_sink(target)).trigger(availableNow=True))
+    q = start_with_state_partitions(spark, writer)
+    q.awaitTermination(timeout_s)
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return (spark.read.parquet(target).groupBy("counter_id", "ts_utc", "snapshot_no")
+            .agg(F.sum("hourly_count").cast("bigint").alias("hourly_count")))
+
+
 def start(df: DataFrame, name: str, mode: str = "append", sink: str = "memory",
           foreach_batch=None):
     spark = df.sparkSession
@@ -161,3 +183,42 @@ def start(df: DataFrame, name: str, mode: str = "append", sink: str = "memory",
     else:
         w = w.format(sink)
     return w.start()
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """One state-store partition per core of the cluster (every shuffle
+    partition of a stateful stream carries a state store)."""
+    return max(4, spark.sparkContext.defaultParallelism)
+
+
+def start_with_state_partitions(spark: SparkSession, writer):
+    """Start a stream with ``state_partitions`` shuffle partitions.  The
+    stream clones the session conf at start (and then keeps it in its
+    checkpoint), so the caller's setting is restored right after."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions(spark)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
+def run_to_table(df: DataFrame, name: str, timeout_s: int = 900) -> DataFrame:
+    """Run a stream to completion (``availableNow``) into a Parquet table in
+    the shared checkpoint folder and return that table as a batch DataFrame.
+    Results never pass through the driver (no memory sink)."""
+    spark = df.sparkSession
+    base = checkpoint_path(spark, name)
+    writer = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").outputMode("append")
+              .format("parquet").option("path", os.path.join(base, "out"))
+              .option("checkpointLocation", os.path.join(base, "state"))
+              .trigger(availableNow=True))
+    q = start_with_state_partitions(spark, writer)
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.schema(df.schema).parquet(os.path.join(base, "out"))

@@ -26,8 +26,8 @@ def _merge_sql(src, name="m"):
   FROM {name}_r WHERE p = top GROUP BY counter_id, ts_utc)"""
 
 
-def _merged(spark, sf_dir, max_snapshot=None):
-    s = snapshots(spark, sf_dir)
+def _merged(spark, sf_dir, max_snapshot=None, ts_range=None, counters=None):
+    s = snapshots(spark, sf_dir, ts_range, counters)
     if max_snapshot is not None:
         s = C.as_of(s, max_snapshot)
     return C.merge(s, C.precedence_default(F.col("snapshot_no")))
@@ -75,9 +75,8 @@ GROUP BY 1""", FAM)
 def correction_replay(spark, sf_dir):
     """Recompute the selection for an interval after snapshot 3 and
     report the change set against the selection as of snapshot 2."""
-    lo = F.lit(REPLAY_A).cast("timestamp_ntz")
-    hi = F.lit(REPLAY_B).cast("timestamp_ntz")
-    s = C.extract(snapshots(spark, sf_dir), lo, hi)
+    # the hour-aligned interval is pushed to the events scan
+    s = snapshots(spark, sf_dir, (REPLAY_A, REPLAY_B))
     prec = C.precedence_default(F.col("snapshot_no"))
     before = C.merge(C.as_of(s, 2), prec)
     after = C.merge(s, prec)
@@ -98,7 +97,8 @@ def range_extract(spark, sf_dir):
     """Half-open time range for a counter list, with row lineage."""
     lo = F.lit(EXTRACT_A).cast("timestamp_ntz")
     hi = F.lit(EXTRACT_B).cast("timestamp_ntz")
-    return C.extract(_merged(spark, sf_dir), lo, hi, EXTRACT_COUNTERS).orderBy("counter_id", "ts_utc")
+    m = _merged(spark, sf_dir, ts_range=(EXTRACT_A, EXTRACT_B), counters=EXTRACT_COUNTERS)  # pushed to the scan
+    return C.extract(m, lo, hi, EXTRACT_COUNTERS).orderBy("counter_id", "ts_utc")
 
 
 @query("extraction_manifest", with_views("snapshots") + _merge_sql("snapshots") + f"""
@@ -110,7 +110,8 @@ def extraction_manifest(spark, sf_dir):
     """Selector, row count, coverage and order-independent checksum."""
     lo = F.lit(EXTRACT_A).cast("timestamp_ntz")
     hi = F.lit(EXTRACT_B).cast("timestamp_ntz")
-    x = C.extract(_merged(spark, sf_dir), lo, hi, EXTRACT_COUNTERS)
+    x = C.extract(_merged(spark, sf_dir, ts_range=(EXTRACT_A, EXTRACT_B), counters=EXTRACT_COUNTERS),
+                  lo, hi, EXTRACT_COUNTERS)
     sel = f"range=[{EXTRACT_A},{EXTRACT_B});counters={','.join(EXTRACT_COUNTERS)}"
     ev = C.evidence(x.withColumn("selector", F.lit(sel)), ["selector"], "ts_utc",
                     C.row_digest("counter_id", "ts_utc", "hourly_count"))
@@ -324,7 +325,7 @@ def backfill(spark, sf_dir):
     outside the interval are kept untouched."""
     lo = F.lit(BACKFILL_A).cast("timestamp_ntz")
     hi = F.lit(BACKFILL_B).cast("timestamp_ntz")
-    inside = (C.extract(snapshots(spark, sf_dir).filter(F.col("snapshot_no") == 3), lo, hi)
+    inside = (snapshots(spark, sf_dir, (BACKFILL_A, BACKFILL_B)).filter(F.col("snapshot_no") == 3)
               .select("counter_id", "ts_utc", "hourly_count", F.lit("backfill").alias("source")))
     m = _merged(spark, sf_dir)
     outside = (m.filter((F.col("ts_utc") < lo) | (F.col("ts_utc") >= hi))

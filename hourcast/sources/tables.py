@@ -34,13 +34,34 @@ def orientation_of(user_id: str = "user_id"):
     return F.when(F.col(user_id) % 2 == 0, F.lit("N-S")).otherwise(F.lit("S-N"))
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_in(spark: SparkSession, sf_dir: str, ts_range: tuple[str, str] | None = None,
+              counters: list[str] | None = None) -> DataFrame:
+    """``events``, optionally restricted to ``[start, end)`` on the raw ``ts``.
+
+    Bounds are hour-aligned, so ``hour_floor(ts)`` in range <=> ``ts`` in
+    range: the predicate is on the stored column and reaches the Parquet scan
+    (row-group statistics / partition pruning) instead of being applied after
+    the hourly aggregate.
+    """
+    ev = table(spark, sf_dir, "events")
+    if ts_range is not None:
+        lo, hi = (F.lit(v).cast("timestamp_ntz") for v in ts_range)
+        ev = ev.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
+    if counters:
+        # a counter id is "<site>_<orientation>" and the site is the stored
+        # event_type: the site set is a necessary condition that the scan can use
+        sites = sorted({c.split("_", 1)[0] for c in counters})
+        ev = ev.filter(F.col("event_type").isin(*sites))
+    return ev
+
+
+def counts(spark: SparkSession, sf_dir: str, ts_range: tuple[str, str] | None = None) -> DataFrame:
     """Hourly count series: one row per (counter, UTC hour) that saw events.
 
     Partial aggregation happens map-side (HashAggregate before the Exchange),
     so the shuffle carries at most one row per counter-hour per input split.
     """
-    ev = table(spark, sf_dir, "events")
+    ev = events_in(spark, sf_dir, ts_range)
     return (ev.select(F.col("event_type").alias("site"),
                       orientation_of().alias("orientation"),
                       hour_floor("ts").alias("ts_utc"))
@@ -101,8 +122,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(*ledger_columns())
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def snapshots(spark: SparkSession, sf_dir: str, ts_range: tuple[str, str] | None = None,
+              counters: list[str] | None = None) -> DataFrame:
+    ev = events_in(spark, sf_dir, ts_range, counters)
     return (ev.select(F.concat_ws("_", "event_type", orientation_of()).alias("counter_id"),
                       hour_floor("ts").alias("ts_utc"),
                       (F.col("user_id") % 3 + 1).cast("int").alias("snapshot_no"))

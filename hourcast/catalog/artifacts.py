@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from hourcast.catalog.history import _merge_sql, _merged
 from hourcast.catalog.registry import query
+from hourcast.functions.timecols import epoch_micros
 from hourcast.operators import canonical as C
-from hourcast.operators.evaluate import response_tally as tally, round_doubles
+from hourcast.operators.evaluate import (STEP_DURATION_METRIC, STEP_RECORDS_METRIC, response_tally as tally,
+                                         round_doubles)
 from hourcast.sources.tables import access_log, counts, job_log, with_views
 
 FAM = "artifacts"
@@ -115,17 +117,16 @@ def step_samples(spark, sf_dir):
     st = F.col("state")
     j = jl.groupBy("job_id").agg(
         F.max_by("state", F.struct("updated_at", "event_id")).alias("last_state"),
-        ((F.unix_micros(F.max("updated_at").cast("timestamp")) - F.unix_micros(F.min("updated_at").cast("timestamp")))
-         / 1e6).alias("duration_s"),
+        ((epoch_micros(F.max("updated_at")) - epoch_micros(F.min("updated_at"))) / 1e6).alias("duration_s"),
         (F.count(F.when(st == "succeeded", 1)) - F.count(F.when(st == "failed", 1))).alias("records"))
     uid = F.substring("job_id", 5, 20).cast("bigint")
     lab = j.select("job_id", F.when(F.col("last_state") == "succeeded", "success").otherwise("failed").alias("status"),
                    F.concat(F.lit("site"), (uid % 5).cast("string")).alias("site"),
                    F.when(uid % 2 == 0, "N-S").otherwise("S-N").alias("orientation"),
                    "duration_s", F.greatest(F.col("records"), F.lit(0)).alias("records"))
-    dur = lab.select("job_id", F.lit("bike_task_duration_seconds").alias("metric"), "status", "site", "orientation",
+    dur = lab.select("job_id", F.lit(STEP_DURATION_METRIC).alias("metric"), "status", "site", "orientation",
                      F.col("duration_s").alias("value"))
-    rec = lab.select("job_id", F.lit("bike_records_total").alias("metric"), F.lit(None).cast("string").alias("status"),
+    rec = lab.select("job_id", F.lit(STEP_RECORDS_METRIC).alias("metric"), F.lit(None).cast("string").alias("status"),
                      "site", "orientation", F.col("records").cast("double").alias("value"))
     return round_doubles(dur.unionByName(rec))
 

@@ -203,7 +203,7 @@ def _requests(spark, sf_dir):
         F.concat(F.lit("Counter "), (F.col("user_id") % 20).cast("string")).alias("counter_id"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("manual-"), F.col("user_id").cast("string")))
         .alias("job_id_given"),
-        F.lit("bike_traffic").alias("dag_id"), jt.alias("task_id"),
+        F.lit("counter_daily").alias("dag_id"), jt.alias("task_id"),
         (F.col("event_id") % 3 + 1).cast("int").alias("try_number"))
 
 
@@ -212,7 +212,7 @@ WITH r AS (SELECT event_id, ts AS requested_at,
     CASE event_type WHEN 'click' THEN 'ingest' WHEN 'view' THEN 'features' WHEN 'purchase' THEN 'models' ELSE 'ingest' END AS job_type,
     strftime(ts, '%Y%m%d') AS run_id, 'Counter ' || CAST(user_id % 20 AS VARCHAR) AS counter_id,
     CASE WHEN event_type = 'error' THEN 'manual-' || CAST(user_id AS VARCHAR) END AS job_id_given,
-    'bike_traffic' AS dag_id, CAST(event_id % 3 + 1 AS INTEGER) AS try_number FROM events),
+    'counter_daily' AS dag_id, CAST(event_id % 3 + 1 AS INTEGER) AS try_number FROM events),
 k AS (SELECT *, CASE WHEN nullif(trim(job_id_given), '') IS NOT NULL THEN 'job_id=' || trim(job_id_given)
         ELSE concat_ws('|', 'job_type=' || job_type, 'run_id=' || run_id, 'counter_id=' || counter_id,
           'dag_id=' || dag_id, 'task_id=' || job_type, 'try_number=' || CAST(try_number AS VARCHAR)) END AS idem_key

@@ -9,7 +9,7 @@ from hourcast.catalog.registry import query
 from hourcast.functions.calendar import add_calendar, clamp_round, dst_status, freshness_days, to_local
 from hourcast.functions.timecols import day_floor
 from hourcast.operators import sequence as seq
-from hourcast.operators.evaluate import kpi_unpivot, metric_aggs, round_doubles
+from hourcast.operators.evaluate import KPI_GAUGES, MAPE_CLASS_METRIC, kpi_unpivot, metric_aggs, round_doubles
 from hourcast.plans.scenarios import scenario_array
 from hourcast.sources.tables import counts, table, with_views
 
@@ -301,11 +301,8 @@ def kpi_samples(spark, sf_dir):
         "day_offset_days": freshness_days("first_ts", F.col("last_ts")),
         "mape_class": F.when(F.col("mape") >= 60, 2.0).when(F.col("mape") >= 30, 1.0).otherwise(0.0),
     })
-    gauges = [("bike_rmse", "rmse"), ("bike_mape", "mape"),
-              ("bike_obs_count_train", "n_obs_train"), ("bike_obs_count_test", "n_obs"),
-              ("bike_data_freshness_days", "freshness_days"),
-              ("bike_data_day_offset_days", "day_offset_days"),
-              ("bike_threshold_mape", "mape_class")]
+    published = [g for g in KPI_GAUGES if g[1] != "r2"]  # R² has no sample here
+    gauges = published + [(MAPE_CLASS_METRIC, "mape_class")]
     return round_doubles(kpi_unpivot(h, ["counter_id"], gauges))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hourcast.catalog.alerting import HOLD_MINUTES
 from hourcast.catalog.registry import query
+from hourcast.functions.timecols import instant_to_utc_ntz
 from hourcast.session import ensure_checkpoint_dir
 from hourcast.sources.tables import with_views
 from hourcast.streaming import streams as ST
@@ -28,7 +29,7 @@ def stream_hourly_counts(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     s = ST.hourly_counts(ST.events_stream(spark, sf_dir), f"{LOOKBACK_HOURS} hours")
     out = ST.run_to_table(s, "s1_hourly_counts")
-    return out.select("counter_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+    return out.select("counter_id", instant_to_utc_ntz("window_start").alias("window_start"),
                       "hourly_count")
 
 
@@ -45,7 +46,7 @@ def stream_sliding_means(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     s = ST.sliding_means(ST.events_stream(spark, sf_dir), f"{LOOKBACK_HOURS} hours")
     out = ST.run_to_table(s, "s2_sliding_means")
-    return out.select("job", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+    return out.select("job", instant_to_utc_ntz("window_start").alias("window_start"),
                       F.round("mean_value", 6).alias("mean_value"),
                       F.round("availability_pct", 6).alias("availability_pct"), "n_samples")
 

@@ -51,3 +51,9 @@ def from_epoch_seconds(col: str | Column) -> Column:
 def add_hours(col: str | Column, hours: int | Column) -> Column:
     h = F.lit(hours) if isinstance(hours, int) else hours
     return F.timestamp_add("HOUR", h, _c(col))
+
+
+def instant_to_utc_ntz(col: str | Column) -> Column:
+    """An instant (``timestamp``) as its UTC civil time (``timestamp_ntz``),
+    independent of the session zone (a plain cast would use the session zone)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(col)), F.expr(EPOCH_NTZ))

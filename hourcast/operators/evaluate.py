@@ -43,11 +43,16 @@ def evaluate(df: DataFrame, keys: list[str], y_true: str, y_pred: str) -> DataFr
     return df.groupBy(*keys).agg(*metric_aggs(y_true, y_pred))
 
 
-# The business KPI gauges published per counter (name, column).
+# Metric names of the published samples (KPI gauges per
+# counter, step duration and record count per run).
 KPI_GAUGES = [("bike_rmse", "rmse"), ("bike_mape", "mape"), ("bike_r2", "r2"),
               ("bike_obs_count_train", "n_obs_train"), ("bike_obs_count_test", "n_obs"),
               ("bike_data_freshness_days", "freshness_days"),
               ("bike_data_day_offset_days", "day_offset_days")]
+STEP_DURATION_METRIC = "bike_task_duration_seconds"
+STEP_RECORDS_METRIC = "bike_records_total"
+# Our own class sample (dashboard colour of the MAPE as 0 / 1 / 2).
+MAPE_CLASS_METRIC = "bike_threshold_mape"
 
 
 def kpi_unpivot(wide: DataFrame, keys: list[str], gauges=KPI_GAUGES) -> DataFrame:

@@ -45,3 +45,19 @@ def test_query_matches_sql_twin(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+ZONE_SENSITIVE = ["forecast_eval", "calendar_features", "dst_quarantine", "expected_slots", "coverage_rollup",
+                  "stream_hourly_counts", "step_samples", "rate_reset", "over_time", "window_plan",
+                  "asof_forecast", "kpi_samples"]
+
+
+@pytest.mark.parametrize("name", ZONE_SENSITIVE)
+def test_results_do_not_depend_on_session_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = QUERIES[name](spark, SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert rows(got) == rows(con.execute(ORACLE[name]).fetchdf())

@@ -84,7 +84,7 @@ def overlap_check(spark, sf_dir):
                   F.col("o_orderdate").alias("s"),
                   F.timestamp_add("DAY", (F.substring("o_orderpriority", 1, 1).cast("int") * 7),
                                   F.col("o_orderdate")).alias("e"),
-                  F.year("o_orderdate").alias("_bucket"))
+                  (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("_bucket"))  # month buckets
     flagged = EN.overlap_flags(iv, "o_custkey", "s", "e", "o_orderstatus", LABELS, "_bucket")
     return flagged.groupBy("o_orderstatus", "overlap_warning").agg(F.count(F.lit(1)).alias("n_intervals"))
 
@@ -126,7 +126,7 @@ def scd2_versions(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("version_id"),
         F.col("o_orderpriority").alias("segment"), F.col("o_orderdate").alias("valid_from"),
-        F.year("o_orderdate").alias("_bucket"))
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("_bucket"))  # month buckets
     v = bucketed_lag(o, ["custkey"], ["valid_from", "version_id"], "_bucket", "valid_from", "valid_to",
                      reverse=True)
     return v.drop("_bucket")
@@ -150,7 +150,7 @@ def scd2_join(spark, sf_dir):
     right = o.select(F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("valid_from"),
                      F.col("o_orderkey").alias("version_id"), F.col("o_orderpriority").alias("segment"))
     j = asof_join(left, right, ["custkey"], "l_shipdate", "valid_from", ["version_id", "segment"],
-                  bucket_us=30 * 86_400_000_000, right_tie=["version_id"])
+                  bucket_us=86_400_000_000, right_tie=["version_id"])  # one-day buckets
     return j.select("l_orderkey", "l_linenumber", "version_id", "segment")
 
 

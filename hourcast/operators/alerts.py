@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourcast.functions.timecols import epoch_micros
+from hourcast.session import ensure_checkpoint_dir
 from hourcast.operators.asof import asof_join
 from hourcast.operators.bucketed import bucketed_lag, running_aggs
 
@@ -101,6 +102,7 @@ def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str
     Each round is two equi-joins and is checkpointed (short lineage; a lost
     executor recomputes one round).
     """
+    ensure_checkpoint_dir(spark)   # the session's shared folder; created only when unset
     # the input is read by every round: materialise it once in the checkpoint folder
     base = ev.select(*g, F.col(ts).alias("ts"), F.col(eid).cast("bigint").alias("eid"),
                      epoch_micros(ts).alias("_us"), repeat_us.cast("bigint").alias("_rep")).checkpoint()

@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourcast.catalog.registry import query
-from hourcast.functions.calendar import add_calendar, clamp_round, dst_status, freshness_days, to_local
-from hourcast.functions.timecols import day_floor
+from hourcast.functions.calendar import add_calendar, clamp_round, dst_status, freshness_days
 from hourcast.operators import sequence as seq
 from hourcast.operators.evaluate import KPI_GAUGES, MAPE_CLASS_METRIC, kpi_unpivot, metric_aggs, round_doubles
 from hourcast.plans.scenarios import scenario_array

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from hourcast.catalog.alerting import alert_events, REPEAT_SECONDS
-from hourcast.catalog.models import EXOG, NB_AR, NB_MM, ROLL, ridge_forecast_df
+from hourcast.catalog.models import EXOG, NB_AR, ROLL, ridge_forecast_df
 from hourcast.operators import alerts as A
 from hourcast.operators import model as MD
 from hourcast.operators.asof import asof_join

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourcast.catalog.alerting import HOLD_MINUTES
-from hourcast.functions.timecols import hour_floor
 from hourcast.operators import alerts as A
 from hourcast.sources import files as FS
 from hourcast.sources import sinks as SK

@@ -105,7 +105,7 @@ def _forecasts(spark, sf_dir):
 WITH f AS (SELECT date_trunc('hour', ts) + to_hours(user_id % 3 + 1) AS valid_hour, ts AS issued_at,
              event_id AS forecast_id, value AS forecast_value FROM events WHERE event_type = 'view'),
 p AS (SELECT event_id, ts AS cutoff, date_trunc('hour', ts) + INTERVAL 1 HOUR AS valid_hour FROM events WHERE event_type = 'purchase')
-SELECT p.event_id, p.cutoff, p.valid_hour, f.forecast_id, f.forecast_value, f.issued_at
+SELECT p.event_id, p.cutoff, p.valid_hour, CAST(f.forecast_id AS DOUBLE) AS forecast_id, f.forecast_value, f.issued_at
 FROM p ASOF LEFT JOIN f ON p.valid_hour = f.valid_hour AND p.cutoff >= f.issued_at""", FAM)
 def asof_forecast(spark, sf_dir):
     """For each cut-off, the latest forecast for the next hour issued at
@@ -113,7 +113,9 @@ def asof_forecast(spark, sf_dir):
     f, p = _forecasts(spark, sf_dir)
     j = asof_join(p, f, ["valid_hour"], "cutoff", "issued_at", ["forecast_id", "forecast_value"],
                   bucket_us=3_600_000_000, right_tie=["forecast_id"])
-    return j.select("event_id", "cutoff", "valid_hour", "forecast_id", "forecast_value", "issued_at")
+    # no forecast -> null id: published as double (see history._merged_out)
+    return j.select("event_id", "cutoff", "valid_hour", F.col("forecast_id").cast("double").alias("forecast_id"),
+                    "forecast_value", "issued_at")
 
 
 @query("scd2_versions", """
@@ -139,7 +141,7 @@ u AS (SELECT custkey, t, 1 AS kind, l_orderkey, l_linenumber, NULL::BIGINT AS vk
       UNION ALL SELECT o_custkey, o_orderdate, 0, NULL, NULL, o_orderkey, o_orderpriority FROM orders),
 x AS (SELECT *, last_value(CASE WHEN kind = 0 THEN {'k': vkey, 's': vseg} END IGNORE NULLS)
         OVER (PARTITION BY custkey ORDER BY t, kind, vkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM u)
-SELECT l_orderkey, l_linenumber, v.k AS version_id, v.s AS segment FROM x WHERE kind = 1""", FAM)
+SELECT l_orderkey, l_linenumber, CAST(v.k AS DOUBLE) AS version_id, v.s AS segment FROM x WHERE kind = 1""", FAM)
 def scd2_join(spark, sf_dir):
     """The customer version in force at each line's ship date (range
     join on the SCD-2 validity, computed as a bucketed as-of join)."""
@@ -151,7 +153,7 @@ def scd2_join(spark, sf_dir):
                      F.col("o_orderkey").alias("version_id"), F.col("o_orderpriority").alias("segment"))
     j = asof_join(left, right, ["custkey"], "l_shipdate", "valid_from", ["version_id", "segment"],
                   bucket_us=86_400_000_000, right_tie=["version_id"])  # one-day buckets
-    return j.select("l_orderkey", "l_linenumber", "version_id", "segment")
+    return j.select("l_orderkey", "l_linenumber", F.col("version_id").cast("double").alias("version_id"), "segment")
 
 
 def _wmo_sql(c):
@@ -228,7 +230,7 @@ x AS (SELECT counter_id, cnt,
   concat_ws(',', CASE WHEN cnt > 3000 THEN 'count_above_3000' END) AS w FROM v)
 SELECT counter_id, CASE WHEN q <> '' THEN 'quarantined' WHEN w <> '' THEN 'warned' ELSE 'accepted' END AS route,
   q AS quarantine_reasons, w AS warning_reasons, count(*) AS n_rows,
-  CAST(sum(CASE WHEN q = '' THEN least(cnt, 3000) END) AS BIGINT) AS capped_total
+  CAST(sum(CASE WHEN q = '' THEN least(cnt, 3000) END) AS DOUBLE) AS capped_total
 FROM x GROUP BY 1, 2, 3, 4""", FAM)
 def value_rules(spark, sf_dir):
     """C3 + C4 + C5: numeric non-negative count and parseable time, else
@@ -246,7 +248,7 @@ def value_rules(spark, sf_dir):
         "counter_id", "route", F.array_join("quarantine_reasons", ",").alias("quarantine_reasons"),
         F.array_join("warning_reasons", ",").alias("warning_reasons")).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.when(ok, F.least(F.col("cnt"), F.lit(3000)))).cast("bigint").alias("capped_total"))
+        F.sum(F.when(ok, F.least(F.col("cnt"), F.lit(3000)))).cast("double").alias("capped_total"))
 
 
 @query("reconcile", with_views("reference_counters") + """,

@@ -33,19 +33,29 @@ def _merged(spark, sf_dir, max_snapshot=None, ts_range=None, counters=None):
     return C.merge(s, C.precedence_default(F.col("snapshot_no")))
 
 
-@query("canonical_merge", with_views("snapshots") + _merge_sql("snapshots") + """
-SELECT * FROM m""", FAM)
+MERGED_OUT_SQL = """SELECT counter_id, ts_utc, CAST(hourly_count AS DOUBLE) AS hourly_count,
+  CAST(snapshot_no AS DOUBLE) AS snapshot_no, tie FROM m"""
+
+
+def _merged_out(df):
+    """Merged rows as output: value and lineage are withheld (null) on ties, so
+    they are published as doubles (a nullable integer column is represented
+    differently by different engines' dataframe libraries)."""
+    return df.select("counter_id", "ts_utc", F.col("hourly_count").cast("double").alias("hourly_count"),
+                     F.col("snapshot_no").cast("double").alias("snapshot_no"), "tie")
+
+
+@query("canonical_merge", with_views("snapshots") + _merge_sql("snapshots") + "\n" + MERGED_OUT_SQL, FAM)
 def canonical_merge(spark, sf_dir):
     """Current revision per (counter, hour) by precedence; ties block."""
-    return _merged(spark, sf_dir)
+    return _merged_out(_merged(spark, sf_dir))
 
 
 @query("time_travel", with_views("snapshots") + """,
-s2 AS (SELECT * FROM snapshots WHERE snapshot_no <= 2)""" + _merge_sql("s2") + """
-SELECT * FROM m""", FAM)
+s2 AS (SELECT * FROM snapshots WHERE snapshot_no <= 2)""" + _merge_sql("s2") + "\n" + MERGED_OUT_SQL, FAM)
 def time_travel(spark, sf_dir):
     """The canonical view as of snapshot 2 (superseded rows stay readable)."""
-    return _merged(spark, sf_dir, max_snapshot=2)
+    return _merged_out(_merged(spark, sf_dir, max_snapshot=2))
 
 
 @query("revision_ledger", with_views("snapshots") + """
@@ -90,15 +100,15 @@ DIGEST_SQL = ("CAST(('0x' || substr(md5(concat_ws('|', counter_id, CAST(ts_utc A
 
 
 @query("range_extract", with_views("snapshots") + _merge_sql("snapshots") + f"""
-SELECT counter_id, ts_utc, hourly_count, snapshot_no, tie FROM m
-WHERE ts_utc >= TIMESTAMP '{EXTRACT_A}' AND ts_utc < TIMESTAMP '{EXTRACT_B}'
+SELECT counter_id, ts_utc, CAST(hourly_count AS DOUBLE) AS hourly_count, CAST(snapshot_no AS DOUBLE) AS snapshot_no, tie
+FROM m WHERE ts_utc >= TIMESTAMP '{EXTRACT_A}' AND ts_utc < TIMESTAMP '{EXTRACT_B}'
   AND counter_id IN ({", ".join(f"'{c}'" for c in EXTRACT_COUNTERS)})""", FAM)
 def range_extract(spark, sf_dir):
     """Half-open time range for a counter list, with row lineage."""
     lo = F.lit(EXTRACT_A).cast("timestamp_ntz")
     hi = F.lit(EXTRACT_B).cast("timestamp_ntz")
     m = _merged(spark, sf_dir, ts_range=(EXTRACT_A, EXTRACT_B), counters=EXTRACT_COUNTERS)  # pushed to the scan
-    return C.extract(m, lo, hi, EXTRACT_COUNTERS).orderBy("counter_id", "ts_utc")
+    return _merged_out(C.extract(m, lo, hi, EXTRACT_COUNTERS)).orderBy("counter_id", "ts_utc")
 
 
 @query("extraction_manifest", with_views("snapshots") + _merge_sql("snapshots") + f"""

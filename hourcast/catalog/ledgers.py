@@ -275,9 +275,9 @@ SELECT job_type,
        WHEN timed_out THEN 'STEP_TIMEOUT' WHEN status >= 500 THEN 'STEP_HTTP_ERROR'
        WHEN status >= 400 THEN 'STEP_REJECTED' WHEN status >= 200 THEN NULL
        ELSE upper(job_type) || '_JOB_FAILED' END AS code,
-  CASE WHEN job_type NOT IN ('ingest', 'features', 'models') THEN false
-       WHEN timed_out THEN true WHEN status >= 500 THEN true WHEN status >= 400 THEN false
-       WHEN status >= 200 THEN NULL ELSE true END AS retryable,
+  CASE WHEN job_type NOT IN ('ingest', 'features', 'models') THEN 'false'
+       WHEN timed_out THEN 'true' WHEN status >= 500 THEN 'true' WHEN status >= 400 THEN 'false'
+       WHEN status >= 200 THEN NULL ELSE 'true' END AS retryable,
   count(*) AS n_outcomes
 FROM x GROUP BY 1, 2, 3""", FAM)
 def outcome_codes(spark, sf_dir):
@@ -287,7 +287,8 @@ def outcome_codes(spark, sf_dir):
           .when(F.col("handler") == "/counters", "ingest").otherwise("metrics"))
     x = a.select("status", (F.col("seconds") > 3.0).alias("timed_out"), jt.alias("job_type"))
     code, _msg, retry = LG.outcome(F.col("status"), F.col("timed_out"), F.col("job_type"))
-    return (x.select("job_type", code.alias("code"), retry.alias("retryable"))
+    # null for a success: published as text so every engine represents it alike
+    return (x.select("job_type", code.alias("code"), retry.cast("string").alias("retryable"))
             .groupBy("job_type", "code", "retryable").agg(F.count(F.lit(1)).alias("n_outcomes")))
 
 

@@ -173,7 +173,7 @@ g AS (SELECT grid.job, grid.instance, grid.bucket, a.s, a.c, a.last_v FROM grid
 SELECT job, instance, bucket,
   round(sum(s) OVER w / sum(c) OVER w, 6) AS avg_over_time,
   last(last_v IGNORE NULLS) OVER w AS last_over_time,
-  sum(c) OVER w AS samples_in_range
+  CAST(coalesce(sum(c) OVER w, 0) AS BIGINT) AS samples_in_range
 FROM g WINDOW w AS (PARTITION BY job, instance ORDER BY bucket RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)""", FAM)
 def over_time(spark, sf_dir):
     """B11 + B12 (+ B13 within range): ``avg_over_time`` and ``last_over_time``

@@ -128,7 +128,7 @@ def over_time(samples: DataFrame, keys: list[str], value: str, order: list[str],
     return g.select(*keys, "bucket",
                     (F.sum("_sum").over(w) / F.sum("_cnt").over(w)).alias("avg_over_time"),
                     F.last("_last", ignorenulls=True).over(w).alias("last_over_time"),
-                    F.sum("_cnt").over(w).alias("samples_in_range"))
+                    F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("samples_in_range"))
 
 
 def topk(df: DataFrame, k: int, by: list[str], value: str, ties: list[str]) -> DataFrame:

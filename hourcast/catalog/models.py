@@ -188,30 +188,7 @@ def _sufficient(spark, sf_dir):
 
 
 def ridge_forecast_df(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    c = add_calendar(c, "ts_utc", prefix="ts")
-    s = seq.time_split(c, TEST_RATIO)
-    train = seq.add_ar_features(s.filter(~F.col("is_test")), NB_AR, NB_MM, ROLL)
-    feats = [f"target_ar_{k}" for k in range(1, NB_AR + 1)] + [f"target_mm_{ROLL}_1"] + EXOG
-    train = seq.complete_case(train, feats)
-    model = MD.fit_ridge(train, ["counter_id"], feats, "hourly_count", lam=RIDGE_LAMBDA)
-    keep = max(NB_AR, NB_MM * ROLL)
-    buf = MD.tail_values(s.filter(~F.col("is_test")), ["counter_id"], "rn", "hourly_count", keep)
-    test = s.filter(F.col("is_test"))
-    exog = test.groupBy("counter_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", F.array(*[F.col(e) for e in EXOG]).alias("x")))),
-                    lambda z: z["x"]).alias("exog"),
-        F.count(F.lit(1)).alias("horizon"), F.min("rn").alias("first_rn"))
-    plan = (model.join(buf, "counter_id").join(exog, "counter_id")
-            .join(_sufficient(spark, sf_dir), "counter_id", "left_semi"))  # A33 gate
-    coef = F.col("coef")
-    fold = MD.recursive_fold(F.col("buffer"), F.col("horizon"), F.col("intercept"),
-                             F.slice(coef, 1, NB_AR), NB_AR, F.slice(coef, NB_AR + 1, NB_MM), NB_MM, ROLL,
-                             exog=F.col("exog"), exog_coef=F.slice(coef, NB_AR + NB_MM + 1, len(EXOG)))
-    preds = plan.select("counter_id", "first_rn", F.posexplode(fold).alias("step0", "y_pred"))
-    preds = preds.withColumn("rn", F.col("first_rn") + F.col("step0")).drop("first_rn", "step0")
-    return (test.join(preds, ["counter_id", "rn"], "left")
-            .select("counter_id", "ts_utc", F.col("hourly_count").alias("y_true"), "y_pred"))
+    return ridge_recursive_forecast(counts(spark, sf_dir), ["counter_id"])
 
 
 @query("ridge_forecast", None, FAM)
@@ -290,3 +267,51 @@ def gbt_forecast(spark, sf_dir):
     model – the fitted trees become bounded node arrays and the ensemble is
     evaluated inside the per-counter SQL fold (no Python per step)."""
     return round_doubles(gbt_forecast_df(spark, sf_dir))
+
+
+def ridge_recursive_forecast(series, keys: list[str], order: str = "ts_utc", ratio: float = TEST_RATIO,
+                             nb_ar: int = NB_AR, nb_mm: int = NB_MM, roll: int = ROLL, lam: float = RIDGE_LAMBDA):
+    """A25 + A29 + A30 + A20 + A33 + A84/A86 + A32 for every key at once:
+    chronological split, AR features on the training rows, complete case,
+    ridge fit from moments, history gate and the recursive test forecast.
+    Returns the test rows with ``y_pred`` (keys, order, y_true, y_pred)."""
+    w_keys = keys
+    c = add_calendar(series, order, prefix="ts")
+    s = seq.time_split(c, ratio, key=w_keys, order=[order])
+    train = seq.add_ar_features(s.filter(~F.col("is_test")), nb_ar, nb_mm, roll, key=w_keys, order=[order])
+    feats = [f"target_ar_{k}" for k in range(1, nb_ar + 1)] + [f"target_mm_{roll}_{k}" for k in range(1, nb_mm + 1)] + EXOG
+    train = seq.complete_case(train, feats)
+    model = MD.fit_ridge(train, w_keys, feats, "hourly_count", lam=lam)
+    keep = max(nb_ar, nb_mm * roll)
+    gate = (MD.history_gate(s.filter(~F.col("is_test")), w_keys, "hourly_count", nb_ar, nb_mm, roll)
+            .filter(F.col("reject_reason").isNull()).select(*w_keys))
+    buf = MD.tail_values(s.filter(~F.col("is_test")), w_keys, "rn", "hourly_count", keep)
+    test = s.filter(F.col("is_test"))
+    exog = test.groupBy(*w_keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", F.array(*[F.col(e) for e in EXOG]).alias("x")))),
+                    lambda z: z["x"]).alias("exog"),
+        F.count(F.lit(1)).alias("horizon"), F.min("rn").alias("first_rn"))
+    plan = model.join(buf, w_keys).join(exog, w_keys).join(gate, w_keys, "left_semi")
+    coef = F.col("coef")
+    fold = MD.recursive_fold(F.col("buffer"), F.col("horizon"), F.col("intercept"),
+                             F.slice(coef, 1, nb_ar), nb_ar, F.slice(coef, nb_ar + 1, nb_mm), nb_mm, roll,
+                             exog=F.col("exog"), exog_coef=F.slice(coef, nb_ar + nb_mm + 1, len(EXOG)))
+    preds = plan.select(*w_keys, "first_rn", F.posexplode(fold).alias("step0", "y_pred"))
+    preds = preds.withColumn("rn", F.col("first_rn") + F.col("step0")).drop("first_rn", "step0")
+    return (test.join(preds, [*w_keys, "rn"], "left")
+            .select(*w_keys, order, F.col("hourly_count").alias("y_true"), "y_pred"))
+
+
+@query("scenario_forecast", None, FAM)
+def scenario_forecast(spark, sf_dir):
+    """A9 + A24 + A91: the end-to-end scenarios (0–15 %, 0.5–15.5 %, 1–15 %
+    slices; ar 7, mm 1, roll 24; test ratio 0.25) for every counter in one
+    plan – slice, features, ridge fit, recursive forecast and test metrics
+    per (scenario, counter)."""
+    from hourcast.plans.scenarios import scenario_array
+    numbered = seq.number_rows(counts(spark, sf_dir))
+    fanned = numbered.withColumn("sc", F.explode(scenario_array())).select("*", "sc.*")
+    keep = seq.percent_slice_filter(F.col("rn"), F.col("n"), F.col("start_pct"), F.col("end_pct"))
+    sliced = fanned.filter(keep).select("scenario", "counter_id", "ts_utc", "hourly_count")
+    out = ridge_recursive_forecast(sliced, ["scenario", "counter_id"])
+    return round_doubles(out.groupBy("scenario", "counter_id").agg(*metric_aggs("y_true", "y_pred")))

@@ -86,3 +86,15 @@ def stream_corrections(spark, sf_dir):
     ``foreachBatch`` sink with partition overwrite (idempotent per batch)."""
     ensure_checkpoint_dir(spark)
     return ST.run_corrections(spark, sf_dir)
+
+
+@query("stream_job_states", with_views("job_log") + """
+SELECT job_id, event_id, lag(state) OVER w AS previous_state, state,
+  max(updated_at) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS updated_at,
+  row_number() OVER w AS seq_no
+FROM job_log WINDOW w AS (PARTITION BY job_id ORDER BY updated_at, event_id)""", FAM)
+def stream_job_states(spark, sf_dir):
+    """Job status transitions through a ``transformWithStateInPandas``
+    state machine; ``updated_at`` is monotone per job."""
+    ensure_checkpoint_dir(spark)
+    return ST.run_to_table(ST.job_states(ST.events_stream(spark, sf_dir)), "s4_job_states")

@@ -130,6 +130,62 @@ def held_alerts(stream: DataFrame, hold_us: int) -> DataFrame:
         held_alert_state(hold_us), HELD_OUT, HELD_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+JOB_OUT = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("event_id", T.LongType()),
+                        T.StructField("previous_state", T.StringType()), T.StructField("state", T.StringType()),
+                        T.StructField("updated_at", T.TimestampNTZType()), T.StructField("seq_no", T.LongType())])
+
+
+def job_state_processor():
+    """Per-job state machine as a ``StatefulProcessor``.
+
+    State (one value per job): last state, last ``updated_at`` (the stored
+    time never goes backwards: ``max(now, previous)``) and the transition
+    count.  Every input transition is emitted with its predecessor.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class JobStates(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.last = handle.getValueState(
+                "last", "state STRING, updated_us LONG, n LONG")
+
+        def handleInputRows(self, key, rows, timerValues):
+            (job_id,) = key
+            batch = pd.concat(list(rows), ignore_index=True)
+            us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            batch = batch.assign(_us=us).sort_values(["_us", "event_id"])
+            if self.last.exists():
+                prev_state, prev_us, n = self.last.get()
+            else:
+                prev_state, prev_us, n = None, None, 0
+            out = []
+            for t, eid, state in zip(batch["_us"], batch["event_id"], batch["state"]):
+                upd = t if prev_us is None else max(t, prev_us)
+                n += 1
+                out.append((job_id, int(eid), prev_state, state, upd, n))
+                prev_state, prev_us = state, upd
+            self.last.update((prev_state, int(prev_us), int(n)))
+            frame = pd.DataFrame(out, columns=["job_id", "event_id", "previous_state", "state", "updated_at",
+                                               "seq_no"])
+            frame["updated_at"] = pd.to_datetime(frame["updated_at"], unit="us")
+            yield frame
+
+        def close(self) -> None:
+            pass
+
+    return JobStates()
+
+
+def job_states(stream: DataFrame) -> DataFrame:
+    state = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running")
+             .when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed")
+             .otherwise("pending"))
+    s = stream.select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
+                      "event_id", state.alias("state"), "ts")
+    return s.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=job_state_processor(), outputStructType=JOB_OUT, outputMode="Append", timeMode="None")
+
+
 def correction_sink(target: str):
     """``foreachBatch`` that turns each micro-batch of events into
     revision rows (counter, hour, snapshot) and merges them into the canonical
@@ -195,13 +251,21 @@ def start_with_state_partitions(spark: SparkSession, writer):
     """Start a stream with ``state_partitions`` shuffle partitions.  The
     stream clones the session conf at start (and then keeps it in its
     checkpoint), so the caller's setting is restored right after."""
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions(spark)))
+    conf = {"spark.sql.shuffle.partitions": str(state_partitions(spark)),
+            # transformWithState needs the RocksDB state store
+            "spark.sql.streaming.stateStore.providerClass":
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def run_to_table(df: DataFrame, name: str, timeout_s: int = 900) -> DataFrame:

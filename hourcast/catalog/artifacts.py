@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hourcast.catalog.history import _merge_sql, _merged
 from hourcast.catalog.registry import query
+from hourcast.functions import labels as L
 from hourcast.functions.timecols import epoch_micros
 from hourcast.operators import canonical as C
 from hourcast.operators.evaluate import (STEP_DURATION_METRIC, STEP_RECORDS_METRIC, response_tally as tally,
@@ -40,10 +41,13 @@ feat AS (SELECT counter_id, count(*) AS n_rows,
 runs AS (SELECT 'interim_dataset' AS artifact_type, 'ingest' AS service, * FROM interim
          UNION ALL SELECT 'feature_dataset', 'features', * FROM feat)
 SELECT '1.0' AS schema_version, artifact_type, 'validated' AS status,
-  'run-' || strftime(last_ts, '%Y%m%d') AS run_id, counter_id,
+  coalesce(nullif(trim(CASE WHEN artifact_type = 'interim_dataset' THEN 'run-' || strftime(last_ts, '%Y%m%d') END), ''),
+           strftime(last_ts, '%Y%m%dT%H%M%SZ')) AS run_id, counter_id,
   strftime(last_ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, service AS producer_service,
   'events.parquet' AS source_raw_file_name, 'local' AS storage_primary_backend,
-  'data/' || artifact_type || '/' || counter_id || '/run-' || strftime(last_ts, '%Y%m%d') || '.parquet' AS storage_local_path,
+  'data/' || artifact_type || '/' || counter_id || '/' ||
+    coalesce(nullif(trim(CASE WHEN artifact_type = 'interim_dataset' THEN 'run-' || strftime(last_ts, '%Y%m%d') END), ''),
+             strftime(last_ts, '%Y%m%dT%H%M%SZ')) || '.parquet' AS storage_local_path,
   checksum_sha256, n_rows
 FROM runs""", FAM)
 def manifest_build(spark, sf_dir):
@@ -57,7 +61,10 @@ def manifest_build(spark, sf_dir):
                             "counter_id", "ts_utc", "hourly_count", "_h") \
         .withColumns({"artifact_type": F.lit("feature_dataset"), "service": F.lit("features")})
     runs = interim.unionByName(feat).join(meta, "counter_id")
-    run_id = F.concat(F.lit("run-"), F.date_format("last_ts", "yyyyMMdd"))
+    # The given run id (interim runs carry one), else the run's UTC time text
+    given = F.when(F.col("artifact_type") == "interim_dataset",
+                   F.concat(F.lit("run-"), F.date_format("last_ts", "yyyyMMdd")))
+    run_id = L.first_present(given, F.date_format("last_ts", "yyyyMMdd'T'HHmmss'Z'"), default="")
     return runs.select(
         F.lit("1.0").alias("schema_version"), "artifact_type", F.lit("validated").alias("status"),
         run_id.alias("run_id"), "counter_id",

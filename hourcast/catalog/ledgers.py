@@ -292,24 +292,42 @@ def outcome_codes(spark, sf_dir):
             .groupBy("job_type", "code", "retryable").agg(F.count(F.lit(1)).alias("n_outcomes")))
 
 
-@query("refresh_report", with_views("ledger") + """,
-p AS (SELECT counter_id, promoted_at FROM ledger WHERE status = 'promoted' AND artifact_type = 'predictions'),
-b AS (SELECT max(promoted_at) AS t_after, TIMESTAMP '1998-01-01 00:00:00' AS t_before FROM ledger)
-SELECT count(DISTINCT CASE WHEN promoted_at <= t_before THEN counter_id END) AS loaded_before,
-       count(DISTINCT CASE WHEN promoted_at <= t_after THEN counter_id END) AS loaded_after,
-       count(DISTINCT CASE WHEN promoted_at <= t_after THEN counter_id END)
-         - count(DISTINCT CASE WHEN promoted_at <= t_before THEN counter_id END) AS added
-FROM p CROSS JOIN b""", FAM)
+REFRESH_BEFORE = "1998-01-01 00:00:00"
+
+
+@query("refresh_report", MANIFEST_SQL + f""",
+p AS (SELECT counter_id, promoted_at, artifact_type, status,
+        (schema_version <> '1.0' OR artifact_type NOT IN ('predictions', 'model', 'dataset', 'interim_dataset',
+           'feature_dataset', 'metrics') OR NOT regexp_matches(coalesce(checksum_sha256, ''), '^[a-fA-F0-9]{{64}}$')) AS bad
+      FROM m WHERE status = 'promoted'),
+b AS (SELECT max(promoted_at) AS t_after, TIMESTAMP '{REFRESH_BEFORE}' AS t_before FROM ledger),
+r AS (SELECT count(DISTINCT CASE WHEN artifact_type = 'predictions' AND promoted_at <= t_before THEN counter_id END) AS loaded_before,
+        count(DISTINCT CASE WHEN artifact_type = 'predictions' AND promoted_at <= t_after THEN counter_id END) AS candidate_after,
+        count(*) FILTER (WHERE promoted_at > t_before AND promoted_at <= t_after AND bad) AS n_invalid_new
+      FROM p CROSS JOIN b)
+SELECT loaded_before, candidate_after, n_invalid_new, n_invalid_new = 0 AS refresh_applied,
+  CASE WHEN n_invalid_new = 0 THEN candidate_after ELSE loaded_before END AS loaded_after,
+  CASE WHEN n_invalid_new = 0 THEN candidate_after - loaded_before ELSE 0 END AS added
+FROM r""", FAM)
 def refresh_report(spark, sf_dir):
-    """Counters served before / after a refresh (two as-of cut-offs)."""
-    lg = ledger(spark, sf_dir)
-    t_after = lg.agg(F.max("promoted_at")).scalar()
-    t_before = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    p = lg.filter((F.col("status") == "promoted") & (F.col("artifact_type") == "predictions"))
-    before = F.count_distinct(F.when(F.col("promoted_at") <= t_before, F.col("counter_id")))
-    after = F.count_distinct(F.when(F.col("promoted_at") <= t_after, F.col("counter_id")))
-    return p.agg(before.alias("loaded_before"), after.alias("loaded_after"),
-                 (after - before).alias("added"))
+    """Counters served before / after a refresh (two as-of cut-offs),
+    all-or-nothing: one invalid manifest among the new promotions aborts the
+    refresh and the previous store stays served."""
+    m = _manifest_base(spark, sf_dir).filter(F.col("status") == "promoted")
+    t_after = ledger(spark, sf_dir).agg(F.max("promoted_at")).scalar()
+    t_before = F.lit(REFRESH_BEFORE).cast("timestamp_ntz")
+    bad = ((F.col("schema_version") != "1.0") | ~F.col("artifact_type").isin(*LG.ARTIFACT_TYPES)
+           | ~F.coalesce(F.col("checksum_sha256"), F.lit("")).rlike("^[a-fA-F0-9]{64}$"))
+    preds = F.col("artifact_type") == "predictions"
+    r = m.agg(
+        F.count_distinct(F.when(preds & (F.col("promoted_at") <= t_before), F.col("counter_id"))).alias("loaded_before"),
+        F.count_distinct(F.when(preds & (F.col("promoted_at") <= t_after), F.col("counter_id"))).alias("candidate_after"),
+        F.count(F.when((F.col("promoted_at") > t_before) & (F.col("promoted_at") <= t_after) & bad, 1))
+        .alias("n_invalid_new"))
+    ok = F.col("n_invalid_new") == 0
+    return r.select("loaded_before", "candidate_after", "n_invalid_new", ok.alias("refresh_applied"),
+                    F.when(ok, F.col("candidate_after")).otherwise(F.col("loaded_before")).alias("loaded_after"),
+                    F.when(ok, F.col("candidate_after") - F.col("loaded_before")).otherwise(F.lit(0)).alias("added"))
 
 
 @query("path_resolution", with_views("ledger") + """,

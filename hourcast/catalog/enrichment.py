@@ -152,7 +152,7 @@ def scd2_join(spark, sf_dir):
     right = o.select(F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("valid_from"),
                      F.col("o_orderkey").alias("version_id"), F.col("o_orderpriority").alias("segment"))
     j = asof_join(left, right, ["custkey"], "l_shipdate", "valid_from", ["version_id", "segment"],
-                  bucket_us=86_400_000_000, right_tie=["version_id"])  # one-day buckets
+                  bucket_us=7 * 86_400_000_000, right_tie=["version_id"])  # one-week buckets
     return j.select("l_orderkey", "l_linenumber", F.col("version_id").cast("double").alias("version_id"), "segment")
 
 

@@ -158,16 +158,19 @@ def job_state_processor():
                 prev_state, prev_us, n = self.last.get()
             else:
                 prev_state, prev_us, n = None, None, 0
-            out = []
-            for t, eid, state in zip(batch["_us"], batch["event_id"], batch["state"]):
-                upd = t if prev_us is None else max(t, prev_us)
-                n += 1
-                out.append((job_id, int(eid), prev_state, state, upd, n))
-                prev_state, prev_us = state, upd
-            self.last.update((prev_state, int(prev_us), int(n)))
-            frame = pd.DataFrame(out, columns=["job_id", "event_id", "previous_state", "state", "updated_at",
-                                               "seq_no"])
-            frame["updated_at"] = pd.to_datetime(frame["updated_at"], unit="us")
+            # vectorised over the batch: monotone time = running max seeded with
+            # the stored time; predecessor = previous row, the stored state first
+            upd = batch["_us"].cummax()
+            if prev_us is not None:
+                upd = upd.clip(lower=prev_us)
+            prev_states = batch["state"].shift(1).astype(object)
+            prev_states.iloc[0] = prev_state
+            frame = pd.DataFrame({
+                "job_id": job_id, "event_id": batch["event_id"].astype("int64").to_numpy(),
+                "previous_state": prev_states.to_numpy(), "state": batch["state"].to_numpy(),
+                "updated_at": pd.to_datetime(upd.to_numpy(), unit="us"),
+                "seq_no": n + 1 + pd.RangeIndex(len(batch)).to_numpy()})
+            self.last.update((batch["state"].iloc[-1], int(upd.iloc[-1]), int(n + len(batch))))
             yield frame
 
         def close(self) -> None:

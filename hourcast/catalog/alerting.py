@@ -79,10 +79,11 @@ ev AS (
   SELECT 'InstanceDown' AS alertname, ts, event_id * 4 AS alert_id, 15000000 AS repeat_us FROM samples WHERE up = 0
   UNION ALL SELECT 'AuthFailures', ts, event_id * 4 + 1, 3600000000 FROM access_log WHERE status = 403
   UNION ALL SELECT 'HighLatency', ts, event_id * 4 + 2, 300000000 FROM access_log WHERE seconds > 3.0),
-nx AS (SELECT a.alertname, a.alert_id,
-         (SELECT arg_min(b.alert_id, (b.ts, b.alert_id)) FROM ev b
-          WHERE b.alertname = a.alertname AND epoch_us(b.ts) >= epoch_us(a.ts) + a.repeat_us) AS nxt
-       FROM ev a),
+u AS (SELECT alertname, ts AS t, 1 AS kind, alert_id AS eid, NULL::BIGINT AS src FROM ev
+      UNION ALL SELECT alertname, ts + to_microseconds(repeat_us), 0, NULL, alert_id FROM ev),
+nx AS (SELECT alertname, src AS alert_id, nxt FROM (
+         SELECT *, first_value(eid IGNORE NULLS) OVER (PARTITION BY alertname ORDER BY t, kind, eid
+                     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM u) WHERE kind = 0),
 chain AS (
   SELECT alertname, arg_min(alert_id, (ts, alert_id)) AS alert_id FROM ev GROUP BY alertname
   UNION ALL

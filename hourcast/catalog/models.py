@@ -315,3 +315,38 @@ def scenario_forecast(spark, sf_dir):
     sliced = fanned.filter(keep).select("scenario", "counter_id", "ts_utc", "hourly_count")
     out = ridge_recursive_forecast(sliced, ["scenario", "counter_id"])
     return round_doubles(out.groupBy("scenario", "counter_id").agg(*metric_aggs("y_true", "y_pred")))
+
+
+@query("standardized_features", with_views("counts") + """,
+r AS (SELECT *, hour(ts_utc) AS hour_utc, row_number() OVER (PARTITION BY counter_id ORDER BY ts_utc) AS rn,
+        count(*) OVER (PARTITION BY counter_id) AS n FROM counts),
+tr AS (SELECT * FROM r WHERE rn <= n - CAST(floor(CAST(n AS DOUBLE) * 0.25) AS BIGINT)),
+st AS (SELECT site, avg(hourly_count) AS m1, stddev_pop(hourly_count) AS s1, avg(hour_utc) AS m2, stddev_pop(hour_utc) AS s2
+       FROM tr GROUP BY site),
+lv AS (SELECT DISTINCT orientation FROM tr)
+SELECT r.counter_id, r.ts_utc,
+  round((r.hourly_count - st.m1) / coalesce(nullif(st.s1, 0), 1), 6) AS hourly_count,
+  round((r.hour_utc - st.m2) / coalesce(nullif(st.s2, 0), 1), 6) AS hour_utc,
+  CASE WHEN 'N-S' IN (SELECT orientation FROM lv) AND r.orientation = 'N-S' THEN 1.0 ELSE 0.0 END AS "orientation_N-S",
+  CASE WHEN 'S-N' IN (SELECT orientation FROM lv) AND r.orientation = 'S-N' THEN 1.0 ELSE 0.0 END AS "orientation_S-N"
+FROM r JOIN st ON r.site = st.site""", FAM)
+def standardized_features(spark, sf_dir):
+    """A83 + A84 + A85: numeric features scaled with the training split's mean
+    and population std (zero std -> 1), orientation one-hot with the levels
+    seen in training (an unseen level gives all zeros)."""
+    c = counts(spark, sf_dir).withColumn("hour_utc", F.hour("ts_utc"))
+    s = seq.time_split(c, TEST_RATIO)
+    train = s.filter(~F.col("is_test"))
+    stats = MD.feature_stats(train, ["site"], ["hourly_count", "hour_utc"], [])
+    z = MD.standardize(s.withColumns({"hourly_count": F.col("hourly_count").cast("double"),
+                                      "hour_utc": F.col("hour_utc").cast("double")}),
+                       stats, ["site"], ["hourly_count", "hour_utc"])
+    # fixed category set of the contract; a level absent from training stays all-zero
+    seen = train.agg(F.collect_set("orientation").alias("lv"))
+    z = z.withColumn("_lv", seen.select("lv").scalar())
+    z = MD.one_hot(z, "orientation", ["N-S", "S-N"])
+    for lv in ["N-S", "S-N"]:
+        z = z.withColumn(f"orientation_{lv}",
+                         F.when(F.array_contains("_lv", lv), F.col(f"orientation_{lv}")).otherwise(F.lit(0.0)))
+    return round_doubles(z.select("counter_id", "ts_utc", "hourly_count", "hour_utc",
+                                  "orientation_N-S", "orientation_S-N"))

@@ -57,3 +57,26 @@ def raw_ingest(spark, sf_dir):
         (F.count(F.lit(1)) - F.count("hourly_count")).alias("n_bad_counts"),
         F.sum("hourly_count").cast("double").alias("total"),  # null when no count parses
         F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"))
+
+
+# An operator-supplied allow-list as it arrives in configuration text.
+ALLOW_LIST_TEXT = " click_N-S, ,view_S-N,Totem_73_N-S ,signup_S-N,unknown_X,"
+
+
+@query("allow_list_check", """
+WITH counts AS (SELECT DISTINCT concat(event_type, '_', CASE WHEN user_id % 2 = 0 THEN 'N-S' ELSE 'S-N' END) AS counter_id
+                FROM events),
+req AS (SELECT DISTINCT trim(x) AS counter_id
+        FROM (SELECT unnest(string_split('""" + ALLOW_LIST_TEXT + """', ',')) AS x) WHERE trim(x) <> '')
+SELECT r.counter_id, CASE WHEN c.counter_id IS NULL THEN 'unknown' ELSE 'present' END AS status
+FROM req r LEFT JOIN counts c ON r.counter_id = c.counter_id""", FAM)
+def allow_list_check(spark, sf_dir):
+    """A7 + A12: a comma-separated allow-list (trimmed, blanks dropped) checked
+    against the counters present in the data; missing keys are reported."""
+    from hourcast.sources.tables import counts
+    present = counts(spark, sf_dir).select("counter_id").distinct()
+    req = (spark.range(1).select(F.explode(FS.allow_list(F.lit(ALLOW_LIST_TEXT))).alias("counter_id"))
+           .distinct())
+    unknown = FS.unknown_keys(req, present, ["counter_id"]).select("counter_id", F.lit("unknown").alias("status"))
+    known = req.join(present, "counter_id", "left_semi").select("counter_id", F.lit("present").alias("status"))
+    return known.unionByName(unknown)

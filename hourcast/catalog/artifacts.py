@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourcast.catalog.history import _merge_sql, _merged
-from hourcast.catalog.registry import query
+from hourcast.catalog.registry import ORACLE, query
 from hourcast.functions import labels as L
 from hourcast.functions.timecols import epoch_micros
 from hourcast.operators import canonical as C
@@ -152,3 +152,15 @@ FROM access_log GROUP BY handler""", FAM)
 def response_tally(spark, sf_dir):
     """Response classes, shares and request rate per handler."""
     return round_doubles(tally(access_log(spark, sf_dir), ["handler"]))
+
+
+@query("artifact_metadata", """
+SELECT artifact_type, status, run_id, counter_id, created_at,
+  to_json({'raw_file_name': source_raw_file_name, 'checksum_sha256': checksum_sha256}) AS source
+FROM (""" + ORACLE["manifest_build"] + ")", FAM)
+def artifact_metadata(spark, sf_dir):
+    """Sanitised projection of each manifest – identity fields plus the
+    lineage ``source`` struct (as JSON text); storage details stay hidden."""
+    from hourcast.operators import ledger as LG
+    m = LG.manifest_metadata(manifest_build(spark, sf_dir))
+    return m.withColumn("source", F.to_json("source"))

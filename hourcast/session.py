@@ -59,3 +59,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def cluster_conf(total_cores: int, checkpoint_dir: str) -> dict[str, str]:
+    """Settings for a large cluster (e.g. 1000 executors reading ~100 TB).
+
+    * Scan splits of 256 MB keep tasks large enough to amortise scheduling
+      but small enough to fit executor memory.
+    * Shuffle partitions start at 4x the cores; AQE coalesces them towards
+      256 MB and splits skewed join partitions (a key holding a third of a
+      table) into advisory-sized pieces.
+    * Broadcast stays capped at 32 MB: only calendars and fixed dimensions
+      are broadcast by hint, everything else by AQE's runtime statistics.
+    * Iterative rounds and stream state go to the shared ``checkpoint_dir``.
+    """
+    return {
+        **{k: v for k, v in BASE_CONF.items() if k != "spark.ui.enabled"},
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.shuffle.partitions": str(4 * total_cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+        "spark.checkpoint.dir": checkpoint_dir,
+    }

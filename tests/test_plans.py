@@ -34,3 +34,21 @@ def test_time_range_reaches_the_scan(spark):
     text = plan_text(QUERIES["range_extract"](spark, SMALL))
     assert "GreaterThanOrEqual(ts," in text and "LessThan(ts," in text
     assert "In(event_" in text
+
+
+def test_flagship_has_two_exchanges(spark):
+    """Partial aggregate -> shuffle of counter-hours -> one shuffle for the
+    shared window spec (all lags / means / row numbers in one Window)."""
+    text = E.entry(spark)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2
+    assert text.count("Window [") == 1
+
+
+def test_cluster_conf_is_runtime_applicable(spark):
+    from hourcast.session import cluster_conf
+    conf = cluster_conf(8000, "/tmp/ckpt")
+    assert conf["spark.sql.shuffle.partitions"] == "32000"
+    for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        old = spark.conf.get(key)
+        spark.conf.set(key, conf[key])
+        spark.conf.set(key, old)

@@ -386,3 +386,15 @@ def serve_page(spark, sf_dir):
     cur = c.join(runs, ["counter_id", "run_day"])
     return LG.paginate(cur, "counter_id", ["ts_utc"], offset=1, limit=10).select(
         "counter_id", "ts_utc", "hourly_count", "total")
+
+
+@query("serve_page_global", with_views("counts") + """
+SELECT counter_id, ts_utc, hourly_count FROM counts
+ORDER BY ts_utc DESC, counter_id LIMIT 10 OFFSET 1""", FAM)
+def serve_page_global(spark, sf_dir):
+    """A26 (whole table): page 2 of size 10 of the newest hours over all
+    counters – ``orderBy().offset().limit()``, planned as a top-k
+    (``TakeOrderedAndProject``), not a full sort."""
+    c = counts(spark, sf_dir)
+    return (c.orderBy(F.col("ts_utc").desc(), "counter_id").offset(1).limit(10)
+            .select("counter_id", "ts_utc", "hourly_count"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourcast.catalog.registry import query
+from hourcast.functions.numeric import round_scaled
 from hourcast.functions.calendar import to_local
 from hourcast.functions.timecols import day_floor
 from hourcast.operators import canonical as C
@@ -236,7 +237,7 @@ def coverage_rollup(spark, sf_dir):
         n.alias("expected"), valid.alias("valid"),
         F.count(F.when(F.col("state") == "quarantined", 1)).alias("quarantined"),
         F.count(F.when(F.col("state") == "unavailable", 1)).alias("unavailable"),
-        (F.round(valid / n, 6) + F.lit(0.0)).alias("coverage_ratio"))
+        round_scaled(valid / n, 6).alias("coverage_ratio"))
 
 
 @query("gap_intervals", with_views("counts") + """,
@@ -292,7 +293,7 @@ def publish_gate(spark, sf_dir):
     below it blocks, an optional one publishes with a recorded fallback."""
     cv = _coverage(spark, sf_dir)
     c = cv.groupBy("counter_id").agg(
-        (F.round(F.count(F.when(F.col("state") == "valid", 1)) / F.count(F.lit(1)), 6) + F.lit(0.0))
+        round_scaled(F.count(F.when(F.col("state") == "valid", 1)) / F.count(F.lit(1)), 6)
         .alias("coverage_ratio"))
     c = c.withColumn("required", F.col("counter_id").endswith("N-S"))
     return CV.publish_gate(c, "counter_id", "coverage_ratio", 0.5).select(

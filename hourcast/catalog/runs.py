@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourcast.catalog.registry import query
+from hourcast.functions.numeric import round_scaled
 from hourcast.functions import labels as L
 from hourcast.operators import ledger as LG
 from hourcast.operators import validate as V
@@ -75,7 +76,7 @@ def _job_requests(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     jt = (F.when(F.col("event_type") == "click", "ingest").when(F.col("event_type") == "view", "features")
           .when(F.col("event_type") == "purchase", "models").otherwise(F.col("event_type")))
-    start = F.round(F.col("value") % 100, 2)
+    start = round_scaled(F.col("value") % 100, 2)
     return ev.select(
         jt.alias("job_type"), F.col("user_id").cast("string").alias("counter_id"),
         F.date_format("ts", "yyyyMMdd").alias("run_id"),

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourcast.catalog.registry import query
+from hourcast.functions.numeric import round_scaled
 from hourcast.functions.calendar import add_calendar, clamp_round, dst_status, freshness_days
 from hourcast.operators import sequence as seq
 from hourcast.operators.evaluate import KPI_GAUGES, MAPE_CLASS_METRIC, kpi_unpivot, metric_aggs, round_doubles
@@ -209,7 +210,7 @@ def _cal_sql(src, p):
 
 def _round_trig(df, digits=9):
     # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines hash the same value
-    cols = [(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if ("_sin_" in c or "_cos_" in c) else F.col(c)
+    cols = [round_scaled(F.col(c), digits).alias(c) if ("_sin_" in c or "_cos_" in c) else F.col(c)
             for c in df.columns]
     return df.select(*cols)
 

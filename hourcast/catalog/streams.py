@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hourcast.catalog.alerting import HOLD_MINUTES
 from hourcast.catalog.registry import query
+from hourcast.functions.numeric import round_scaled
 from hourcast.functions.timecols import instant_to_utc_ntz
 from hourcast.session import ensure_checkpoint_dir
 from hourcast.sources.tables import with_views
@@ -38,7 +39,7 @@ WITH e AS (SELECT event_type AS job, ts, value, CASE WHEN event_type = 'error' T
              time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events),
 w AS (SELECT job, b - to_minutes(5 * k) AS window_start, value, up FROM e, range(0, 12) t(k)),
 wm AS (SELECT max(ts) - INTERVAL {LOOKBACK_HOURS} HOUR AS watermark FROM events)
-SELECT job, window_start, round(avg(value), 6) AS mean_value, round(avg(up) * 100, 6) AS availability_pct,
+SELECT job, window_start, round(CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) / count(value), 6) AS mean_value, round(avg(up) * 100, 6) AS availability_pct,
        count(*) AS n_samples
 FROM w, wm WHERE window_start + INTERVAL 1 HOUR <= wm.watermark GROUP BY 1, 2""", FAM)
 def stream_sliding_means(spark, sf_dir):
@@ -47,8 +48,8 @@ def stream_sliding_means(spark, sf_dir):
     s = ST.sliding_means(ST.events_stream(spark, sf_dir), f"{LOOKBACK_HOURS} hours")
     out = ST.run_to_table(s, "s2_sliding_means")
     return out.select("job", instant_to_utc_ntz("window_start").alias("window_start"),
-                      F.round("mean_value", 6).alias("mean_value"),
-                      F.round("availability_pct", 6).alias("availability_pct"), "n_samples")
+                      round_scaled(F.col("mean_value"), 6).alias("mean_value"),
+                      round_scaled(F.col("availability_pct"), 6).alias("availability_pct"), "n_samples")
 
 
 @query("stream_submit_keys", """

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourcast.functions.numeric import round_scaled
 from hourcast.functions.timecols import _c, epoch_micros
 
 PARIS = "Europe/Paris"
@@ -89,7 +90,7 @@ def freshness_days(last_ts: str | Column, asof: str | Column) -> Column:
 
 def clamp_round(x: str | Column, lo: float = 0.0, hi: float = 100.0, digits: int = 2) -> Column:
     """``round(max(lo, min(hi, x)), digits)``."""
-    return F.round(F.greatest(F.lit(lo), F.least(F.lit(hi), _c(x).cast("double"))), digits)
+    return round_scaled(F.greatest(F.lit(lo), F.least(F.lit(hi), _c(x).cast("double"))), digits)
 
 
 def dst_status(local_ntz: str | Column, tz: str = PARIS) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourcast.functions.numeric import round_scaled
+
 
 def _d(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
@@ -67,7 +69,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
             # "+ 0.0" maps -0.0 to 0.0 so hashes agree across engines
-            cols.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+            cols.append(round_scaled(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -63,7 +63,10 @@ def sliding_means(stream: DataFrame, lookback: str = "2 hours") -> DataFrame:
     up = F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)
     return (stream.withWatermark("ts_i", lookback)
             .groupBy(F.window("ts_i", "1 hour", "5 minutes").alias("w"), F.col("event_type").alias("job"))
-            .agg(F.avg("value").alias("mean_value"), (F.avg(up) * 100).alias("availability_pct"),
+            # exact decimal sum of the two-decimal values: the mean is independent of
+            # how partial sums are combined across tasks and micro-batches
+            .agg((F.sum(F.col("value").cast("decimal(20,2)")).cast("double") / F.count("value")).alias("mean_value"),
+                 (F.avg(up) * 100).alias("availability_pct"),
                  F.count(F.lit(1)).alias("n_samples"))
             .select("job", F.col("w.start").alias("window_start"), "mean_value", "availability_pct", "n_samples"))
 

@@ -11,7 +11,7 @@ from hourcast.operators import alerts as A
 from hourcast.operators import model as MD
 from hourcast.operators.asof import asof_join
 from hourcast.operators.bucketed import bucketed_lag, running_sum
-from tests.conftest import SMALL
+from tests.conftest import MEDIUM, SMALL
 
 
 def test_fold_equals_python_loop(spark):
@@ -154,3 +154,27 @@ def test_tree_ensemble_in_sql_matches_mllib_and_recursion_runs(spark):
     n_test = data.filter(F.col("is_test")).count()
     assert out.count() == n_test
     assert out.filter(F.col("y_pred").isNull()).count() == 0
+
+
+def test_scenario_forecast_matches_loop_for_one_pair(spark):
+    """The (scenario, counter)-keyed plan equals a numpy re-run of one slice."""
+    from hourcast.catalog import models as CM
+    from hourcast.functions.calendar import add_calendar
+    from hourcast.operators import sequence as seq
+    from hourcast.plans.scenarios import scenario_array
+    from hourcast.sources.tables import counts
+    numbered = seq.number_rows(counts(spark, MEDIUM))  # slices long enough for the history gate
+    fanned = numbered.withColumn("sc", F.explode(scenario_array())).select("*", "sc.*")
+    keep = seq.percent_slice_filter(F.col("rn"), F.col("n"), F.col("start_pct"), F.col("end_pct"))
+    sliced = fanned.filter(keep).select("scenario", "counter_id", "ts_utc", "hourly_count")
+    got = CM.ridge_recursive_forecast(sliced, ["scenario", "counter_id"]).toPandas()
+    pair = got[["scenario", "counter_id"]].drop_duplicates().sort_values(["scenario", "counter_id"]).iloc[0]
+    one = sliced.filter((F.col("scenario") == pair.scenario) & (F.col("counter_id") == pair.counter_id))
+    expect = CM.ridge_recursive_forecast(one.drop("scenario"), ["counter_id"]).toPandas().sort_values("ts_utc")
+    mine = got[(got.scenario == pair.scenario) & (got.counter_id == pair.counter_id)].sort_values("ts_utc")
+    assert len(mine) == len(expect) > 0
+    assert mine.y_pred.notna().all()
+    assert np.allclose(mine.y_pred.to_numpy(), expect.y_pred.to_numpy(), rtol=1e-9, atol=1e-9)
+    # and the single-key path is the numpy-checked one (test_ridge_forecast_recursion_matches_loop)
+    c = add_calendar(one.drop("scenario"), "ts_utc", prefix="ts")
+    assert c.count() == one.count()

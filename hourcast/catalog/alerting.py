@@ -33,7 +33,7 @@ SELECT instance, CAST(n_all - n_true AS BIGINT) AS island, min(ts) AS start_ts,
 FROM s WHERE cond GROUP BY instance, n_all - n_true""", FAM)
 def held_alert(spark, sf_dir):
     """``up == 0`` held for the hold time, per instance over all jobs."""
-    s = samples(spark, sf_dir).withColumn("bucket", hour_bucket())
+    s = samples(spark, sf_dir, with_counter=False).withColumn("bucket", hour_bucket())
     return A.held(s, ["instance"], ["ts", "event_id"], "bucket", F.col("up") == 0,
                   HOLD_MINUTES * 60_000_000)
 
@@ -52,7 +52,7 @@ d AS (SELECT *, changes > {CHANGES_THRESHOLD} AS condition,
 SELECT instance, bucket, changes, condition, condition AND coalesce(pc, false) AND pb = bucket - 1 AS fired FROM d""", FAM)
 def changes_alert(spark, sf_dir):
     """``changes(up[range]) > 3`` held for one evaluation step."""
-    s = samples(spark, sf_dir).withColumn("bucket", hour_bucket())
+    s = samples(spark, sf_dir, with_counter=False).withColumn("bucket", hour_bucket())
     ch = A.changes(s, ["instance"], ["ts", "event_id"], "bucket", "up", CHANGES_RANGE_HOURS)
     out = A.held_steps(ch, ["instance"], "bucket", F.col("changes") > CHANGES_THRESHOLD)
     return out.select("instance", "bucket", "changes", "condition", "fired")
@@ -61,7 +61,7 @@ def changes_alert(spark, sf_dir):
 def alert_events(spark, sf_dir):
     """Firing events: instance down (critical), auth failures (warning) and
     slow requests (no severity).  ``alert_id`` is unique across sources."""
-    s = samples(spark, sf_dir).filter(F.col("up") == 0).select(
+    s = samples(spark, sf_dir, with_counter=False).filter(F.col("up") == 0).select(
         F.lit("InstanceDown").alias("alertname"), F.lit("critical").alias("severity"), "ts",
         (F.col("event_id") * 4).alias("alert_id"))
     a = access_log(spark, sf_dir)

@@ -178,7 +178,7 @@ FROM g WINDOW w AS (PARTITION BY job, instance ORDER BY bucket RANGE BETWEEN 5 P
 def over_time(spark, sf_dir):
     """B11 + B12 (+ B13 within range): ``avg_over_time`` and ``last_over_time``
     over 6 h, evaluated every hour of each series' span."""
-    o = M.over_time(samples(spark, sf_dir), SERIES, "value", ORDER, range_steps=6)
+    o = M.over_time(samples(spark, sf_dir, with_counter=False), SERIES, "value", ORDER, range_steps=6)
     return round_doubles(o.withColumn("samples_in_range", F.col("samples_in_range").cast("bigint")))
 
 
@@ -188,7 +188,7 @@ SELECT job, instance, {HOUR_SQL} AS bucket, round(100.0 * avg(up), 6) AS availab
 FROM samples GROUP BY 1, 2, 3""", FAM)
 def availability(spark, sf_dir):
     """B5 + B14: ``avg_over_time(up[1h]) * 100`` per series and hour, classed."""
-    s = samples(spark, sf_dir).withColumn("bucket", M.hour_bucket())
+    s = samples(spark, sf_dir, with_counter=False).withColumn("bucket", M.hour_bucket())
     g = s.groupBy(*SERIES, "bucket").agg((F.avg("up") * 100.0).alias("availability_pct"))
     g = g.withColumn("availability_class",
                      M.classify(F.col("availability_pct"), 95.0, 99.0, higher_is_better=True))
@@ -200,7 +200,7 @@ SELECT job, instance, arg_max(value, (ts, event_id)) AS last_value, max(ts) AS l
 FROM samples WHERE value IS NOT NULL GROUP BY 1, 2""", FAM)
 def last_sample(spark, sf_dir):
     """Last non-null value per series."""
-    s = samples(spark, sf_dir).filter(F.col("value").isNotNull())
+    s = samples(spark, sf_dir, with_counter=False).filter(F.col("value").isNotNull())
     return s.groupBy(*SERIES).agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"),
                                   F.max("ts").alias("last_ts"))
 
@@ -244,7 +244,7 @@ SELECT job, count(DISTINCT (job, instance)) AS n_series, count(*) AS n_samples
 FROM samples GROUP BY ROLLUP (job)""", FAM)
 def series_counts(spark, sf_dir):
     """B16 + B18: distinct series and samples per name, with the grand total."""
-    s = samples(spark, sf_dir)
+    s = samples(spark, sf_dir, with_counter=False)
     return (s.rollup("job")
             .agg(F.count_distinct("job", "instance").alias("n_series"),
                  F.count(F.lit(1)).alias("n_samples")))

@@ -72,13 +72,20 @@ def counts(spark: SparkSession, sf_dir: str, ts_range: tuple[str, str] | None =
                     "ts_utc", "hourly_count"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric samples; ``counter_value`` is a running count that wraps at 50."""
+def samples(spark: SparkSession, sf_dir: str, with_counter: bool = True) -> DataFrame:
+    """Metric samples; ``counter_value`` is a running count that wraps at 50.
+
+    The running count needs its own pass (per-bucket totals joined back), and
+    an inner join is never pruned even when the column is unused, so queries
+    that do not read ``counter_value`` ask for the plain projection.
+    """
     ev = table(spark, sf_dir, "events")
     base = ev.select("event_id", "ts", F.col("event_type").alias("job"),
                      (F.col("user_id") % 5).cast("int").alias("instance"),
                      F.when(F.col("event_type") == "error", 0).otherwise(1).alias("up"),
                      "value", epoch_hours("ts").alias("_bucket"))
+    if not with_counter:
+        return base.drop("_bucket")
     numbered = running_count(base, ["job", "instance"], ["ts", "event_id"],
                              "_bucket", "_rc")
     return numbered.select("event_id", "ts", "job", "instance", "up", "value",

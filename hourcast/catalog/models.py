@@ -10,7 +10,7 @@ from hourcast.functions.calendar import add_calendar, to_local
 from hourcast.operators import model as MD
 from hourcast.operators import sequence as seq
 from hourcast.operators.evaluate import metric_aggs, round_doubles
-from hourcast.sources.tables import counts, with_views
+from hourcast.sources.tables import counts, materialize, with_views
 
 FAM = "model"
 RIDGE_LAMBDA = 1.0
@@ -27,7 +27,7 @@ def _split(spark, sf_dir):
 
 
 def y_full_linear_df(spark, sf_dir):
-    s = _split(spark, sf_dir)
+    s = materialize(_split(spark, sf_dir))  # read by fit, buffer, test and fitted branches
     train = s.filter((F.col("rn") <= F.col("n_train")) & F.col("x").isNotNull())  # A20 complete case
     coef = MD.ols_ar1(train.withColumn("y", F.col("hourly_count").cast("double")),
                       ["counter_id"], "x", "y", lam=RIDGE_LAMBDA)
@@ -216,7 +216,7 @@ def _gbt_fit(spark, sf_dir):
                         handleInvalid="keep")
     vec = VectorAssembler(inputCols=feats + ["_cid_v", "_ori_v"], outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(labelCol="label", featuresCol="features", seed=1, maxIter=20, maxDepth=5)
-    data = s.withColumn("label", F.col("hourly_count").cast("double"))
+    data = materialize(s.withColumn("label", F.col("hourly_count").cast("double")))
     train = seq.complete_case(data.filter(~F.col("is_test")), feats)
     model = Pipeline(stages=[idx, ohe, vec, gbt]).fit(train)
     return model, data, feats
@@ -277,7 +277,7 @@ def ridge_recursive_forecast(series, keys: list[str], order: str = "ts_utc", rat
     Returns the test rows with ``y_pred`` (keys, order, y_true, y_pred)."""
     w_keys = keys
     c = add_calendar(series, order, prefix="ts")
-    s = seq.time_split(c, ratio, key=w_keys, order=[order])
+    s = materialize(seq.time_split(c, ratio, key=w_keys, order=[order]))  # read by five branches
     train = seq.add_ar_features(s.filter(~F.col("is_test")), nb_ar, nb_mm, roll, key=w_keys, order=[order])
     feats = [f"target_ar_{k}" for k in range(1, nb_ar + 1)] + [f"target_mm_{roll}_{k}" for k in range(1, nb_mm + 1)] + EXOG
     train = seq.complete_case(train, feats)

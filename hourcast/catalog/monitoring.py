@@ -9,7 +9,7 @@ from hourcast.catalog.series import FEATURES_SQL, _features, TEST_RATIO
 from hourcast.operators import metrics as M
 from hourcast.operators import sequence as seq
 from hourcast.operators.evaluate import metric_aggs, round_doubles
-from hourcast.sources.tables import access_log, samples, with_views
+from hourcast.sources.tables import access_log, materialize, samples, with_views
 
 FAM = "monitoring"
 HOUR_SQL = "CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT)"
@@ -55,7 +55,7 @@ r AS (SELECT job, instance, bucket,
 SELECT job, instance, bucket, increase, round(increase / 3600.0, 6) AS rate FROM r""", FAM)
 def rate_reset(spark, sf_dir):
     """B1: tumbling hourly increase/rate per series with counter-reset handling."""
-    r = M.rate(samples(spark, sf_dir), SERIES, "counter_value", ORDER)
+    r = M.rate(materialize(samples(spark, sf_dir)), SERIES, "counter_value", ORDER)
     return round_doubles(r.select(*SERIES, "bucket", "increase", "rate"))
 
 
@@ -64,7 +64,7 @@ SELECT job, bucket, CAST(sum(increase) AS BIGINT) AS increase, round(sum(increas
        count(*) AS n_series FROM r GROUP BY 1, 2""", FAM)
 def job_rates(spark, sf_dir):
     """``sum by (job) (rate(counter[1h]))`` per hour."""
-    r = M.rate(samples(spark, sf_dir), SERIES, "counter_value", ORDER)
+    r = M.rate(materialize(samples(spark, sf_dir)), SERIES, "counter_value", ORDER)
     g = r.groupBy("job", "bucket").agg(F.sum("increase").cast("bigint").alias("increase"),
                                        F.count(F.lit(1)).alias("n_series"))
     return round_doubles(g.withColumn("rate", F.col("increase") / F.lit(3600.0))

@@ -10,13 +10,13 @@ from hourcast.functions import labels as L
 from hourcast.operators import ledger as LG
 from hourcast.operators import validate as V
 from hourcast.plans import window_plan as WP
-from hourcast.sources.tables import counts, job_log, table, with_views
+from hourcast.sources.tables import counts, job_log, materialize, table, with_views
 
 FAM = "runs"
 
 
-def _plan(spark, sf_dir):
-    c = counts(spark, sf_dir)
+def _plan(spark, sf_dir, c=None):
+    c = c if c is not None else materialize(counts(spark, sf_dir))
     act = c.groupBy("counter_id").agg(F.to_date(F.min("ts_utc")).alias("first_day"),
                                       F.to_date(F.max("ts_utc")).alias("last_day"))
     anchor = act.agg(F.min("first_day")).scalar()
@@ -65,8 +65,9 @@ FROM c LEFT JOIN r f ON c.counter_id = f.counter_id AND f.rn = CASE WHEN c.n_row
 LEFT JOIN r l ON c.counter_id = l.counter_id AND l.rn = CASE WHEN c.n_rows > 0 THEN c.hi END""", FAM)
 def sliced_by_plan(spark, sf_dir):
     """A24 + A76: every planned run's slice, all counters and days in one plan."""
-    p = _plan(spark, sf_dir)
-    out = WP.sliced_by_plan(p, counts(spark, sf_dir))
+    c = materialize(counts(spark, sf_dir))  # one pass over events for plan and slices
+    p = _plan(spark, sf_dir, c)
+    out = WP.sliced_by_plan(p, c)
     return out.withColumn("run_day", F.col("run_day").cast("timestamp_ntz")).select(
         "counter_id", "mode", "run_day", "delta_days", "start_pct", "end_pct", "proceed", "sub_dir",
         "n_rows", "first_ts", "last_ts")

@@ -193,3 +193,17 @@ def with_views(*names: str, extra: dict[str, str] | None = None) -> str:
     for k, v in (extra or {}).items():
         parts.append(f"{k} AS ({v}\n)")
     return "WITH " + ",\n".join(parts) + "\n" if parts else ""
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a derived table once to the session's shared checkpoint folder.
+
+    A DataFrame used by several branches of one plan is otherwise recomputed
+    per branch (Spark does not share subplans that differ in projection), which
+    for an aggregate of ``events`` means one pass over the raw data per branch.
+    The derived tables materialised here (hourly counts, numbered series,
+    samples) are orders of magnitude smaller than the raw events.
+    """
+    from hourcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -12,7 +12,7 @@ from hourcast.functions.timecols import epoch_micros
 from hourcast.operators import canonical as C
 from hourcast.operators.evaluate import (STEP_DURATION_METRIC, STEP_RECORDS_METRIC, response_tally as tally,
                                          round_doubles)
-from hourcast.sources.tables import access_log, counts, job_log, with_views
+from hourcast.sources.tables import access_log, counts, job_log, materialize, with_views
 
 FAM = "artifacts"
 
@@ -53,7 +53,7 @@ FROM runs""", FAM)
 def manifest_build(spark, sf_dir):
     """One manifest per (artifact type, counter, run) built from the run
     outputs: status validated, lineage, local path and payload checksum."""
-    c = counts(spark, sf_dir)
+    c = materialize(counts(spark, sf_dir))  # read by the interim, feature and run branches
     meta = c.groupBy("counter_id").agg(F.max("ts_utc").alias("last_ts"))
     interim = dataset_checksum(c, "counter_id", "counter_id", "ts_utc", "hourly_count") \
         .withColumns({"artifact_type": F.lit("interim_dataset"), "service": F.lit("ingest")})

@@ -11,7 +11,7 @@ from hourcast.functions.calendar import to_local
 from hourcast.functions.timecols import day_floor
 from hourcast.operators import canonical as C
 from hourcast.operators import coverage as CV
-from hourcast.sources.tables import counts, snapshots, table, with_views
+from hourcast.sources.tables import counts, materialize, snapshots, table, with_views
 
 FAM = "history"
 
@@ -366,7 +366,7 @@ FROM counts, mx WHERE ts_utc + INTERVAL 2 HOUR <= mx.cutoff GROUP BY 1""", FAM)
 def cutoff_filter(spark, sf_dir):
     """Only observations available (2 h publication delay) before the
     prediction cut-off (a day before the newest hour) are used."""
-    c = counts(spark, sf_dir)
+    c = materialize(counts(spark, sf_dir))  # read by the cut-off subquery and the filter
     cutoff = F.timestamp_add("DAY", F.lit(-1), c.agg(F.max("ts_utc")).scalar())
     ok = F.timestamp_add("HOUR", F.lit(2), F.col("ts_utc")) <= cutoff
     return c.filter(ok).groupBy("counter_id").agg(F.count(F.lit(1)).alias("n_usable"),

@@ -335,7 +335,7 @@ def standardized_features(spark, sf_dir):
     and population std (zero std -> 1), orientation one-hot with the levels
     seen in training (an unseen level gives all zeros)."""
     c = counts(spark, sf_dir).withColumn("hour_utc", F.hour("ts_utc"))
-    s = seq.time_split(c, TEST_RATIO)
+    s = materialize(seq.time_split(c, TEST_RATIO))  # read by stats, levels and scaling
     train = s.filter(~F.col("is_test"))
     stats = MD.feature_stats(train, ["site"], ["hourly_count", "hour_utc"], [])
     z = MD.standardize(s.withColumns({"hourly_count": F.col("hourly_count").cast("double"),

@@ -52,3 +52,13 @@ def test_cluster_conf_is_runtime_applicable(spark):
         old = spark.conf.get(key)
         spark.conf.set(key, conf[key])
         spark.conf.set(key, old)
+
+
+@pytest.mark.parametrize("name", ["sliced_by_plan", "window_plan", "y_full_linear", "ridge_forecast",
+                                  "manifest_build", "standardized_features", "cutoff_filter"])
+def test_multi_branch_queries_read_raw_data_once(spark, name):
+    """Derived tables read by several branches are materialised once (the
+    raw scan happens inside ``materialize``), so the returned plan itself
+    holds no further raw Parquet scan."""
+    text = plan_text(QUERIES[name](spark, SMALL))
+    assert text.count("FileScan parquet") == 0, text

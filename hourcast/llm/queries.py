@@ -25,3 +25,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(id_mod("doc_id", 4) != 2))
     return langid.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import packing
+    return packing.pack(documents(spark, sf_dir)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

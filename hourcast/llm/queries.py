@@ -32,3 +32,47 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hourcast.llm import packing
     return packing.pack(documents(spark, sf_dir)).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import linededup
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.remove_repeated_runs(docs).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+#: The kept text of ``documents`` by the rule of ``linededup`` with gram 2, window 2.
+LINE_DEDUP_CTES = """
+lines AS (
+  SELECT doc_id, i, line, substr(md5(line), 1, 16) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS i FROM {docs} WHERE text IS NOT NULL)
+  WHERE length(trim(line)) > 0),
+around AS (
+  SELECT doc_id, pos, i, h, lead(h) OVER w AS h1, lag(h) OVER w AS b1, lag(h, 2) OVER w AS b2, lead(h, 2) OVER w AS a1,
+         lead(h, 3) OVER w AS a2, lag(i) OVER w AS ib1, lag(i, 2) OVER w AS ib2, lead(i) OVER w AS i1,
+         lead(i, 2) OVER w AS ia1, lead(i, 3) OVER w AS ia2
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (SELECT *, substr(md5(h || h1), 1, 16) AS fp FROM around WHERE h1 IS NOT NULL),
+near AS (SELECT *, lag(fp) OVER w AS before, lead(fp) OVER w AS after FROM grams WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+prints AS (
+  SELECT * FROM near WHERE (before IS NULL AND after IS NULL) OR fp < before OR fp <= after),
+ranked AS (
+  SELECT *, min({{'d': doc_id, 'p': pos, 'h': [b2, b1, a1, a2]}}) OVER (PARTITION BY fp) AS o FROM prints),
+later AS (SELECT * FROM ranked WHERE NOT (doc_id = o.d AND pos = o.p)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([i, i1,
+    CASE WHEN b1 = o.h[2] THEN ib1 END, CASE WHEN b1 = o.h[2] AND b2 = o.h[1] THEN ib2 END,
+    CASE WHEN a1 = o.h[3] THEN ia1 END, CASE WHEN a1 = o.h[3] AND a2 = o.h[4] THEN ia2 END]) AS i FROM later),
+cut AS (
+  SELECT doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS kept
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS i FROM {docs} WHERE text IS NOT NULL) l
+  LEFT JOIN (SELECT * FROM gone WHERE i IS NOT NULL) g USING (doc_id, i) GROUP BY doc_id)"""
+
+ORACLE["op7_line_dedup"] = "WITH " + LINE_DEDUP_CTES.format(docs="documents") + """
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(c.kept, '')) END AS kept_md5
+FROM documents d LEFT JOIN cut c USING (doc_id)"""

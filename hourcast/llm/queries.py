@@ -76,3 +76,11 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
        CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(c.kept, '')) END AS kept_md5
 FROM documents d LEFT JOIN cut c USING (doc_id)"""
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import decontaminate
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_matches(documents(spark, sf_dir).select("doc_id", "text"), items)
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")

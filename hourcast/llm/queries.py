@@ -84,3 +84,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_matches(documents(spark, sf_dir).select("doc_id", "text"), items)
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+@query
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import jaccard
+    return jaccard.join(documents(spark, sf_dir))

@@ -90,3 +90,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hourcast.llm import jaccard
     return jaccard.join(documents(spark, sf_dir))
+
+
+@query
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import vectordedup
+    return vectordedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

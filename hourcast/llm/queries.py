@@ -96,3 +96,14 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hourcast.llm import vectordedup
     return vectordedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import toxicity
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(id_mod("doc_id", 5) != 0).join(labels, "doc_id"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (id_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

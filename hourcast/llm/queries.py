@@ -107,3 +107,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", (id_mod("doc_id", 5) == 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import quality
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_mod("doc_id", 5) != 0)
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model).select(
+        "doc_id", (id_mod("doc_id", 5) == 0).alias("held_out"), "text_score", "meta_score", "score",
+        (F.col("score") >= 0.5).alias("kept"))

@@ -118,3 +118,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", (id_mod("doc_id", 5) == 0).alias("held_out"), "text_score", "meta_score", "score",
         (F.col("score") >= 0.5).alias("kept"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import substring
+    return substring.remove_repeated_spans(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op8_substring_dedup"] = """
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+edges AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS e FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min({'d': doc_id, 'i': i}) OVER (PARTITION BY e) AS f FROM edges)
+  WHERE NOT (doc_id = f.d AND i = f.i)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, range(20) AS r(j)),
+kept AS (
+  SELECT l.doc_id, count(g.i) AS n, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY l.i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) l
+  LEFT JOIN gone g USING (doc_id, i) GROUP BY l.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)"""

@@ -143,3 +143,10 @@ kept AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM words w LEFT JOIN kept k USING (doc_id)"""
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import lm
+    return lm.score(documents(spark, sf_dir), id_mod("doc_id", 7) != 2).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

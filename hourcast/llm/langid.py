@@ -13,7 +13,8 @@ table of a few hundred KB, so a partition needs one table lookup per n-gram.
 
 Defined cases: null text, or text without a letter -> ``und``, score 0,
 rejected; nothing to learn from -> every row ``und``; repeated ids and rows are
-scored one by one; other columns of the input are passed through untouched.
+scored one by one; other columns pass through, and one named like a result
+(``prefix`` + name) is replaced by it.
 """
 
 from __future__ import annotations
@@ -152,6 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text",
 
     held = f"{prefix}__language"
     got = docs.withColumn(held, predict(F.col(text)))
-    return got.select(*docs.columns, *[F.col(f"{held}.{f}").alias(prefix + f) for f in result.fieldNames()])
+    new = {prefix + f: F.col(f"{held}.{f}").alias(prefix + f) for f in result.fieldNames()}
+    return got.select(*[c for c in docs.columns if c not in new], *new.values())
 
 

@@ -18,7 +18,8 @@ per changed document joined back.  No Python, no pairs within a group.
 
 Defined cases: null or empty text and blank lines (spaces only) never match and
 stay; rows equal in id and text are one document and are treated alike; null
-ids sort first; an empty table gives no rows; other columns pass through.
+ids sort first; an empty table gives no rows; other columns pass through, and
+one named like a result (``prefix`` + name) is replaced by it.
 """
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ def remove_repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id
     joined = joined.join(gone, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d")), "left")
     joined = joined.withColumn("__lines", F.split(F.col(text), "\n", -1))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> element_at(__lines, i + 1)), '\\n')")
+    new = {prefix + "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__lines")),
+           prefix + "n_removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))}
     columns = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c)
-               for c in docs.columns]
-    return joined.select(*columns,
-                         F.coalesce(F.size("__lines").cast("long"), F.lit(0).cast("long")).alias(prefix + "n_lines"),
-                         F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias(prefix + "n_removed"))
+               for c in docs.columns if c not in new]
+    return joined.select(*columns, *[v.cast("long").alias(c) for c, v in new.items()])

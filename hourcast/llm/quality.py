@@ -12,7 +12,7 @@ then scores every document.  Both pools are bounded hash samples
 Defined cases: null text counts as empty; nulls in metadata are a value of
 their own; without labels of both kinds every score is the known share of good
 rows (0.5 if there is none); repeated rows are scored one by one; other columns
-pass through.
+pass through, and one named like a result (``prefix`` + name) is replaced by it.
 """
 
 from __future__ import annotations
@@ -178,4 +178,5 @@ def score(docs: DataFrame, model: QualityModel, prefix: str = "") -> DataFrame:
         return pd.DataFrame(dict(zip(names, model.scores(xt, xm))))
 
     got = docs.withColumn(f"{prefix}__quality", of("text", "source", "lang", "n_chars"))
-    return got.select(*docs.columns, *[F.col(f"{prefix}__quality.{n}").alias(prefix + n) for n in names])
+    new = {prefix + n: F.col(f"{prefix}__quality.{n}").alias(prefix + n) for n in names}
+    return got.select(*[c for c in docs.columns if c not in new], *new.values())

@@ -6,7 +6,8 @@ mean of the buckets' embeddings, and a softmax over a linear map of it gives
 the language.  Embeddings and map are trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows (``train_rows``); a fifth of it is
 kept for calibration: a temperature, then a rejection level that keeps every
-confidence seen among right answers except the lowest ``tail`` share.
+confidence seen among right answers except the lowest ``tail`` share (with
+under 20 right answers nothing with a letter is rejected).
 
 At scoring time the two linear layers fold into one (buckets x languages)
 table of a few hundred KB, so a partition needs one table lookup per n-gram.
@@ -107,9 +108,9 @@ def train(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]] if len(held) else np.array([])
     # at least 1.2 times an even guess, at most what the right answers reach
     floor = 1.2 / len(languages) if len(languages) > 1 else 0.0
-    level = float(np.quantile(right, tail)) if len(right) else floor
+    level = float(np.quantile(right, tail)) if len(right) >= 20 else 0.0  # too few to reject anything
     return LanguageModel(languages, (emb @ lin).astype(np.float64), bias.astype(np.float64),
-                         temperature, min(max(floor, 0.0), level))
+                         temperature, min(floor, level))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",

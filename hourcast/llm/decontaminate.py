@@ -6,10 +6,11 @@ holds all of an item's words scores 1 and one threshold serves all items.
 Passages are word windows of twice the longest item, one item length apart:
 each item-sized stretch of a text lies whole in a passage.
 
-Search has two steps with the same bounds.  For all passages of a document at
-once the block maxima of their distinct terms are summed; a passage none of
-whose blocks reaches the threshold is done.  The others run block-max WAND:
-pivot by term maxima, skip by block maxima, score fully only what may pass.
+Search is block-max WAND.  The block maxima of the distinct terms of all of a
+document's passages are summed at once, and a (passage, block) whose sum stays
+under the threshold is skipped whole.  In the others the lists run document at
+a time with the block's maxima as bounds: pivot, move, and score fully only
+what may pass.
 Every (passage, item) at or above the threshold is then verified: at least
 ``overlap`` of the five-word shingles of both the question and the answer of
 the item occur in the passage (the answer is the last line, or the last
@@ -75,7 +76,7 @@ class ItemIndex:
     """Inverted lists (item, impact) by term, with maxima of ``block`` items and of the list."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n: int, mean: float,
-                 longest: int, block: int = 8, k1: float = 1.2, b: float = 0.75):
+                 longest: int, block: int = 4, k1: float = 1.2, b: float = 0.75):
         self.block, self.ids, self.parts, lists = block, [], [], {}
         for item, text in sorted(items):
             seq = words(text)
@@ -106,11 +107,11 @@ class ItemIndex:
         self.flat_max = np.array([x for m in self.block_max for x in m.values()])
         self.n_blocks = (len(self.ids) + block - 1) // block
 
-    def promising(self, term_ids: np.ndarray, threshold: float) -> np.ndarray:
-        """Starts of the passages in which some block's maxima sum up to the threshold."""
+    def promising(self, term_ids: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """(start of the passage, block) where the block's maxima sum up to the threshold."""
         at = np.flatnonzero(term_ids >= 0)
         if not len(at):
-            return at
+            return []
         n_terms = len(self.items)
         own = at // self.stride  # a word lies in the passage that starts at its stride and in the one before
         pairs = np.unique(np.concatenate([own * n_terms + term_ids[at],
@@ -120,18 +121,24 @@ class ItemIndex:
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         entry = np.repeat(self.first[term], count) + offset
         sums = np.bincount(np.repeat(passage, count) * self.n_blocks + self.flat_block[entry], self.flat_max[entry])
-        return np.unique(np.flatnonzero(sums >= threshold - 1e-9) // self.n_blocks) * self.stride
-
-    def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item number, score) with score >= threshold for a passage of these distinct terms."""
-        goal = threshold - 1e-9
-        cursors = [[self.items[t][0], 0, t] for t in terms]
+        return [(k // self.n_blocks * self.stride, k % self.n_blocks)
+                for k in np.flatnonzero(sums >= threshold - 1e-9).tolist()]
+
+    def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
+        """All (item number, score) of the block with score >= threshold for a passage of these distinct terms."""
+        goal, end = threshold - 1e-9, (block + 1) * self.block
+        cursors = []
+        for t in terms:
+            top = self.block_max[t].get(block)
+            if top is not None:
+                k = bisect_left(self.items[t], block * self.block)
+                cursors.append([self.items[t][k], k, t, top])
         found = []
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                total += self.top[c[2]]
+                total += c[3]
                 if total >= goal:
                     pivot = k
                     break
@@ -140,14 +147,7 @@ class ItemIndex:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            block = item // self.block
-            bound = sum(self.block_max[c[2]].get(block, 0.0) for c in cursors[:pivot + 1])
-            if bound < goal:  # nothing in this block, as far as these lists go
-                target = (block + 1) * self.block
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0])
-                move = cursors[:pivot + 1]
-            elif cursors[0][0] == item:
+            if cursors[0][0] == item:
                 score = sum(self.impacts[c[2]][c[1]] for c in cursors[:pivot + 1])
                 if score >= goal:
                     found.append((item, score))
@@ -155,9 +155,10 @@ class ItemIndex:
             else:
                 target, move = item, [c for c in cursors[:pivot + 1] if c[0] < item]
             for c in move:
-                c[1] = bisect_left(self.items[c[2]], target, c[1])
-                c[0] = self.items[c[2]][c[1]] if c[1] < len(self.items[c[2]]) else -1
-            cursors = [c for c in cursors if c[0] >= 0]
+                own = self.items[c[2]]
+                c[1] = bisect_left(own, target, c[1])
+                c[0] = own[c[1]] if c[1] < len(own) else end
+            cursors = [c for c in cursors if c[0] < end]
         return found
 
     def matches(self, text: str, threshold: float, overlap: float) -> list[tuple]:
@@ -165,9 +166,9 @@ class ItemIndex:
         seq = words(text)
         ids = np.fromiter(map(self.terms.get, seq, repeat(-1)), np.int64, len(seq))
         best: dict[int, tuple] = {}
-        for start in self.promising(ids, threshold).tolist():
+        for start, block in self.promising(ids, threshold):
             part = ids[start:start + self.window]
-            for k, score in self.wand(np.unique(part[part >= 0]).tolist(), threshold):
+            for k, score in self.wand(np.unique(part[part >= 0]).tolist(), block, threshold):
                 passage = seq[start:start + self.window]
                 q, a = (contained(p, passage) for p in self.parts[k])
                 if q >= overlap and a >= overlap:

@@ -22,7 +22,7 @@ DIGEST_SQL = "CAST(('0x' || substr(md5(concat_ws('|', {cols})), 1, 8)) AS BIGINT
 
 
 def _digest_sql(*cols):
-    return DIGEST_SQL.format(cols=", ".join(f"CAST({c} AS VARCHAR)" for c in cols))
+    return DIGEST_SQL.format(cols=", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols))
 
 
 def dataset_checksum(df, key, *cols):
@@ -81,7 +81,7 @@ s2 AS (SELECT * FROM snapshots WHERE snapshot_no <= 2)""" + _merge_sql("s2", "a"
 declared AS (SELECT counter_id, sha256(CAST(sum({_digest_sql('counter_id', 'ts_utc', 'hourly_count')}) AS VARCHAR)) AS declared_checksum
              FROM a GROUP BY 1),
 actual AS (SELECT counter_id, sha256(CAST(sum({_digest_sql('counter_id', 'ts_utc', 'hourly_count')}) AS VARCHAR)) AS actual_checksum
-           FROM b WHERE ts_utc < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1)
+           FROM b GROUP BY 1)
 SELECT d.counter_id, d.declared_checksum, a.actual_checksum,
   CASE WHEN ends_with(d.counter_id, 'S-N') THEN 'skipped'
        WHEN a.actual_checksum IS NULL THEN 'missing_payload'
@@ -89,13 +89,11 @@ SELECT d.counter_id, d.declared_checksum, a.actual_checksum,
 FROM declared d LEFT JOIN actual a ON d.counter_id = a.counter_id""", FAM)
 def payload_verification(spark, sf_dir):
     """Each manifest's declared checksum (payload as of snapshot 2)
-    against the payload found now (after corrections, up to a cut-off):
-    no local path -> skipped, no payload -> missing, different -> mismatch."""
+    against the payload found now (after all corrections): no local path -> skipped, no payload -> missing, different -> mismatch."""
     declared = dataset_checksum(_merged(spark, sf_dir, max_snapshot=2), "counter_id",
                                 "counter_id", "ts_utc", "hourly_count") \
         .select("counter_id", F.col("checksum_sha256").alias("declared_checksum"))
-    cur = _merged(spark, sf_dir).filter(F.col("ts_utc") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
-    actual = dataset_checksum(cur, "counter_id", "counter_id", "ts_utc", "hourly_count") \
+    actual = dataset_checksum(_merged(spark, sf_dir), "counter_id", "counter_id", "ts_utc", "hourly_count") \
         .select("counter_id", F.col("checksum_sha256").alias("actual_checksum"))
     j = declared.join(actual, "counter_id", "left")
     outcome = (F.when(F.col("counter_id").endswith("S-N"), "skipped")
@@ -113,10 +111,11 @@ j AS (SELECT job_id, arg_max(state, (updated_at, event_id)) AS last_state,
 l AS (SELECT job_id, CASE WHEN last_state = 'succeeded' THEN 'success' ELSE 'failed' END AS status,
         'site' || CAST(CAST(substr(job_id, 5) AS BIGINT) % 5 AS VARCHAR) AS site,
         CASE WHEN CAST(substr(job_id, 5) AS BIGINT) % 2 = 0 THEN 'N-S' ELSE 'S-N' END AS orientation,
+        CASE CAST(substr(job_id, 5) AS BIGINT) % 3 WHEN 0 THEN 'ingest' WHEN 1 THEN 'features' ELSE 'models' END AS task,
         duration_s, greatest(records, 0) AS records FROM j)
-SELECT job_id, 'bike_task_duration_seconds' AS metric, status, site, orientation, round(duration_s, 6) AS value FROM l
+SELECT job_id, 'bike_task_duration_seconds' AS metric, task, status, site, orientation, round(duration_s, 6) AS value FROM l
 UNION ALL
-SELECT job_id, 'bike_records_total', NULL, site, orientation, CAST(records AS DOUBLE) FROM l""", FAM)
+SELECT job_id, 'bike_records_total', task, NULL, site, orientation, CAST(records AS DOUBLE) FROM l""", FAM)
 def step_samples(spark, sf_dir):
     """Per run, duration by task/status/site/orientation and records
     ``max(n, 0)`` as long metric samples; status normalised to success/failed."""
@@ -130,10 +129,11 @@ def step_samples(spark, sf_dir):
     lab = j.select("job_id", F.when(F.col("last_state") == "succeeded", "success").otherwise("failed").alias("status"),
                    F.concat(F.lit("site"), (uid % 5).cast("string")).alias("site"),
                    F.when(uid % 2 == 0, "N-S").otherwise("S-N").alias("orientation"),
+                   F.when(uid % 3 == 0, "ingest").when(uid % 3 == 1, "features").otherwise("models").alias("task"),
                    "duration_s", F.greatest(F.col("records"), F.lit(0)).alias("records"))
-    dur = lab.select("job_id", F.lit(STEP_DURATION_METRIC).alias("metric"), "status", "site", "orientation",
+    dur = lab.select("job_id", F.lit(STEP_DURATION_METRIC).alias("metric"), "task", "status", "site", "orientation",
                      F.col("duration_s").alias("value"))
-    rec = lab.select("job_id", F.lit(STEP_RECORDS_METRIC).alias("metric"), F.lit(None).cast("string").alias("status"),
+    rec = lab.select("job_id", F.lit(STEP_RECORDS_METRIC).alias("metric"), "task", F.lit(None).cast("string").alias("status"),
                      "site", "orientation", F.col("records").cast("double").alias("value"))
     return round_doubles(dur.unionByName(rec))
 
@@ -155,12 +155,23 @@ def response_tally(spark, sf_dir):
 
 
 @query("artifact_metadata", """
-SELECT artifact_type, status, run_id, counter_id, created_at,
-  to_json({'raw_file_name': source_raw_file_name, 'checksum_sha256': checksum_sha256}) AS source
+SELECT counter_id, run_id, artifact_type, status, created_at, producer_service,
+  'hourcast/' || producer_service AS producer_image, schema_version AS producer_version,
+  to_json({'raw_file_name': source_raw_file_name, 'dataset_version': run_id,
+           'model_version': CASE WHEN artifact_type = 'feature_dataset' THEN 'm-' || run_id ELSE '' END}) AS source,
+  storage_primary_backend AS primary_backend, storage_local_path AS local_path, 's3://artifacts/' || storage_local_path AS object_uri,
+  checksum_sha256
 FROM (""" + ORACLE["manifest_build"] + ")", FAM)
 def artifact_metadata(spark, sf_dir):
-    """Sanitised projection of each manifest – identity fields plus the
-    lineage ``source`` struct (as JSON text); storage details stay hidden."""
+    """The served projection of each manifest: identity, producer,
+    lineage (``source``, as JSON text) and storage references; other manifest
+    fields stay out."""
     from hourcast.operators import ledger as LG
-    m = LG.manifest_metadata(manifest_build(spark, sf_dir))
+    built = manifest_build(spark, sf_dir).withColumns({
+        "producer_image": F.concat(F.lit("hourcast/"), "producer_service"),
+        "producer_version": F.col("schema_version"), "source_dataset_version": F.col("run_id"),
+        "source_model_version": F.when(F.col("artifact_type") == "feature_dataset",
+                                       F.concat(F.lit("m-"), "run_id")).otherwise(""),
+        "storage_object_uri": F.concat(F.lit("s3://artifacts/"), "storage_local_path")})
+    m = LG.manifest_metadata(built)
     return m.withColumn("source", F.to_json("source"))

@@ -54,7 +54,7 @@ def school_holiday_join(spark, sf_dir):
     days = EN.school_days(spark)
     per_day = days.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set("label")), "+").alias("labels"))
     c = counts(spark, sf_dir).withColumn("day", F.to_date(to_local("ts_utc")))
-    j = c.join(F.broadcast(per_day), "day", "left")  # a school calendar: bounded by days per year
+    j = c.join(per_day, "day", "left")
     return j.groupBy("counter_id", F.coalesce("labels", F.lit("none")).alias("school_holiday")).agg(
         F.count(F.lit(1)).alias("n_hours"))
 

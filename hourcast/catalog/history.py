@@ -96,8 +96,8 @@ def correction_replay(spark, sf_dir):
 
 EXTRACT_A, EXTRACT_B = "2024-01-05 00:00:00", "2024-01-12 00:00:00"
 EXTRACT_COUNTERS = ["click_N-S", "view_S-N", "error_N-S"]
-DIGEST_SQL = ("CAST(('0x' || substr(md5(concat_ws('|', counter_id, CAST(ts_utc AS VARCHAR), "
-              "CAST(hourly_count AS VARCHAR))), 1, 8)) AS BIGINT)")
+DIGEST_SQL = ("CAST(('0x' || substr(md5(concat_ws('|', coalesce(counter_id, '\\N'), coalesce(CAST(ts_utc AS VARCHAR), '\\N'), "
+              "coalesce(CAST(hourly_count AS VARCHAR), '\\N'))), 1, 8)) AS BIGINT)")
 
 
 @query("range_extract", with_views("snapshots") + _merge_sql("snapshots") + f"""
@@ -114,7 +114,7 @@ def range_extract(spark, sf_dir):
 
 @query("extraction_manifest", with_views("snapshots") + _merge_sql("snapshots") + f"""
 SELECT 'range=[{EXTRACT_A},{EXTRACT_B});counters=' || '{",".join(EXTRACT_COUNTERS)}' AS selector,
-  count(*) AS n_rows, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, CAST(sum({DIGEST_SQL}) AS BIGINT) AS checksum
+  count(*) AS n_rows, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, CAST(sum({DIGEST_SQL}) AS VARCHAR) AS checksum
 FROM m WHERE ts_utc >= TIMESTAMP '{EXTRACT_A}' AND ts_utc < TIMESTAMP '{EXTRACT_B}'
   AND counter_id IN ({", ".join(f"'{c}'" for c in EXTRACT_COUNTERS)})""", FAM)
 def extraction_manifest(spark, sf_dir):
@@ -131,7 +131,7 @@ def extraction_manifest(spark, sf_dir):
 
 @query("snapshot_evidence", with_views("snapshots") + f"""
 SELECT snapshot_no, count(*) AS n_rows, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts,
-  CAST(sum({DIGEST_SQL}) AS BIGINT) AS checksum
+  CAST(sum({DIGEST_SQL}) AS VARCHAR) AS checksum
 FROM snapshots GROUP BY snapshot_no""", FAM)
 def snapshot_evidence(spark, sf_dir):
     """Per snapshot row count, observed coverage and payload checksum."""

@@ -54,7 +54,7 @@ def _manifest_base(spark, sf_dir):
                  "c_mktsegment",
                  F.when(seg == "MACHINERY", F.lit("model_bundle"))
                  .otherwise(F.col("artifact_type")).alias("artifact_type"),
-                 F.when(prio == "4-NOT SPECIFIED", "0.9").otherwise("1.0").alias("schema_version"),
+                 F.when(prio != "4-NOT SPECIFIED", "1.0").when(F.col("o_orderstatus") != "P", "0.9").alias("schema_version"),
                  F.col("c_name").alias("producer_service"),
                  F.concat(F.date_format("promoted_at", "yyyy-MM-dd'T'HH:mm:ss"),
                           F.when(prio == "3-MEDIUM", "").otherwise("+00:00")).alias("created_at"),
@@ -81,7 +81,7 @@ MANIFEST_SQL = with_views("ledger") + """,
 m0 AS (
   SELECT l.run_id, l.counter_id, l.status, l.promoted_at, o.o_orderstatus, o.o_orderpriority,
     CASE WHEN c.c_mktsegment = 'MACHINERY' THEN 'model_bundle' ELSE l.artifact_type END AS artifact_type,
-    CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' THEN '0.9' ELSE '1.0' END AS schema_version,
+    CASE WHEN o.o_orderpriority <> '4-NOT SPECIFIED' THEN '1.0' WHEN o.o_orderstatus <> 'P' THEN '0.9' END AS schema_version,
     c.c_name AS producer_service,
     strftime(l.promoted_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN '' ELSE '+00:00' END AS created_at,
     CASE WHEN c.c_mktsegment = 'BUILDING' THEN md5(l.run_id) ELSE upper(sha256(l.run_id)) END AS checksum_sha256,
@@ -127,12 +127,16 @@ def serving_eligibility(spark, sf_dir):
 def manifest_violations(m):
     """A56 (+ A51, A52): every failed rule of a manifest row, in rule order."""
     zoned = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+    def known(column, values):
+        return F.coalesce(F.col(column).isin(*values), F.lit(False))
+
     path_err = L.local_path_error(F.col("local_path"))
     uri_err = L.object_uri_error(F.col("object_uri"))
     rules = [
-        F.when(F.col("schema_version") != "1.0", F.lit("schema_version")),
-        F.when(~F.col("artifact_type").isin(*LG.ARTIFACT_TYPES), F.lit("artifact_type")),
-        F.when(~F.col("status").isin(*LG.ARTIFACT_STATUSES), F.lit("status")),
+        F.when(~F.col("schema_version").eqNullSafe("1.0"), F.lit("schema_version")),
+        F.when(~known("artifact_type", LG.ARTIFACT_TYPES), F.lit("artifact_type")),
+        F.when(~known("status", LG.ARTIFACT_STATUSES), F.lit("status")),
         F.when(F.coalesce(F.trim("run_id"), F.lit("")) == "", F.lit("run_id")),
         F.when(F.coalesce(F.trim("counter_id"), F.lit("")) == "", F.lit("counter_id")),
         F.when(F.coalesce(F.trim("producer_service"), F.lit("")) == "", F.lit("producer")),
@@ -142,8 +146,9 @@ def manifest_violations(m):
                F.lit("checksum")),
         F.when(path_err.isNotNull(), F.concat(F.lit("local_path:"), path_err)),
         F.when(uri_err.isNotNull(), F.concat(F.lit("object_uri:"), uri_err)),
-        F.when(((F.col("primary_backend") == "local") & F.col("local_path").isNull())
-               | ((F.col("primary_backend") == "object_storage") & F.col("object_uri").isNull())
+        F.when(~known("primary_backend", ("local", "object_storage"))
+               | (F.col("primary_backend").eqNullSafe("local") & F.col("local_path").isNull())
+               | (F.col("primary_backend").eqNullSafe("object_storage") & F.col("object_uri").isNull())
                | (F.col("local_path").isNull() & F.col("object_uri").isNull()),
                F.lit("backend_reference")),
     ]
@@ -152,9 +157,9 @@ def manifest_violations(m):
 
 @query("manifest_rules", MANIFEST_SQL + """,
 v AS (SELECT run_id, counter_id, checksum_sha256, concat_ws(',',
-    CASE WHEN schema_version <> '1.0' THEN 'schema_version' END,
-    CASE WHEN artifact_type NOT IN ('predictions', 'model', 'dataset', 'interim_dataset', 'feature_dataset', 'metrics') THEN 'artifact_type' END,
-    CASE WHEN status NOT IN ('produced', 'validated', 'promoted', 'served', 'archived') THEN 'status' END,
+    CASE WHEN schema_version IS DISTINCT FROM '1.0' THEN 'schema_version' END,
+    CASE WHEN artifact_type IS NULL OR artifact_type NOT IN ('predictions', 'model', 'dataset', 'interim_dataset', 'feature_dataset', 'metrics') THEN 'artifact_type' END,
+    CASE WHEN status IS NULL OR status NOT IN ('produced', 'validated', 'promoted', 'served', 'archived') THEN 'status' END,
     CASE WHEN coalesce(trim(run_id), '') = '' THEN 'run_id' END,
     CASE WHEN coalesce(trim(counter_id), '') = '' THEN 'counter_id' END,
     CASE WHEN coalesce(trim(producer_service), '') = '' THEN 'producer' END,
@@ -172,7 +177,7 @@ v AS (SELECT run_id, counter_id, checksum_sha256, concat_ws(',',
          WHEN regexp_extract(object_uri, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) = '' THEN 'object_uri:missing_bucket'
          WHEN regexp_extract(object_uri, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN 'object_uri:missing_key'
          WHEN contains(regexp_extract(object_uri, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '@') THEN 'object_uri:credentials_in_uri' END,
-    CASE WHEN (primary_backend = 'local' AND local_path IS NULL)
+    CASE WHEN primary_backend IS NULL OR primary_backend NOT IN ('local', 'object_storage') OR (primary_backend = 'local' AND local_path IS NULL)
            OR (primary_backend = 'object_storage' AND object_uri IS NULL)
            OR (local_path IS NULL AND object_uri IS NULL) THEN 'backend_reference' END) AS violations
   FROM m)
@@ -272,12 +277,11 @@ x AS (SELECT status, seconds > 3.0 AS timed_out,
   CASE handler WHEN '/predictions' THEN 'models' WHEN '/counters' THEN 'ingest' ELSE 'metrics' END AS job_type FROM access_log)
 SELECT job_type,
   CASE WHEN job_type NOT IN ('ingest', 'features', 'models') THEN 'UNSUPPORTED_JOB_TYPE'
-       WHEN timed_out THEN 'STEP_TIMEOUT' WHEN status >= 500 THEN 'STEP_HTTP_ERROR'
-       WHEN status >= 400 THEN 'STEP_REJECTED' WHEN status >= 200 THEN NULL
-       ELSE upper(job_type) || '_JOB_FAILED' END AS code,
+       WHEN timed_out THEN 'ML_SERVICE_UNAVAILABLE' WHEN status >= 400 THEN 'ML_SERVICE_HTTP_ERROR'
+       WHEN status BETWEEN 200 AND 299 THEN NULL ELSE 'ML_SERVICE_INVALID_RESPONSE' END AS code,
   CASE WHEN job_type NOT IN ('ingest', 'features', 'models') THEN 'false'
        WHEN timed_out THEN 'true' WHEN status >= 500 THEN 'true' WHEN status >= 400 THEN 'false'
-       WHEN status >= 200 THEN NULL ELSE 'true' END AS retryable,
+       WHEN status BETWEEN 200 AND 299 THEN NULL ELSE 'true' END AS retryable,
   count(*) AS n_outcomes
 FROM x GROUP BY 1, 2, 3""", FAM)
 def outcome_codes(spark, sf_dir):
@@ -297,7 +301,7 @@ REFRESH_BEFORE = "1998-01-01 00:00:00"
 
 @query("refresh_report", MANIFEST_SQL + f""",
 p AS (SELECT counter_id, promoted_at, artifact_type, status,
-        (schema_version <> '1.0' OR artifact_type NOT IN ('predictions', 'model', 'dataset', 'interim_dataset',
+        (schema_version IS DISTINCT FROM '1.0' OR artifact_type IS NULL OR artifact_type NOT IN ('predictions', 'model', 'dataset', 'interim_dataset',
            'feature_dataset', 'metrics') OR NOT regexp_matches(coalesce(checksum_sha256, ''), '^[a-fA-F0-9]{{64}}$')) AS bad
       FROM m WHERE status = 'promoted'),
 b AS (SELECT max(promoted_at) AS t_after, TIMESTAMP '{REFRESH_BEFORE}' AS t_before FROM ledger),
@@ -316,7 +320,8 @@ def refresh_report(spark, sf_dir):
     m = _manifest_base(spark, sf_dir).filter(F.col("status") == "promoted")
     t_after = ledger(spark, sf_dir).agg(F.max("promoted_at")).scalar()
     t_before = F.lit(REFRESH_BEFORE).cast("timestamp_ntz")
-    bad = ((F.col("schema_version") != "1.0") | ~F.col("artifact_type").isin(*LG.ARTIFACT_TYPES)
+    bad = (~F.col("schema_version").eqNullSafe("1.0")
+           | ~F.coalesce(F.col("artifact_type").isin(*LG.ARTIFACT_TYPES), F.lit(False))
            | ~F.coalesce(F.col("checksum_sha256"), F.lit("")).rlike("^[a-fA-F0-9]{64}$"))
     preds = F.col("artifact_type") == "predictions"
     r = m.agg(

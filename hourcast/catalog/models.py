@@ -241,8 +241,9 @@ def gbt_forecast_df(spark, sf_dir):
     weights = list(gbt.treeWeights)
     n_lag = NB_AR + NB_MM
     test = data.filter(F.col("is_test")).fillna(0.0, subset=feats[:n_lag])
-    tail = F.slice(vector_to_array("features"), n_lag + 1, 1 << 16)   # exogenous + one-hot part
-    rows = model.transform(test).select("counter_id", "rn", "ts_utc", "hourly_count", tail.alias("tail"))
+    rows = (model.transform(test).withColumn("_f", vector_to_array("features"))
+            .select("counter_id", "rn", "ts_utc", "hourly_count",   # exogenous + one-hot part, whole
+                    F.slice("_f", F.lit(n_lag + 1), F.size("_f") - n_lag).alias("tail")))
     plan = rows.groupBy("counter_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "tail"))), lambda z: z["tail"]).alias("exog"),
         F.count(F.lit(1)).alias("horizon"), F.min("rn").alias("first_rn"))

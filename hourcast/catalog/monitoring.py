@@ -164,14 +164,14 @@ def topk_handlers(spark, sf_dir):
 
 
 @query("over_time", with_views("samples") + f""",
-a AS (SELECT job, instance, {HOUR_SQL} AS bucket, sum(CAST(value AS DECIMAL(20, 2))) AS s, count(value) AS c,
+a AS (SELECT job, instance, {HOUR_SQL} AS bucket, sum(value) AS s, count(value) AS c,
         arg_max(value, (ts, event_id)) AS last_v FROM samples GROUP BY 1, 2, 3),
 span AS (SELECT job, instance, min(bucket) AS lo, max(bucket) AS hi FROM a GROUP BY 1, 2),
 grid AS (SELECT job, instance, unnest(range(lo, hi + 1)) AS bucket FROM span),
 g AS (SELECT grid.job, grid.instance, grid.bucket, a.s, a.c, a.last_v FROM grid
       LEFT JOIN a ON grid.job = a.job AND grid.instance = a.instance AND grid.bucket = a.bucket)
 SELECT job, instance, bucket,
-  round(CAST(sum(s) OVER w AS DOUBLE) / sum(c) OVER w, 6) AS avg_over_time,
+  round(sum(s) OVER w / nullif(sum(c) OVER w, 0), 6) AS avg_over_time,
   last(last_v IGNORE NULLS) OVER w AS last_over_time,
   CAST(coalesce(sum(c) OVER w, 0) AS BIGINT) AS samples_in_range
 FROM g WINDOW w AS (PARTITION BY job, instance ORDER BY bucket RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)""", FAM)

@@ -99,11 +99,11 @@ def request_violations():
     path_err = L.local_path_error(F.col("input_path"), allow_absolute=True)
     uri_err = L.object_uri_error(F.col("model_uri"))
     return V.violations([
-        ("job_type", ~jt.isin(*LG.JOB_TYPES)),
+        ("job_type", ~F.coalesce(jt.isin(*LG.JOB_TYPES), F.lit(False))),
         ("counter_id", F.coalesce(F.trim("counter_id"), F.lit("")) == ""),
         ("run_id", F.coalesce(F.trim("run_id"), F.lit("")) == ""),
-        ("try_number", F.col("try_number") < 1),
-        ("requested_at_naive", ~F.col("requested_at").rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")),
+        ("try_number", F.coalesce(F.col("try_number"), F.lit(0)) < 1),
+        ("requested_at_naive", ~F.coalesce(F.col("requested_at"), F.lit("")).rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")),
         ("percent_bounds", ingest & ((F.col("start_pct") < 0) | (F.col("end_pct") > 100))),
         ("start_not_before_end", ingest & (F.col("start_pct") >= F.col("end_pct"))),
         ("ar", models & (F.col("ar") < 0)), ("mm", models & (F.col("mm") < 0)),
@@ -125,11 +125,11 @@ WITH r AS (SELECT CASE event_type WHEN 'click' THEN 'ingest' WHEN 'view' THEN 'f
     CASE WHEN user_id % 11 = 0 THEN 's3://user@bucket/x' ELSE 's3://bucket/models/m.json' END AS model_uri
   FROM events),
 v AS (SELECT job_type, concat_ws(',',
-    CASE WHEN job_type NOT IN ('ingest', 'features', 'models') THEN 'job_type' END,
+    CASE WHEN job_type IS NULL OR job_type NOT IN ('ingest', 'features', 'models') THEN 'job_type' END,
     CASE WHEN coalesce(trim(counter_id), '') = '' THEN 'counter_id' END,
     CASE WHEN coalesce(trim(run_id), '') = '' THEN 'run_id' END,
-    CASE WHEN try_number < 1 THEN 'try_number' END,
-    CASE WHEN NOT regexp_matches(requested_at, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN 'requested_at_naive' END,
+    CASE WHEN coalesce(try_number, 0) < 1 THEN 'try_number' END,
+    CASE WHEN NOT regexp_matches(coalesce(requested_at, ''), '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN 'requested_at_naive' END,
     CASE WHEN job_type = 'ingest' AND (start_pct < 0 OR end_pct > 100) THEN 'percent_bounds' END,
     CASE WHEN job_type = 'ingest' AND start_pct >= end_pct THEN 'start_not_before_end' END,
     CASE WHEN job_type = 'models' AND ar < 0 THEN 'ar' END,

@@ -9,7 +9,7 @@ from hourcast.catalog.registry import query
 from hourcast.functions.numeric import round_scaled
 from hourcast.functions.calendar import add_calendar, clamp_round, dst_status, freshness_days
 from hourcast.operators import sequence as seq
-from hourcast.operators.evaluate import KPI_GAUGES, MAPE_CLASS_METRIC, kpi_unpivot, metric_aggs, round_doubles
+from hourcast.operators.evaluate import KPI_GAUGES, OBS_COUNT_METRIC, MAPE_CLASS_METRIC, kpi_unpivot, metric_aggs, round_doubles
 from hourcast.plans.scenarios import scenario_array
 from hourcast.sources.tables import counts, table, with_views
 
@@ -268,20 +268,20 @@ g AS (SELECT counter_id,
       / nullif(sum(CASE WHEN rn > n - n // 4 AND p IS NOT NULL THEN p * p END)
                - sum(CASE WHEN rn > n - n // 4 AND p IS NOT NULL THEN p END) * sum(CASE WHEN rn > n - n // 4 AND p IS NOT NULL THEN p END)
                  / count(CASE WHEN rn > n - n // 4 THEN hourly_count - p END), 0.0) AS r2_ref,
-    count(CASE WHEN rn <= n - n // 4 THEN p END) AS n_obs_train,
+    count(CASE WHEN rn > n - n // 4 THEN hourly_count END) AS n_true, count(CASE WHEN rn > n - n // 4 THEN p END) AS n_pred,
     max(ts_utc) AS last_ts, min(ts_utc) AS first_ts
   FROM f GROUP BY counter_id),
 h AS (SELECT g.*, (epoch_us(max(last_ts) OVER ()) - epoch_us(last_ts)) / 86400000000.0 AS freshness_days,
-             (epoch_us(last_ts) - epoch_us(first_ts)) / 86400000000.0 AS day_offset_days FROM g)
-SELECT counter_id, metric, round(value, 6) AS value FROM (
-  SELECT counter_id, 'bike_rmse' AS metric, rmse AS value FROM h UNION ALL
-  SELECT counter_id, 'bike_mape', mape FROM h UNION ALL
-  SELECT counter_id, 'bike_r2', r2_ref FROM h UNION ALL
-  SELECT counter_id, 'bike_obs_count_train', CAST(n_obs_train AS DOUBLE) FROM h UNION ALL
-  SELECT counter_id, 'bike_obs_count_test', CAST(n_obs AS DOUBLE) FROM h UNION ALL
-  SELECT counter_id, 'bike_data_freshness_days', freshness_days FROM h UNION ALL
-  SELECT counter_id, 'bike_data_day_offset_days', day_offset_days FROM h UNION ALL
-  SELECT counter_id, 'bike_threshold_mape', CASE WHEN mape >= 60 THEN 2 WHEN mape >= 30 THEN 1 ELSE 0 END FROM h)""", FAM)
+             floor((epoch_us(last_ts) - epoch_us(min(first_ts) OVER ())) / 86400000000.0) AS day_offset_days FROM g)
+SELECT counter_id, metric, kind, round(value, 6) AS value FROM (
+  SELECT counter_id, 'bike_rmse' AS metric, CAST(NULL AS VARCHAR) AS kind, rmse AS value FROM h UNION ALL
+  SELECT counter_id, 'bike_mape', NULL, mape FROM h UNION ALL
+  SELECT counter_id, 'bike_r2', NULL, r2_ref FROM h UNION ALL
+  SELECT counter_id, 'bike_obs_count', 'true', CAST(n_true AS DOUBLE) FROM h UNION ALL
+  SELECT counter_id, 'bike_obs_count', 'pred', CAST(n_pred AS DOUBLE) FROM h UNION ALL
+  SELECT counter_id, 'bike_data_freshness_days', NULL, freshness_days FROM h UNION ALL
+  SELECT counter_id, 'bike_data_day_offset_days', NULL, day_offset_days FROM h UNION ALL
+  SELECT counter_id, 'bike_threshold_mape', NULL, CASE WHEN mape >= 60 THEN 2 WHEN mape >= 30 THEN 1 ELSE 0 END FROM h)""", FAM)
 def kpi_samples(spark, sf_dir):
     """A41 + A78 + A79 + B14: per-counter KPIs unpivoted to metric samples.
 
@@ -302,17 +302,23 @@ def kpi_samples(spark, sf_dir):
          / F.nullif(F.sum(F.when(is_test & F.col("seasonal_pred").isNotNull(), F.col("seasonal_pred") ** 2))
                     - F.sum(F.when(is_test, F.col("seasonal_pred"))) ** 2 / F.count(F.when(is_test, e)),
                     F.lit(0.0))).alias("r2_ref"),
-        F.count(F.when(~is_test, F.col("seasonal_pred"))).alias("n_obs_train"),
+        F.count(F.when(is_test, F.col("hourly_count"))).alias("n_true"),
+        F.count(F.when(is_test, F.col("seasonal_pred"))).alias("n_pred"),
         F.max("ts_utc").alias("last_ts"), F.min("ts_utc").alias("first_ts"))
     # global as-of as a scalar subquery: no global window, no join
-    asof = g.agg(F.max("last_ts")).scalar()
+    asof, anchor = g.agg(F.max("last_ts")).scalar(), g.agg(F.min("first_ts")).scalar()
     h = g.withColumns({
         "freshness_days": freshness_days("last_ts", asof),
-        "day_offset_days": freshness_days("first_ts", F.col("last_ts")),
+        # whole days from the anchor (the first hour of any counter)
+        "day_offset_days": F.floor(freshness_days(anchor, F.col("last_ts"))).cast("double"),
         "mape_class": F.when(F.col("mape") >= 60, 2.0).when(F.col("mape") >= 30, 1.0).otherwise(0.0),
     })
     gauges = [(m, "r2_ref" if c == "r2" else c) for m, c in KPI_GAUGES] + [(MAPE_CLASS_METRIC, "mape_class")]
-    return round_doubles(kpi_unpivot(h, ["counter_id"], gauges))
+    samples = kpi_unpivot(h, ["counter_id"], gauges).withColumn("kind", F.lit(None).cast("string"))
+    observed = h.unpivot(["counter_id"], [F.col("n_true").cast("double").alias("true"),
+                                          F.col("n_pred").cast("double").alias("pred")], "kind", "value")
+    observed = observed.withColumn("metric", F.lit(OBS_COUNT_METRIC))
+    return round_doubles(samples.unionByName(observed).select("counter_id", "metric", "kind", "value"))
 
 
 @query("clamped_window_bounds", """

@@ -39,7 +39,7 @@ WITH e AS (SELECT event_type AS job, ts, value, CASE WHEN event_type = 'error' T
              time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events),
 w AS (SELECT job, b - to_minutes(5 * k) AS window_start, value, up FROM e, range(0, 12) t(k)),
 wm AS (SELECT max(ts) - INTERVAL {LOOKBACK_HOURS} HOUR AS watermark FROM events)
-SELECT job, window_start, round(CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) / count(value), 6) AS mean_value, round(avg(up) * 100, 6) AS availability_pct,
+SELECT job, window_start, round(avg(value), 6) AS mean_value, round(avg(up) * 100, 6) AS availability_pct,
        count(*) AS n_samples
 FROM w, wm WHERE window_start + INTERVAL 1 HOUR <= wm.watermark GROUP BY 1, 2""", FAM)
 def stream_sliding_means(spark, sf_dir):
@@ -53,21 +53,24 @@ def stream_sliding_means(spark, sf_dir):
 
 
 @query("stream_submit_keys", """
-SELECT DISTINCT concat_ws('|', event_type, strftime(ts, '%Y%m%d'), CAST(user_id % 20 AS VARCHAR)) AS idem_key
-FROM events""", FAM)
+WITH k AS (SELECT concat_ws('|', event_type, strftime(ts, '%Y%m%d'), CAST(user_id % 20 AS VARCHAR)) AS idem_key, event_id, ts FROM events),
+wm AS (SELECT max(ts) - INTERVAL 2 HOUR AS watermark FROM events)
+SELECT idem_key, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts, count(*) AS n_submissions
+FROM k, wm GROUP BY idem_key, watermark HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= watermark""", FAM)
 def stream_submit_keys(spark, sf_dir):
-    """S3: idempotent submit – one record per key survives
-    ``dropDuplicatesWithinWatermark`` (keys are day-scoped, the watermark 1 day)."""
+    """S3: idempotent submit – the first record of each day-scoped key, emitted
+    once the watermark has passed its day."""
     ensure_checkpoint_dir(spark)
     out = ST.run_to_table(ST.idempotent_submits(ST.events_stream(spark, sf_dir)), "s3_submits")
-    return out.select("idem_key")
+    return out.select("idem_key", "event_id", "ts", "n_submissions")
 
 
 @query("stream_held_alerts", f"""
 WITH s AS (SELECT CAST(user_id % 5 AS INTEGER) AS instance, ts, event_id, event_type = 'error' AS cond,
              row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS n_all,
              sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id
-               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_true FROM events),
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_true FROM events
+           WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)),
 i AS (SELECT instance, n_all - n_true AS island, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_samples,
         epoch_us(max(ts)) - epoch_us(min(ts)) >= {HOLD_MINUTES * 60_000_000} AS fired FROM s WHERE cond GROUP BY 1, 2),
 closed AS (SELECT i.* FROM i WHERE EXISTS (SELECT 1 FROM s WHERE s.instance = i.instance AND NOT s.cond AND s.ts > i.end_ts))
@@ -83,8 +86,8 @@ def stream_held_alerts(spark, sf_dir):
 @query("stream_corrections", with_views("snapshots") + """
 SELECT counter_id, ts_utc, snapshot_no, hourly_count FROM snapshots""", FAM)
 def stream_corrections(spark, sf_dir):
-    """Late corrections merged into the canonical revision ledger by a
-    ``foreachBatch`` sink with partition overwrite (idempotent per batch)."""
+    """Late corrections appended to the revision ledger by a
+    ``foreachBatch`` sink, one partition per batch (idempotent replays)."""
     ensure_checkpoint_dir(spark)
     return ST.run_corrections(spark, sf_dir)
 

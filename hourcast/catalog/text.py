@@ -171,6 +171,8 @@ def run_metrics_flat(spark, sf_dir):
 @query("file_checksums", None, FAM)
 def file_checksums(spark, sf_dir):
     """SHA-256 of every input file, lowercase hex (one task per file)."""
-    b = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir))
-    return b.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
+    b = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+         .option("recursiveFileLookup", "true").load(sf_dir))
+    # a table can be a folder of part files: the name starts at the table
+    return b.select(F.regexp_extract("path", r"([^/]+\.parquet(/[^/]+)?)$", 1).alias("file_name"),
                     F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -86,7 +86,7 @@ def relative_to(path: str | Column, root: str) -> tuple[Column, Column]:
     prefix = root.rstrip("/") + "/"
     is_abs = p.startswith("/")
     inside = p.startswith(prefix)
-    rel = (F.when(~is_abs, p).when(inside, F.substring(p, len(prefix) + 1, 1 << 30)))
+    rel = (F.when(~is_abs, p).when(inside, F.substring(p, F.lit(len(prefix) + 1), F.length(p))))
     err = F.when(is_abs & ~inside, F.lit("outside_root"))
     return rel, err
 

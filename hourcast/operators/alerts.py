@@ -89,7 +89,7 @@ def _next_event(ev: DataFrame, g: list[str]) -> DataFrame:
 
 
 def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str,
-             repeat_us: Column, max_rounds: int = 64) -> DataFrame:
+             repeat_us: Column) -> DataFrame:
     """Notifications of one alert group – the first firing, then the first
     firing at least ``repeat`` after the last notification, and so on.
 
@@ -99,8 +99,9 @@ def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str
     than that previous firing), and so is each group's first firing.  From the
     seeds, ``S_{k+1} = S_k ∪ J_k(S_k)`` with ``J_k`` the 2^k-th successor, so
     the number of rounds is log2 of the longest seed-free stretch of the chain.
-    Each round is two equi-joins and is checkpointed (short lineage; a lost
-    executor recomputes one round).
+    Each round is two equi-joins; every third one is checkpointed, so a lost
+    executor recomputes three rounds at most.  The loop ends when a round finds
+    nothing new: the rounds are bounded by the data, never by a limit.
     """
     ensure_checkpoint_dir(spark)   # the session's shared folder; created only when unset
     # the input is read by every round: materialise it once in the checkpoint folder
@@ -116,8 +117,9 @@ def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str
     # rows' partitions every round, coalesce folds them back without a shuffle
     n_parts = max(1, chosen.rdd.getNumPartitions())
     frontier = chosen
-    held = []
-    for k in range(max_rounds):
+    held, k = [], -1
+    while True:
+        k += 1
         # nodes reached from the frontier through J_k that are not chosen yet
         new = (frontier.join(jump, "eid").select(F.col("nxt").alias("eid"))
                .filter(F.col("eid").isNotNull()).distinct()
@@ -137,6 +139,8 @@ def throttle(spark: SparkSession, ev: DataFrame, g: list[str], ts: str, eid: str
             chosen, jump = (chosen.persist(StorageLevel.MEMORY_AND_DISK),
                             j2.persist(StorageLevel.MEMORY_AND_DISK))
         frontier = chosen
+    for frame in held[:-1]:
+        frame.unpersist()
     out = base.join(chosen, "eid", "left_semi").select(*g, "ts", "eid")
     return out
 

@@ -9,6 +9,8 @@ sides are unioned and ordered by time (right rows first on equal time), and
 rows whose bucket holds no earlier right row take the carry: the last right row
 of any earlier bucket, found by a window over the small (key, bucket) table.
 A key with a third of all rows is spread over its buckets; no pairs are formed.
+Null keys match null keys: key and bucket form one struct, and structs with
+equal null fields are equal.
 (Spark's own ``_joinAsOf`` plans a nested-loop join.)
 """
 
@@ -30,33 +32,31 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     payload_fields = [right_time, *[c for c in right_cols if c != right_time]]
     as_us = (lambda c: F.col(c).cast("bigint")) if numeric_time else epoch_micros
     lt = left.withColumns({"_t": as_us(left_time), "_kind": F.lit(1)})
-    lt = lt.withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_us)).cast("bigint"))
+    lt = lt.withColumn("_kb", F.struct(*keys, F.floor(F.col("_t") / F.lit(bucket_us)).cast("bigint").alias("_bk")))
     rt = right.select(*keys, as_us(right_time).alias("_t"),
                       F.struct(*[F.col(c).alias(c) for c in payload_fields]).alias("_payload"),
                       *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)])
-    rt = rt.withColumns({"_kind": F.lit(0),
-                         "_bk": F.floor(F.col("_t") / F.lit(bucket_us)).cast("bigint")})
+    rt = rt.withColumns({"_kind": F.lit(0), "_kb": F.struct(
+        *keys, F.floor(F.col("_t") / F.lit(bucket_us)).cast("bigint").alias("_bk"))})
 
     # 1. latest right row at or before each left row inside the same bucket
     ties = [F.col(f"_tie{i}") for i in range(len(tie))]
-    w = (Window.partitionBy(*keys, "_bk").orderBy("_t", "_kind", *ties)
+    w = (Window.partitionBy("_kb").orderBy("_t", "_kind", *ties)
          .rowsBetween(Window.unboundedPreceding, 0))
     unioned = lt.unionByName(rt, allowMissingColumns=True)
     within = (unioned.withColumn("_within", F.last("_payload", ignorenulls=True).over(w))
               .filter(F.col("_kind") == 1).drop("_payload", *[f"_tie{i}" for i in range(len(tie))]))
 
-    # 2. carry: last right row of the buckets before each left bucket
-    r_last = rt.groupBy(*keys, "_bk").agg(
-        F.max_by("_payload", F.struct("_t", *ties)).alias("_last"))
-    l_bk = lt.select(*keys, "_bk").distinct()
-    bt = (l_bk.withColumns({"_ord": F.lit(0), "_last": F.lit(None).cast(r_last.schema["_last"].dataType)})
-          .unionByName(r_last.withColumn("_ord", F.lit(1))))
-    wb = (Window.partitionBy(*keys).orderBy("_bk", "_ord")
+    # 2. carry: the last right row of the buckets before each one, over the
+    # per-bucket aggregate of the same union (one row per key and bucket)
+    last = unioned.groupBy("_kb").agg(
+        F.max_by(F.when(F.col("_kind") == 0, F.col("_payload")),
+                 F.when(F.col("_kind") == 0, F.struct("_t", *ties))).alias("_last"))
+    wb = (Window.partitionBy(*[f"_kb.{k}" for k in keys]).orderBy("_kb._bk")
           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (bt.withColumn("_carry", F.last("_last", ignorenulls=True).over(wb))
-             .filter(F.col("_ord") == 0).select(*keys, "_bk", "_carry"))
+    carry = last.select("_kb", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
 
-    out = within.join(carry, [*keys, "_bk"], "left")
+    out = within.join(carry, "_kb", "left")
     hit = F.coalesce(F.col("_within"), F.col("_carry"))
     return (out.withColumns({f"{prefix}{c}": hit.getField(c) for c in payload_fields})
-            .drop("_t", "_kind", "_bk", "_within", "_carry"))
+            .drop("_t", "_kind", "_kb", "_within", "_carry"))

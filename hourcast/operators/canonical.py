@@ -51,17 +51,20 @@ def extract(df: DataFrame, start: Column, end: Column, counters: list[str] | Non
 
 
 def row_digest(*cols: str | Column) -> Column:
-    """32-bit digest of a row's text (first 8 hex digits of MD5), as bigint.
-    Summed, it is an order-independent checksum that both Spark and SQL compute."""
-    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    """32-bit digest of a row's text (first 8 hex digits of MD5); a null column
+    is the text ``\\N``.  Summed as a 38-digit decimal (``evidence``) it is an
+    order-independent checksum that both Spark and SQL compute and that no
+    number of rows overflows."""
+    text = F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\N"))
+                              for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
 
 
 def evidence(df: DataFrame, keys: list[str], ts: str, digest: Column) -> DataFrame:
     """Row count, covered range and order-independent checksum."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("first_ts"),
                                  F.max(ts).alias("last_ts"),
-                                 F.sum(digest).cast("bigint").alias("checksum"))
+                                 F.sum(digest).cast("string").alias("checksum"))
 
 
 def schema_fingerprint(df: DataFrame) -> str:

@@ -62,10 +62,10 @@ def public_holidays(spark: SparkSession, payload: str | None = None) -> DataFram
 
 
 def flag_public_holidays(df: DataFrame, ts_utc: str, holidays: DataFrame) -> DataFrame:
-    """``is_public_holiday`` by Paris civil date; the calendar side is a
-    year of dates at most, so the broadcast is bounded."""
+    """``is_public_holiday`` by Paris civil date (the broadcast
+    threshold decides how the calendar is joined)."""
     d = df.withColumn("_day", F.to_date(to_local(ts_utc)))
-    j = d.join(F.broadcast(holidays.withColumnRenamed("day", "_day")), "_day", "left")
+    j = d.join(holidays.withColumnRenamed("day", "_day"), "_day", "left")
     return j.withColumn("is_public_holiday", F.col("holiday_label").isNotNull()).drop("_day")
 
 

@@ -48,9 +48,9 @@ def evaluate(df: DataFrame, keys: list[str], y_true: str, y_pred: str) -> DataFr
 # Metric names of the published samples (KPI gauges per
 # counter, step duration and record count per run).
 KPI_GAUGES = [("bike_rmse", "rmse"), ("bike_mape", "mape"), ("bike_r2", "r2"),
-              ("bike_obs_count_train", "n_obs_train"), ("bike_obs_count_test", "n_obs"),
               ("bike_data_freshness_days", "freshness_days"),
               ("bike_data_day_offset_days", "day_offset_days")]
+OBS_COUNT_METRIC = "bike_obs_count"  # one sample for each kind label: true, pred
 STEP_DURATION_METRIC = "bike_task_duration_seconds"
 STEP_RECORDS_METRIC = "bike_records_total"
 # Our own class sample (dashboard colour of the MAPE as 0 / 1 / 2).

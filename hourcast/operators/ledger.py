@@ -86,26 +86,52 @@ def latest_status(events: DataFrame, key: str = "job_id", ts: str = "updated_at"
         F.count(F.lit(1)).alias("n_transitions"))
 
 
+# Error codes of a step call.
+UNSUPPORTED_JOB_TYPE = "UNSUPPORTED_JOB_TYPE"
+ML_SERVICE_JOB_FAILED = "ML_SERVICE_JOB_FAILED"
+ML_SERVICE_HTTP_ERROR = "ML_SERVICE_HTTP_ERROR"
+ML_SERVICE_UNAVAILABLE = "ML_SERVICE_UNAVAILABLE"
+ML_SERVICE_INVALID_RESPONSE = "ML_SERVICE_INVALID_RESPONSE"
+
+
+def reported_outcome(state: Column, error_code: Column, retryable: Column) -> tuple[Column, Column]:
+    """(code, retryable) of a job status that came back: the status's own
+    error, or a generic retryable failure when it names none."""
+    failed = F.coalesce(state != "succeeded", F.lit(True))
+    return (F.when(failed, F.coalesce(error_code, F.lit(ML_SERVICE_JOB_FAILED))),
+            F.when(failed, F.when(error_code.isNull(), F.lit(True)).otherwise(retryable)))
+
+
 def outcome(status_code: Column, timed_out: Column, job_type: Column) -> tuple[Column, Column, Column]:
-    """(code, message, retryable) for a step outcome."""
-    unsupported = ~job_type.isin(*JOB_TYPES)
-    code = (F.when(unsupported, F.lit("UNSUPPORTED_JOB_TYPE"))
-            .when(timed_out, F.lit("STEP_TIMEOUT"))
-            .when(status_code >= 500, F.lit("STEP_HTTP_ERROR"))
-            .when(status_code >= 400, F.lit("STEP_REJECTED"))
-            .when(status_code >= 200, F.lit(None))
-            .otherwise(F.concat(F.upper(job_type), F.lit("_JOB_FAILED"))))
-    retry = (F.when(unsupported, F.lit(False)).when(timed_out, F.lit(True))
-             .when(status_code >= 500, F.lit(True)).when(status_code >= 400, F.lit(False))
-             .when(status_code >= 200, F.lit(None)).otherwise(F.lit(True)))
+    """(code, message, retryable) for a step outcome.
+
+    ``status_code`` is the service's HTTP status (null: the call never came
+    back), ``timed_out`` says so explicitly; a reply outside 2xx-5xx holds no
+    valid job status.
+    """
+    unsupported = F.coalesce(~job_type.isin(*JOB_TYPES), F.lit(True))
+    away = timed_out | status_code.isNull()
+    code = (F.when(unsupported, F.lit(UNSUPPORTED_JOB_TYPE))
+            .when(away, F.lit(ML_SERVICE_UNAVAILABLE))
+            .when(status_code >= 400, F.lit(ML_SERVICE_HTTP_ERROR))
+            .when((status_code >= 200) & (status_code < 300), F.lit(None))
+            .otherwise(F.lit(ML_SERVICE_INVALID_RESPONSE)))
+    retry = (F.when(unsupported, F.lit(False)).when(away, F.lit(True))
+             .when(status_code >= 400, status_code >= 500)
+             .when((status_code >= 200) & (status_code < 300), F.lit(None)).otherwise(F.lit(True)))
     msg = F.when(code.isNotNull(), F.concat_ws(" ", code, F.lit("status"),
                                                status_code.cast("string")))
     return code, msg, retry
 
 
 def manifest_metadata(m: DataFrame) -> DataFrame:
-    """Sanitised projection of a manifest – flat identity fields plus the
-    lineage as one ``source`` struct (storage details are not exposed)."""
-    return m.select("artifact_type", "status", "run_id", "counter_id", "created_at",
+    """The served projection of a manifest – identity, producer, lineage
+    as one ``source`` struct, and the storage references."""
+    return m.select("counter_id", "run_id", "artifact_type", "status", "created_at",
+                    "producer_service", "producer_image", "producer_version",
                     F.struct(F.col("source_raw_file_name").alias("raw_file_name"),
-                             F.col("checksum_sha256").alias("checksum_sha256")).alias("source"))
+                             F.col("source_dataset_version").alias("dataset_version"),
+                             F.col("source_model_version").alias("model_version")).alias("source"),
+                    F.col("storage_primary_backend").alias("primary_backend"),
+                    F.col("storage_local_path").alias("local_path"),
+                    F.col("storage_object_uri").alias("object_uri"), "checksum_sha256")

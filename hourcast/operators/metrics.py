@@ -111,9 +111,7 @@ def step_aggregates(samples: DataFrame, keys: list[str], value: str, order: list
     """Per (series, hour bucket): sum, count and last value (by ``order``)."""
     s = samples.withColumn("bucket", hour_bucket())
     return s.groupBy(*keys, "bucket").agg(
-        # the sum is exact (two-decimal measurements as decimals), so the mean
-        # does not depend on the order the partial sums are combined in
-        F.sum(F.col(value).cast("decimal(20,2)")).alias("_sum"), F.count(value).alias("_cnt"),
+        F.sum(F.col(value).cast("double")).alias("_sum"), F.count(value).alias("_cnt"),
         F.max_by(F.col(value), F.struct(*[F.col(o) for o in order])).alias("_last"))
 
 
@@ -128,7 +126,7 @@ def over_time(samples: DataFrame, keys: list[str], value: str, order: list[str],
     g = grid.join(agg, [*keys, "bucket"], "left")
     w = Window.partitionBy(*keys).orderBy("bucket").rangeBetween(-(range_steps - 1), 0)
     return g.select(*keys, "bucket",
-                    (F.sum("_sum").over(w).cast("double") / F.sum("_cnt").over(w)).alias("avg_over_time"),
+                    (F.sum("_sum").over(w) / F.nullif(F.sum("_cnt").over(w), F.lit(0))).alias("avg_over_time"),
                     F.last("_last", ignorenulls=True).over(w).alias("last_over_time"),
                     F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("samples_in_range"))
 

@@ -143,9 +143,8 @@ def reference_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    # nation and region are fixed 25- and 5-row dimensions: broadcast is bounded.
-    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
-            .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
+    return (s.join(n, s.s_nationkey == n.n_nationkey)
+            .join(r, F.col("n_regionkey") == r.r_regionkey)
             .select(F.col("s_name").alias("counter_name"),
                     F.col("s_suppkey").cast("string").alias("counter_id"),
                     F.col("n_name").alias("site"), F.col("r_name").alias("area"),
@@ -201,8 +200,8 @@ def materialize(df: DataFrame) -> DataFrame:
     A DataFrame used by several branches of one plan is otherwise recomputed
     per branch (Spark does not share subplans that differ in projection), which
     for an aggregate of ``events`` means one pass over the raw data per branch.
-    The derived tables materialised here (hourly counts, numbered series,
-    samples) are orders of magnitude smaller than the raw events.
+    Hourly counts and numbered series are far smaller than the raw events;
+    samples have one row per event with fewer columns.
     """
     from hourcast.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)

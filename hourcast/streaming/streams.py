@@ -13,14 +13,13 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pyspark.errors import AnalysisException
-
 from hourcast.functions.timecols import epoch_micros, hour_floor
 from hourcast.operators import canonical as C
 
@@ -30,18 +29,25 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def checkpoint_path(spark: SparkSession, name: str) -> str:
+def checkpoint_path(spark: SparkSession, name: str, run: str | None = None) -> str:
+    """Folder of a stream's state and output.  A caller that gives ``run``
+    resumes the run of that name; without one, each call is a run of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("spark.checkpoint.dir must name a shared folder for stream checkpoints")
-    return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
-
-
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The ``events`` table as a file stream; ``ts`` becomes an instant
-    (``withWatermark`` rejects ``timestamp_ntz``)."""
-    s = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-         .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    return os.path.join(base, "streams", f"{name}-{run or uuid.uuid4().hex[:8]}")
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The ``events`` table (one file or a folder of part files) as a file
+    stream; ``ts`` becomes an instant (``withWatermark`` rejects
+    ``timestamp_ntz``).  All files there form one micro-batch unless the caller
+    caps them; a cap lets file order decide which rows are late."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # a pattern, as a plain path to a single file is refused (its base must be a folder)
+    s = reader.parquet(os.path.join(sf_dir, "events.parque[t]"))
     return s.withColumn("ts_i", F.timestamp_micros(epoch_micros("ts")))
 
 
@@ -63,20 +69,24 @@ def sliding_means(stream: DataFrame, lookback: str = "2 hours") -> DataFrame:
     up = F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)
     return (stream.withWatermark("ts_i", lookback)
             .groupBy(F.window("ts_i", "1 hour", "5 minutes").alias("w"), F.col("event_type").alias("job"))
-            # exact decimal sum of the two-decimal values: the mean is independent of
-            # how partial sums are combined across tasks and micro-batches
-            .agg((F.sum(F.col("value").cast("decimal(20,2)")).cast("double") / F.count("value")).alias("mean_value"),
+            .agg(F.avg("value").alias("mean_value"),
                  (F.avg(up) * 100).alias("availability_pct"),
                  F.count(F.lit(1)).alias("n_samples"))
             .select("job", F.col("w.start").alias("window_start"), "mean_value", "availability_pct", "n_samples"))
 
 
-def idempotent_submits(stream: DataFrame, within: str = "1 day") -> DataFrame:
-    """S3: the first submission per idempotency key inside the watermark."""
+def idempotent_submits(stream: DataFrame, lookback: str = "2 hours") -> DataFrame:
+    """S3: the first submission, by time and id, of each idempotency key.
+
+    Keys are day-scoped, so a key's submissions share one day window; the
+    minimum inside it does not depend on arrival order (a deduplication that
+    keeps whichever row arrives first would)."""
     key = F.concat_ws("|", F.col("event_type"), F.date_format("ts", "yyyyMMdd"),
                       (F.col("user_id") % 20).cast("string"))
-    return (stream.withColumn("idem_key", key).withWatermark("ts_i", within)
-            .dropDuplicatesWithinWatermark(["idem_key"]).select("idem_key", "event_id", "ts"))
+    return (stream.withColumn("idem_key", key).withWatermark("ts_i", lookback)
+            .groupBy(F.window("ts_i", "1 day").alias("w"), "idem_key")
+            .agg(F.min(F.struct("ts", "event_id")).alias("first"), F.count(F.lit(1)).alias("n_submissions"))
+            .select("idem_key", "first.event_id", "first.ts", "n_submissions"))
 
 
 HELD_OUT = T.StructType([T.StructField("instance", T.IntegerType()),
@@ -86,51 +96,69 @@ HELD_OUT = T.StructType([T.StructField("instance", T.IntegerType()),
                          T.StructField("fired", T.BooleanType())])
 HELD_STATE = T.StructType([T.StructField("open", T.BooleanType()),
                            T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()),
-                           T.StructField("n", T.LongType()), T.StructField("last_us", T.LongType()),
-                           T.StructField("last_id", T.LongType())])
+                           T.StructField("n", T.LongType()),
+                           T.StructField("us", T.ArrayType(T.LongType())),
+                           T.StructField("ids", T.ArrayType(T.LongType())),
+                           T.StructField("down", T.ArrayType(T.BooleanType()))])
+
+
+def islands(us: np.ndarray, down: np.ndarray, carried: tuple[int, int, int] | None):
+    """Closed runs of ``down`` samples as (starts, ends, sizes), and the run still open.
+
+    ``carried`` is the open run (start, end, size) that the samples continue.
+    """
+    if carried:  # put it in front as one sample, and give it its size back below
+        us, down = np.append(carried[0], us), np.append(True, down)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], down.astype(np.int8), [0]])))
+    first, last = edge[0::2], edge[1::2] - 1
+    start, end, size = us[first], us[last], last - first + 1
+    if carried:
+        size[0] += carried[2] - 1
+        end[0] = max(end[0], carried[1])
+    if len(last) and last[-1] == len(us) - 1:
+        return start[:-1], end[:-1], size[:-1], (int(start[-1]), int(end[-1]), int(size[-1]))
+    return start, end, size, None
 
 
 def held_alert_state(hold_us: int):
     """Per-instance state machine for ``up == 0`` held ``hold_us``.
 
-    State: whether an island is open, its start/end, its size and the last
-    sample seen (ordering across batches).  A closed island is emitted when
-    the condition turns false.
+    Samples wait in the state until the watermark has passed them and are then
+    worked off in (time, id) order, so the order of files and batches does not
+    matter inside the lookback.  A closed island is emitted when the condition
+    turns false.  Samples that come later than the lookback never reach the
+    state; ``finish`` counts them and raises.
     """
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         (instance,) = key
-        if state.exists:
-            is_open, start, end, n, last_us, last_id = state.get
-        else:
-            is_open, start, end, n, last_us, last_id = False, 0, 0, 0, -1, -1
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        us = (batch["ts"].astype("datetime64[us]").astype("int64")).to_numpy()
-        batch = batch.assign(_us=us).sort_values(["_us", "event_id"])
-        out = []
-        for t, eid, down in zip(batch["_us"], batch["event_id"], batch["event_type"] == "error"):
-            if (t, eid) <= (last_us, last_id):
-                continue  # already seen (replayed batch)
-            last_us, last_id = t, eid
-            if down:
-                if not is_open:
-                    is_open, start, n = True, t, 0
-                end, n = t, n + 1
-            elif is_open:
-                out.append((instance, start, end, n, end - start >= hold_us))
-                is_open = False
-        state.update((is_open, int(start), int(end), int(n), int(last_us), int(last_id)))
-        if out:
-            frame = pd.DataFrame(out, columns=["instance", "start_ts", "end_ts", "n_samples", "fired"])
-            frame["start_ts"] = pd.to_datetime(frame["start_ts"], unit="us")
-            frame["end_ts"] = pd.to_datetime(frame["end_ts"], unit="us")
-            yield frame
+        is_open, start, end, n, us, ids, down = state.get if state.exists else (False, 0, 0, 0, [], [], [])
+        us, ids, down = (np.array(x, t) for x, t in ((us, np.int64), (ids, np.int64), (down, bool)))
+        if not state.hasTimedOut:
+            batch = pd.concat(list(pdfs), ignore_index=True)
+            us = np.append(us, batch["ts"].astype("datetime64[us]").astype("int64").to_numpy())
+            ids = np.append(ids, batch["event_id"].to_numpy(np.int64))
+            down = np.append(down, (batch["event_type"] == "error").to_numpy(bool))
+        passed = state.getCurrentWatermarkMs() * 1000
+        order = np.lexsort((ids, us))
+        us, ids, down = us[order], ids[order], down[order]
+        cut = int(np.searchsorted(us, passed, side="right"))
+        starts, ends, sizes, still = islands(us[:cut], down[:cut], (start, end, n) if is_open else None)
+        us, ids, down = us[cut:], ids[cut:], down[cut:]
+        state.update((still is not None, *(still or (0, 0, 0)), us.tolist(), ids.tolist(), down.tolist()))
+        if len(us):
+            state.setTimeoutTimestamp(max(int(us[0]) // 1000, passed // 1000) + 1)
+        if len(starts):
+            yield pd.DataFrame({"instance": instance, "start_ts": pd.to_datetime(starts, unit="us"),
+                                "end_ts": pd.to_datetime(ends, unit="us"), "n_samples": sizes,
+                                "fired": ends - starts >= hold_us})
     return fn
 
 
-def held_alerts(stream: DataFrame, hold_us: int) -> DataFrame:
-    s = stream.withColumn("instance", (F.col("user_id") % 5).cast("int"))
+def held_alerts(stream: DataFrame, hold_us: int, lookback: str = "0 seconds") -> DataFrame:
+    """S4 over all instances; a sample counts once it is ``lookback`` behind the latest one."""
+    s = stream.withWatermark("ts_i", lookback).withColumn("instance", (F.col("user_id") % 5).cast("int"))
     return s.groupBy("instance").applyInPandasWithState(
-        held_alert_state(hold_us), HELD_OUT, HELD_STATE, "append", GroupStateTimeout.NoTimeout)
+        held_alert_state(hold_us), HELD_OUT, HELD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 JOB_OUT = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("event_id", T.LongType()),
@@ -193,58 +221,55 @@ def job_states(stream: DataFrame) -> DataFrame:
 
 
 def correction_sink(target: str):
-    """``foreachBatch`` that turns each micro-batch of events into
-    revision rows (counter, hour, snapshot) and merges them into the canonical
-    ledger at ``target``, overwriting only the counters the batch touched.
+    """``foreachBatch`` that appends each micro-batch of events to the
+    revision ledger at ``target`` as rows (counter, hour, snapshot, count).
 
-    Rows carry their ``batch_id``: a replayed batch replaces its own earlier
-    contribution, so the sink is idempotent under retries.
+    The ledger is partitioned by ``batch_id`` and a batch overwrites only its
+    own partition: replays are idempotent and the work of a batch is its own
+    size, whatever the history.  Selection happens at read time.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rev = (batch.select(counter_col().alias("counter_id"), hour_floor("ts").alias("ts_utc"),
                             ((F.col("user_id") % 3) + 1).cast("int").alias("snapshot_no"))
                .groupBy("counter_id", "ts_utc", "snapshot_no").agg(F.count(F.lit(1)).alias("hourly_count"))
                .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
-        touched = rev.select("counter_id").distinct()
-        try:
-            prior = (spark.read.parquet(target).join(touched, "counter_id", "left_semi")
-                     .filter(F.col("batch_id") != batch_id)
-                     .select("counter_id", "ts_utc", "snapshot_no", "hourly_count", "batch_id"))
-            merged = prior.unionByName(rev)
-        except AnalysisException:  # first batch: the table does not exist yet
-            merged = rev
-        # read and overwrite the same partitions: cut the lineage first with a
-        # reliable checkpoint in the shared checkpoint folder
-        C.write_canonical(merged.checkpoint(eager=True), target)
+        C.write_canonical(rev, target, ("batch_id",))
     return write
 
 
-def run_corrections(spark: SparkSession, sf_dir: str, timeout_s: int = 900) -> DataFrame:
+LEDGER_SCHEMA = "counter_id string, ts_utc timestamp_ntz, snapshot_no int, hourly_count bigint, batch_id bigint"
+
+
+def run_corrections(spark: SparkSession, sf_dir: str, run: str | None = None,
+                    timeout_s: float | None = None) -> DataFrame:
     """Drive S5 over the events files; returns the canonical revision ledger."""
-    base = checkpoint_path(spark, "s5_corrections")
+    base = checkpoint_path(spark, "s5_corrections", run)
     target = os.path.join(base, "canonical")
     writer = (events_stream(spark, sf_dir).writeStream.queryName(f"s5_{uuid.uuid4().hex[:6]}")
               .option("checkpointLocation", os.path.join(base, "state"))
               .foreachBatch(correction_sink(target)).trigger(availableNow=True))
-    q = start_with_state_partitions(spark, writer)
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return (spark.read.parquet(target).groupBy("counter_id", "ts_utc", "snapshot_no")
+    finish(start_with_state_partitions(spark, writer), timeout_s)
+    return (spark.read.schema(LEDGER_SCHEMA).parquet(target).groupBy("counter_id", "ts_utc", "snapshot_no")
             .agg(F.sum("hourly_count").cast("bigint").alias("hourly_count")))
 
 
-def start(df: DataFrame, name: str, mode: str = "append", sink: str = "memory",
-          foreach_batch=None):
-    spark = df.sparkSession
-    w = df.writeStream.queryName(name).outputMode(mode).option(
-        "checkpointLocation", checkpoint_path(spark, name)).trigger(availableNow=True)
-    if foreach_batch is not None:
-        w = w.foreachBatch(foreach_batch)
-    else:
-        w = w.format(sink)
-    return w.start()
+def finish(query, timeout_s: float | None = None, allow_late: bool = False) -> int:
+    """Wait until the stream has worked off everything; the number of late rows.
+
+    Only a caller's own ``timeout_s`` ends it earlier, and that raises.  Rows
+    that came after the watermark had passed them are dropped by the stateful
+    operators; that raises, too, unless the caller allows it."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"stream {query.name} did not finish in {timeout_s}s")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+    if late and not allow_late:
+        raise RuntimeError(f"stream {query.name} dropped {late} late rows: widen its lookback or allow them")
+    return late
 
 
 def state_partitions(spark: SparkSession) -> int:
@@ -258,6 +283,7 @@ def start_with_state_partitions(spark: SparkSession, writer):
     stream clones the session conf at start (and then keeps it in its
     checkpoint), so the caller's setting is restored right after."""
     conf = {"spark.sql.shuffle.partitions": str(state_partitions(spark)),
+            "spark.sql.streaming.numRecentProgressUpdates": "100000",  # late rows are counted over all batches
             # transformWithState needs the RocksDB state store
             "spark.sql.streaming.stateStore.providerClass":
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -274,21 +300,16 @@ def start_with_state_partitions(spark: SparkSession, writer):
                 spark.conf.set(k, v)
 
 
-def run_to_table(df: DataFrame, name: str, timeout_s: int = 900) -> DataFrame:
+def run_to_table(df: DataFrame, name: str, run: str | None = None,
+                 timeout_s: float | None = None) -> DataFrame:
     """Run a stream to completion (``availableNow``) into a Parquet table in
     the shared checkpoint folder and return that table as a batch DataFrame.
     Results never pass through the driver (no memory sink)."""
     spark = df.sparkSession
-    base = checkpoint_path(spark, name)
+    base = checkpoint_path(spark, name, run)
     writer = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").outputMode("append")
               .format("parquet").option("path", os.path.join(base, "out"))
               .option("checkpointLocation", os.path.join(base, "state"))
               .trigger(availableNow=True))
-    q = start_with_state_partitions(spark, writer)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(start_with_state_partitions(spark, writer), timeout_s)
     return spark.read.schema(df.schema).parquet(os.path.join(base, "out"))

@@ -7,8 +7,7 @@ import __spark_entry__ as E
 from tests.conftest import SMALL
 from tests.oracle import duck, rows
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from hourcast.catalog import ORACLE, QUERIES  # noqa: E402  the corpus queries have tests of their own
 
 
 def test_entry_smoke(spark):
@@ -18,6 +17,10 @@ def test_entry_smoke(spark):
     assert {"counter_id", "seasonal_rmse", "mean24_mae"} <= set(df.columns)
 
 
+def test_entry_registers_everything():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_every_query_has_docstring_and_most_have_twins():
     assert len(QUERIES) >= 80
     assert set(ORACLE) <= set(QUERIES)

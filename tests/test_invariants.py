@@ -12,7 +12,7 @@ from hourcast.operators import sequence as seq
 from hourcast.sources.tables import counts, ledger
 from tests.conftest import SMALL
 
-Q = E.queries()
+from hourcast.catalog import QUERIES as Q  # noqa: E402
 
 
 def test_split_sizes_add_up(spark):

@@ -121,15 +121,8 @@ def test_config_and_allow_list(spark):
     assert got == ["a", "b"]
 
 
-def _wait(q):
-    q.awaitTermination(300)
-    assert q.exception() is None
-
-
 def test_stream_hourly_counts_equal_batch(spark):
-    q = ST.start(ST.hourly_counts(ST.events_stream(spark, SMALL)), "s1_counts")
-    _wait(q)
-    got = spark.sql("SELECT * FROM s1_counts")
+    got = ST.run_to_table(ST.hourly_counts(ST.events_stream(spark, SMALL)), "s1_counts")
     # batch twin: append mode holds back windows newer than max(ts) - lookback
     c = counts(spark, SMALL)
     horizon = table(spark, SMALL, "events").agg(F.max("ts")).first()[0]
@@ -141,30 +134,94 @@ def test_stream_hourly_counts_equal_batch(spark):
     assert a == {(r.counter_id, r.hourly_count) for r in twin.collect()}
 
 
-def test_stream_dedupe_and_sliding(spark):
-    q = ST.start(ST.idempotent_submits(ST.events_stream(spark, SMALL)), "s3_submits")
-    _wait(q)
-    n = spark.sql("SELECT count(*) AS n, count(DISTINCT idem_key) AS k FROM s3_submits").first()
-    assert n.n == n.k and n.n > 0
-    q2 = ST.start(ST.sliding_means(ST.events_stream(spark, SMALL)), "s2_means")
-    _wait(q2)
-    assert spark.sql("SELECT count(*) FROM s2_means").first()[0] > 0
+def test_stream_first_submission_and_sliding(spark):
+    got = ST.run_to_table(ST.idempotent_submits(ST.events_stream(spark, SMALL)), "s3_submits").collect()
+    assert len({r.idem_key for r in got}) == len(got) > 0
+    assert ST.run_to_table(ST.sliding_means(ST.events_stream(spark, SMALL)), "s2_means").count() > 0
 
 
-def test_stream_held_alert_equals_batch(spark):
+def _held_batch(spark, sf_dir):
     hold = HOLD_MINUTES * 60_000_000
-    q = ST.start(ST.held_alerts(ST.events_stream(spark, SMALL), hold), "s4_held")
-    _wait(q)
-    got = {(r.instance, r.start_ts, r.n_samples, r.fired) for r in spark.sql("SELECT * FROM s4_held").collect()}
-    s = samples(spark, SMALL).withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9))
+    s = samples(spark, sf_dir).withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9))
     batch = A.held(s, ["instance"], ["ts", "event_id"], "bucket", F.col("up") == 0, hold)
     # the stream emits islands once they close; the last island of an instance may still be open
-    last = s.groupBy("instance").agg(F.max("ts").alias("last_ts"))
-    closed = batch.join(last, "instance").filter(F.col("end_ts") < F.col("last_ts"))
-    closed = closed.join(s.filter(F.col("up") == 1).select("instance", F.col("ts").alias("t2")), "instance") \
+    closed = batch.join(s.filter(F.col("up") == 1).select("instance", F.col("ts").alias("t2")), "instance") \
         .filter(F.col("t2") > F.col("end_ts")).select("instance", "start_ts", "n_samples", "fired").distinct()
-    exp = {(r.instance, r.start_ts, r.n_samples, r.fired) for r in closed.collect()}
-    assert got == exp
+    return {(r.instance, r.start_ts, r.n_samples, r.fired) for r in closed.collect()}
+
+
+def _held_stream(spark, sf_dir, lookback="0 seconds", max_files=None):
+    s = ST.held_alerts(ST.events_stream(spark, sf_dir, max_files), HOLD_MINUTES * 60_000_000, lookback)
+    return [(r.instance, r.start_ts, r.n_samples, r.fired) for r in ST.run_to_table(s, "s4_held").collect()]
+
+
+def test_stream_held_alert_equals_batch(spark):
+    got = _held_stream(spark, SMALL)
+    assert len(got) == len(set(got)) and set(got) == _held_batch(spark, SMALL)
+
+
+def _parts(spark, folder, newest_first=True):
+    """``events`` as a folder of four part files written newest first."""
+    import time
+    order = table(spark, SMALL, "events").orderBy("ts", "event_id").toPandas()
+    cuts = [order.iloc[k * len(order) // 4:(k + 1) * len(order) // 4] for k in range(4)]
+    os.makedirs(f"{folder}/events.parquet")
+    for k, part in enumerate(reversed(cuts) if newest_first else cuts):
+        part = part.assign(ts=part["ts"].astype("datetime64[us]"))
+        part.to_parquet(f"{folder}/events.parquet/part-{k}.parquet", index=False)
+        stamp = time.time() - 1000 + k
+        os.utime(f"{folder}/events.parquet/part-{k}.parquet", (stamp, stamp))
+    return folder
+
+
+def test_streams_read_a_folder_of_parts_in_any_order(spark, scratch):
+    from hourcast.catalog import QUERIES
+    folder = _parts(spark, scratch)
+    for name in ("stream_hourly_counts", "stream_sliding_means", "stream_submit_keys", "stream_held_alerts",
+                 "stream_corrections", "stream_job_states"):
+        whole, parts = QUERIES[name](spark, SMALL), QUERIES[name](spark, folder)
+        assert parts.count() == whole.count() > 0 and parts.exceptAll(whole).count() == 0, name
+    assert QUERIES["file_checksums"](spark, folder).count() == 4
+
+
+def test_held_alerts_wait_for_late_files(spark, scratch):
+    """One file per batch, newest first: a lookback over the whole span loses nothing, and
+    without one the run raises instead of returning a part."""
+    import pandas as pd
+    folder = _parts(spark, scratch)
+    with pytest.raises(RuntimeError, match="late rows"):
+        _held_stream(spark, folder, "0 seconds", 1)
+    last = pd.read_parquet(f"{folder}/events.parquet/part-0.parquet").head(5)
+    end = last.assign(event_id=range(10**9, 10**9 + 5), user_id=range(5), event_type="view",
+                      ts=(last["ts"].max() + pd.Timedelta(days=900)).to_datetime64())
+    end.assign(ts=end["ts"].astype("datetime64[us]")).to_parquet(f"{folder}/events.parquet/part-9.parquet", index=False)
+    got = _held_stream(spark, folder, "400 days", 1)
+    assert len(got) == len(set(got)) and set(got) == _held_batch(spark, folder)
+
+
+def test_islands_continue_across_batches():
+    import numpy as np
+    us, down = np.arange(10), np.array([1, 1, 0, 1, 0, 0, 1, 1, 1, 0], bool)
+    whole = [x.tolist() for x in ST.islands(us, down, None)[:3]]
+    for cut in range(11):
+        a = ST.islands(us[:cut], down[:cut], None)
+        b = ST.islands(us[cut:], down[cut:], a[3])
+        assert [x.tolist() + y.tolist() for x, y in zip(a[:3], b[:3])] == whole and b[3] is None
+
+
+def test_a_streams_time_limit_is_the_callers_and_raises():
+    class Slow:
+        name, stopped, recentProgress = "slow", False, []
+
+        def awaitTermination(self, t):
+            return False
+
+        def stop(self):
+            self.stopped = True
+    q = Slow()
+    with pytest.raises(TimeoutError):
+        ST.finish(q, 0.1)
+    assert q.stopped
 
 
 def test_stream_corrections_foreach_batch(spark):

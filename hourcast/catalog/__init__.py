@@ -2,7 +2,7 @@
 
 from hourcast.catalog import registry
 from hourcast.catalog import (  # noqa: F401
-    alerting, artifacts, enrichment, history, ingest, ledgers, models, monitoring, runs, series, streams, text)
+    alerting, artifacts, enrichment, history, ingest, ledgers, models, monitoring, runs, series, storage, streams, text)
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE

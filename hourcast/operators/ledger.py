@@ -74,6 +74,20 @@ def paginate(df: DataFrame, key: str, order: list[str], offset: int, limit: int)
             .drop("_pos"))
 
 
+RUN_KEY = ("artifact_type", "counter_id", "run_id")
+
+
+def append_runs(runs: DataFrame, path: str, write_no: int) -> None:
+    """Append run manifests; ``write_no`` orders the writes of a key."""
+    runs.withColumn("write_no", F.lit(write_no).cast("bigint")).write.mode("append").partitionBy("artifact_type").parquet(path)
+
+
+def current_runs(appended: DataFrame) -> DataFrame:
+    """One row per (type, counter, run), the last one written."""
+    rest = [c for c in appended.columns if c not in (*RUN_KEY, "write_no")]
+    return appended.groupBy(*RUN_KEY).agg(F.max_by(F.struct(*rest), "write_no").alias("_r")).select(*RUN_KEY, "_r.*")
+
+
 def latest_status(events: DataFrame, key: str = "job_id", ts: str = "updated_at",
                   tie: str = "event_id") -> DataFrame:
     """Last transition per job; ``updated_at`` never goes backwards, so the

@@ -29,6 +29,11 @@ def rate_window(window_s: int, scrape_s: int = SCRAPE_SECONDS) -> int:
     return max(window_s + scrape_s, 4 * scrape_s)
 
 
+def rate_window_col(window_s: Column, scrape_s: int = SCRAPE_SECONDS) -> Column:
+    """B19 on a column of window lengths."""
+    return F.greatest(window_s + F.lit(scrape_s), F.lit(4 * scrape_s)).cast("bigint")
+
+
 def hour_bucket(ts: str = "ts") -> Column:
     return epoch_hours(ts)
 

@@ -48,6 +48,23 @@ def route(df: DataFrame, quarantine_rules: list[tuple[str, Column]],
         .when(F.size("warning_reasons") > 0, F.lit("warned")).otherwise(F.lit("accepted")))
 
 
+def route_levels(df: DataFrame, levels: dict[str, list[tuple[str, Column]]]) -> DataFrame:
+    """``route`` = the first level (most severe first) with a failed rule,
+    else ``accepted``; ``reasons`` = all failed rules in order."""
+    failed = {name: violations(rules) for name, rules in levels.items()}
+    route = None
+    for name, v in failed.items():
+        route = F.when(F.size(v) > 0, F.lit(name)) if route is None else route.when(F.size(v) > 0, F.lit(name))
+    return df.withColumns({"route": route.otherwise(F.lit("accepted")), "reasons": F.concat(*failed.values())})
+
+
+def parameter_gate(start: Column, end: Column, ratio: Column, grid: Column) -> Column:
+    """Percent bounds, start not after end (equal is allowed), test ratio and grid size."""
+    return violations([
+        ("percent_bounds", (start < 0) | (start > 100) | (end < 0) | (end > 100)), ("start_after_end", start > end),
+        ("test_ratio", (ratio <= 0) | (ratio >= 0.95)), ("grid", grid < 0)])
+
+
 def schema_diff(df: DataFrame, contract: list[tuple[str, str, bool]]) -> list[tuple[str, str]]:
     """Compare a frame's schema with a contract ``(name, type, required)``.
 

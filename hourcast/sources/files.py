@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from hourcast.functions.calendar import parse_utc
 from hourcast.functions.labels import slug_ascii
+from hourcast.operators import ledger as LG
 from hourcast.operators.validate import require_columns
 
 KEY_COLS = ["nom_du_site_de_comptage", "orientation_compteur"]
@@ -129,21 +130,40 @@ def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
     """
     raw = (spark.read.text(pattern, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
-    keys = F.json_object_keys("text")          # null unless a valid JSON object
-    parsed = F.from_json("text", MANIFEST_SCHEMA)
-    known = F.array(*[F.lit(f.name) for f in MANIFEST_SCHEMA.fields])
-    trimmed = F.ltrim("text")
-    out = raw.withColumns({"_keys": keys, "m": parsed})
-    extra = F.array_except(F.col("_keys"), known)
+    out = classify_manifests(raw, "text")
+    pointer = F.regexp_extract("path", r"/([^/]+)/current\.json$", 1)
+    return out.select("path", F.nullif(pointer, F.lit("")).alias("current_of"), "m.*", "error")
+
+
+# Fields whose text must name a known member.
+MANIFEST_ENUMS = {"artifact_type": LG.ARTIFACT_TYPES, "status": LG.ARTIFACT_STATUSES}
+
+
+def classify_manifests(docs: DataFrame, text: str) -> DataFrame:
+    """A5: ``docs`` plus the parsed manifest ``m`` and its ``error`` class.
+
+    A manifest is invalid if it has a field that the schema does not name, at
+    the top or inside an object, if an enum is null or unknown, or if it names
+    no counter.
+    """
+    keys = F.json_object_keys(text)          # null unless a valid JSON object
+    out = docs.withColumns({"_keys": keys, "m": F.from_json(text, MANIFEST_SCHEMA)})
+    extra = [F.size(F.array_except("_keys", F.array(*[F.lit(f.name) for f in MANIFEST_SCHEMA.fields]))) > 0]
+    for f in MANIFEST_SCHEMA.fields:
+        if isinstance(f.dataType, T.StructType):
+            inner = F.json_object_keys(F.get_json_object(text, f"$.{f.name}"))
+            extra.append(F.coalesce(F.size(F.array_except(inner, F.array(*[F.lit(x.name) for x in f.dataType.fields]))) > 0,
+                                    F.lit(False)))
+    unknown = [~F.coalesce(F.col(f"m.{c}").isin(*values), F.lit(False)) for c, values in MANIFEST_ENUMS.items()]
+    invalid = F.col("m.counter_id").isNull()
+    for cond in [*extra, *unknown]:
+        invalid = invalid | cond
     error = (F.when(F.col("_keys").isNull(),
-                    F.when(trimmed.startswith("{"), F.lit("bad_json"))
-                    .when(F.try_parse_json("text").isNotNull(), F.lit("not_an_object"))
+                    F.when(F.ltrim(F.col(text)).startswith("{"), F.lit("bad_json"))
+                    .when(F.try_parse_json(text).isNotNull(), F.lit("not_an_object"))
                     .otherwise(F.lit("bad_json")))
-             .when(F.size(extra) > 0, F.lit("invalid_manifest"))
-             .when(F.col("m.artifact_type").isNull() | F.col("m.counter_id").isNull(), F.lit("invalid_manifest")))
-    pointer = F.regexp_extract("path", r"/([^/]+)/current\.json$", 1)
-    return out.select("path", F.nullif(pointer, F.lit("")).alias("current_of"), "m.*",
-                      error.alias("error"))
+             .when(invalid, F.lit("invalid_manifest")))
+    return out.withColumn("error", error).drop("_keys")
 
 
 def discover_current(manifests: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def school_holiday_join(spark, sf_dir):
         F.count(F.lit(1)).alias("n_hours"))
 
 
-LABELS = ["F", "O", "P"]
+LABELS = ["F", "O", "P"]  # of the SQL twin; the operator takes any labels
 
 
 def _overlap_sql():
@@ -85,10 +85,57 @@ def overlap_check(spark, sf_dir):
                   F.timestamp_add("DAY", (F.substring("o_orderpriority", 1, 1).cast("int") * 7),
                                   F.col("o_orderdate")).alias("e"),
                   (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("_bucket"))  # month buckets
-    flagged = EN.overlap_flags(iv, "o_custkey", "s", "e", "o_orderstatus", LABELS, "_bucket")
+    flagged = EN.overlap_flags(iv, "o_custkey", "s", "e", "o_orderstatus", "_bucket")
     return flagged.groupBy("o_orderstatus", "overlap_warning").agg(F.count(F.lit(1)).alias("n_intervals"))
 
 
+@query("overlap_check_clerks", """
+WITH iv AS (SELECT o_custkey, o_orderkey, o_clerk, o_orderdate AS s,
+              o_orderdate + to_days(CAST(left(o_orderpriority, 1) AS INTEGER) * 7) AS e FROM (
+                SELECT *, CAST(o_orderkey % 97 AS VARCHAR) AS o_clerk FROM orders))
+SELECT count(*) AS n_intervals, count(*) FILTER (WHERE EXISTS (
+    SELECT 1 FROM iv r WHERE r.o_custkey = iv.o_custkey AND r.o_clerk <> iv.o_clerk AND r.e > iv.s
+      AND (r.s < iv.s OR (r.s = iv.s AND r.o_orderkey < iv.o_orderkey)))) AS n_warned
+FROM iv""", FAM)
+def overlap_check_clerks(spark, sf_dir):
+    """C16 with many labels (a hundred order groups)."""
+    o = table(spark, sf_dir, "orders")
+    iv = o.select("o_custkey", F.col("o_orderkey").alias("_tie"), (F.col("o_orderkey") % 97).cast("string").alias("clerk"),
+                  F.col("o_orderdate").alias("s"),
+                  F.timestamp_add("DAY", (F.substring("o_orderpriority", 1, 1).cast("int") * 7),
+                                  F.col("o_orderdate")).alias("e"),
+                  (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("_bucket"))
+    flagged = EN.overlap_flags(iv, "o_custkey", "s", "e", "clerk", "_bucket")
+    return flagged.agg(F.count(F.lit(1)).alias("n_intervals"), F.count(F.when(F.col("overlap_warning"), 1)).alias("n_warned"))
+
+
+@query("holiday_contract", """
+SELECT strftime(day, '%Y-%m-%d') AS day, n_labels, label, CASE WHEN year(day) <> 1995 THEN 'out_of_year' WHEN n_labels > 1 THEN 'duplicate_date' ELSE 'ok' END AS outcome
+FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(DISTINCT o_orderpriority) AS n_labels, min(o_orderpriority) AS label
+      FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)""", FAM)
+def holiday_contract(spark, sf_dir):
+    """Dates with their labels: unique, ambiguous, or outside the year."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 5 == 0)
+    return EN.dated_labels(o, "o_orderdate", "o_orderpriority", 1995).select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "n_labels", "label", "outcome")
+
+
+@query("period_contract", """
+SELECT CASE WHEN NOT coalesce(s < e, false) THEN 'quarantine:invalid_interval' WHEN zone <> 'Zone C' THEN 'excluded:zone'
+         WHEN location IS NULL OR location <> 'Paris' THEN 'excluded:location' ELSE 'kept' END AS outcome, count(*) AS n_periods
+FROM (SELECT o_orderdate AS s, o_orderdate + to_days(CAST(o_custkey % 9 - 2 AS INTEGER)) AS e,
+        CASE o_custkey % 3 WHEN 0 THEN 'Zone A' WHEN 1 THEN 'Zone B' ELSE 'Zone C' END AS zone,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'Lyon' WHEN o_orderkey % 7 <> 0 THEN 'Paris' END AS location FROM orders) GROUP BY 1""", FAM)
+def period_contract(spark, sf_dir):
+    """C14: kept, excluded and quarantined periods, counted by reason."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").alias("s"), F.timestamp_add("DAY", (F.col("o_custkey") % 9 - 2).cast("int"), F.col("o_orderdate")).alias("e"),
+        F.when(F.col("o_custkey") % 3 == 0, "Zone A").when(F.col("o_custkey") % 3 == 1, "Zone B").otherwise("Zone C").alias("zone"),
+        F.when(F.col("o_orderkey") % 4 == 0, "Lyon").when(F.col("o_orderkey") % 7 != 0, "Paris").alias("location"))
+    return (EN.period_outcomes(o, "zone", "location", "Zone C", "Paris", "s", "e").groupBy("outcome")
+            .agg(F.count(F.lit(1)).alias("n_periods")))
+
+
 def _forecasts(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     f = ev.filter(F.col("event_type") == "view").select(

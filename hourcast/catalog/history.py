@@ -155,6 +155,32 @@ def idempotent_append(spark, sf_dir):
     return incoming.join(existing, ["counter_id", "snapshot_no"], "left_anti")
 
 
+SNAPSHOT_ID = ["counter_id", "snapshot_no", "version", "first_ts", "last_ts"]
+
+
+@query("snapshot_ledger", with_views("snapshots") + f""",
+v AS (SELECT counter_id, ts_utc, snapshot_no, hourly_count, 'v1' AS version FROM snapshots),
+old AS (SELECT counter_id, snapshot_no, version, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, count(*) AS n_rows, CAST(sum({DIGEST_SQL}) AS VARCHAR) AS checksum
+        FROM v WHERE snapshot_no <= 2 GROUP BY 1, 2, 3),
+sent AS (SELECT counter_id, ts_utc, snapshot_no, version,
+           hourly_count + CASE WHEN snapshot_no = 2 AND ends_with(counter_id, 'S-N') THEN 1 ELSE 0 END AS hourly_count FROM v WHERE snapshot_no >= 2),
+new AS (SELECT counter_id, snapshot_no, version, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, count(*) AS n_rows, CAST(sum({DIGEST_SQL}) AS VARCHAR) AS checksum
+        FROM sent GROUP BY 1, 2, 3)
+SELECT n.counter_id, n.snapshot_no, n.version, n.first_ts, n.last_ts, n.n_rows, n.checksum,
+  CASE WHEN o.checksum IS NULL THEN 'appended' WHEN o.checksum = n.checksum THEN 'duplicate' ELSE 'conflict' END AS outcome
+FROM new n LEFT JOIN old o USING (counter_id, snapshot_no, version, first_ts, last_ts)""", FAM)
+def snapshot_ledger(spark, sf_dir):
+    """C22 + C23: ledger rows of snapshots sent again: retries add nothing, a
+    changed payload under the same identity conflicts, new ones are appended."""
+    s = snapshots(spark, sf_dir).withColumn("version", F.lit("v1"))
+    keys = ["counter_id", "snapshot_no", "version"]
+    digest = C.row_digest("counter_id", "ts_utc", "hourly_count")
+    old = C.evidence(s.filter("snapshot_no <= 2"), keys, "ts_utc", digest)
+    bump = F.when((F.col("snapshot_no") == 2) & F.col("counter_id").endswith("S-N"), 1).otherwise(0)
+    new = C.evidence(s.filter("snapshot_no >= 2").withColumn("hourly_count", F.col("hourly_count") + bump), keys, "ts_utc", digest)
+    return C.append_outcomes(old, new, SNAPSHOT_ID, "checksum").select(*SNAPSHOT_ID, "n_rows", "checksum", "outcome")
+
+
 PARIS_SQL = "timezone('Europe/Paris', timezone('UTC', {c}))"
 UTC_OF_LOCAL_SQL = "timezone('UTC', timezone('Europe/Paris', {c}))"
 

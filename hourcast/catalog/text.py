@@ -38,6 +38,21 @@ def line_scan(spark, sf_dir):
     return TS.scan(docs).filter("flagged").select("doc_id", "line_no", "finding")
 
 
+# A second word list, of license lines.
+LICENSE_WORDS = [r"licen[sc]ed?", r"copyright", r"permissions?"]
+
+
+@query("line_scan_license", SCAN_SQL.replace(TS.flag_pattern(java=False), TS.flag_pattern(LICENSE_WORDS, java=False)) + f"""
+SELECT doc_id, line_no,
+  concat_ws(': ', concat_ws(':', CAST(doc_id AS VARCHAR), CAST(line_no AS VARCHAR)),
+            regexp_replace(line, '^{TS.SPACE}+|{TS.SPACE}+$', '', 'g')) AS finding
+FROM s WHERE flagged""", FAM)
+def line_scan_license(spark, sf_dir):
+    """A97 with another word list: the license lines of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TS.scan(docs, words=LICENSE_WORDS).filter("flagged").select("doc_id", "line_no", "finding")
+
+
 @query("line_scan_summary", SCAN_SQL + """
 SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines,
   count(*) FILTER (WHERE flagged) AS n_flagged_lines,
@@ -84,13 +99,13 @@ def page_slugs(spark, sf_dir):
 
 @query("label_chain", with_views("reference_counters") + """,
 x AS (SELECT *, CASE WHEN metric < 0 THEN NULL ELSE counter_name END AS short_name,
-        CASE WHEN metric < 1000 THEN '  ' ELSE site END AS raw_label,
+        CASE WHEN metric < 1000 THEN '  ' ELSE site END AS raw_label, CASE WHEN metric < -500 THEN area END AS env_site,
         '/data/raw/' || area || ' ' || site || '.csv' AS site_path FROM reference_counters)
 SELECT counter_id,
-  coalesce(nullif(trim(short_name), ''), nullif(trim(raw_label), ''),
+  coalesce(nullif(trim(short_name), ''), nullif(trim(raw_label), ''), nullif(trim(env_site), ''),
            nullif(regexp_replace(regexp_replace(regexp_replace(strip_accents(site_path), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'NA') AS canonical_site,
-  split_part(counter_name, '#', 1) AS site_part,
-  coalesce(nullif(split_part(counter_name, '#', 2), ''), 'NA') AS orientation_part,
+  split_part(replace(counter_name, '#', '_'), '_', 1) AS site_part,
+  coalesce(nullif(split_part(replace(counter_name, '#', '_'), '_', 2), ''), 'NA') AS orientation_part,
   nullif(trim(raw_label), '') AS raw_label_clean
 FROM x""", FAM)
 def label_chain(spark, sf_dir):
@@ -99,15 +114,15 @@ def label_chain(spark, sf_dir):
     x = r.select("counter_id", "counter_name",
                  F.when(F.col("metric") < 0, F.lit(None)).otherwise(F.col("counter_name")).alias("short_name"),
                  F.when(F.col("metric") < 1000, F.lit("  ")).otherwise(F.col("site")).alias("raw_label"),
+                 F.when(F.col("metric") < -500, F.col("area")).alias("env_site"),
                  F.concat(F.lit("/data/raw/"), F.col("area"), F.lit(" "), F.col("site"), F.lit(".csv"))
                  .alias("site_path"))
-    parts = F.split(F.col("counter_name"), "#")
+    site_part, orientation_part = L.split_site_orientation(F.replace(F.col("counter_name"), F.lit("#"), F.lit("_")), True)
     return x.select(
         "counter_id",
-        F.coalesce(L.blank_to_null("short_name"), L.blank_to_null("raw_label"),
+        F.coalesce(L.blank_to_null("short_name"), L.blank_to_null("raw_label"), L.blank_to_null("env_site"),
                    F.nullif(L.slug_label("site_path"), F.lit("")), F.lit("NA")).alias("canonical_site"),
-        F.element_at(parts, 1).alias("site_part"),
-        F.coalesce(F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("NA")).alias("orientation_part"),
+        site_part.alias("site_part"), orientation_part.alias("orientation_part"),
         L.blank_to_null("raw_label").alias("raw_label_clean"))
 
 

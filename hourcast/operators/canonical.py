@@ -67,6 +67,20 @@ def evidence(df: DataFrame, keys: list[str], ts: str, digest: Column) -> DataFra
                                  F.sum(digest).cast("string").alias("checksum"))
 
 
+def append_outcomes(ledger: DataFrame, incoming: DataFrame, identity: list[str], checksum: str) -> DataFrame:
+    """C22 + C23: each incoming snapshot against the immutable ledger.
+
+    The retry key is the identity (source, version, coverage, context) and the
+    checksum: an equal one is a retry and adds nothing, one with another
+    checksum conflicts and is rejected, a new identity is appended.
+    """
+    have = ledger.select(*identity, F.col(checksum).alias("_have")).groupBy(*identity).agg(
+        F.collect_set("_have").alias("_have"))  # the accepted checksums of one snapshot: one
+    same = F.array_contains("_have", F.col(checksum))
+    return (incoming.join(have, identity, "left").withColumn(
+        "outcome", F.when(F.col("_have").isNull(), "appended").when(same, "duplicate").otherwise("conflict")).drop("_have"))
+
+
 def schema_fingerprint(df: DataFrame) -> str:
     """SHA-256 of the schema JSON (driver-side metadata, not data)."""
     import hashlib

@@ -80,19 +80,47 @@ def school_days(spark: SparkSession, rows=SCHOOL_HOLIDAYS, zone: str = "Zone C",
 
 
 def overlap_flags(intervals: DataFrame, key: str, start: str, end: str, label: str,
-                  labels: list[str], bucket: str) -> DataFrame:
+                  bucket: str) -> DataFrame:
     """An interval overlapping an earlier-starting interval with a
-    different label.  Per label, the running max end of earlier intervals is a
-    bucketed prefix max, so no pairs are formed and hot keys stay split."""
-    from hourcast.operators.bucketed import running_aggs
-    out = running_aggs(intervals, [key], [start, "_tie"], bucket,
-                       {f"_maxend_{lab}": (F.when(F.col(label) == lab, F.col(end)), "max") for lab in labels},
-                       exclusive=True)
-    conflict = F.lit(False)
-    for lab in labels:
-        conflict = conflict | ((F.col(label) != lab) & (F.col(f"_maxend_{lab}") > F.col(start)))
-    return out.withColumn("overlap_warning", F.coalesce(conflict, F.lit(False))) \
-        .drop(*[f"_maxend_{lab}" for lab in labels])
+    different label, for any number of labels.
+
+    The running largest end of the earlier intervals decides alone unless it
+    has the row's own label.  Then the largest end of another label counts: it
+    is the running largest end where the present stretch of one leading label
+    began, or an end of another label inside that stretch.  All of it is
+    bucketed prefix maxima, so no pairs are formed and hot keys stay split.
+    """
+    from hourcast.operators.bucketed import bucketed_lag, running_aggs
+    order = [start, "_tie"]
+    led = running_aggs(intervals, [key], order, bucket,
+                       {"_top": (F.struct(F.col(end).alias("e"), F.col(label).alias("l")), "max")}, exclusive=True)
+    led = bucketed_lag(led, [key], order, bucket, "_top", "_before")
+    turned = ~F.col("_before.l").eqNullSafe(F.col("_top.l"))
+    led = led.withColumn("_came", F.when(turned, F.col("_before.e")))
+    led = running_aggs(led, [key], order, bucket, {"_stretch": (turned.cast("bigint"), "sum")})
+    other = F.when(~F.col(label).eqNullSafe(F.col("_top.l")), F.col(end))
+    led = running_aggs(led, [key, "_stretch"], order, bucket, {"_inside": (other, "max")}, exclusive=True)
+    led = running_aggs(led, [key, "_stretch"], order, bucket, {"_since": (F.col("_came"), "max")})
+    latest = F.when(F.col("_top.l").eqNullSafe(F.col(label)), F.greatest("_inside", "_since")).otherwise(F.col("_top.e"))
+    return (led.withColumn("overlap_warning", F.coalesce(latest > F.col(start), F.lit(False)))
+            .drop("_top", "_before", "_came", "_stretch", "_inside", "_since"))
+
+
+def dated_labels(rows: DataFrame, day: str, label: str, year: int) -> DataFrame:
+    """One row per date with its label count and contract outcome: a date
+    with several labels is ambiguous, one outside ``year`` is flagged."""
+    g = rows.groupBy(F.to_date(day).alias("day")).agg(F.count_distinct(label).alias("n_labels"), F.min(label).alias("label"))
+    return g.withColumn("outcome", F.when(F.year("day") != year, "out_of_year").when(F.col("n_labels") > 1, "duplicate_date")
+                        .otherwise("ok"))
+
+
+def period_outcomes(rows: DataFrame, zone: str, location: str, keep_zone: str, keep_location: str,
+                    start: str, end: str) -> DataFrame:
+    """C14: every period with its outcome, so exclusions and invalid intervals can be counted."""
+    outcome = (F.when(~F.coalesce(F.col(start) < F.col(end), F.lit(False)), "quarantine:invalid_interval")
+               .when(~F.col(zone).eqNullSafe(keep_zone), "excluded:zone")
+               .when(~F.col(location).eqNullSafe(keep_location), "excluded:location").otherwise("kept"))
+    return rows.withColumn("outcome", outcome)
 
 
 def wmo_category(code: str | Column) -> Column:

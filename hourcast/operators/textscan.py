@@ -53,10 +53,10 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("line_no", (F.col("_pos") + 1).cast("bigint")).drop("_pos")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words=FLAGGED_WORDS) -> DataFrame:
     """All lines with a ``flagged`` column and the ``path:line: text`` finding."""
     ln = lines(docs, id_col, text_col)
-    flagged = sanitize(F.col("line")).rlike(flag_pattern())
+    flagged = sanitize(F.col("line")).rlike(flag_pattern(words))
     finding = F.concat_ws(": ", F.concat_ws(":", F.col(id_col).cast("string"),
                                             F.col("line_no").cast("string")),
                           strip_text(F.col("line")))

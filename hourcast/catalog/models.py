@@ -89,6 +89,46 @@ def y_full_linear(spark, sf_dir):
     return round_doubles(y_full_linear_df(spark, sf_dir))
 
 
+# Coefficients of a given model: seven lags, a 24-row trailing mean, two calendar inputs.
+AR7 = [0.12, 0.09, 0.07, 0.05, 0.04, 0.03, 0.02]
+MEAN24, WEEKEND, HOUR, INTERCEPT = 0.45, -0.6, 0.3, 0.25
+
+
+@query("forecast_ar7", "WITH RECURSIVE " + with_views("counts")[len("WITH "):] + f""",
+r AS (SELECT counter_id, ts_utc, CAST(hourly_count AS DOUBLE) AS y, row_number() OVER (PARTITION BY counter_id ORDER BY ts_utc) AS rn,
+        count(*) OVER (PARTITION BY counter_id) AS n FROM counts),
+s AS (SELECT *, n - CAST(floor(CAST(n AS DOUBLE) * {TEST_RATIO}) AS BIGINT) AS n_train FROM r),
+t AS (SELECT counter_id, ts_utc, y, rn - n_train AS step,
+        {WEEKEND} * CASE WHEN isodow(ts_utc) >= 6 THEN 1.0 ELSE 0.0 END + {HOUR} * hour(ts_utc) / 24.0 AS calendar FROM s WHERE rn > n_train),
+b AS (SELECT counter_id, list(y ORDER BY rn) AS buf FROM s WHERE rn <= n_train AND rn > n_train - 24 GROUP BY 1 HAVING count(*) = 24),
+rec(counter_id, step, buf) AS (
+  SELECT counter_id, CAST(0 AS BIGINT), buf FROM b
+  UNION ALL
+  SELECT rec.counter_id, rec.step + 1, list_append(rec.buf[2:24], {INTERCEPT} + {" + ".join(f"{c} * rec.buf[{24 - k}]" for k, c in enumerate(AR7))}
+    + {MEAN24} * list_sum(rec.buf) / 24 + t.calendar)
+  FROM rec JOIN t ON t.counter_id = rec.counter_id AND t.step = rec.step + 1)
+SELECT t.counter_id, t.ts_utc, t.y AS y_true, round(rec.buf[24], 6) AS y_pred
+FROM t LEFT JOIN rec ON rec.counter_id = t.counter_id AND rec.step = t.step""", FAM)
+def forecast_ar7(spark, sf_dir):
+    """A31 + A32 with exogenous inputs: a given linear model of 7 lags, a 24-row
+    mean and calendar terms, forecast recursively over every counter's whole
+    test horizon in one plan; a counter with under 24 train rows has none (A33)."""
+    s = materialize(_split(spark, sf_dir))
+    train = s.filter(F.col("rn") <= F.col("n_train"))
+    buffers = MD.tail_values(train, ["counter_id"], "rn", "hourly_count", 24).filter(F.size("buffer") == 24)
+    test = s.filter(F.col("rn") > F.col("n_train")).withColumn("step0", F.col("rn") - F.col("n_train") - 1)
+    exog = F.array(F.when(F.weekday("ts_utc") >= 5, 1.0).otherwise(0.0), F.hour("ts_utc") / 24.0)
+    # one row per counter and test hour: bounded by the calendar
+    steps = test.groupBy("counter_id").agg(F.count(F.lit(1)).alias("horizon"), F.transform(
+        F.array_sort(F.collect_list(F.struct("step0", exog.alias("x")))), lambda z: z["x"]).alias("exog"))
+    as_array = lambda values: F.array(*[F.lit(v) for v in values])
+    preds = buffers.join(steps, "counter_id").select("counter_id", F.posexplode(MD.recursive_fold(
+        F.col("buffer"), F.col("horizon"), F.lit(INTERCEPT), as_array(AR7), 7, as_array([MEAN24]), 1, 24,
+        F.col("exog"), as_array([WEEKEND, HOUR]))).alias("step0", "y_pred"))
+    return round_doubles(test.join(preds, ["counter_id", "step0"], "left").select(
+        "counter_id", "ts_utc", F.col("hourly_count").cast("double").alias("y_true"), "y_pred"))
+
+
 @query("eval_linear", Y_FULL_SQL + """
 SELECT counter_id, forecast_mode, count(y_true - y_pred) AS n_obs,
   round(sqrt(sum((y_true - y_pred) * (y_true - y_pred)) / count(y_true - y_pred)), 6) AS rmse,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hourcast.catalog.registry import query
 from hourcast.functions.calendar import add_calendar, to_local
 from hourcast.operators import model as MD
+from hourcast.operators import search as SE
 from hourcast.operators import sequence as seq
 from hourcast.operators.evaluate import metric_aggs, round_doubles
 from hourcast.sources.tables import counts, materialize, with_views
@@ -162,6 +163,39 @@ def feature_stats(spark, sf_dir):
     return round_doubles(st.withColumn("orientation__levels", F.array_join("orientation__levels", ",")))
 
 
+def _draw_sql(name, kind, low, high):
+    u = f"CAST(('0x' || substr(md5(concat_ws('|', '0', counter_id, CAST(draw AS VARCHAR), '{name}')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+    if kind == "integer":
+        return f"CAST(floor(({u}) * {high - low + 1}) + {low} AS DOUBLE) AS {name}"
+    if kind == "uniform":
+        return f"{float(low)} + ({u}) * ({float(high)} - {float(low)}) AS {name}"
+    return f"{float(low)} * pow({float(high)}::DOUBLE / {float(low)}::DOUBLE, {u}) AS {name}"
+
+
+DRAWS = 20
+DRAWS_SQL = with_views("counts") + f""",
+c AS (SELECT counter_id, unnest(range(0, {DRAWS})) AS draw FROM (SELECT DISTINCT counter_id FROM counts)),
+d AS (SELECT counter_id, draw, {", ".join(_draw_sql(*p) for p in SE.SEARCH_SPACE)} FROM c)
+"""
+
+
+@query("search_draws", DRAWS_SQL + f"""
+SELECT counter_id, CAST(draw AS INTEGER) AS draw, {", ".join(f"round({p[0]}, 6) AS {p[0]}" for p in SE.SEARCH_SPACE)} FROM d""", FAM)
+def search_draws(spark, sf_dir):
+    """Seeded candidates of every counter over the nine parameter ranges."""
+    keys = counts(spark, sf_dir).select("counter_id").distinct()
+    return round_doubles(SE.draws(keys, "counter_id", DRAWS))
+
+
+@query("search_ranges", DRAWS_SQL + f""",
+l AS (UNPIVOT d ON {", ".join(p[0] for p in SE.SEARCH_SPACE)} INTO NAME parameter VALUE value)
+SELECT counter_id, parameter, round(min(value), 6) AS low, round(max(value), 6) AS high FROM l GROUP BY 1, 2""", FAM)
+def search_ranges(spark, sf_dir):
+    """Range of each parameter over the candidates of a counter."""
+    keys = counts(spark, sf_dir).select("counter_id").distinct()
+    return round_doubles(SE.range_summary(SE.draws(keys, "counter_id", DRAWS), ["counter_id"]))
+
+
 CANDIDATES = [1, 2, 3, 6, 12, 24, 48]
 
 

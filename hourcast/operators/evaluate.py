@@ -29,8 +29,7 @@ def metric_aggs(y_true: str, y_pred: str, prefix: str = "") -> list[Column]:
     sse = F.sum(F.when(e.isNotNull(), e * e))
     tt = F.when(e.isNotNull(), t)
     pp = F.when(e.isNotNull(), p)
-    ss_t = F.sum(tt * tt) - F.sum(tt) * F.sum(tt) / n
-    ss_p = F.sum(pp * pp) - F.sum(pp) * F.sum(pp) / n
+    ss_t, ss_p = F.var_pop(tt) * n, F.var_pop(pp) * n  # centred: large counts do not cancel digits
     return [
         n.alias(f"{prefix}n_obs"),
         F.sqrt(sse / n).alias(f"{prefix}rmse"),

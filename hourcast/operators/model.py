@@ -80,40 +80,36 @@ def one_hot(df: DataFrame, col: str, levels: list[str], prefix: str | None = Non
 # ---------------------------------------------------------------- ridge fit
 
 def moments(df: DataFrame, keys: list[str], features: list[str], target: str) -> DataFrame:
-    """Σ1, Σx, Σxxᵀ (upper triangle), Σxy, Σy per key, as one aggregate."""
-    d = len(features)
-    aggs = [F.count(F.lit(1)).alias("m_n"), F.sum(F.col(target).cast("double")).alias("m_y")]
+    """Count, means and population (co)variances per key, as one aggregate.
+
+    Spark merges centred moments, so large counts do not cancel digits."""
+    d, y = len(features), F.col(target).cast("double")
+    xs = [F.col(f).cast("double") for f in features]
+    aggs = [F.count(F.lit(1)).alias("m_n"), F.avg(y).alias("m_y")]
     for i in range(d):
-        xi = F.col(features[i]).cast("double")
-        aggs.append(F.sum(xi).alias(f"m_x{i}"))
-        aggs.append(F.sum(xi * F.col(target)).alias(f"m_xy{i}"))
-        for j in range(i, d):
-            aggs.append(F.sum(xi * F.col(features[j]).cast("double")).alias(f"m_xx{i}_{j}"))
+        aggs += [F.avg(xs[i]).alias(f"m_x{i}"), F.covar_pop(xs[i], y).alias(f"m_xy{i}")]
+        aggs += [F.covar_pop(xs[i], xs[j]).alias(f"m_xx{i}_{j}") for j in range(i, d)]
     return df.groupBy(*keys).agg(*aggs)
 
 
 def _solve(pdf: pd.DataFrame, d: int, lam: float) -> pd.DataFrame:
-    out = []
-    for _, r in pdf.iterrows():
-        n = float(r["m_n"])
-        sx = np.array([r[f"m_x{i}"] for i in range(d)], dtype=float)
-        sxy = np.array([r[f"m_xy{i}"] for i in range(d)], dtype=float)
-        sxx = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                sxx[i, j] = sxx[j, i] = r[f"m_xx{i}_{j}"]
-        mx, my = sx / n, float(r["m_y"]) / n
-        cov = sxx / n - np.outer(mx, mx)                 # population covariance
-        std = np.sqrt(np.clip(np.diag(cov), 0.0, None))
-        std[std == 0] = 1.0                               # A84: zero variance -> scale 1
-        corr = cov / np.outer(std, std)
-        cxy = (sxy / n - mx * my) / std
-        beta_std = np.linalg.solve(corr + lam / n * np.eye(d), cxy)
-        beta = beta_std / std
-        intercept = my - float(beta @ mx)
-        out.append({**{k: r[k] for k in pdf.columns if not k.startswith("m_")},
-                    "intercept": intercept, "coef": beta.tolist(), "n_train": int(n)})
-    return pd.DataFrame(out)
+    """Ridge coefficients of all rows of moments in one batched solve."""
+    n = pdf["m_n"].to_numpy(float)
+    mean = pdf[[f"m_x{i}" for i in range(d)]].to_numpy(float)
+    cov = np.empty((len(pdf), d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[:, i, j] = cov[:, j, i] = pdf[f"m_xx{i}_{j}"].to_numpy(float)
+    std = np.sqrt(np.clip(np.einsum("kii->ki", cov), 0.0, None))
+    std[std == 0] = 1.0                                   # A84: zero variance -> scale 1
+    corr = cov / (std[:, :, None] * std[:, None, :])
+    cxy = pdf[[f"m_xy{i}" for i in range(d)]].to_numpy(float) / std
+    beta = np.linalg.solve(corr + (lam / n)[:, None, None] * np.eye(d), cxy[:, :, None])[:, :, 0] / std
+    out = pdf[[k for k in pdf.columns if not k.startswith("m_")]].copy()
+    out["intercept"] = pdf["m_y"].to_numpy(float) - (beta * mean).sum(axis=1)
+    out["coef"] = list(beta)
+    out["n_train"] = n.astype(np.int64)
+    return out
 
 
 def fit_ridge(df: DataFrame, keys: list[str], features: list[str], target: str,
@@ -138,11 +134,11 @@ def fit_ridge(df: DataFrame, keys: list[str], features: list[str], target: str,
 
 def ols_ar1(df: DataFrame, keys: list[str], x: str, y: str, lam: float = 0.0) -> DataFrame:
     """Closed-form (ridge) AR(1): ``b = Sxy / (Sxx + λ)``, ``a = ȳ - b x̄``
-    from centred sums – pure SQL aggregates, so a DuckDB twin exists."""
+    from centred moments – pure SQL aggregates, so a DuckDB twin exists."""
     n = F.count(F.col(x))
     sx, sy = F.sum(x), F.sum(F.when(F.col(x).isNotNull(), F.col(y)))
-    sxx = F.sum(F.col(x) * F.col(x)) - sx * sx / n
-    sxy = F.sum(F.col(x) * F.col(y)) - sx * sy / n
+    sxx = F.var_pop(F.col(x)) * n
+    sxy = F.covar_pop(F.col(x), F.col(y)) * n
     g = df.groupBy(*keys).agg(n.alias("n_fit"), sx.alias("_sx"), sy.alias("_sy"),
                               (sxy / (sxx + F.lit(lam))).alias("b"))
     return g.withColumn("a", (F.col("_sy") - F.col("b") * F.col("_sx")) / F.col("n_fit")).drop("_sx", "_sy")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +57,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
+        # a table of its own, so that the join below has plain exchanges that AQE can split at a hot node
+        low = shared_table(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            F.col("u").alias("v"), F.least("u", "m").alias("m")), "low")
+        large = e.join(low, "v").select("u", F.col("m").alias("v")).filter("u <> v").distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(first, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(first.select("u", F.col("m").alias("v"))).distinct())
@@ -90,5 +92,68 @@ def union_find(n: int, pairs) -> list[int]:
     return [find(i) for i in range(n)]
 
 
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Bijective 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(31))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
+
+
+class WordHasher:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a byte string, for all words at once.
+
+    A word's hash is a polynomial in an odd base modulo 2^64, taken from prefix
+    sums over the bytes and shifted to the word's start by the inverse powers.
+    Pickles as an empty hasher: each worker builds its own table of powers.
+    """
+
+    BASE = 0x5851F42D4C957F2D
+
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+
+    def __reduce__(self):
+        return WordHasher, ()
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            size = max(n, 1 << 16)
+            for name, base in (("power", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, position of the first byte) of each word."""
+        b = np.frombuffer(b" " + raw + b" ", np.uint8)
+        self._powers(len(b))
+        space = self.space[b]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        first, last = edge[0::2], edge[1::2]  # each one byte early
+        sums = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.power[:len(b)], dtype=np.uint64)
+        h = (sums[last] - sums[first]) * self.inverse[first]
+        return mix(h + (last - first).astype(np.uint64) * _M2), first
+
+    def many(self, raws: list[bytes], piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words in order, number of words of each byte string)."""
+        out, counts, at = [], np.zeros(len(raws), np.int64), 0
+        while at < len(raws):
+            to, size = at, 0
+            while to < len(raws) and (to == at or size + len(raws[to]) < piece):
+                size += len(raws[to]) + 1
+                to += 1
+            h, first = self(b" ".join(raws[at:to]))
+            ends = np.cumsum([len(r) + 1 for r in raws[at:to]])
+            counts[at:to] = np.diff(np.concatenate([[0], np.searchsorted(first, ends - 1, side="left")]))
+            out.append(h)
+            at = to
+        return (np.concatenate(out) if out else np.empty(0, np.uint64)), counts
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))

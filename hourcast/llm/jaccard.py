@@ -35,34 +35,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import connected_components, shared_table, union_find
+from hourcast.llm.common import WordHasher, connected_components, mix, shared_table, union_find
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    x = (x ^ (x >> np.uint64(29))) * _M2
-    return x ^ (x >> np.uint64(32))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered until the table is large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles (bytes.lower/split: ASCII case and white space)."""
-    seq = (text or "").encode("utf-8", "replace").lower().split()
-    if not seq:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(cache.__getitem__, seq), np.uint64, len(seq))
+def shingle_set(text: str | None, n: int, words: WordHasher) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles (ASCII lower case and white space)."""
+    w, _ = words((text or "").encode("utf-8", "replace").lower())
+    if not len(w):
+        return w
     size = min(n, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
@@ -202,7 +184,7 @@ def _forest_links(docs: DataFrame, n: int, percent: int, buckets: int, docs_per_
         import pyarrow as pa
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()),
                             ("c", pa.binary())])
-        cache, tops = WordHashes(), size_classes(1 << 12, percent)
+        words, tops = WordHasher(), size_classes(1 << 12, percent)
 
         def flush(ids, sets, nulls):
             nonlocal tops
@@ -237,7 +219,7 @@ def _forest_links(docs: DataFrame, n: int, percent: int, buckets: int, docs_per_
         ids, sets, nulls, held = [], [], [], 0
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1)):
-                s = shingle_set(t.as_py(), n, cache)
+                s = shingle_set(t.as_py(), n, words)
                 if k.as_py() is None:
                     nulls.append(len(s))
                     continue
@@ -322,11 +304,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
 
     def verify(table):
         import pyarrow as pa
-        names, cache, chosen, seen = [], WordHashes(), [], set()
+        names, words, chosen, seen = [], WordHasher(), [], set()
         for name, t in zip(table.column("digest").to_pylist(), table.column("t")):
             if name in seen:
                 continue
-            s = shingle_set(t.as_py(), n, cache)
+            s = shingle_set(t.as_py(), n, words)
             if digest(s) == name:  # an id can have rows of other texts
                 seen.add(name), names.append(name), chosen.append(s)
         got = spanning_links(chosen, percent) if len(chosen) > 1 else []

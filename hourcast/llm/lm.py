@@ -31,8 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourcast.llm.common import shared_table
-from hourcast.llm.jaccard import WordHashes, mix
+from hourcast.llm.common import WordHasher, mix, shared_table
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0x0FEDCBA987654321)
@@ -59,21 +58,21 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 class Batch:
     """Token and bigram hashes of a batch of documents in (id, text) order."""
 
-    def __init__(self, table, cache: WordHashes):
+    def __init__(self, table, words: WordHasher):
         ids, texts = table.column("k").to_pylist(), table.column("t").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         self.ids = [ids[i] for i in order]
         train = table.column("train").to_pylist()
         self.train = np.array([bool(train[i]) for i in order], bool)
-        seqs = [(texts[i] or "").encode("utf-8", "replace").lower().split() for i in order]
-        self.size = np.array([len(s) + 1 for s in seqs], np.int64)
+        own, count = words.many([(texts[i] or "").encode("utf-8", "replace").lower() for i in order])
+        self.size = count + 1
         n = int(self.size.sum())
-        self.doc = np.repeat(np.arange(len(seqs)), self.size)
+        self.doc = np.repeat(np.arange(len(order)), self.size)
         last = np.cumsum(self.size) - 1
         self.token = np.empty(n, np.uint64)
         inner = np.ones(n, bool)
         inner[last] = False
-        self.token[inner] = np.fromiter((cache[w] for s in seqs for w in s), np.uint64, n - len(seqs))
+        self.token[inner] = own
         self.token[~inner] = END
         self.before = np.empty(n, np.uint64)
         self.before[1:] = self.token[:-1]
@@ -110,7 +109,7 @@ def expectation_maximisation(cells: np.ndarray, weight: np.ndarray, bucket: np.n
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id",
-          batch_bytes: int = 6 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+          batch_bytes: int = 6 << 20, bucket_bytes: int = 6 << 20) -> DataFrame:
     """``(key, train, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     ``train`` says which rows the counts are taken from.
@@ -122,13 +121,13 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     own = docs.select(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n_batches)).cast("int").alias("batch"),
                       F.col(key).cast("long").alias("k"), F.col(text).alias("t"),
                       F.coalesce(train, F.lit(False)).alias("train"))
-    cache = WordHashes()
+    words = WordHasher()
     low = np.uint64(16)
 
     def send(batch_key, table):
         import pyarrow as pa
         rows = []
-        for kind, (names, counts, _) in enumerate(Batch(table, cache).distinct()):
+        for kind, (names, counts, _) in enumerate(Batch(table, words).distinct()):
             top = names >> low if kind == 0 else names
             cut = np.searchsorted(top >> shift, np.arange(buckets + 1).astype(np.uint64))
             for b in range(buckets):
@@ -179,7 +178,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     def estimates(table, found, which: str, tokens: int):
         """(batch, token counts, context buckets, rows of bigram, unigram and uniform estimates)."""
         import pyarrow as pa
-        b = Batch(table, cache)
+        b = Batch(table, words)
         got = sorted(zip(*(found.column(c).to_pylist() for c in ("kind", "bucket", which, "size"))), key=lambda r: r[:2])
         count = []
         for kind, (names, _, where) in enumerate(b.distinct()):

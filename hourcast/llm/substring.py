@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourcast.llm.jaccard import WordHashes, mix
+from hourcast.llm.common import WordHasher, mix
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LAST = np.iinfo(np.int64).max
@@ -41,19 +41,27 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _A + right * _B + _B)
 
 
-def _grams(w: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size`` consecutive entries, by doubling."""
-    have, done = {1: w}, 1
-    while done * 2 <= size:
-        have[done * 2] = _join(have[done][:-done], have[done][done:])
-        done *= 2
-    out, at = have[done], done
-    for part in sorted(have, reverse=True):
-        if at < size and size - at >= part:
-            n = len(w) - at - part + 1
-            out = _join(out[:n], have[part][at:at + n])
-            at += part
-    return out
+class Grams:
+    """Hashes of every n consecutive entries of ``w``, by doubling."""
+
+    def __init__(self, w: np.ndarray):
+        self.have = {1: w}
+
+    def doubled(self, size: int) -> np.ndarray:
+        if size not in self.have:
+            half = self.doubled(size // 2)
+            self.have[size] = _join(half[:-size // 2], half[size // 2:])
+        return self.have[size]
+
+    def halves(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the n-gram hash joins: its largest power of two, and the rest."""
+        a = 1 << ((size - 1).bit_length() - 1)
+        left, right = self.doubled(a), self.of(size - a)
+        n = len(self.have[1]) - size + 1
+        return left[:n], right[a:a + n]
+
+    def of(self, size: int) -> np.ndarray:
+        return self.doubled(size) if size & (size - 1) == 0 else _join(*self.halves(size))
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -65,16 +73,22 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 class Batch:
-    """The edges of a batch of documents, in (id, text) order."""
+    """A batch of documents in (id, text) order."""
 
-    def __init__(self, table, k: int, cache: WordHashes):
+    def __init__(self, table):
         ids, texts = table.column("k").to_pylist(), table.column("t").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         self.ids = [ids[i] for i in order]
-        self.words = [(texts[i] or "").encode("utf-8", "replace").split() for i in order]
-        size = np.array([len(w) for w in self.words], np.int64)
-        n = int(size.sum())
-        w = np.fromiter((cache[x] for seq in self.words for x in seq), np.uint64, n)
+        self.raws = [(texts[i] or "").encode("utf-8", "replace") for i in order]
+
+
+class Edges(Batch):
+    """The batch's edges: hash, check bits, minimiser, document and start of each."""
+
+    def __init__(self, table, k: int, words: WordHasher):
+        super().__init__(table)
+        w, size = words.many(self.raws)
+        n = len(w)
         self.place = np.array([_LAST if i is None else i for i in self.ids], np.int64)
         if n < k:
             empty = np.empty(0, np.int64)
@@ -85,20 +99,25 @@ class Batch:
         start = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
         whole = np.flatnonzero(row[:n - k + 1] == row[k - 1:])
         self.row, self.start = row[whole], start[whole]
-        self.edge = _grams(w, k)[whole]
-        other = _grams(w * _B + np.uint64(1), k)[whole]
-        self.check = (other >> np.uint64(32)).astype(np.uint32)
+        grams = Grams(w)
+        left, right = grams.halves(k)
+        self.edge = _join(left, right)[whole]
+        self.check = (mix(left * _B ^ right * _A)[whole] >> np.uint64(32)).astype(np.uint32)
         least = min(8, k)
-        self.least = _sliding_min(_grams(w, least), k - least + 1)[whole]
+        self.least = _sliding_min(grams.of(least), k - least + 1)[whole]
 
 
 def _sources(edge, check, place, start):
     """For each edge entry, the entry with the smallest (place, start) among equal edges."""
-    order = np.lexsort((start, place, check, edge))
-    e, c = edge[order], check[order]
-    new = np.concatenate([[True], (e[1:] != e[:-1]) | (c[1:] != c[:-1])]) if len(e) else np.empty(0, bool)
-    source = np.empty(len(e), np.int64)
-    source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(e) else order
+    source = np.arange(len(edge))
+    order = np.argsort(edge)
+    same = edge[order[1:]] == edge[order[:-1]]
+    often = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+    if len(often):
+        often = often[np.lexsort((start[often], place[often], check[often], edge[often]))]
+        e, c = edge[often], check[often]
+        new = np.concatenate([[True], (e[1:] != e[:-1]) | (c[1:] != c[:-1])])
+        source[often] = often[np.flatnonzero(new)][np.cumsum(new) - 1]
     return source
 
 
@@ -120,7 +139,7 @@ def compact(row, start, source, at, length=None) -> np.ndarray:
 
 
 def remove_repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 20,
-                          batch_bytes: int = 6 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+                          batch_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """``(key, n_words, n_removed, kept, spans)`` per row: kept words joined by one space, and what went.
 
     A span is (start, length in words, source id, source start).
@@ -131,14 +150,14 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_i
     shift = np.uint64(64 - buckets.bit_length() + 1)
     own = docs.select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n_batches)).cast("int").alias("batch"),
                       F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    cache = WordHashes()
+    words = WordHasher()
 
     def short(least):
         return ((least << np.uint64(64 - int(shift))) >> np.uint64(32)).astype(np.uint32)
 
     def send_minimisers(batch_key, table):
         import pyarrow as pa
-        least = np.unique(Batch(table, k, cache).least)
+        least = np.unique(Edges(table, k, words).least)
         cut = np.searchsorted(least >> shift, np.arange(buckets + 1).astype(np.uint64))
         full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
         return pa.table({"bucket": pa.array(full, pa.int32()),
@@ -167,7 +186,7 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_i
         rows = []
         name = batch_key[0].as_py()
         if table.num_rows:
-            b = Batch(table, k, cache)
+            b = Edges(table, k, words)
             source = _sources(b.edge, b.check, b.place[b.row], b.start)
             later = (b.place[b.row] != b.place[b.row[source]]) | (b.start != b.start[source])
             local = compact(b.row[later], b.start[later], b.place[b.row[source[later]]], b.start[source[later]])
@@ -232,20 +251,21 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_i
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
         kind = [to_arrow_type(f.dataType) for f in result]
-        b = Batch(table, k, cache) if table.num_rows else None
+        b = Batch(table) if table.num_rows else None
         rows = [[], [], [], [], []]
         if b is not None:
             got = [np.frombuffer(x, SPAN) for x in found.column("spans").to_pylist()]
             s = np.concatenate(got) if got else np.empty(0, SPAN)
             s = compact(s["row"], s["start"], s["source"], s["at"], s["length"])
             edge = np.searchsorted(s["row"], np.arange(len(b.ids) + 1))
-            for i, words in enumerate(b.words):
-                own = s[edge[i]:edge[i + 1]]
+            for i, raw in enumerate(b.raws):
+                own, words = s[edge[i]:edge[i + 1]], raw.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 np.add.at(gone, own["start"], 1)
                 np.add.at(gone, own["start"] + own["length"] + k - 1, -1)
-                keep = np.cumsum(gone[:-1]) == 0
-                kept = words if keep.all() else [words[j] for j in np.flatnonzero(keep).tolist()]
+                kept = words
+                if len(own):
+                    kept = [words[j] for j in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
                 rows[0].append(b.ids[i]), rows[1].append(len(words)), rows[2].append(len(words) - len(kept))
                 rows[3].append(b" ".join(kept).decode("utf-8", "replace"))
                 rows[4].append([{"start": int(x["start"]), "length": int(x["length"]) + k - 1,

@@ -29,3 +29,21 @@ def test_bounded_sample_is_whole_when_small_and_near_its_bound_when_large(spark)
     df = spark.range(20000).withColumnRenamed("id", "k")
     assert bounded_sample(df, "k", 20000).count() == 20000
     assert abs(bounded_sample(df, "k", 2000).count() - 2000) < 250
+
+
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    import pickle
+
+    from hourcast.llm.common import WordHasher
+    rng = random.Random(5)
+    alphabet = ["a", "b", "\0", "é", " ", "x" * 9, " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c"]
+    raws = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))).encode() for _ in range(400)]
+    raws += [b"", b"  ", b"word" * 50_000 + b" tail"]
+    for piece in (1 << 18, 64):
+        hashes, counts = pickle.loads(pickle.dumps(WordHasher())).many(raws, piece)
+        words = [w for r in raws for w in r.split()]
+        assert counts.tolist() == [len(r.split()) for r in raws] and len(hashes) == len(words)
+        named = {}
+        assert all(named.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+        assert len(set(named.values())) == len(named)
+    assert WordHasher().many([])[0].tolist() == []

@@ -7,10 +7,11 @@ to collisions of 64-bit hashes) and finds every link between different sets.
 1. *Forest roots.*  Sizes fall into classes such that linked sets lie in the
    same or in adjacent ones.  For a class with at most D different shingles
    between linked sets, the hash range is cut into P > D parts; linked sets
-   then agree on a whole part.  Each set sends one hash per part, for its own
-   class and the next; equal hashes of a map batch are joined before the
-   shuffle, and a reducer links what is left to the smallest set of a hash.
-   Components of these links are the forests: no link leaves a forest.
+   then agree on P - D whole parts or more.  Each set sends one hash per part,
+   for its own class and the next (one posting per hash and map batch).  A set
+   that shares fewer of its hashes than that with all others together links
+   with nothing and is done.  Components of the remaining sets over the hashes
+   they share are the forests: no link leaves a forest.
 2. *Signature trees.*  A forest's sets, ordered by size and smallest hash, are
    the leaves of a tree whose nodes hold OR-combined bitmaps and size ranges.
    Tree pairs are traversed together; a node pair is dropped when its size
@@ -32,7 +33,7 @@ documents of their own with one id; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourcast.llm.common import WordHasher, connected_components, mix, shared_table, union_find
@@ -67,10 +68,11 @@ def parts_of(top: int, percent: int) -> tuple[int, int]:
     return differ, differ + 2 + differ // 7
 
 
-def signatures(s: np.ndarray, percent: int, tops: list[int]) -> np.ndarray:
-    """One hash per hash-range part of the set, for its size class and the next one."""
+def signatures(s: np.ndarray, percent: int, tops: list[int]) -> tuple[np.ndarray, int]:
+    """One hash per hash-range part for the set's size class and the next one, and how many of
+    them any linked set shares at least."""
     own = int(np.searchsorted(tops, len(s)))
-    out = []
+    out, need = [], []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + _M1), dtype=np.uint64)])
     for c in (own, own + 1):
         differ, parts = parts_of(tops[c], percent)
@@ -81,10 +83,13 @@ def signatures(s: np.ndarray, percent: int, tops: list[int]) -> np.ndarray:
         last = np.append(first[1:], len(s))
         salt = np.uint64((c << 32) + 1)
         out.append(mix((sums[last] - sums[first]) ^ mix(part[first] + (salt << np.uint64(1)))))
-        if len(first) <= differ:  # so few parts have shingles that an empty one may be all they share
+        # at most `differ` parts differ; of the others, the empty ones are not sent
+        need.append(len(first) - differ)
+        if len(first) <= differ:  # an empty part may be all they share: those are sent, too
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
             out.append(mix(mix(empty + (salt << np.uint64(1))) + _M2))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            need[-1] = 1
+    return (np.concatenate(out), min(need)) if out else (np.empty(0, np.uint64), 1)
 
 
 def digest(s: np.ndarray) -> int:
@@ -177,42 +182,46 @@ def spanning_links(sets: list[np.ndarray], percent: int, batch: int = 2048) -> l
 
 
 def _forest_links(docs: DataFrame, n: int, percent: int, buckets: int, docs_per_batch: int) -> DataFrame:
-    """Rows of kind 0 (a = id, b = digest, n), 1 (a - b: sets of one forest), 2 (n of a row with null id)."""
+    """Rows of kind 0 (a = id, b = digest, n, need), 1 (a = a hash that several sets share, b = one of
+    these sets), 2 (n of a row with null id)."""
     bits = buckets.bit_length() - 1
 
     def emit(batches):
         import pyarrow as pa
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()),
-                            ("c", pa.binary())])
+                            ("c", pa.binary()), ("d", pa.binary())])
         words, tops = WordHasher(), size_classes(1 << 12, percent)
 
         def flush(ids, sets, nulls):
             nonlocal tops
             names = np.array([digest(s) for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
-            rows = [(0, np.array(ids, np.int64).tobytes(), names.tobytes(), sizes.tobytes())] if ids else []
-            if nulls:
-                rows.append((2, b"", b"", np.array(nulls, np.int64).tobytes()))
+            rows = [(2, b"", b"", np.array(nulls, np.int64).tobytes(), b"")] if nulls else []
             if len(sizes) and sizes.max() * 2 > tops[-1]:
                 tops = size_classes(int(sizes.max()) * 2, percent)
             once = np.unique(names, return_index=True)[1]
-            sigs = [signatures(sets[k], percent, tops) for k in once.tolist() if sizes[k]]
             own = [k for k in once.tolist() if sizes[k]]
+            sent = [signatures(sets[k], percent, tops) for k in own]
+            sigs = [x for x, _ in sent]
+            need = dict(zip(names[own].tolist(), (m for _, m in sent)))
+            if ids:
+                rows.append((0, np.array(ids, np.int64).tobytes(), names.tobytes(), sizes.tobytes(),
+                             np.array([need.get(k, 1) for k in names.tolist()], np.int64).tobytes()))
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
             ref = np.repeat(names[own], [len(s) for s in sigs]) if sigs else np.empty(0, np.int64)
             order = np.lexsort((ref, flat))
             flat, ref = flat[order], ref[order]
+            flat >>= np.uint64(32 - bits)  # bucket and 32 bits more name a hash
             new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, bool)
-            root = ref[new][np.cumsum(new) - 1] if len(flat) else ref
-            edge = np.unique(np.stack([root[~new], ref[~new]]), axis=1)
-            if edge.shape[1]:
-                rows.append((1, edge[0].tobytes(), edge[1].tobytes(), b""))
+            if not new.all():  # shared inside the batch: all but the first are told here
+                rows.append((1, flat[~new].astype(np.int64).tobytes(), ref[~new].tobytes(), b"", b""))
             out = [(int(names[0]) % buckets if len(names) else 0, *r) for r in rows]
-            flat, ref = flat[new], ref[new]
-            bucket = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
-            short = (flat >> np.uint64(32 - bits)).astype(np.uint32)
+            first = np.flatnonzero(new)
+            several = (np.diff(np.append(first, len(flat))) > 1).astype(np.uint8)
+            flat, ref = flat[first], ref[first]
+            bucket, short = (flat >> np.uint64(32)).astype(np.int64), flat.astype(np.uint32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out += [(k, 3, short[cut[k]:cut[k + 1]].tobytes(), ref[cut[k]:cut[k + 1]].tobytes(), b"")
+            out += [(k, 3, *(x[cut[k]:cut[k + 1]].tobytes() for x in (short, ref, several)), b"")
                     for k in range(buckets) if cut[k] < cut[k + 1]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
 
@@ -234,34 +243,57 @@ def _forest_links(docs: DataFrame, n: int, percent: int, buckets: int, docs_per_
     def gather(table):
         import pyarrow as pa
         kinds = table.column("kind").to_numpy()
-        a, b, c = ([x for x in table.column(v).to_pylist()] for v in "abc")
-        out = {0: ([], [], []), 1: ([], [], []), 2: ([], [], [])}
-        short, ref = [], []
-        for kind, x, y, z in zip(kinds.tolist(), a, b, c):
+        out = {kind: ([], [], [], []) for kind in (0, 1, 2)}
+        short, ref, several = [], [], []
+        for kind, *blobs in zip(kinds.tolist(), *(table.column(v).to_pylist() for v in "abcd")):
             if kind == 3:
-                short.append(np.frombuffer(x, np.uint32)), ref.append(np.frombuffer(y, np.int64))
+                short.append(np.frombuffer(blobs[0], np.uint32)), ref.append(np.frombuffer(blobs[1], np.int64))
+                several.append(np.frombuffer(blobs[2], np.uint8))
                 continue
-            for into, v in zip(out[kind], (x, y, z)):
+            for into, v in zip(out[kind], blobs):
                 into.append(np.frombuffer(v, np.int64))
         if short:
-            sig, ref = np.concatenate(short), np.concatenate(ref)
+            sig, ref, several = np.concatenate(short), np.concatenate(ref), np.concatenate(several).astype(bool)
             order = np.lexsort((ref, sig))
-            sig, ref = sig[order], ref[order]
+            sig, ref, several = sig[order], ref[order], several[order]
             new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            root = ref[new][np.cumsum(new) - 1]
-            other = ~new & (root != ref)
-            edge = np.unique(np.stack([root[other], ref[other]]), axis=1)
-            out[1][0].append(edge[0]), out[1][1].append(edge[1])
-        cols: list = [[], [], [], []]
+            group = np.cumsum(new) - 1
+            # a group counts if it has two sets, or a batch has told of others
+            start = np.flatnonzero(new)
+            low, high = np.minimum.reduceat(ref, start), np.maximum.reduceat(ref, start)
+            shared = (low != high) | np.logical_or.reduceat(several, start)
+            once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])])
+            keep = shared[group] & once
+            name = (np.int64(table.column("bucket")[0].as_py()) << np.int64(32)) | sig[keep].astype(np.int64)
+            out[1][0].append(name), out[1][1].append(ref[keep])
+        cols: list = [[] for _ in range(5)]
         for kind, parts in out.items():
-            x, y, z = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
-            m = max(len(x), len(z))
-            for col, v in zip(cols, (np.full(m, kind, np.int8), x, y, z)):
+            flat = [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
+            m = max(map(len, flat))
+            for col, v in zip(cols, (np.full(m, kind, np.int8), *flat)):
                 col.append(pa.array(v) if len(v) == m else pa.nulls(m, pa.int64()))
-        return pa.table([pa.chunked_array(col) for col in cols], names=["kind", "a", "b", "n"])
+        return pa.table([pa.chunked_array(col) for col in cols], names=["kind", "a", "b", "n", "need"])
 
-    sent = docs.mapInArrow(emit, "bucket int, kind tinyint, a binary, b binary, c binary")
-    return sent.groupBy("bucket").applyInArrow(gather, "kind tinyint, a long, b long, n long")
+    sent = docs.mapInArrow(emit, "bucket int, kind tinyint, a binary, b binary, c binary, d binary")
+    return sent.groupBy("bucket").applyInArrow(gather, "kind tinyint, a long, b long, n long, need long")
+
+
+def _forests(found: DataFrame, leaves: DataFrame, rounds: int = 1) -> DataFrame:
+    """``(id, component_id)`` of the sets that share enough hashes, over the hashes they share.
+
+    Each round keeps the sets that share enough with those of the round before;
+    the rounds only save work, as none of them can drop a linked set.
+    """
+    alive = found.filter("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("digest")).withColumn("root", F.col("digest"))
+    need = leaves.select("digest", "need")
+    for _ in range(rounds):
+        enough = (alive.groupBy("digest").agg(F.count(F.lit(1)).alias("shared")).join(need, "digest")
+                  .filter("shared >= need").select("digest"))
+        kept = shared_table(alive.join(enough, "digest"), "alive")
+        roots = (kept.groupBy("hash").agg(F.min("digest").alias("root"), F.max("digest").alias("last"))
+                 .filter("root <> last").select("hash", "root"))
+        alive = shared_table(kept.select("hash", "digest").join(roots, "hash"), "alive")
+    return connected_components(alive.select(F.col("root").alias("src"), F.col("digest").alias("dst")))
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, percent: int = 85,
@@ -272,15 +304,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     buckets = 1 << max(5, (size // bucket_bytes).bit_length())
     found = shared_table(_forest_links(own, n, percent, buckets, docs_per_batch), "forests")
     sets = found.filter("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("digest"), "n")
-    forest = connected_components(found.filter("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    leaves = sets.groupBy("digest").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    leaves = (found.filter("kind = 0").groupBy(F.col("b").alias("digest"))
+              .agg(F.min("a").alias("k"), F.min("n").alias("n"), F.min("need").alias("need")))
+    forest = _forests(found, leaves)
     member = shared_table(leaves.join(forest, leaves["digest"] == forest["id"])
                           .select("k", "digest", "n", F.col("component_id").alias("forest")), "members")
     counts = member.groupBy("forest").agg(F.count(F.lit(1)).alias("m"))
     # chunks of a large forest are runs of the size order, found from a histogram of sizes
     by_size = (member.join(counts.filter(F.col("m") > chunk), "forest").groupBy("forest", "n")
                .agg(F.count(F.lit(1)).alias("c")))
-    from pyspark.sql import Window
     before = F.sum("c").over(Window.partitionBy("forest").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     ranges = by_size.select("forest", "n", F.coalesce(before, F.lit(0)).alias("before"), "c")
     large = (member.join(ranges, ["forest", "n"]).select(
@@ -320,7 +352,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     linked = connected_components(shared_table(verified, "links"))
     classed = sets.join(linked, sets["digest"] == linked["id"], "left").select(
         "k", "n", F.coalesce("component_id", "digest").alias("c"))
-    smallest = classed.groupBy("c").agg(F.min("k").alias("component_id"))
+    # a table of its own, so that the join's exchanges are plain and AQE can split a hot class
+    smallest = shared_table(classed.groupBy("c").agg(F.min("k").alias("component_id")), "smallest")
     result = classed.join(smallest, "c").select(
         F.col("k").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("component_id")).alias("component_id"))

@@ -137,7 +137,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
               .join(component.withColumnRenamed("id", "c"), "c", "left")
               .select("k", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                       F.coalesce("component_id", "c").alias("g")))
-    smallest = joined.groupBy("g").agg(F.min("k").alias("component_id"))
+    joined = shared_table(joined, "counted")
+    smallest = shared_table(joined.groupBy("g").agg(F.min("k").alias("component_id")), "smallest")
     alone = members.filter("c IS NULL").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     out = joined.join(smallest, "g").select("k", "n_links", "component_id").unionByName(alone)
     return out.select(F.col("k").alias(key), "n_links", "component_id",

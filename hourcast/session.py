@@ -53,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (local tests) do we create a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current and not spark.sparkContext.master.startswith("local["):
+    if not current and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="hourcast-ckpt-")

@@ -12,9 +12,11 @@ under the threshold is skipped whole.  In the others the lists run document at
 a time with the block's maxima as bounds: pivot, move, and score fully only
 what may pass.
 Every (passage, item) at or above the threshold is then verified: at least
-``overlap`` of the five-word shingles of both the question and the answer of
-the item occur in the passage (the answer is the last line, or the last
-sentence of a one-line item; parts under five words count as one shingle).
+``overlap`` of the item's five-word shingles occur in the passage (an item
+under five words counts as one), and at least half of the words of its question
+and half of those of its answer, so a quoted question without its answer is no
+leak, and a changed word is no escape.  The answer is the last line, or the
+last sentence of a one-line item.
 
 The index travels with the tasks; it is built of about ``shard_bytes`` of item text,
 and a larger benchmark is worked off in shards, one column of matches each.
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
-    T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()),
+    T.StructField("overlap", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()),
     T.StructField("start_word", T.LongType())]))
 
 
@@ -72,12 +74,18 @@ def contained(part: list[bytes], passage: list[bytes], n: int = 5) -> float:
     return len(own & there) / len(own)
 
 
+def present(part: list[bytes], passage: list[bytes]) -> float:
+    """Share of the part's distinct words that the passage holds."""
+    own = set(part)
+    return len(own.intersection(passage)) / len(own) if own else 1.0
+
+
 class ItemIndex:
     """Inverted lists (item, impact) by term, with maxima of ``block`` items and of the list."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n: int, mean: float,
                  longest: int, block: int = 4, k1: float = 1.2, b: float = 0.75):
-        self.block, self.ids, self.parts, lists = block, [], [], {}
+        self.block, self.ids, self.seqs, self.parts, lists = block, [], [], [], {}
         for item, text in sorted(items):
             seq = words(text)
             if not seq:
@@ -88,6 +96,7 @@ class ItemIndex:
             for t, w in weight.items():
                 lists.setdefault(t, []).append((len(self.ids), w / total))
             self.ids.append(item)
+            self.seqs.append(seq)
             self.parts.append(question_answer(text))
         self.stride = longest
         self.window = 2 * longest
@@ -170,10 +179,13 @@ class ItemIndex:
             part = ids[start:start + self.window]
             for k, score in self.wand(np.unique(part[part >= 0]).tolist(), block, threshold):
                 passage = seq[start:start + self.window]
-                q, a = (contained(p, passage) for p in self.parts[k])
-                if q >= overlap and a >= overlap:
-                    row = (self.ids[k], score, q, a, start)
-                    if k not in best or (-score, start) < (-best[k][1], best[k][4]):
+                share = contained(self.seqs[k], passage)
+                if share < overlap:
+                    continue
+                q, a = (present(p, passage) for p in self.parts[k])
+                if min(q, a) >= 0.5:
+                    row = (self.ids[k], score, share, q, a, start)
+                    if k not in best or (-score, start) < (-best[k][1], best[k][5]):
                         best[k] = row
         return [best[k] for k in sorted(best)]
 

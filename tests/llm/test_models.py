@@ -262,9 +262,15 @@ def brute_matches(docs, items, overlap=0.8):
         seq = decontaminate.words(t or "")
         for i, x in items:
             if x and decontaminate.words(x):
-                q, a = decontaminate.question_answer(x)
-                if decontaminate.contained(q, seq) >= overlap and decontaminate.contained(a, seq) >= overlap:
-                    out.add((k, i))
+                item, parts = decontaminate.words(x), decontaminate.question_answer(x)
+                for at in range(max(1, len(seq))):  # some stretch of the item's length around holds it
+                    near = seq[at:at + 2 * len(item)]
+                    if item[0] not in near and item[-1] not in near:
+                        continue
+                    if decontaminate.contained(item, near) >= overlap and all(
+                            len(set(p) & set(near)) >= 0.5 * len(set(p)) for p in parts):
+                        out.add((k, i))
+                        break
     return out
 
 
@@ -284,6 +290,8 @@ def leak_rows(seed=6):
             part = items[rng.randrange(30)][1].upper().split()
             if k % 9 == 3:
                 part = part[:len(part) // 2]  # half an item is no leak
+            elif k % 9 == 6 and len(part) > 24:
+                part[len(part) // 2] = "changed"
             w[at:at] = part
         docs.append((k, " ".join(w)))
     return docs, items

@@ -104,7 +104,8 @@ class Edges(Batch):
         self.edge = _join(left, right)[whole]
         self.check = (mix(left * _B ^ right * _A)[whole] >> np.uint64(32)).astype(np.uint32)
         least = min(8, k)
-        self.least = _sliding_min(grams.of(least), k - least + 1)[whole]
+        # mixed again: smallest hashes are small, and their first bits deal them to buckets
+        self.least = mix(_sliding_min(grams.of(least), k - least + 1)[whole])
 
 
 def _sources(edge, check, place, start):

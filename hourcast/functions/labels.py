@@ -122,6 +122,7 @@ def object_uri_error(uri: str | Column) -> Column:
 
 def idempotency_key(job_id, job_type, run_id, counter_id, dag_id, task_id, try_number) -> Column:
     """``job_id=<id>`` when given, else the ``|``-joined request fields."""
+    # Names and order of the key's fields, and their separator.
     fields = F.concat_ws("|",
                          F.concat(F.lit("job_type="), _c(job_type)),
                          F.concat(F.lit("run_id="), _c(run_id)),

@@ -76,12 +76,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=-1, keepdims=True)
 
 
-def train(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
+def train(x: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
           rate: float = 20.0, batch: int = 16, tail: float = 0.001, seed: int = 7) -> LanguageModel:
-    """SGD on the cross-entropy of the averaged embeddings, then calibration."""
+    """SGD on the cross-entropy of the averaged embeddings (rows of ``x`` sum to 1), then calibration."""
     languages = sorted(set(labels))
     y = np.array([languages.index(v) for v in labels])
-    x = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, own = order[:len(y) // 5], order[len(y) // 5:]
@@ -130,7 +129,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not len(got):
         return None
     got = got.assign(o=got["k"].astype(str)).sort_values(["o", "l"], kind="stable")
-    return train(np.stack([np.frombuffer(v, np.float32) for v in got["x"]]), got["l"].astype(str).tolist())
+    labels = got["l"].astype(str).tolist()
+    x = np.empty((len(got), buckets), np.float32)
+    for i, v in enumerate(got.pop("x")):
+        x[i] = np.frombuffer(v, np.float32)
+    del got  # the driver keeps one copy of the sample
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    return train(x, labels)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text",

@@ -5,9 +5,11 @@ folded to one blank) are hashed into ``buckets``; the document vector is the
 mean of the buckets' embeddings, and a softmax over a linear map of it gives
 the language.  Embeddings and map are trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows (``train_rows``); a fifth of it is
-kept for calibration: a temperature, then a rejection level that keeps every
-confidence seen among right answers except the lowest ``tail`` share (with
-under 20 right answers nothing with a letter is rejected).
+kept for calibration: a temperature, then a rejection level, the ``tail``
+quantile of the right answers' log-odds (with under 20 right answers nothing
+with a letter is rejected).  A few hundred answers do not reach that far down,
+so the level is the lower of the sample's quantile and Weissman's estimate of
+it, which carries the lowest tenth on as a power law.
 
 At scoring time the two linear layers fold into one (buckets x languages)
 table of a few hundred KB, so a partition needs one table lookup per n-gram.
@@ -64,11 +66,32 @@ class LanguageModel:
     table: np.ndarray  # buckets x languages: embeddings times the linear map
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    reject_below: float  # log-odds: they tell texts apart where probabilities round to 1
 
-    def probabilities(self, counts: np.ndarray) -> np.ndarray:
+    def logits(self, counts: np.ndarray) -> np.ndarray:
         x = counts / np.maximum(counts.sum(axis=-1, keepdims=True), 1)
-        return _softmax((x @ self.table + self.bias) / self.temperature)
+        return (x @ self.table + self.bias) / self.temperature
+
+    def probabilities(self, counts: np.ndarray) -> np.ndarray:
+        return _softmax(self.logits(counts))
+
+
+def log_odds(z: np.ndarray) -> np.ndarray:
+    """Log-odds of each row's largest logit against the others (infinite if there are none)."""
+    z = np.sort(z, axis=-1)
+    return z[..., -1] - np.logaddexp.reduce(z[..., :-1], axis=-1)
+
+
+def rejection_level(right: np.ndarray, tail: float) -> float:
+    """The ``tail`` quantile of the right answers' log-odds: the sample's or Weissman's, whichever is lower."""
+    if len(right) < 20 or not np.isfinite(right).all():  # too few to reject anything, or one language only
+        return -np.inf
+    level, tenth = np.quantile(right, [tail, 0.1])
+    low = right[right < tenth]
+    if tenth <= 0 or not len(low):
+        return float(level)
+    power = np.log(tenth / np.maximum(low, tenth / 100)).mean()
+    return float(min(level, tenth * (tail / 0.1) ** power))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -98,18 +121,14 @@ def train(x: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
             lin -= 0.05 * step * (h.T @ g)
             bias -= 0.002 * step * g.sum(axis=0)
             emb -= step * (x[part].T @ grad_h)
-    z = x[held] @ emb @ lin + bias if len(held) else np.zeros((0, len(languages)))
+    table, bias = (emb @ lin).astype(np.float64), bias.astype(np.float64)
+    z = x[held] @ table + bias if len(held) else np.zeros((0, len(languages)))
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() if len(held) else 0
             for t in grid]
     temperature = float(grid[int(np.argmin(loss))]) if len(held) else 1.0
-    p = _softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y[held]] if len(held) else np.array([])
-    # at least 1.2 times an even guess, at most what the right answers reach
-    floor = 1.2 / len(languages) if len(languages) > 1 else 0.0
-    level = float(np.quantile(right, tail)) if len(right) >= 20 else 0.0  # too few to reject anything
-    return LanguageModel(languages, (emb @ lin).astype(np.float64), bias.astype(np.float64),
-                         temperature, min(floor, level))
+    right = log_odds(z / temperature)[z.argmax(axis=1) == y[held]] if len(held) else np.array([])
+    return LanguageModel(languages, table, bias, temperature, rejection_level(right, tail))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
@@ -152,9 +171,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text",
             if model is None or t is None or not has_letter(t):
                 names.append("und"), scores.append(0.0), out.append(True)
                 continue
-            p = model.probabilities(gram_counts(t, len(model.table)))
+            z = model.logits(gram_counts(t, len(model.table)))
+            p = _softmax(z)
             k = int(p.argmax())
-            names.append(model.languages[k]), scores.append(float(p[k])), out.append(bool(p[k] < model.reject_below))
+            names.append(model.languages[k]), scores.append(float(p[k])), out.append(bool(log_odds(z) < model.reject_below))
         return pd.DataFrame({"lang_pred": names, "score": scores, "rejected": out})
 
     held = f"{prefix}__language"

@@ -52,6 +52,28 @@ def test_language_edge_cases(spark):
     assert nothing is None and {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def test_unlearned_languages_and_letter_junk_are_rejected(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL")
+    model = langid.fit(docs.filter(queries.id_mod("doc_id", 4) != 2))
+    odd = ["Ovo je sasvim običan tekst na jeziku koji nije naučen i trebalo bi ga odbiti",
+           "jest to zwykły polski tekst który powinien zostać odrzucony ponieważ nie zna go model",
+           "Это обычный русский текст который не был выучен", "これは日本語の文章です。学習されていない言語です",
+           "xq zvkj qwrtp zzkx vbnm qqq xkcd wvw pqz", "łżźć " * 40, "def f(x): return [i**2 for i in range(x)] if x else None"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert all(r.rejected for r in got)
+    clean = docs.filter(queries.id_mod("doc_id", 4) == 2).filter("size(split(text, ' ')) >= 5")
+    held = langid.identify(clean.select("doc_id", "text"), model)
+    assert held.count() > 200 and held.filter("rejected").count() < 0.01 * held.count()
+
+
+def test_rejection_level_is_the_quantile_of_right_answers():
+    right = np.random.default_rng(5).lognormal(2, 0.3, 20_000)
+    assert (right < langid.rejection_level(right, 0.001)).mean() <= 0.001
+    lost = [(right < langid.rejection_level(own, 0.001)).mean() for own in right.reshape(-1, 40)]
+    assert np.mean(lost) < 0.01 < np.mean([(right < own.min()).mean() for own in right.reshape(-1, 40)])
+    assert langid.rejection_level(right[:19], 0.001) == -np.inf
+
+
 # ---- toxicity ---------------------------------------------------------------
 
 def test_composed_grammar_marks_scope():

@@ -12,6 +12,13 @@ without another read: up to ``window`` lines, which reaches the next selected
 fingerprint of the same run or the run's end.  The lines of the later
 occurrence go; every deleted line has an equal one that starts earlier.
 
+The first occurrence may stand in another context than an earlier copy of the
+run, so an edge line of such a run can stay.  With ``every_run`` a fingerprint
+is also joined with the first occurrence that has the same lines before it, and
+with the first that has the same lines after it, for up to ``window - 1`` lines
+each: then every line of every run of ``gram + window - 1`` lines or more that
+starts earlier goes.
+
 Shuffles carry fingerprints, never text: a map-side minimum per fingerprint,
 one join that AQE splits where a fingerprint is hot, and one set of line numbers
 per changed document joined back.  No Python, no pairs within a group.
@@ -53,7 +60,21 @@ def fingerprints(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
         f"transform(sequence(s.pos - {window}, s.pos + {gram - 1 + window}), j -> try_element_at(e, if(j < 0, size(e) + 1, j + 1)))").alias("around"))
 
 
-def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+def repeated_edges(found: DataFrame, gram: int, window: int) -> DataFrame:
+    """``(k, d, gone)``: the lines beside a fingerprint that stood beside it before."""
+    end = window + gram
+    spans = [(window - n + 1, n) for n in range(1, window)] + [(end + 1, n) for n in range(1, window)]
+    sides = ", ".join(f"struct({s} AS side, slice(around, {at}, {n}) AS a)" for s, (at, n) in enumerate(spans))
+    beside = found.select("k", "d", "pos", "fp", F.explode(F.expr(f"array({sides})")).alias("s")).filter(
+        "forall(s.a, x -> x IS NOT NULL)").select(
+        "k", "d", "pos", "s.side", F.expr("concat(fp, array_join(transform(s.a, x -> x.h), ''))").alias("run"),
+        F.expr("transform(s.a, x -> x.i)").alias("gone"))
+    first = beside.groupBy("side", "run").agg(F.min(F.struct("k", "d", "pos")).alias("o"))
+    return beside.join(first, ["side", "run"]).filter(
+        F.expr("NOT (k <=> o.k AND d = o.d AND pos = o.pos)")).select("k", "d", "gone")
+
+
+def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, every_run: bool = False) -> DataFrame:
     """``(k, d, gone)``: the original line numbers to delete in each document that has any."""
     found = shared_table(fingerprints(docs, gram, window), "fingerprints")
     first = found.groupBy("fp").agg(F.min(F.struct(
@@ -66,15 +87,17 @@ def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame
         f"(i >= {window} AND i < {end}) "
         f"OR (i < {window} AND forall(slice(same, i + 1, {window} - i), x -> x)) "
         f"OR (i >= {end} AND forall(slice(same, {end + 1}, i - {end} + 1), x -> x)), a.i, null)), x -> x IS NOT NULL)").alias("gone"))
+    if every_run and window > 1:
+        reach = reach.unionByName(repeated_edges(found, gram, window))
     return reach.select("k", "d", F.explode("gone").alias("i")).groupBy("k", "d").agg(F.collect_set("i").alias("gone"))
 
 
 def remove_repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = 2,
-                         window: int = 2, prefix: str = "") -> DataFrame:
+                         window: int = 2, prefix: str = "", every_run: bool = False) -> DataFrame:
     """``docs`` with its repeated runs cut from ``text``, plus ``n_lines`` and ``n_removed``."""
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     keyed = own.filter("t IS NOT NULL").select("k", F.xxhash64("t").alias("d"), "t")
-    gone = repeated_lines(keyed, gram, window).select(
+    gone = repeated_lines(keyed, gram, window, every_run).select(
         F.col("k").alias("__k"), F.col("d").alias("__d"), F.col("gone").alias("__gone"))
     joined = docs.withColumn("__key", F.col(key)).withColumn("__digest", F.xxhash64(F.col(text)))
     joined = joined.join(gone, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d")), "left")

@@ -1,5 +1,6 @@
 """Operators on pairs against brute force: vectors, shingle sets, line runs, word spans."""
 
+import collections
 import hashlib
 import random
 
@@ -231,6 +232,43 @@ def test_guaranteed_runs_are_cut(spark):
     assert got[1] == data[0][1] and not any("r1" in got[k] for k in (2, 3))
 
 
+def run_lines(data, size):
+    """Per document the numbers of its lines in runs of ``size`` that start earlier, and of all lines that do."""
+    seen, lines_seen, runs, single = set(), set(), {}, {}
+    for k, t in sorted(data):
+        own = [(i, x) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
+        runs[k], single[k] = set(), set()
+        for p in range(len(own)):
+            run = tuple(x for _, x in own[p:p + size])
+            if len(run) == size and run in seen:
+                runs[k].update(i for i, _ in own[p:p + size])
+            seen.add(run)
+            if own[p][1] in lines_seen:
+                single[k].add(own[p][0])
+            lines_seen.add(own[p][1])
+    return runs, single
+
+
+@pytest.mark.parametrize("gram,window", [(2, 2), (2, 3), (1, 4)])
+def test_every_line_of_a_run_that_starts_earlier_goes(spark, gram, window):
+    rng = random.Random(11)  # few different lines: the first occurrence of a gram often has other neighbours
+    data = [(k, "\n".join(f"line {rng.randrange(4)}" for _ in range(rng.randrange(1, 9)))) for k in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    left = {}
+    for every in (False, True):
+        got = {r.doc_id: r for r in linededup.remove_repeated_runs(df, gram=gram, window=window, every_run=every).collect()}
+        runs, single = run_lines(data, gram + window - 1)
+        left[every] = 0
+        for k, t in data:
+            own = t.split("\n")
+            most = [x for i, x in enumerate(own) if i not in runs[k]]  # all that may stay
+            least = [x for i, x in enumerate(own) if i not in single[k]]
+            kept = got[k].text.split("\n") if got[k].n_removed < len(own) else []
+            left[every] += sum((collections.Counter(kept) - collections.Counter(most)).values())
+            assert not collections.Counter(least) - collections.Counter(kept)
+    assert left[True] == 0 < left[False]
+
+
 def test_line_query_equals_its_sql(spark):
     a = rows(queries.QUERIES["op7_line_dedup"](spark, SMALL).toPandas())
     assert a == rows(duck(SMALL).execute(queries.ORACLE["op7_line_dedup"]).fetchdf())

@@ -67,3 +67,10 @@ def test_run_is_registered_and_packs_everything(spark):
     assert "pipeline" in E.queries() and "pipeline" not in E.oracle_sql()
     out = P.run(spark, SMALL)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 100
+
+
+def test_line_stage_cuts_runs_whose_first_gram_stood_elsewhere(spark):
+    # whichever gram of a, b, c is selected, it occurs first in another context
+    rows = [(1, "x\na\nb\ny"), (2, "x\nb\nc\ny"), (3, "p\na\nb\nc\nq"), (4, "r\na\nb\nc\ns")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in P.lines(spark, docs, SMALL).collect()}[4] == "r\ns"

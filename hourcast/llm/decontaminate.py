@@ -3,8 +3,9 @@
 The test items are the indexed side and every training passage is a query.
 Impacts are BM25 weights divided by the item's own total, so a passage that
 holds all of an item's words scores 1 and one threshold serves all items.
-Passages are word windows of twice the longest item, one item length apart:
-each item-sized stretch of a text lies whole in a passage.
+Passages are word windows of two and a half times the longest item, half a
+window apart: each stretch of a text of up to one and a quarter item lengths,
+which has room for inserted words, lies whole in a passage.
 
 Search is block-max WAND.  The block maxima of the distinct terms of all of a
 document's passages are summed at once, and a (passage, block) whose sum stays
@@ -13,13 +14,19 @@ a time with the block's maxima as bounds: pivot, move, and score fully only
 what may pass.
 Every (passage, item) at or above the threshold is then verified: at least
 ``overlap`` of the item's five-word shingles occur in the passage (an item
-under five words counts as one), and at least half of the words of its question
-and half of those of its answer, so a quoted question without its answer is no
-leak, and a changed word is no escape.  The answer is the last line, or the
-last sentence of a one-line item.
+under five words counts as one), or a stretch of the passage is the item but
+for changed, inserted or dropped words, ``1 - overlap`` of the item's length at
+most.  At 0.8 that bears one such word in an item of five words, two in one of
+ten, and so on.  The threshold is lowered to what those edits leave of the
+weights, so the search loses nothing that stands up to verification.
+Also, at least half of the words of the question and half of those of the
+answer must be there, so a quoted question without its answer, or with another
+one, is no leak.  The answer is the last line, or the last sentence of a
+one-line item.
 
 The index travels with the tasks; it is built of about ``shard_bytes`` of item text,
-and a larger benchmark is worked off in shards, one column of matches each.
+and a larger benchmark is worked off in shards.  A shard's matches are written
+to the shared folder, by digest of the text, before the next shard is built.
 Document frequencies are taken over all items before the split.
 
 Defined cases: null and empty texts match nothing; null or wordless items
@@ -32,6 +39,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -39,6 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hourcast.llm.common import shared_table
+
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
@@ -64,14 +74,34 @@ def shingles(seq: list[bytes], n: int = 5) -> set[tuple[bytes, ...]]:
     return {tuple(seq[i:i + n]) for i in range(max(1, len(seq) - n + 1))} if seq else set()
 
 
+def edits(part: list[bytes], passage: list[bytes]) -> int:
+    """Fewest words to change, insert or drop so that the part is a stretch of the passage (Myers, bit-parallel)."""
+    at: dict[bytes, int] = {}
+    for i, w in enumerate(part):
+        at[w] = at.get(w, 0) | 1 << i
+    full, last = (1 << len(part)) - 1, 1 << len(part) >> 1
+    more, less, score = full, 0, len(part)
+    best = score
+    for w in passage:
+        same = at.get(w, 0)
+        x = (((same & more) + more) ^ more) | same
+        up, down = less | (full & ~(x | more)), more & x
+        score += bool(up & last) - bool(down & last)
+        best = min(best, score)
+        up, down, x = up << 1 & full, down << 1 & full, same | less
+        more, less = down | (full & ~(x | up)), up & x
+    return best
+
+
 def contained(part: list[bytes], passage: list[bytes], n: int = 5) -> float:
-    """Share of the part's n-word shingles (the whole part, if shorter) that the passage holds."""
+    """Share of the part that the passage holds: of its n-word shingles (the whole part, if shorter), or of its words in a row but for edits."""
     if not part:
         return 1.0
     own = shingles(part, n)
     size = min(n, len(part))
     there = {tuple(passage[i:i + size]) for i in range(len(passage) - size + 1)}
-    return len(own & there) / len(own)
+    share = len(own & there) / len(own)
+    return share if share == 1 or len(part) < n else max(share, 1 - edits(part, passage) / len(part))
 
 
 def present(part: list[bytes], passage: list[bytes]) -> float:
@@ -84,8 +114,9 @@ class ItemIndex:
     """Inverted lists (item, impact) by term, with maxima of ``block`` items and of the list."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n: int, mean: float,
-                 longest: int, block: int = 4, k1: float = 1.2, b: float = 0.75):
-        self.block, self.ids, self.seqs, self.parts, lists = block, [], [], [], {}
+                 longest: int, block: int = 4, k1: float = 1.2, b: float = 0.75, shards: int = 1):
+        self.shards = shards
+        self.block, self.ids, self.seqs, self.parts, self.heaviest, lists = block, [], [], [], [], {}
         for item, text in sorted(items):
             seq = words(text)
             if not seq:
@@ -98,8 +129,9 @@ class ItemIndex:
             self.ids.append(item)
             self.seqs.append(seq)
             self.parts.append(question_answer(text))
-        self.stride = longest
-        self.window = 2 * longest
+            self.heaviest.append(sorted((weight[t] / total / tf for t, tf in Counter(seq).items() for _ in range(tf)), reverse=True))
+        self.stride = longest + longest // 4
+        self.window = 2 * self.stride
         self.terms = {t: k for k, t in enumerate(lists)}
         self.items = [[i for i, _ in v] for v in lists.values()]
         self.impacts = [[w for _, w in v] for v in lists.values()]
@@ -170,6 +202,10 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] < end]
         return found
 
+    def goal(self, threshold: float, overlap: float) -> float:
+        """The threshold, or what is left of an item after the edits that ``overlap`` bears, if that is less."""
+        return min([threshold, *(1 - sum(w[:int((1 - overlap) * len(seq) + 1e-9)]) for seq, w in zip(self.seqs, self.heaviest))])
+
     def matches(self, text: str, threshold: float, overlap: float) -> list[tuple]:
         """The text's verified items, each with its best passage."""
         seq = words(text)
@@ -180,7 +216,7 @@ class ItemIndex:
             for k, score in self.wand(np.unique(part[part >= 0]).tolist(), block, threshold):
                 passage = seq[start:start + self.window]
                 share = contained(self.seqs[k], passage)
-                if share < overlap:
+                if share < overlap - 1e-9:
                     continue
                 q, a = (present(p, passage) for p in self.parts[k])
                 if min(q, a) >= 0.5:
@@ -191,7 +227,7 @@ class ItemIndex:
 
 
 def build_shards(items: DataFrame, text: str = "text", key: str = "item_id",
-                 shard_bytes: int = 4 << 20) -> list[ItemIndex]:
+                 shard_bytes: int = 4 << 20) -> Iterator[ItemIndex]:
     """Indexes over all items with text, each of about ``shard_bytes`` of it at most.
 
     Statistics that need all items (document frequencies) are looked up for a
@@ -201,7 +237,7 @@ def build_shards(items: DataFrame, text: str = "text", key: str = "item_id",
         F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
     if not n:
-        return []
+        return
     shards = -(-size // shard_bytes)
 
     @F.pandas_udf("array<binary>")
@@ -211,8 +247,7 @@ def build_shards(items: DataFrame, text: str = "text", key: str = "item_id",
     seqs = rows.withColumn("w", split_words("t")).filter(F.size("w") > 0)
     n, mean, longest = seqs.agg(F.count(F.lit(1)), F.avg(F.size("w")), F.max(F.size("w"))).first()
     if not n:
-        return []
-    out = []
+        return
     for s in range(shards):
         own = seqs.filter(F.pmod(F.xxhash64("k", "t"), F.lit(shards)) == s)
         part = [tuple(r) for r in own.select("k", "t").collect()]
@@ -220,19 +255,29 @@ def build_shards(items: DataFrame, text: str = "text", key: str = "item_id",
         df = {bytes(r[0]): r[1] for r in seqs.select(F.explode(F.array_distinct("w")).alias("term"))
               .join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1))).collect()}
         if part:
-            out.append(ItemIndex(part, df, n, mean, longest))
-    return out
+            yield ItemIndex(part, df, n, mean, longest, shards=shards)
 
 
 def find_matches(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = 0.6,
                  overlap: float = 0.8, column: str = "matches") -> DataFrame:
     """``docs`` plus ``column``: the verified test items of each document (empty: clean)."""
-    found = [F.array().cast(MATCH)]
+    own = F.sha2(F.col(text).cast("binary"), 256)
+    found = None
     for index in build_shards(items):
+        goal = index.goal(threshold, overlap)
+
         @F.pandas_udf(MATCH)
-        def search(series, index=index):
+        def search(series, index=index, goal=goal):
             import pandas as pd
-            return pd.Series([index.matches(t, threshold, overlap) if t else [] for t in series])
-
-        found.append(search(F.col(text)))
-    return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0])
+            return pd.Series([index.matches(t, goal, overlap) if t else [] for t in series])
+
+        if index.shards == 1:
+            return docs.withColumn(column, search(F.col(text)))
+        part = shared_table(docs.select(own.alias("__own"), F.explode(search(F.col(text))).alias("__found")).distinct(), "leaks")
+        found = part if found is None else found.unionByName(part)
+    none = F.array().cast(MATCH)
+    if found is None:
+        return docs.withColumn(column, none)
+    found = found.groupBy("__own").agg(F.array_sort(F.collect_list("__found")).alias("__found"))
+    joined = docs.withColumn("__text_own", own).join(found, F.col("__text_own") == F.col("__own"), "left")
+    return joined.withColumn(column, F.coalesce("__found", none)).drop("__text_own", "__own", "__found")

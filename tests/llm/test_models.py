@@ -363,6 +363,62 @@ def test_leak_edge_cases(spark):
     assert decontaminate.find_matches(docs.limit(0), items).collect() == []
 
 
+def test_a_changed_inserted_or_dropped_word_is_no_escape_at_any_length(spark):
+    rng = random.Random(8)
+    common, rare = ["the", "of", "and", "in", "to", "is"], iter(f"r{i}" for i in range(9999))
+    items, docs, want = [], [], set()
+    for m in range(5, 61):
+        w = [rng.choice(common) if rng.random() < 0.6 else next(rare) for _ in range(m - 3)] + [next(rare) for _ in range(3)]
+        items.append((m, " ".join(w[:-3]) + ". " + " ".join(w[-3:])))
+        for at in sorted({0, 1, m // 2, m - 2, m - 1}):
+            plants = [[*w[:at], "other", *w[at + 1:]], [*w[:at], *w[at + 1:]]] + ([[*w[:at], "other", *w[at:]]] if at else [])
+            if m >= 10 and at == m // 2:  # two changes apart
+                plants.append(["other" if i in (m // 4, m // 2) else x for i, x in enumerate(w)])
+            for p in plants:
+                want.add((len(docs), m))
+                docs.append((len(docs), " ".join([f"own{rng.randrange(400)}" for _ in range(rng.randrange(200))] + p + ["end", "of", "it"])))
+        if m >= 8:  # a third replaced is no leak
+            docs.append((len(docs), " ".join("other" if i % 3 == 0 else x for i, x in enumerate(w))))
+    got = decontaminate.find_matches(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, x.item_id) for r in got.collect() for x in r.matches}
+    assert want <= found and not {k for k, _ in found} - {k for k, _ in want}
+
+
+def test_edits_match_the_table_of_all_alignments():
+    rng = random.Random(9)
+    for _ in range(300):
+        part, passage = ([rng.choice("abcd") for _ in range(rng.randrange(lo, hi))] for lo, hi in ((1, 12), (0, 20)))
+        row = [0] * (len(passage) + 1)
+        for i, x in enumerate(part, 1):
+            new = [i]
+            for j, y in enumerate(passage, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        assert decontaminate.edits(part, passage) == min(row)
+
+
+def test_each_shard_is_written_before_the_next_is_built(spark, monkeypatch):
+    docs, items = (spark.createDataFrame(x, f"{k} long, text string") for x, k in zip(leak_rows(), ("doc_id", "item_id")))
+    steps, build, write = [], decontaminate.build_shards, decontaminate.shared_table
+
+    def found():
+        rows = decontaminate.find_matches(docs, items).orderBy("doc_id").collect()
+        return [(r.doc_id, r.text, [(m.item_id, round(m.score, 9)) for m in r.matches]) for r in rows]
+
+    whole = found()
+
+    def built(x):
+        for shard in build(x, shard_bytes=900):
+            steps.append("built")
+            yield shard
+
+    monkeypatch.setattr(decontaminate, "build_shards", built)
+    monkeypatch.setattr(decontaminate, "shared_table", lambda df, name: (write(df, name), steps.append("written"))[0])
+    assert found() == whole
+    assert len(steps) > 4 and steps == ["built", "written"] * (len(steps) // 2)
+
+
 def test_leaks_on_the_given_tables(spark):
     got = queries.QUERIES["op2_decontamination"](spark, SMALL).toPandas()
     docs, items = (pd.read_parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -30,11 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the line runs of three or more that occur earlier; ``n_chars`` follows the text.
 
-    A document whose every line went has no text of its own left and goes.
+    A changed document with nothing but white space left (blank lines never
+    match and stay) has no text of its own and goes.
     """
     cut = linededup.remove_repeated_runs(docs, prefix="__", every_run=True)
     changed = F.col("__n_removed") > 0
-    return (cut.filter(~changed | (F.length(F.trim("text")) > 0))
+    return (cut.filter(~changed | F.col("text").rlike(r"(?U)\S"))
             .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
             .select(*docs.columns))
 

@@ -74,3 +74,12 @@ def test_line_stage_cuts_runs_whose_first_gram_stood_elsewhere(spark):
     rows = [(1, "x\na\nb\ny"), (2, "x\nb\nc\ny"), (3, "p\na\nb\nc\nq"), (4, "r\na\nb\nc\ns")]
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.text for r in P.lines(spark, docs, SMALL).collect()}[4] == "r\ns"
+
+
+def test_copies_with_blank_lines_leave_no_husk(spark):
+    text = "one line of words\n\nanother line of words\n \n\t\n\u00a0\nand a third line\n"
+    rows = [(1, text), (2, text), (3, "one line of words\n\n\nanother line of words\n\n"), (4, "\n\n"), (5, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.lines(spark, docs, SMALL).collect()}
+    assert got.keys() & {1, 2, 4, 5} == {1, 4, 5} and got[1] == text
+    assert all(t is None or t.strip() or k == 4 for k, t in got.items())

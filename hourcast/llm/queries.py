@@ -150,3 +150,64 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hourcast.llm import lm
     return lm.score(documents(spark, sf_dir), id_mod("doc_id", 7) != 2).select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import secrets
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) AS long)").alias("n_" + kind) for kind in secrets.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _secrets_sql() -> str:
+    from hourcast.llm import secrets as s
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def located(name: str, pattern: str, group: int) -> str:
+        p = text(pattern)
+        return f"""{name} AS (
+  SELECT r, i, x, m, sum(length(gap) + length(x)) OVER (PARTITION BY r ORDER BY i) AS e
+  FROM (SELECT r, unnest(range(len(xs))) AS i, unnest(xs) AS x, unnest(ms) AS m, unnest(gaps[1:len(xs)]) AS gap
+        FROM (SELECT r, regexp_extract_all(t, {p}, 0) AS xs, regexp_extract_all(t, {p}, {group}) AS ms,
+                     string_split_regex(t, {p}) AS gaps FROM texts)))"""
+
+    ctes = ["texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"]
+    taken = []
+    for no, (kind, (pattern, group, least)) in enumerate(s.BASE.items()):
+        pattern = pattern[pattern.index(")") + 1:] if kind == "assign" else pattern  # RE2 has no look-ahead
+        ctes += [located(f"found_{kind}", pattern, group),
+                 f"{kind} AS (SELECT r, e - length(x) AS s, {no} AS no, e, '{kind}' AS kind FROM found_{kind} WHERE length(m) >= {least})"]
+        taken.append(f"SELECT * FROM {kind}")
+    f = "[" + ", ".join(map(str, s.terms(s.WINDOW))) + "]"
+    for no, (kind, (symbols, others, level)) in enumerate(s.CLASSES.items(), len(s.BASE)):
+        pattern = "[" + "".join(c if c.isalnum() else "\\" + c for c in symbols + others) + f"]{{{s.WINDOW},}}"
+        known = "lower(x)" if symbols == symbols.lower() else f"translate(x, '{others}', '{symbols[-len(others):]}')"
+        ctes += [located(f"found_{kind}", pattern, 0), f"""windows_{kind} AS (
+  SELECT r, e - length(x) AS s, x, w, substr({known}, w + 1, {s.WINDOW}) AS v
+  FROM (SELECT *, unnest(range(length(x) - {s.WINDOW - 1})) AS w FROM found_{kind})), hits_{kind} AS (
+  SELECT *, coalesce(w - lag(w) OVER (PARTITION BY r, s ORDER BY w) > {s.WINDOW}, true) AS first FROM windows_{kind}
+  WHERE list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: {f}[length(v) - length(replace(v, c, '')) + 1]))
+        <= {s.most_sum(s.WINDOW, level)}), spans_{kind} AS (
+  SELECT r, s + min(w) AS s, s + max(w) + {s.WINDOW} AS e, substr(any_value(x), min(w) + 1, max(w) - min(w) + {s.WINDOW}) AS x
+  FROM (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY r, s ORDER BY w) AS island FROM hits_{kind}) GROUP BY r, s, island),
+{kind} AS (
+  SELECT r, s, {no} AS no, e, '{kind}' AS kind FROM spans_{kind} n
+  WHERE NOT ({" OR ".join(f"regexp_matches(x, {text(a)})" for a in s.ALLOW)})
+    AND NOT EXISTS (SELECT 1 FROM ({" UNION ALL ".join(taken)}) o WHERE o.r = n.r AND o.s < n.e AND n.s < o.e))"""]
+        taken.append(f"SELECT * FROM {kind}")
+    base = [f"'{k}'" for k in s.BASE]
+    return f"""WITH {", ".join(ctes)}, found AS ({" UNION ALL ".join(taken)}),
+joined AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{k[1:-1]}" for k in base)},
+         string_agg(CASE WHEN kind IN ({", ".join(base)}) THEN concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) END, ',' ORDER BY s, no) AS base,
+         string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, no) AS spans FROM found GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k[1:-1]}, 0) AS BIGINT) AS n_{k[1:-1]}" for k in base)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN joined USING (r)"""
+
+
+ORACLE["op13_secrets"] = _secrets_sql()

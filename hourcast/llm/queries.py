@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import documents, id_mod
+from hourcast.llm.common import documents, id_mod, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -211,3 +211,62 @@ SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k[1:-1]}, 0) AS BIGINT) AS n_{k[1:-
 
 
 ORACLE["op13_secrets"] = _secrets_sql()
+
+
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the UTF-8 bytes of ``x``."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    tab = "[" + ", ".join(map(str, table)) + "]::BIGINT[]"
+    byte = ("(instr('0123456789ABCDEF', hex(encode({x}))[2 * i + 1]) - 1) * 16 "
+            "+ instr('0123456789ABCDEF', hex(encode({x}))[2 * i + 2]) - 1").format(x=x)
+    octets = f"list_transform(range(CAST(length(hex(encode({x}))) / 2 AS BIGINT)), lambda i: {byte})"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            f"lambda a, b: xor(a >> 8, ({tab})[xor(a, b) % 256 + 1])), 4294967295::BIGINT)")
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import resample
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    weighed = resample.weigh(documents(spark, sf_dir).select("doc_id", "text"), target)
+    stored = shared_table(weighed.select("doc_id", "n_words", "n_features", "weight", "score"), "weighed")
+    return resample.draw(stored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _features_sql(table: str, key: str) -> str:
+    """(r, w, f): the row, its words and one row per run of one or two words."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    return f"""{table}_words AS (
+  SELECT row_number() OVER () AS r, {key} AS k, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM {table}),
+{table}_features AS (
+  SELECT r, unnest(w) AS f FROM {table}_words
+  UNION ALL SELECT r, w[i] || ' ' || w[i + 1] FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM {table}_words))"""
+
+
+ORACLE["op12_resampling"] = f"""WITH {_features_sql("documents", "doc_id")}, {_features_sql("benchmark", "item_id")},
+named AS (
+  SELECT f, {crc32_sql("f")} % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM (SELECT f FROM documents_features UNION ALL SELECT f FROM benchmark_features))),
+corpus AS (SELECT bucket, count(*) AS s FROM documents_features JOIN named USING (f) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM benchmark_features JOIN named USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM corpus) + 10000 AS DOUBLE))
+         / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM target) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM corpus LEFT JOIN target USING (bucket)),
+sums AS (
+  SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM documents_features JOIN named USING (f) JOIN gains USING (bucket) GROUP BY r),
+weighed AS (
+  SELECT r, k AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+         coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(k AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM documents_words LEFT JOIN sums USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN rank <= (SELECT count(*) FROM ranked) * 25 // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)"""

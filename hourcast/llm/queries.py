@@ -270,3 +270,131 @@ ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST,
 SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
        CASE WHEN rank <= (SELECT count(*) FROM ranked) * 25 // 100 THEN rank END AS rank
 FROM scored LEFT JOIN ranked USING (r)"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with a fifth to a quarter of the rows dropped, emptied, stripped, repeated or reroled."""
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    lot = F.crc32(F.concat(named[0], F.lit(":"), named[1]).cast("binary")) % 20
+    return rows.withColumn("lot", lot).filter("lot <> 0").select(
+        "conv_id", "turn", F.when(F.col("lot") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("lot") == 1, "").when(F.col("lot") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.expr("sequence(1, if(lot = 3, 2, 1))")).alias("copy")).drop("copy")
+
+
+def repair_digests(edits: DataFrame) -> DataFrame:
+    """One row per conversation of its edits, which stand together and in order; texts are hashed as they pass."""
+    schema = ("conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, "
+              "audit string, repaired_sha256 string")
+
+    def digest(batches):
+        import hashlib
+        import itertools
+
+        import pyarrow as pa
+
+        from hourcast.llm.repair import stream_rows
+        out = []
+        rows = (r for batch in batches for r in stream_rows(batch))
+        for conv, own in itertools.groupby(rows, key=lambda r: r[0]):
+            faults, audit, sha, cost = [0, 0, 0, 0], [], hashlib.sha256(), 0
+            illegal = turns = 0
+            before = low = high = None
+            kept = False
+            for _, _, edit, initial, fault, turn, role, text in own:
+                if edit is None:
+                    continue
+                audit.append(edit)
+                cost += {"K": 0, "R": 1, "D": 2, "I": 5}[edit] + (5 if fault == 3 and edit != "D" else 0)
+                if edit != "I":
+                    faults[fault] += 1
+                    illegal += before is not None and before + initial not in ("su", "ua", "au")
+                    before = initial
+                    if turn is not None and turn != high:  # in order of turn
+                        turns, high = turns + 1, turn
+                        low = turn if low is None else low
+                if edit != "D":
+                    sha.update(f"{chr(10) if kept else ''}{role}:{text}".encode())
+                    kept = True
+            gaps = high - low + 1 - turns if turns else 0
+            out.append((conv, gaps, *faults[1:], int(illegal), cost, "".join(audit), sha.hexdigest()))
+            if len(out) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    import pyarrow as pa
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.string() if "string" in f else pa.int64() for f in schema.split(", ")]
+    return edits.mapInArrow(digest, schema)
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourcast.llm import repair
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_digests(repair.repair(damaged(conversations), conversations=conversations))
+
+
+ORACLE["op11_conversation_repair"] = f"""WITH RECURSIVE
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+lots AS (SELECT * EXCLUDE name, {crc32_sql("name")} % 20 AS lot FROM named),
+damaged AS (
+  SELECT conv_id AS c, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+         CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM lots, (VALUES (1), (2)) AS copies(copy) WHERE lot <> 0 AND copy <= CASE WHEN lot = 3 THEN 2 ELSE 1 END),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS i, left(role, 1) AS ini FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth FROM numbered),
+faulted AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN nth > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS fault FROM seen),
+inserts(p, q, letters, price) AS (VALUES
+  (0, 0, '', 0), (0, 2, 'I', 5), (0, 3, 'II', 10), (1, 1, '', 0), (1, 2, 'I', 5), (1, 3, 'II', 10),
+  (2, 2, '', 0), (2, 3, 'I', 5), (3, 3, '', 0), (3, 2, 'I', 5)),
+edits(q, ini, letter, r, price) AS (VALUES
+  (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0),
+  (0, NULL, 'R', 2, 1), (1, NULL, 'R', 2, 1), (2, NULL, 'R', 3, 1), (3, NULL, 'R', 2, 1),
+  (0, NULL, 'D', 0, 2), (1, NULL, 'D', 1, 2), (2, NULL, 'D', 2, 2), (3, NULL, 'D', 3, 2)),
+ways AS (
+  SELECT p, r, e.ini, e.letter, letters || letter AS letters, s.price + e.price AS price FROM inserts s JOIN edits e USING (q)),
+convs AS (SELECT DISTINCT conv_id AS c FROM conversations),
+best AS (
+  SELECT c, 0 AS i, 0 AS state, {{'cost': 0, 'audit': ''}} AS b FROM convs
+  UNION ALL
+  SELECT f.c, CAST(f.i AS INT), w.r, min({{'cost': b.b.cost + w.price + CASE WHEN f.fault = 3 AND w.letter <> 'D' THEN 5 ELSE 0 END,
+                            'audit': b.b.audit || w.letters}})
+  FROM best b JOIN faulted f ON f.c IS NOT DISTINCT FROM b.c AND f.i = b.i + 1
+  JOIN ways w ON w.p = b.state AND (w.ini IS NULL OR w.ini = f.ini) AND (f.fault NOT IN (1, 2) OR w.letter = 'D')
+  GROUP BY f.c, f.i, w.r),
+sizes AS (
+  SELECT convs.c, count(f.i) AS n, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM convs LEFT JOIN faulted f ON f.c IS NOT DISTINCT FROM convs.c GROUP BY convs.c),
+pairs AS (
+  SELECT c, count(*) AS illegal FROM (SELECT c, ini, lag(ini) OVER (PARTITION BY c ORDER BY i) AS before FROM faulted)
+  WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au') GROUP BY c),
+chosen AS (
+  SELECT s.c, min({{'cost': b.b.cost + price, 'audit': b.b.audit || letters}}) AS b
+  FROM sizes s JOIN best b ON b.c IS NOT DISTINCT FROM s.c AND b.i = s.n
+  JOIN inserts t ON t.p = b.state AND t.q IN (0, 3) AND NOT (t.p = 0 AND t.q = 3) GROUP BY s.c),
+letters AS (SELECT c, unnest(string_split(b.audit, '')) AS letter, unnest(range(1, len(b.audit) + 1)) AS j FROM chosen WHERE b.audit <> ''),
+steps AS (
+  SELECT c, j, letter, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY j) AS i,
+         sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY j) AS k FROM letters),
+out AS (
+  SELECT s.c, s.j, s.letter, s.k, f.role, CASE WHEN s.letter = 'I' THEN '' ELSE f.text END AS text,
+         max(CASE WHEN s.k = 1 AND s.letter = 'K' AND f.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.c) AS lead
+  FROM steps s LEFT JOIN faulted f ON f.c IS NOT DISTINCT FROM s.c AND f.i = s.i WHERE s.letter <> 'D'),
+texts AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS t
+  FROM out GROUP BY c)
+SELECT s.c AS conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate,
+       CAST(truncated AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(ch.b.cost AS BIGINT) AS cost,
+       ch.b.audit AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM sizes s JOIN chosen ch ON ch.c IS NOT DISTINCT FROM s.c LEFT JOIN pairs p ON p.c IS NOT DISTINCT FROM s.c
+LEFT JOIN texts x ON x.c IS NOT DISTINCT FROM s.c"""

@@ -6,7 +6,8 @@ protocol)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +28,40 @@ def write_evaluation(y_full: DataFrame, path: str) -> None:
     write_dataset(out, path, partition_by=("counter_id", "split"))
 
 
+def save_model(path: str, tables: dict[str, DataFrame]) -> int:
+    """One new version of a model: its tables, then a marker row that names them.
+
+    A version without its marker was never finished and is never loaded; an
+    older version stays as it was.  Returns the version's number.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = (latest_version(spark, path) or 0) + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+    marker = spark.range(1).select(F.lit(version).alias("saved"), F.array(*[F.lit(n) for n in tables]).alias("tables"))
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{path}/saved/number={version}")
+    return version
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest finished version, or None if there is none."""
+    try:
+        return spark.read.schema("saved int").parquet(f"{path}/saved").agg(F.max("saved")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def load_model(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a finished version (the newest, if none is named)."""
+    version = latest_version(spark, path) if version is None else version
+    marker = None if version is None else spark.read.parquet(f"{path}/saved").filter(F.col("saved") == version).first()
+    if marker is None:
+        raise ValueError(f"no saved model version {version} under {path}")
+    return {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in marker.tables}
+
+
 def write_model_rows(params: DataFrame, metrics: DataFrame, path: str) -> None:
     """Parameters and metrics of every run as rows (flattened keys)."""
     params.write.mode("append").parquet(f"{path}/params")

@@ -191,10 +191,13 @@ def search_draws(spark, sf_dir):
 
 
 @query("search_ranges", DRAWS_SQL + f""",
-l AS (UNPIVOT d ON {", ".join(p[0] for p in SE.SEARCH_SPACE)} INTO NAME parameter VALUE value)
-SELECT counter_id, parameter, round(min(value), 6) AS low, round(max(value), 6) AS high FROM l GROUP BY 1, 2""", FAM)
+l AS (UNPIVOT d ON {", ".join(p[0] for p in SE.SEARCH_SPACE)} INTO NAME parameter VALUE value),
+space(parameter, low, high) AS (VALUES {", ".join(f"('{n}', {float(lo)}::DOUBLE, {float(hi)}::DOUBLE)" for n, _, lo, hi in SE.SEARCH_SPACE)})
+SELECT counter_id, parameter, low, high, round(min(value), 6) AS drawn_low, round(max(value), 6) AS drawn_high
+FROM l JOIN space USING (parameter) GROUP BY 1, 2, 3, 4""", FAM)
 def search_ranges(spark, sf_dir):
-    """Range of each parameter over the candidates of a counter."""
+    """Each parameter's bounds in the search space, and the range of a
+    counter's candidates inside them."""
     keys = counts(spark, sf_dir).select("counter_id").distinct()
     return round_doubles(SE.range_summary(SE.draws(keys, "counter_id", DRAWS), ["counter_id"]))
 

@@ -46,7 +46,11 @@ def draws(keys: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def range_summary(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest and largest value of each parameter, as rows."""
+    """The bounds of each parameter's range (``low``, ``high``), and the
+    smallest and largest value that was drawn from it."""
     names = [p[0] for p in SEARCH_SPACE]
     long = candidates.unpivot(keys, names, "parameter", "value")
-    return long.groupBy(*keys, "parameter").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    low, high = (F.create_map(*[x for p in SEARCH_SPACE for x in (F.lit(p[0]), F.lit(float(p[i])))]) for i in (2, 3))
+    drawn = long.groupBy(*keys, "parameter").agg(F.min("value").alias("drawn_low"), F.max("value").alias("drawn_high"))
+    return drawn.select(*keys, "parameter", F.element_at(low, F.col("parameter")).alias("low"),
+                        F.element_at(high, F.col("parameter")).alias("high"), "drawn_low", "drawn_high")

@@ -111,12 +111,17 @@ def overlap_check_clerks(spark, sf_dir):
 
 @query("holiday_contract", """
 SELECT strftime(day, '%Y-%m-%d') AS day, n_labels, label, CASE WHEN year(day) <> 1995 THEN 'out_of_year' WHEN n_labels > 1 THEN 'duplicate_date' ELSE 'ok' END AS outcome
-FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(DISTINCT o_orderpriority) AS n_labels, min(o_orderpriority) AS label
-      FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)""", FAM)
+FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(DISTINCT label) AS n_labels, min(label) AS label
+      FROM (SELECT o_orderdate, CASE WHEN o_custkey % 29 = 0 THEN o_orderpriority ELSE 'day ' || CAST(day(o_orderdate) AS VARCHAR) END AS label FROM orders)
+      GROUP BY 1)""", FAM)
 def holiday_contract(spark, sf_dir):
-    """Dates with their labels: unique, ambiguous, or outside the year."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 5 == 0)
-    return EN.dated_labels(o, "o_orderdate", "o_orderpriority", 1995).select(
+    """Dates with their labels: unique, ambiguous, or outside the year.
+
+    Every order names its date after the day of the month, some customers after
+    the order's priority: dates with such an order are ambiguous."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate", F.when(F.col("o_custkey") % 29 == 0, F.col("o_orderpriority")).otherwise(
+        F.concat(F.lit("day "), F.dayofmonth("o_orderdate").cast("string"))).alias("label"))
+    return EN.dated_labels(o, "o_orderdate", "label", 1995).select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "n_labels", "label", "outcome")
 
 

@@ -2,7 +2,7 @@
 
 from hourcast.catalog import registry
 from hourcast.catalog import (  # noqa: F401
-    alerting, artifacts, boosted, enrichment, history, ingest, ledgers, models, monitoring, repository, runs, series, storage, streams, text)
+    alerting, artifacts, boosted, contracts, enrichment, history, ingest, ledgers, models, monitoring, repository, runs, series, storage, streams, text)
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE

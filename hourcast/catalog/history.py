@@ -131,12 +131,14 @@ def extraction_manifest(spark, sf_dir):
 
 @query("snapshot_evidence", with_views("snapshots") + f"""
 SELECT snapshot_no, count(*) AS n_rows, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts,
-  CAST(sum({DIGEST_SQL}) AS VARCHAR) AS checksum
+  CAST(sum({DIGEST_SQL}) AS VARCHAR) AS checksum,
+  sha256('counter_id:string,ts_utc:timestamp_ntz,snapshot_no:int,hourly_count:bigint') AS schema_fingerprint
 FROM snapshots GROUP BY snapshot_no""", FAM)
 def snapshot_evidence(spark, sf_dir):
-    """Per snapshot row count, observed coverage and payload checksum."""
+    """Per snapshot row count, observed coverage, payload checksum and schema fingerprint."""
     s = snapshots(spark, sf_dir)
-    return C.evidence(s, ["snapshot_no"], "ts_utc", C.row_digest("counter_id", "ts_utc", "hourly_count"))
+    found = C.evidence(s, ["snapshot_no"], "ts_utc", C.row_digest("counter_id", "ts_utc", "hourly_count"))
+    return found.withColumn("schema_fingerprint", F.lit(C.schema_fingerprint(s)))
 
 
 @query("idempotent_append", with_views("snapshots") + """,

@@ -10,6 +10,7 @@ from hourcast.functions import labels as L
 from hourcast.operators import sequence as seq
 from hourcast.operators import textscan as TS
 from hourcast.operators.evaluate import metric_aggs, round_doubles
+from hourcast.sources.filehash import file_hashes
 from hourcast.sources.tables import reference_counters, table, with_views
 
 FAM = "text"
@@ -185,9 +186,8 @@ def run_metrics_flat(spark, sf_dir):
 
 @query("file_checksums", None, FAM)
 def file_checksums(spark, sf_dir):
-    """SHA-256 of every input file, lowercase hex (one task per file)."""
-    b = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-         .option("recursiveFileLookup", "true").load(sf_dir))
+    """SHA-256 of every input file, lowercase hex, streamed in 1 MiB blocks."""
     # a table can be a folder of part files: the name starts at the table
-    return b.select(F.regexp_extract("path", r"([^/]+\.parquet(/[^/]+)?)$", 1).alias("file_name"),
-                    F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    return file_hashes(spark, sf_dir, ".parquet").select(
+        F.regexp_extract("path", r"([^/]+\.parquet(/[^/]+)?)$", 1).alias("file_name"),
+        F.col("length").alias("n_bytes"), "sha256")

@@ -46,6 +46,24 @@ def parse_utc(text: str | Column) -> Column:
     return _ltz_to_utc_ntz(F.coalesce(strict, lenient))
 
 
+def parse_utc_whole(df: DataFrame, text: str, keys: list[str], out: str, lenient: str | None = None,
+                    formats: tuple[str, ...] = tuple(STRICT_FORMATS[2:])) -> DataFrame:
+    """One decision per column and key: if every text has one of the strict
+    ``formats`` (a T and an offset), all are parsed so; a single other text sends the key's whole column
+    to the lenient parse (``lenient``, if named, says which it was).
+
+    The decision is one map-side aggregate joined back; the texts are parsed once.
+    """
+    strict = F.coalesce(*[F.try_to_timestamp(F.col(text), F.lit(f)) for f in formats])
+    parsed = df.withColumn("_strict", strict)
+    fails = F.count(F.when(F.col("_strict").isNull() & F.col(text).isNotNull(), 1)) > 0
+    decided = parsed.groupBy(*keys).agg(fails.alias("_lenient")).select(*[F.col(k).alias("_k_" + k) for k in keys], "_lenient")
+    both = parsed.join(decided, [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys])
+    value = F.when(F.col("_lenient"), F.try_to_timestamp(F.col(text))).otherwise(F.col("_strict"))
+    new = {out: _ltz_to_utc_ntz(value), **({lenient: F.col("_lenient")} if lenient else {})}
+    return both.withColumns(new).drop("_strict", "_lenient", *["_k_" + k for k in keys])
+
+
 def _ltz_to_utc_ntz(ltz: Column) -> Column:
     # unix_micros is an absolute instant; rebuild the UTC civil time from it.
     return F.timestamp_add("MICROSECOND", F.unix_micros(ltz), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))

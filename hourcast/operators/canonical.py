@@ -82,9 +82,9 @@ def append_outcomes(ledger: DataFrame, incoming: DataFrame, identity: list[str],
 
 
 def schema_fingerprint(df: DataFrame) -> str:
-    """SHA-256 of the schema JSON (driver-side metadata, not data)."""
+    """SHA-256 of the schema's ``name:type`` texts (driver-side metadata, not data)."""
     import hashlib
-    return hashlib.sha256(df.schema.json().encode("utf-8")).hexdigest()
+    return hashlib.sha256(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema).encode("utf-8")).hexdigest()
 
 
 def change_set(before: DataFrame, after: DataFrame, key=KEY, value: str = "hourly_count") -> DataFrame:

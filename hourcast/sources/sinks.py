@@ -7,7 +7,7 @@ protocol)."""
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,33 @@ def write_model_rows(params: DataFrame, metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").parquet(f"{path}/metrics")
 
 
+ROUTES = ("accepted", "warned", "quarantined")
+
+
+def write_routed(df: DataFrame, path: str, batch: str) -> dict[str, int]:
+    """C3 + C22: the accepted, warned and quarantined rows of a batch, one table each, by one job.
+
+    ``df`` has ``route`` and its reasons.  The counts that the evidence row holds are
+    observed while the rows are written; the evidence is written last and makes
+    the batch visible.  A rerun of a batch replaces its rows.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("total"), *[F.count(F.when(F.col("route") == r, 1)).alias(r) for r in ROUTES])
+    counted.write.mode("overwrite").partitionBy("route").parquet(f"{path}/rows/batch={batch}")
+    counts = {k: int(v) for k, v in seen.get.items()}
+    spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()]).coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/evidence/batch={batch}")
+    return counts
+
+
+def read_routed(spark: SparkSession, path: str, route: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of the finished batches, their evidence)."""
+    evidence = spark.read.parquet(f"{path}/evidence")
+    rows = spark.read.parquet(f"{path}/rows").join(evidence.select("batch"), "batch", "left_semi")
+    return (rows if route is None else rows.filter(F.col("route") == route)), evidence
+
+
 def append_samples(samples: DataFrame, path: str) -> None:
     """Append metric samples to the long metric table."""
     samples.write.mode("append").partitionBy("metric").parquet(path)

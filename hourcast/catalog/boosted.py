@@ -144,7 +144,79 @@ def boosted_scores(spark, sf_dir):
     return scored.select("counter_id", "ts_utc", "is_test", "y_true", round_scaled(F.col("pred") / float(B.MICRO), 6).alias("y_pred"))
 
 
-@query("boosted_search", None, FAM)
+def _lot_sql(*parts: str) -> str:
+    text = ", ".join(["'1'", "counter_id", *[f"CAST({p} AS VARCHAR)" for p in parts]])
+    return f"CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 8) AS BIGINT) / 4294967296::DOUBLE"
+
+
+def _search_sql() -> str:
+    """All models of the search, tree by tree and level by level."""
+    from hourcast.catalog.models import _draw_sql
+    rounds, depth = (int(next(p[3] for p in SE.SEARCH_SPACE if p[0] == name)) for name in ("n_estimators", "max_depth"))
+    rounds //= TREE_SHARE
+    soft = "greatest(abs(CAST({g} AS DOUBLE) / 1000000::DOUBLE) - reg_alpha, 0::DOUBLE)"
+
+    def score(g, h):
+        return f"({soft.format(g=g)} * {soft.format(g=g)} / ({h} + reg_lambda))"
+
+    params = "gamma, reg_alpha, reg_lambda, min_child_weight"
+    out = TREES_SQL[:TREES_SQL.index(",\nbases AS (")] + f""",
+train AS MATERIALIZED (SELECT counter_id, y, bins, row_number() OVER (PARTITION BY counter_id ORDER BY ts_utc) AS pos FROM binned WHERE NOT is_test),
+d AS (SELECT counter_id, draw, {", ".join(_draw_sql(*p) for p in SE.SEARCH_SPACE)}
+      FROM (SELECT counter_id, unnest(range(0, {SEARCH_DRAWS})) AS draw FROM (SELECT DISTINCT counter_id FROM train))),
+models AS MATERIALIZED (
+  SELECT d.* EXCLUDE n_estimators, floor(n_estimators / {TREE_SHARE}) AS n_estimators, fold, CAST(draw * 5 + fold AS INT) AS model,
+         n - (4 - fold) * (n // 6) AS until, n - (5 - fold) * (n // 6) AS upto
+  FROM d JOIN (SELECT counter_id, count(*) AS n FROM train GROUP BY 1) USING (counter_id), range(0, 5) AS t(fold)),
+p0 AS MATERIALIZED (
+  SELECT *, CAST(coalesce(sum(CASE WHEN train THEN y END) OVER m * 1000000 // sum(CASE WHEN train THEN 1 END) OVER m, 0) AS BIGINT) AS pred
+  FROM (SELECT counter_id, model, pos, y, bins, pos <= upto AS train FROM train JOIN models USING (counter_id) WHERE pos <= until)
+  WINDOW m AS (PARTITION BY counter_id, model))"""
+    for t in range(rounds):
+        out += f""",
+a{t} AS MATERIALIZED (
+  SELECT counter_id, model, f, max_depth, {params} FROM (
+    SELECT *, row_number() OVER (PARTITION BY counter_id, model ORDER BY {_lot_sql("model", str(t), "'feature'", "f")}, f) AS place
+    FROM models, range(1, {len(FEATURES) + 1}) AS g(f) WHERE n_estimators > {t})
+  WHERE place <= greatest(floor(colsample_bytree * {len(FEATURES)}), 1)),
+n{t}_0 AS MATERIALIZED (
+  SELECT p.*, 1 AS node, train AND (subsample >= 1 OR {_lot_sql("model", str(t), "pos")} < subsample) AS used
+  FROM p{t} p JOIN models USING (counter_id, model))"""
+        for level in range(depth):
+            left, whole = "PARTITION BY counter_id, model, node, f ORDER BY b", "PARTITION BY counter_id, model, node, f"
+            out += f""",
+s{t}_{level} AS MATERIALIZED (
+  WITH c AS (
+    SELECT n.counter_id, n.model, node, f, bins[f] AS b, {params}, sum(pred - y * 1000000) AS cg, count(*) AS ch
+    FROM n{t}_{level} n JOIN a{t} a ON a.counter_id = n.counter_id AND a.model = n.model
+    WHERE used AND node >= {1 << level} AND max_depth > {level} GROUP BY ALL),
+  g AS (SELECT *, sum(cg) OVER ({left}) AS gl, sum(ch) OVER ({left}) AS hl, sum(cg) OVER ({whole}) AS g, sum(ch) OVER ({whole}) AS h FROM c)
+  SELECT counter_id, model, node, f, b FROM (
+    SELECT *, row_number() OVER (PARTITION BY counter_id, model, node ORDER BY gain DESC, f, b) AS place FROM (
+      SELECT *, 0.5::DOUBLE * ({score("gl", "hl")} + {score("(g - gl)", "(h - hl)")} - {score("g", "h")}) - gamma AS gain
+      FROM g WHERE hl >= min_child_weight AND h - hl >= min_child_weight) WHERE gain > 0) WHERE place = 1),
+n{t}_{level + 1} AS MATERIALIZED (
+  SELECT n.* EXCLUDE node, CASE WHEN s.f IS NULL THEN n.node ELSE 2 * n.node + CASE WHEN n.bins[s.f] > s.b THEN 1 ELSE 0 END END AS node
+  FROM n{t}_{level} n LEFT JOIN s{t}_{level} s ON s.counter_id = n.counter_id AND s.model = n.model AND s.node = n.node)"""
+        out += f""",
+l{t} AS MATERIALIZED (
+  SELECT counter_id, model, node,
+         CAST(floor(-learning_rate * (sign(g) * {soft.format(g="g")}) / (h + reg_lambda) * 1000000 + 0.5::DOUBLE) AS BIGINT) AS value
+  FROM (SELECT counter_id, model, node, sum(pred - y * 1000000) AS g, count(*) AS h FROM n{t}_{depth} WHERE used GROUP BY ALL)
+  JOIN models USING (counter_id, model) WHERE n_estimators > {t}),
+p{t + 1} AS MATERIALIZED (
+  SELECT n.* EXCLUDE (node, pred, used), n.pred + coalesce(value, 0) AS pred FROM n{t}_{depth} n LEFT JOIN l{t} USING (counter_id, model, node))"""
+    e = "(CAST(pred - y * 1000000 AS DOUBLE) / 1000000::DOUBLE)"
+    return out + f""",
+folds AS (SELECT counter_id, draw, fold, -avg({e} * {e}) AS s FROM p{rounds} JOIN models USING (counter_id, model) WHERE NOT train GROUP BY 1, 2, 3),
+scores AS (SELECT counter_id, draw, avg(s) AS score, count(*) AS n_folds FROM folds GROUP BY 1, 2)
+SELECT counter_id, CAST(draw AS INT) AS draw, n_folds, {", ".join(
+    f"floor(n_estimators / {TREE_SHARE}) AS n_estimators" if p[0] == "n_estimators" else f"round({p[0]}, 6) AS {p[0]}" for p in SE.SEARCH_SPACE)},
+  round(score, 6) AS score, row_number() OVER (PARTITION BY counter_id ORDER BY score DESC, draw) = 1 AS best
+FROM scores JOIN d USING (counter_id, draw)"""
+
+
+@query("boosted_search", _search_sql(), FAM)
 def boosted_search(spark, sf_dir):
     """A88 over A87: every seeded draw of the nine ranges boosted on the five
     expanding folds of its counter and scored by negative mean squared error;

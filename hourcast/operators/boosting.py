@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourcast.operators.search import unit_draw
 from hourcast.sources.tables import materialize
 
 N_BINS = 32
@@ -81,11 +82,6 @@ def walk(bins: Column, feature: Column, cut: Column, levels: int | Column) -> Co
     return F.aggregate(steps, F.lit(1), down)
 
 
-def _lot(*parts) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
-
-
 def with_defaults(models: DataFrame) -> DataFrame:
     return models.withColumns({k: F.coalesce(F.col(k).cast("double"), F.lit(v)) if k in models.columns else F.lit(v)
                                for k, v in DEFAULTS.items()})
@@ -112,7 +108,8 @@ def grow_tree(state: DataFrame, models: DataFrame, keys: list[str], n_features:
     """``(keys, model, parameters, feature, cut, value)``: one tree of every model still growing."""
     by = [*keys, "model"]
     lots = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(n_features)),
-                                    lambda f: F.struct(F.xxhash64(F.lit(seed), *by, F.lit(tree), f).alias("lot"), f.alias("f"))))
+                                    lambda f: F.struct(unit_draw(F.lit(seed), *[F.col(k) for k in by], F.lit(tree), F.lit("feature"), f).alias("lot"),
+                                                       f.alias("f"))))
     taken = F.greatest(F.floor(F.col("colsample_bytree") * n_features), F.lit(1)).cast("int")
     empty_long = F.array(F.lit(None).cast("long"))
     grown = models.filter(F.col("n_estimators") > tree).select(
@@ -120,7 +117,7 @@ def grow_tree(state: DataFrame, models: DataFrame, keys: list[str], n_features:
         F.array().cast("array<int>").alias("feature"), F.array().cast("array<int>").alias("cut"),
         empty_long.alias("g"), empty_long.alias("h"))
     sampled = state.filter(F.col("train") & ((F.col("__subsample") >= 1.0) | (
-        _lot(F.lit(seed), *[F.col(k) for k in by], F.lit(tree), F.col("pos")) < F.col("__subsample"))))
+        unit_draw(F.lit(seed), *[F.col(k) for k in by], F.lit(tree), F.col("pos")) < F.col("__subsample"))))
     for level in range(depth):
         lo, hi = 1 << level, (1 << (level + 1)) - 1
         at = sampled.join(grown.drop("subsample"), by).filter(F.col("max_depth") > level)

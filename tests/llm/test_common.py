@@ -31,6 +31,18 @@ def test_bounded_sample_is_whole_when_small_and_near_its_bound_when_large(spark)
     assert abs(bounded_sample(df, "k", 2000).count() - 2000) < 250
 
 
+def test_bounded_sample_is_bounded_whatever_ids_repeat(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 20).alias("k"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
+    got = bounded_sample(rows, "k", 3000)
+    assert got.count() == 3000
+    by = {r.k: r["count"] for r in got.groupBy("k").count().collect()}
+    assert len(by) == 21 and abs(by[None] - 1000) < 150 and all(60 < n < 145 for k, n in by.items() if k is not None)
+    assert bounded_sample(rows.repartition(3), "k", 3000).exceptAll(got).count() == 0
+    copies = rows.filter("k IS NULL").limit(500).unionByName(spark.range(20_000).select(F.lit(1).cast("long").alias("k"), F.lit("same").alias("t")))
+    assert 0 < bounded_sample(copies, "k", 100).count() <= 100
+
+
 def test_word_hashes_tell_words_apart_wherever_they_stand():
     import pickle
 

@@ -135,7 +135,7 @@ class ItemIndex:
         self.terms = {t: k for k, t in enumerate(lists)}
         self.items = [[i for i, _ in v] for v in lists.values()]
         self.impacts = [[w for _, w in v] for v in lists.values()]
-        self.top = [max(w) for w in self.impacts]
+        self.heads = np.array([max(w) for w in self.impacts])  # of whole lists
         self.block_max = []
         for at, w in zip(self.items, self.impacts):
             top: dict[int, float] = {}
@@ -148,22 +148,31 @@ class ItemIndex:
         self.flat_max = np.array([x for m in self.block_max for x in m.values()])
         self.n_blocks = (len(self.ids) + block - 1) // block
 
-    def promising(self, term_ids: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-        """(start of the passage, block) where the block's maxima sum up to the threshold."""
-        at = np.flatnonzero(term_ids >= 0)
-        if not len(at):
-            return []
-        n_terms = len(self.items)
-        own = at // self.stride  # a word lies in the passage that starts at its stride and in the one before
-        pairs = np.unique(np.concatenate([own * n_terms + term_ids[at],
-                                          (own[own > 0] - 1) * n_terms + term_ids[at][own > 0]]))
-        passage, term = pairs // n_terms, pairs % n_terms
-        count = self.first[term + 1] - self.first[term]
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        entry = np.repeat(self.first[term], count) + offset
-        sums = np.bincount(np.repeat(passage, count) * self.n_blocks + self.flat_block[entry], self.flat_max[entry])
-        return [(k // self.n_blocks * self.stride, k % self.n_blocks)
-                for k in np.flatnonzero(sums >= threshold - 1e-9).tolist()]
+    def promising(self, term_ids: np.ndarray, threshold: float, at_once: int = 256) -> Iterator[tuple[int, int]]:
+        """(start of the passage, block) where the block's maxima sum up to the threshold.
+
+        ``at_once`` passages are worked off together, whatever the text's length;
+        a passage whose lists' maxima cannot sum up to the threshold is left out first.
+        """
+        goal, n_terms = threshold - 1e-9, len(self.items)
+        for low in range(0, -(-len(term_ids) // self.stride), at_once):
+            ids = term_ids[low * self.stride:(low + at_once + 1) * self.stride]
+            at = np.flatnonzero(ids >= 0)
+            own = at // self.stride  # a word lies in the passage that starts at its stride and in the one before
+            here, before = own < at_once, own > 0
+            pairs = np.unique(np.concatenate([own[here] * n_terms + ids[at][here], (own[before] - 1) * n_terms + ids[at][before]]))
+            passage, term = pairs // n_terms, pairs % n_terms
+            likely = np.bincount(passage, self.heads[term], at_once) >= goal
+            passage, term = passage[likely[passage]], term[likely[passage]]
+            if not len(passage):
+                continue
+            count = self.first[term + 1] - self.first[term]
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            entry = np.repeat(self.first[term], count) + offset
+            names, place = np.unique(passage, return_inverse=True)
+            sums = np.bincount(np.repeat(place, count) * self.n_blocks + self.flat_block[entry], self.flat_max[entry])
+            for k in np.flatnonzero(sums >= goal).tolist():
+                yield (low + int(names[k // self.n_blocks])) * self.stride, k % self.n_blocks
 
     def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """All (item number, score) of the block with score >= threshold for a passage of these distinct terms."""

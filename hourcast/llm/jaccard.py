@@ -220,9 +220,9 @@ def _forest_links(docs: DataFrame, n: int, percent: int, buckets: int, docs_per_
             several = (np.diff(np.append(first, len(flat))) > 1).astype(np.uint8)
             flat, ref = flat[first], ref[first]
             bucket, short = (flat >> np.uint64(32)).astype(np.int64), flat.astype(np.uint32)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out += [(k, 3, *(x[cut[k]:cut[k + 1]].tobytes() for x in (short, ref, several)), b"")
-                    for k in range(buckets) if cut[k] < cut[k + 1]]
+            full, cut = np.unique(bucket, return_index=True)
+            out += [(k, 3, *(x[at:end].tobytes() for x in (short, ref, several)), b"")
+                    for k, at, end in zip(full.tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)])]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
 
         ids, sets, nulls, held = [], [], [], 0

@@ -118,9 +118,11 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     n_batches = max(HELD_EVERY, int(size // batch_bytes) + 1)
     buckets = 1 << max(5, int(size // bucket_bytes).bit_length())
     shift = np.uint64(48 - buckets.bit_length() + 1)
-    own = docs.select(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n_batches)).cast("int").alias("batch"),
+    own = docs.select(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(n_batches)).cast("int").alias("batch"),
                       F.col(key).cast("long").alias("k"), F.col(text).alias("t"),
                       F.coalesce(train, F.lit(False)).alias("train"))
+    # the first twentieth of the batches that has training rows: in small tables some have none
+    held_at = own.filter("train").agg(F.coalesce(F.min(F.col("batch") % HELD_EVERY), F.lit(0))).first()[0]
     words = WordHasher()
     low = np.uint64(16)
 
@@ -129,12 +131,11 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
         rows = []
         for kind, (names, counts, _) in enumerate(Batch(table, words).distinct()):
             top = names >> low if kind == 0 else names
-            cut = np.searchsorted(top >> shift, np.arange(buckets + 1).astype(np.uint64))
-            for b in range(buckets):
-                s = slice(cut[b], cut[b + 1])
-                if cut[b] < cut[b + 1]:
-                    rest = (names[s] & np.uint64(0xFFFF)).astype("<u2").tobytes() if kind == 0 else b""
-                    rows.append((b, batch_key[0].as_py(), kind, pack_sorted(top[s]), rest, counts[s].tobytes()))
+            full, cut = np.unique(top >> shift, return_index=True)
+            for b, low_end, end in zip(full.tolist(), cut.tolist(), [*cut[1:].tolist(), len(top)]):
+                s = slice(low_end, end)
+                rest = (names[s] & np.uint64(0xFFFF)).astype("<u2").tobytes() if kind == 0 else b""
+                rows.append((b, batch_key[0].as_py(), kind, pack_sorted(top[s]), rest, counts[s].tobytes()))
         schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("kind", pa.int8()), ("keys", pa.binary()),
                             ("low", pa.binary()), ("counts", pa.binary())])
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -151,7 +152,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
             if kind == 0:
                 parts = [(p << low) | np.frombuffer(lo, "<u2") for p, (_, _, lo, _) in zip(parts, rows)]
             counts = np.concatenate([np.frombuffer(c, "<u4") for *_, c in rows]).astype(float)
-            held = np.repeat([b % HELD_EVERY == 0 for b, *_ in rows], [len(p) for p in parts])
+            held = np.repeat([b % HELD_EVERY == held_at for b, *_ in rows], [len(p) for p in parts])
             names, where = np.unique(np.concatenate(parts), return_inverse=True)
             total = np.bincount(where, counts, len(names))
             rest = total - np.bincount(where, counts * held, len(names))
@@ -159,7 +160,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
             for (b, *_), p, e in zip(rows, parts, ends):
                 w = where[e - len(p):e]
                 out.append((bucket_key[0].as_py(), b, kind, *(pa.compress(x[w].astype("<u4").tobytes(), "zstd", asbytes=True)
-                                                             if keep else None for x, keep in ((total, True), (rest, b % HELD_EVERY == 0))),
+                                                             if keep else None for x, keep in ((total, True), (rest, b % HELD_EVERY == held_at))),
                             len(p), 0, 0, 0))
             if kind == 0:  # the corpus figures: tokens, vocabulary, and tokens without the held-out part
                 out.append((bucket_key[0].as_py(), -1, 0, None, None, 0, int(total.sum()), int((total > 0).sum()), int(rest.sum())))
@@ -208,7 +209,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
         names, counts = np.unique(cell, return_counts=True)
         return pa.table({"cell": names, "n": counts})
 
-    held = F.col("batch") % HELD_EVERY == 0
+    held = F.col("batch") % HELD_EVERY == held_at
     cells = (own.filter(held).groupBy("batch").cogroup(answers.filter(held & (F.col("batch") >= 0)).groupBy("batch"))
              .applyInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
     cell = cells["cell"].to_numpy(np.int64)

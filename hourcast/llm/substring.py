@@ -149,7 +149,7 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_i
     n_batches = int(size // batch_bytes) + 1
     buckets = 1 << max(5, int(size // bucket_bytes).bit_length())
     shift = np.uint64(64 - buckets.bit_length() + 1)
-    own = docs.select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n_batches)).cast("int").alias("batch"),
+    own = docs.select(F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(text)), F.lit(n_batches)).cast("int").alias("batch"),
                       F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     words = WordHasher()
 
@@ -159,11 +159,11 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_i
     def send_minimisers(batch_key, table):
         import pyarrow as pa
         least = np.unique(Edges(table, k, words).least)
-        cut = np.searchsorted(least >> shift, np.arange(buckets + 1).astype(np.uint64))
-        full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        return pa.table({"bucket": pa.array(full, pa.int32()),
+        full, cut = np.unique(least >> shift, return_index=True)
+        parts = np.split(least, cut[1:]) if len(full) else []
+        return pa.table({"bucket": pa.array(full.astype(np.int32), pa.int32()),
                          "batch": pa.array([batch_key[0].as_py()] * len(full), pa.int32()),
-                         "keys": pa.array([np.unique(short(least[cut[b]:cut[b + 1]])).tobytes() for b in full], pa.binary())})
+                         "keys": pa.array([np.unique(short(x)).tobytes() for x in parts], pa.binary())})
 
     def shared_minimisers(table):
         import pyarrow as pa
@@ -202,17 +202,16 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_i
                 sel = sel[np.lexsort((sel, bucket[sel]))]
                 edges = np.empty(len(sel), [("edge", "<u8"), ("check", "<u4")])
                 edges["edge"], edges["check"] = b.edge[sel], b.check[sel]
-                cut = np.searchsorted(bucket[sel], np.arange(buckets + 1))
-                for n in range(buckets):
-                    s = sel[cut[n]:cut[n + 1]]
-                    if len(s):
-                        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1] + 1]) |
-                                             (np.concatenate([[-1], b.row[s][:-1]]) != b.row[s]))
-                        head = np.empty(len(new), SPAN)
-                        head["row"], head["start"], head["at"] = b.row[s[new]], b.start[s[new]], 0
-                        head["source"] = b.place[b.row[s[new]]]
-                        head["length"] = np.diff(np.append(new, len(s)))
-                        rows.append((n, name, 0, head.tobytes(), edges[cut[n]:cut[n + 1]].tobytes()))
+                full, cut = np.unique(bucket[sel], return_index=True)
+                for n, at, end in zip(full.tolist(), cut.tolist(), [*cut[1:].tolist(), len(sel)]):
+                    s = sel[at:end]
+                    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1] + 1]) |
+                                         (np.concatenate([[-1], b.row[s][:-1]]) != b.row[s]))
+                    head = np.empty(len(new), SPAN)
+                    head["row"], head["start"], head["at"] = b.row[s[new]], b.start[s[new]], 0
+                    head["source"] = b.place[b.row[s[new]]]
+                    head["length"] = np.diff(np.append(new, len(s)))
+                    rows.append((n, name, 0, head.tobytes(), edges[at:end].tobytes()))
         schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("kind", pa.int8()), ("head", pa.binary()),
                             ("edges", pa.binary())])
         cols = list(zip(*rows)) if rows else [[], [], [], [], []]

@@ -1,17 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon maps words to classes: targets, negations, reporting verbs and threat
-words are fixed lists, insults are learned with a weight each.  A clause's
-class string runs through a composition of deterministic transducers that mark
-insults and threats as aimed at a target, negated, or reported; only marked
-clause matches score, not words as such.  A document's features are the weights
-gathered per mark and the strongest clause; a logistic layer over them, fitted
-on the same bounded sample (``train_rows`` labelled documents), gives the score.
+A lexicon maps words to classes: targets, negations, reporting verbs and seeds
+of threat words are fixed lists; insults are learned with a weight each, and so
+are the weights of threat words.  A clause's class string runs through a
+composition of deterministic transducers that mark insults and threats as aimed
+at a target, negated, or reported.  It runs forwards and, for what follows its
+object ("an idiot you are not", "you fool, he said"), a second composition runs
+over the reversed clause; a match is negated or reported if either run says so,
+an insult is aimed if either does, a threat if its target follows it.
+
+Each mark has a factor on the matched weight: bare 1, aimed more, negated and
+reported less.  A document's sum of weighted matches goes through a logistic
+layer that never falls with it.  Factors and layer are fitted on the same bounded
+sample (``train_rows`` labelled documents), the factors within ranges that keep
+this order; so a clause that is negated or reported always scores below the bare
+one, and one that is aimed above it.
 
 Defined cases: null, empty and wordless texts match nothing and get the base
 score; without labelled rows, or with labels of one kind only, the score is the
 known share of toxic rows (0 if there are none); rows with a null label teach
-nothing; repeated rows are scored one by one; other columns pass through.
+nothing; repeated rows are scored one by one; ties between factors go to the
+first of the range; other columns pass through, and one named like the score is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -91,18 +101,74 @@ def grammar() -> Transducer:
     return compose(both, reported, alphabet)
 
 
+def opening(trigger: str, changes: dict[str, str], lead: str) -> Transducer:
+    """Rewrites ``changes`` to the end if the trigger comes first, or second after a ``lead``."""
+    t = Transducer("0")
+    for state, others in (("0", "off"), ("1", "off")):
+        t.rules[state, trigger] = ("on", trigger)
+        t.rest[state] = others
+    t.rules["0", lead] = ("1", lead)
+    t.rules.update({("on", a): ("on", b) for a, b in changes.items()})
+    return t
+
+
+def backward_grammar() -> Transducer:
+    """The same three over a reversed clause: targets and negations that follow, a report that closes it."""
+    alphabet = "oitgnr" + MARKS
+    aimed = scope("g", {"i": "I", "t": "T"}, 3)
+    negated = scope("n", {"i": "x", "I": "x"}, 4)
+    reported = opening("r", {"i": "q", "I": "q", "x": "o", "t": "o", "T": "q"}, "g")
+    return compose(compose(aimed, negated, alphabet), reported, alphabet)
+
+
+#: Ranges of the factors that are fitted; a bare match has factor 1.
+AIMED, LESS = (1.1, 1.3, 1.6, 2.0, 3.0), (0.02, 0.1, 0.3, 0.6, 0.9)
+
+
 @dataclass
 class ToxicityModel:
     insults: dict[str, float]
-    coefficients: np.ndarray | None = None  # bias, marks, strongest clause
+    coefficients: np.ndarray | None = None  # bias and weight of the sum of matches
     base: float = 0.0
+    threats: dict[str, float] = field(default_factory=dict)
+    factors: tuple[float, float, float] = (AIMED[2], LESS[2], LESS[2])  # aimed, negated, reported
 
     def __post_init__(self):
         self.classes = {w: c for words, c in ((TARGETS, "g"), (NEGATIONS, "n"), (REPORTS, "r"), (THREATS, "t"))
                         for w in words}
         self.classes.update({w: "i" for w in self.insults})
         self.hits = {w for w, c in self.classes.items() if c in "it"}
-        self.machine = grammar()
+        self.machine, self.mirror = grammar(), backward_grammar()
+
+    def factor(self) -> np.ndarray:
+        """The factor of each mark."""
+        aimed, negated, reported = self.factors
+        return np.array([1, aimed, negated, reported, 1, aimed])
+
+    def run(self, machine: Transducer, classes: list[str]) -> list[str]:
+        out, state = [], machine.start
+        for c in classes:
+            state, mark = machine.step(state, c)
+            out.append(mark)
+        return out
+
+    def matches(self, tokens: list[str]) -> np.ndarray:
+        """Weights per mark of one clause, read both ways."""
+        got = np.zeros(len(MARKS))
+        classes = [self.classes.get(w, "o") for w in tokens]
+        there, back = self.run(self.machine, classes), self.run(self.mirror, classes[::-1])[::-1]
+        for w, c, a, b in zip(tokens, classes, there, back):
+            if c not in "it":
+                continue
+            told = {a, b}
+            if "o" in told or {"x", "q"} <= told:  # a threat that is negated or reported, a negated insult that is reported
+                continue
+            if c == "t" and b != "T":  # who stands before a threat utters or does it
+                told.discard("T")
+                told.add("t")
+            mark = next(m for m in "xqITit" if m in told)
+            got[MARKS.index(mark)] += self.insults.get(w) or self.threats.get(w, 1.0)
+        return got
 
     def clause(self, tokens: list[str]) -> np.ndarray:
         """Weights per mark of one clause."""
@@ -114,8 +180,8 @@ class ToxicityModel:
         return got
 
     def features(self, text: str | None) -> np.ndarray:
-        """log1p of the weights per mark, and the strongest clause's weight (negated and reported count less)."""
-        total, best = np.zeros(len(MARKS)), 0.0
+        """Weights per mark of all clauses."""
+        total = np.zeros(len(MARKS))
         for piece in pieces(text or ""):
             tokens = _TOKEN.findall(piece.lower())
             if self.hits.isdisjoint(tokens):
@@ -126,16 +192,14 @@ class ToxicityModel:
                     own.append(w)
                     continue
                 if not self.hits.isdisjoint(own):
-                    got = self.clause(own)
-                    total += got
-                    best = max(best, float(got @ np.array([1, 1.5, 0.2, 0.4, 1, 2.0])))
+                    total += self.matches(own)
                 own = []
-        return np.append(np.log1p(total), np.log1p(best))
+        return total
 
     def score(self, text: str | None) -> float:
         if self.coefficients is None:
             return self.base
-        z = self.coefficients[0] + self.features(text) @ self.coefficients[1:]
+        z = self.coefficients[0] + np.log1p(self.features(text) @ self.factor()) * self.coefficients[1]
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -165,12 +229,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
-def learn_insults(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 3, most: int = 5000,
-                  level: float = 1.5) -> dict[str, float]:
-    """Words whose log odds in toxic documents exceed ``level`` with two standard errors to spare.
+def learn_words(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 3, level: float = 1.5) -> tuple[dict, dict]:
+    """(insults, threats): weights of words whose log odds in toxic documents exceed ``level`` with two standard
+    errors to spare; a threat word of the fixed list that falls short has weight 1.
 
     One aggregate over the sample's distinct words; Spark keeps those above the
-    level, of which the ``most`` strongest form the lexicon.
+    level.  Their number is bounded by the sample's.
     """
     def distinct(series):
         return series.map(lambda t: sorted({w for p in pieces(t) for w in _TOKEN.findall(p.lower())} - _ENDS))
@@ -180,29 +244,49 @@ def learn_insults(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 3, m
     found = (rows.select("y", F.explode(F.pandas_udf("array<string>")(distinct)("t")).alias("w"))
              .groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
              .filter(F.col("a") >= least).withColumn("odds", odds)
-             .filter(F.col("odds") - 2 * F.sqrt(1 / a + 1 / b) > level)
-             .orderBy(F.desc("odds"), F.desc("a"), "w").limit(most))
+             .filter(F.col("odds") - 2 * F.sqrt(1 / a + 1 / b) > level))
+    learned = {r["w"]: float(r["odds"]) for r in found.collect()}
     fixed = {*TARGETS, *NEGATIONS, *REPORTS, *THREATS}
-    return {r["w"]: float(r["odds"]) for r in found.collect() if r["w"] not in fixed}
+    return {w: x for w, x in learned.items() if w not in fixed}, {w: learned.get(w, 1.0) for w in THREATS}
+
+
+def fit_factors(marks: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float, float], np.ndarray]:
+    """The factors of likelihood and their logistic layer, one factor after the other until none changes."""
+    def layer(factors):
+        aimed, negated, reported = factors
+        x = np.log1p(marks @ np.array([1, aimed, negated, reported, 1, aimed]))
+        w = logistic(x[:, None], y)
+        w[1] = max(w[1], 1e-3)
+        z = np.clip(w[0] + x * w[1], -30, 30)
+        return float((np.logaddexp(0, z) - y * z).sum()), w
+
+    best = [AIMED[2], LESS[2], LESS[2]]
+    while True:
+        before = list(best)
+        for k, choices in enumerate((AIMED, LESS, LESS)):
+            best[k] = min(choices, key=lambda c: layer([*best[:k], c, *best[k + 1:]])[0])
+        if best == before:
+            return tuple(best), layer(best)[1]
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
         train_rows: int = 12000) -> ToxicityModel:
-    """Lexicon and logistic layer from a bounded hash sample of labelled rows."""
+    """Lexicon, factors and logistic layer from a bounded hash sample of labelled rows."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("long").alias("y"))
     sample = bounded_sample(rows, "k", train_rows)
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic or toxic == n:
         return ToxicityModel({}, None, float(toxic / n) if n else 0.0)
-    model = ToxicityModel(learn_insults(sample, toxic, n - toxic))
+    insults, threats = learn_words(sample, toxic, n - toxic)
+    model = ToxicityModel(insults, threats=threats)
 
     def describe(batches):
         for pdf in batches:
             yield pdf[["y"]].assign(x=[model.features(t).tolist() for t in pdf["t"]])
 
     got = sample.select("t", "y").mapInPandas(describe, "y long, x array<double>").toPandas()
-    model.coefficients = logistic(np.stack(got["x"].to_list()), got["y"].to_numpy(float))
+    model.factors, model.coefficients = fit_factors(np.stack(got["x"].to_list()), got["y"].to_numpy(float))
     model.base = toxic / n
     return model
 

@@ -92,6 +92,38 @@ def test_composed_grammar_marks_scope():
     assert out == "acxeace"
 
 
+@pytest.mark.parametrize("text,mark", [
+    ("what an idiot wrote it", "i"), ("you complete idiot", "I"), ("stupid idiot you", "I"), ("you are not an idiot", "x"), ("an idiot you are not", "x"),
+    ("she said you are an idiot", "q"), ("you are an idiot he said", "q"), ("you are an idiot said he", "q"), ("the idiot said hello to all", "i"),
+    ("i will kill you", "T"), ("they kill time", "t"), ("i will not kill you", ""), ("he said kill time", "q"), ("never call me idiot he said", ""),
+    ("plain words only", "")])
+def test_matches_are_read_both_ways(text, mark):
+    m = toxicity.ToxicityModel({"idiot": 2.0, "stupid": 3.0}, threats={"kill": 1.5})
+    got = dict(zip(toxicity.MARKS, m.matches(text.split()).tolist()))
+    weight = 1.5 if "kill" in text else 5.0 if "stupid" in text else 2.0
+    assert got == {x: weight if x == mark else 0 for x in toxicity.MARKS}
+
+
+def test_fitted_factors_keep_their_order_and_follow_the_data():
+    rng = np.random.default_rng(3)
+    marks = rng.poisson(0.3, size=(3000, 6)) * 2.0
+    for told in (0.0, 1.0, 5.0):  # labels that ignore, halve or overrate negated and reported matches
+        z = marks @ np.array([1, 1.4, told, told, 1, 1.4]) * 1.5 - 2
+        y = (rng.uniform(size=len(z)) < 1 / (1 + np.exp(-z))).astype(float)
+        factors, layer = toxicity.fit_factors(marks, y)
+        assert factors[0] in toxicity.AIMED and factors[1] in toxicity.LESS and factors[2] in toxicity.LESS and layer[1] > 0
+        assert (max(factors[1:]) <= 0.3) == (told == 0.0)
+
+
+def test_negated_and_reported_clauses_score_below_bare_and_aimed_ones_above(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs.join(spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "toxic"), "doc_id"))
+    worst = max(model.insults, key=lambda w: (model.insults[w], w))
+    bare, aimed, negated, told, nothing = (model.score(t.format(worst)) for t in (
+        "what {} wrote it", "you complete {}", "you are not {}", "she said you are {}", "you are fine"))
+    assert nothing < negated < bare < aimed and nothing < told < bare
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = queries.QUERIES["op9_toxicity"](spark, MEDIUM).toPandas().merge(pd.read_parquet(f"{MEDIUM}/labels.parquet"), on="doc_id")
     held = got[got["held_out"]]

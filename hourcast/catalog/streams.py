@@ -76,11 +76,12 @@ i AS (SELECT instance, n_all - n_true AS island, min(ts) AS start_ts, max(ts) AS
 closed AS (SELECT i.* FROM i WHERE EXISTS (SELECT 1 FROM s WHERE s.instance = i.instance AND NOT s.cond AND s.ts > i.end_ts))
 SELECT instance, start_ts, end_ts, n_samples, fired FROM closed""", FAM)
 def stream_held_alerts(spark, sf_dir):
-    """Per-instance state machine (``applyInPandasWithState``) emitting
-    every ``up == 0`` island when it closes, with the held-for decision."""
+    """A state machine per instance and six hours (``applyInPandasWithState``)
+    emits the ``up == 0`` runs; a second step joins them across buckets into the
+    closed islands, with the held-for decision."""
     ensure_checkpoint_dir(spark)
-    s = ST.held_alerts(ST.events_stream(spark, sf_dir), HOLD_MINUTES * 60_000_000)
-    return ST.run_to_table(s, "s4_held_alerts")
+    runs = ST.run_to_table(ST.bucket_runs(ST.events_stream(spark, sf_dir)), "s4_bucket_runs")
+    return ST.join_runs(runs, HOLD_MINUTES * 60_000_000)
 
 
 @query("stream_corrections", with_views("snapshots") + """

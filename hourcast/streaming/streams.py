@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -65,13 +65,18 @@ def hourly_counts(stream: DataFrame, lookback: str = "2 hours") -> DataFrame:
 
 
 def sliding_means(stream: DataFrame, lookback: str = "2 hours") -> DataFrame:
-    """1 h windows sliding every 5 min, mean value and up-ratio per job."""
+    """1 h windows sliding every 5 min, mean value and up-ratio per job.
+
+    Samples are summed once per 5-minute pane; a pane, not a sample, goes to the
+    twelve windows that hold it.
+    """
     up = F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)
-    return (stream.withWatermark("ts_i", lookback)
-            .groupBy(F.window("ts_i", "1 hour", "5 minutes").alias("w"), F.col("event_type").alias("job"))
-            .agg(F.avg("value").alias("mean_value"),
-                 (F.avg(up) * 100).alias("availability_pct"),
-                 F.count(F.lit(1)).alias("n_samples"))
+    panes = (stream.withWatermark("ts_i", lookback)
+             .groupBy(F.window("ts_i", "5 minutes").alias("pane"), F.col("event_type").alias("job"))
+             .agg(F.sum("value").alias("v"), F.count("value").alias("nv"), F.sum(up).alias("u"), F.count(F.lit(1)).alias("n")))
+    return (panes.groupBy(F.window(F.window_time("pane"), "1 hour", "5 minutes").alias("w"), "job")
+            .agg((F.sum("v") / F.sum("nv")).alias("mean_value"), (F.sum("u") / F.sum("n") * 100).alias("availability_pct"),
+                 F.sum("n").alias("n_samples"))
             .select("job", F.col("w.start").alias("window_start"), "mean_value", "availability_pct", "n_samples"))
 
 
@@ -161,6 +166,94 @@ def held_alerts(stream: DataFrame, hold_us: int, lookback: str = "0 seconds") ->
         held_alert_state(hold_us), HELD_OUT, HELD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+RUN_OUT = T.StructType([T.StructField("instance", T.IntegerType()), T.StructField("bucket", T.LongType()),
+                        T.StructField("first_down", T.BooleanType()),
+                        T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()),
+                        T.StructField("n", T.LongType()),
+                        T.StructField("at_start", T.BooleanType()), T.StructField("at_end", T.BooleanType())])
+RUN_STATE = T.StructType([T.StructField("seen", T.BooleanType()), T.StructField("leads", T.BooleanType()), *HELD_STATE.fields])
+
+
+def bucket_runs_state(bucket_us: int):
+    """S4, first step: the ``down`` runs of one instance and time bucket.
+
+    The state holds one bucket's samples until the watermark has passed them and
+    ends with its bucket.  Emitted are a row that says how the bucket begins
+    (``first_down``), each run that closes inside, and at the bucket's end the run
+    still open there (``at_end``).
+    """
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        instance, bucket = (None if k is None else int(k) for k in key)
+        seen, leads, is_open, start, end, n, us, ids, down = state.get if state.exists else (False, False, False, 0, 0, 0, [], [], [])
+        us, ids, down = (np.array(x, t) for x, t in ((us, np.int64), (ids, np.int64), (down, bool)))
+        if not state.hasTimedOut:
+            for batch in pdfs:
+                us = np.append(us, batch["ts"].astype("datetime64[us]").astype("int64").to_numpy())
+                ids = np.append(ids, batch["event_id"].to_numpy(np.int64))
+                down = np.append(down, (batch["event_type"] == "error").to_numpy(bool))
+        passed, stop = state.getCurrentWatermarkMs() * 1000, (bucket + 1) * bucket_us
+        order = np.lexsort((ids, us))
+        us, ids, down = us[order], ids[order], down[order]
+        cut = int(np.searchsorted(us, passed, side="right"))
+        rows = []
+        if cut and not seen:
+            seen, leads = True, bool(down[0])
+            rows.append((instance, bucket, leads, None, None, None, None, None))
+        starts, ends, sizes, still = islands(us[:cut], down[:cut], (start, end, n) if is_open else None)
+        for a, b, m in zip(starts.tolist(), ends.tolist(), sizes.tolist()):
+            rows.append((instance, bucket, None, a, b, m, leads, False))
+            leads = False  # only the first run can begin the bucket
+        if cut and not len(starts) and still is None:
+            leads = False
+        us, ids, down = us[cut:], ids[cut:], down[cut:]
+        if passed >= stop and not len(us):
+            if still is not None:
+                rows.append((instance, bucket, None, *still, leads, True))
+            state.remove()
+        else:
+            state.update((seen, leads, still is not None, *(still or (0, 0, 0)), us.tolist(), ids.tolist(), down.tolist()))
+            due = int(us[0]) // 1000 if len(us) else stop // 1000
+            state.setTimeoutTimestamp(max(due, passed // 1000) + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=RUN_OUT.fieldNames()).astype({"start_us": "Int64", "end_us": "Int64", "n": "Int64"})
+    return fn
+
+
+def bucket_runs(stream: DataFrame, lookback: str = "0 seconds", bucket_us: int = 21_600_000_000) -> DataFrame:
+    """S4, first step, over all (instance, time bucket) keys."""
+    s = stream.filter("ts IS NOT NULL").withWatermark("ts_i", lookback).select(
+        (F.col("user_id") % 5).cast("int").alias("instance"), F.floor(epoch_micros("ts") / bucket_us).alias("bucket"), "ts", "event_id", "event_type", "ts_i")
+    return s.groupBy("instance", "bucket").applyInPandasWithState(
+        bucket_runs_state(bucket_us), RUN_OUT, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def join_runs(rows: DataFrame, hold_us: int) -> DataFrame:
+    """S4, second step: runs that meet at bucket edges joined; the islands that have closed.
+
+    Only the runs at edges, two a bucket at most, go through a window per instance.
+    """
+    by_bucket = Window.partitionBy("instance").orderBy("bucket")
+    firsts = rows.filter("first_down IS NOT NULL").select(
+        "instance", "bucket", F.lead("bucket").over(by_bucket).alias("next_bucket"), F.lead("first_down").over(by_bucket).alias("next_down"))
+    runs = rows.filter("n IS NOT NULL").drop("first_down").join(firsts, ["instance", "bucket"], "left")
+    inner = runs.filter("NOT at_start AND NOT at_end").select("instance", "start_us", "end_us", "n")
+    w = Window.partitionBy("instance").orderBy("bucket", "start_us")
+    before = F.lag(F.struct("at_end", "next_bucket")).over(w)
+    edge = runs.filter("at_start OR at_end").withColumn("goes_on", F.coalesce(
+        F.col("at_start") & before["at_end"] & (before["next_bucket"] == F.col("bucket")), F.lit(False)))
+    edge = edge.withColumn("island", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
+    whole = edge.groupBy("instance", "island").agg(
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"),
+        F.max_by(~F.col("at_end") | ~F.coalesce(F.col("next_down"), F.lit(True)), F.struct("bucket", "start_us")).alias("closed"))
+    found = inner.unionByName(whole.filter("closed").drop("island", "closed"))
+
+    def time(c):
+        return F.timestamp_add("MICROSECOND", F.col(c), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+    return found.select("instance", time("start_us").alias("start_ts"), time("end_us").alias("end_ts"), F.col("n").alias("n_samples"),
+                        (F.col("end_us") - F.col("start_us") >= hold_us).alias("fired"))
+
+
 JOB_OUT = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("event_id", T.LongType()),
                         T.StructField("previous_state", T.StringType()), T.StructField("state", T.StringType()),
                         T.StructField("updated_at", T.TimestampNTZType()), T.StructField("seq_no", T.LongType())])

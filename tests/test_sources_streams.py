@@ -183,6 +183,27 @@ def test_streams_read_a_folder_of_parts_in_any_order(spark, scratch):
     assert QUERIES["file_checksums"](spark, folder).count() == 4
 
 
+@pytest.mark.parametrize("bucket_us", [3_600_000_000, 6 * 3_600_000_000, 600_000_000])
+def test_runs_joined_across_buckets_equal_the_one_key_machine(spark, bucket_us):
+    hold = HOLD_MINUTES * 60_000_000
+    rows = ST.run_to_table(ST.bucket_runs(ST.events_stream(spark, SMALL), bucket_us=bucket_us), "s4_bucket_runs")
+    got = ST.join_runs(rows, hold)
+    one = ST.run_to_table(ST.held_alerts(ST.events_stream(spark, SMALL), hold), "s4_held")
+    assert got.count() == one.count() > 0 and got.exceptAll(one).count() == 0
+
+
+def test_runs_are_joined_only_across_neighbouring_buckets(spark):
+    rows = [(0, 0, True, None, None, None, None, None), (0, 0, None, 1, 9, 3, True, True),
+            (0, 1, True, None, None, None, None, None), (0, 1, None, 10, 19, 2, True, True),  # down throughout
+            (0, 4, True, None, None, None, None, None), (0, 4, None, 40, 41, 2, True, False), (0, 4, None, 43, 44, 1, False, False),
+            (0, 4, None, 48, 49, 1, False, True),
+            (0, 7, False, None, None, None, None, None), (0, 7, None, 75, 79, 4, False, True),  # a bucket that begins up closes the last run
+            (1, 0, True, None, None, None, None, None), (1, 0, None, 1, 9, 3, True, True)]  # still open
+    got = ST.join_runs(spark.createDataFrame(rows, ST.RUN_OUT), 30).orderBy("start_ts").collect()
+    assert [(r.instance, r.start_ts.microsecond, r.end_ts.microsecond, r.n_samples, r.fired) for r in got] == [
+        (0, 1, 41, 7, True), (0, 43, 44, 1, False), (0, 48, 49, 1, False)]
+
+
 def test_held_alerts_wait_for_late_files(spark, scratch):
     """One file per batch, newest first: a lookback over the whole span loses nothing, and
     without one the run raises instead of returning a part."""

@@ -42,7 +42,7 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     if n <= bound:
         return df
     lot = F.shiftrightunsigned(F.xxhash64(*df.columns, F.lit("sample")), 1)
-    most = int(min(1.0, 2 * bound / n) * ((1 << 63) - 1))
+    most = ((1 << 63) - 1) * min(2 * bound, n) // n
     sizes = df.select(lot.alias("lot")).filter(F.col("lot") <= F.lit(most)).groupBy("lot").agg(F.count(F.lit(1)).alias("n")).toPandas()
     sizes = sizes.sort_values("lot")
     full = sizes["n"].cumsum().to_numpy()

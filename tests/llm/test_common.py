@@ -39,6 +39,7 @@ def test_bounded_sample_is_bounded_whatever_ids_repeat(spark):
     by = {r.k: r["count"] for r in got.groupBy("k").count().collect()}
     assert len(by) == 21 and abs(by[None] - 1000) < 150 and all(60 < n < 145 for k, n in by.items() if k is not None)
     assert bounded_sample(rows.repartition(3), "k", 3000).exceptAll(got).count() == 0
+    assert bounded_sample(rows, "k", 59_000).count() == 59_000
     copies = rows.filter("k IS NULL").limit(500).unionByName(spark.range(20_000).select(F.lit(1).cast("long").alias("k"), F.lit("same").alias("t")))
     assert 0 < bounded_sample(copies, "k", 100).count() <= 100
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,31 +79,49 @@ def school_days(spark: SparkSession, rows=SCHOOL_HOLIDAYS, zone: str = "Zone C",
     return kept.select("label", F.explode(days).alias("day"))
 
 
+def _part(top: Column, own: Column) -> Column:
+    """What a row leaves for the largest end of another label than the top's.
+
+    A row of another label leaves its own end or, if it becomes the top, the old
+    top's.  The running maximum of these parts is right although labels change
+    places: a label that comes back to the top leaves a larger end behind.
+    """
+    return F.when(top.isNotNull() & own.isNotNull() & ~own["l"].eqNullSafe(top["l"]), F.least(own["e"], top["e"]))
+
+
 def overlap_flags(intervals: DataFrame, key: str, start: str, end: str, label: str,
                   bucket: str) -> DataFrame:
     """An interval overlapping an earlier-starting interval with a
     different label, for any number of labels.
 
-    The running largest end of the earlier intervals decides alone unless it
-    has the row's own label.  Then the largest end of another label counts: it
-    is the running largest end where the present stretch of one leading label
-    began, or an end of another label inside that stretch.  All of it is
-    bucketed prefix maxima, so no pairs are formed and hot keys stay split.
+    The earlier intervals are summed up by two ends: the largest one with its
+    label, and the largest one of another label; whichever has not the row's own
+    label decides.  The state at the start of a bucket comes from one small table
+    (the largest end per bucket and label), joined once; inside a bucket both
+    ends are running maxima over one window.  No pairs are formed and a hot key
+    stays split.
     """
-    from hourcast.operators.bucketed import bucketed_lag, running_aggs
-    order = [start, "_tie"]
-    led = running_aggs(intervals, [key], order, bucket,
-                       {"_top": (F.struct(F.col(end).alias("e"), F.col(label).alias("l")), "max")}, exclusive=True)
-    led = bucketed_lag(led, [key], order, bucket, "_top", "_before")
-    turned = ~F.col("_before.l").eqNullSafe(F.col("_top.l"))
-    led = led.withColumn("_came", F.when(turned, F.col("_before.e")))
-    led = running_aggs(led, [key], order, bucket, {"_stretch": (turned.cast("bigint"), "sum")})
-    other = F.when(~F.col(label).eqNullSafe(F.col("_top.l")), F.col(end))
-    led = running_aggs(led, [key, "_stretch"], order, bucket, {"_inside": (other, "max")}, exclusive=True)
-    led = running_aggs(led, [key, "_stretch"], order, bucket, {"_since": (F.col("_came"), "max")})
-    latest = F.when(F.col("_top.l").eqNullSafe(F.col(label)), F.greatest("_inside", "_since")).otherwise(F.col("_top.e"))
+    base = intervals.withColumn("_kb", F.struct(key, bucket))
+    entries = base.groupBy("_kb", F.col(label).alias("_l")).agg(F.max(end).alias("_e")).filter("_e IS NOT NULL")
+    in_key = Window.partitionBy(f"_kb.{key}").orderBy(f"_kb.{bucket}", "_l")
+    own = F.struct(F.col("_e").alias("e"), F.col("_l").alias("l"))
+    before = in_key.rowsBetween(Window.unboundedPreceding, -1)
+    entries = entries.withColumns({"_top": F.max(own).over(before), "_own": own})
+    entries = entries.withColumns({"_second": F.max(_part(F.col("_top"), F.col("_own"))).over(in_key.rowsBetween(Window.unboundedPreceding, 0)),
+                                   "_upto": F.greatest("_top", "_own")})
+    # at the end of each bucket, then carried to every later bucket of the key
+    ends = entries.groupBy("_kb").agg(F.max("_upto").alias("_t"), F.max("_second").alias("_s"))
+    buckets = base.select("_kb").distinct().join(ends, "_kb", "left")
+    earlier = Window.partitionBy(f"_kb.{key}").orderBy(f"_kb.{bucket}").rowsBetween(Window.unboundedPreceding, -1)
+    carry = buckets.select("_kb", F.max("_t").over(earlier).alias("_carried"), F.max("_s").over(earlier).alias("_second"))
+    inside = Window.partitionBy("_kb").orderBy(start, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    mine = F.when(F.col(end).isNotNull(), F.struct(F.col(end).alias("e"), F.col(label).alias("l")))
+    led = base.join(carry, "_kb").withColumn("_own", mine)
+    led = led.withColumn("_top", F.greatest(F.max("_own").over(inside), F.col("_carried")))
+    led = led.withColumn("_other", F.greatest(F.max(_part(F.col("_top"), F.col("_own"))).over(inside), F.col("_second")))
+    latest = F.when(F.col("_top.l").eqNullSafe(F.col(label)), F.col("_other")).otherwise(F.col("_top.e"))
     return (led.withColumn("overlap_warning", F.coalesce(latest > F.col(start), F.lit(False)))
-            .drop("_top", "_before", "_came", "_stretch", "_inside", "_since"))
+            .drop("_kb", "_carried", "_second", "_own", "_top", "_other"))
 
 
 def dated_labels(rows: DataFrame, day: str, label: str, year: int) -> DataFrame:

@@ -164,3 +164,18 @@ def test_no_boundaries_and_no_points(spark):
     none = spark.createDataFrame([], "label string, ring array<struct<x:double,y:double>>")
     found, faulty = BD.join_boundaries(spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double"), "id", "x", "y", none)
     assert [(r.id, r.n_hits, r.hit) for r in found.collect()] == [(1, 0, None)] and faulty.count() == 0
+
+
+@pytest.mark.parametrize("span,length,labels", [(4000, 8, "ab"), (4000, 30, "abcd"), (300, 20, "ab"), (20_000, 60, "a")])
+def test_overlaps_with_another_label_equal_a_test_of_every_pair(spark, span, length, labels):
+    from hourcast.operators import enrich as EN
+    rng = random.Random(span + length)
+    rows = []
+    for i in range(400):
+        s = rng.randrange(span)
+        rows.append((rng.choice([1, 2, None]), i, s, None if i % 40 == 0 else s + rng.randrange(length), rng.choice([*labels, None] if i % 7 == 0 else labels), s // 50))
+    df = spark.createDataFrame(rows, "k int, _tie int, s int, e int, l string, b int")
+    got = {r._tie: r.overlap_warning for r in EN.overlap_flags(df, "k", "s", "e", "l", "b").collect()}
+    want = {i: any(k2 == k and l2 != l and (s2, i2) < (s, i) and e2 is not None and e2 > s for k2, i2, s2, e2, l2, _ in rows)
+            for k, i, s, _, l, _ in rows}
+    assert got == want and 0 < sum(want.values()) < 400

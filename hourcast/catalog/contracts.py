@@ -214,3 +214,92 @@ def boundary_quarantine(spark, sf_dir):
     """Boundaries that are no valid ring, with the reason."""
     rings = boundary_texts(spark, sf_dir).withColumn("ring", BD.parse_ring(F.col("geometry")))
     return BD.checked(rings, "label", "ring").filter("fault IS NOT NULL").select("label", "fault")
+
+
+GATED = ["counter_id", "ts_utc", "hourly_count"]
+
+
+@query("dataset_gates", with_views("counts") + """,
+k AS (SELECT counter_id, count(*) AS n, CAST(sum(hourly_count) % 4 AS INT) AS kind FROM counts GROUP BY 1),
+n AS (SELECT t.kind, count(counter_id) AS n_counters, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows
+      FROM (VALUES (0), (1), (2), (3)) AS t(kind) LEFT JOIN k USING (kind) GROUP BY 1)
+SELECT kind, CASE kind WHEN 0 THEN 0 ELSE n_counters END AS n_counters, CASE kind WHEN 0 THEN 0 ELSE n_rows END AS n_rows,
+  CASE kind WHEN 1 THEN 'missing required columns: [''hourly_count'']' WHEN 2 THEN 'missing required columns: [''hourly_count'', ''ts_utc'']'
+    ELSE CASE WHEN kind = 0 OR n_rows = 0 THEN 'dataset is empty' ELSE 'ok' END END AS outcome FROM n""", FAM)
+def dataset_gates(spark, sf_dir):
+    """A11 + A14: the gates in front of four stored datasets: an empty one, two
+    short of columns, a whole one; counters are dealt to them by their total."""
+    c = counts(spark, sf_dir).select(*GATED)
+    kind = c.groupBy("counter_id").agg((F.sum("hourly_count") % 4).alias("kind"))
+    c = materialize(c.join(kind, "counter_id"))
+    path, out = _folder(spark, "gated"), None
+    for i, short in enumerate(([], ["hourly_count"], ["hourly_count", "ts_utc"], [])):
+        own = c.filter(F.col("kind") == i).drop("kind", *short)
+        (own.limit(0) if i == 0 else own).write.parquet(f"{path}/{i}")
+        got = spark.read.parquet(f"{path}/{i}")
+        outcome = "ok"
+        try:
+            V.require_columns(got, GATED)
+            V.require_rows(got)
+        except ValueError as failed:
+            outcome = str(failed)
+        row = got.agg(F.count_distinct("counter_id").alias("n_counters"), F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(i).alias("kind"), "n_counters", "n_rows", F.lit(outcome).alias("outcome"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("model_columns", """
+SELECT counter_id, kind, string_agg(name, ',' ORDER BY name) AS names, CAST(sum(n) AS BIGINT) AS n_values FROM (
+  SELECT concat(event_type, '_', CASE WHEN user_id % 2 = 0 THEN 'N-S' ELSE 'S-N' END) AS counter_id, u.kind, u.name,
+         count(CASE u.name WHEN 'site' THEN event_type WHEN 'hourly_count' THEN CAST(user_id AS VARCHAR) WHEN 'temperature' THEN CAST(value AS VARCHAR) ELSE 'x' END) AS n
+  FROM events, (VALUES ('numeric', 'hourly_count'), ('numeric', 'temperature'), ('numeric', 'ts_hour'), ('text', 'site'), ('neither', 'is_open'), ('neither', 'ts_local'))
+    AS u(kind, name) GROUP BY 1, 2, 3) GROUP BY 1, 2""", FAM)
+def model_columns(spark, sf_dir):
+    """A16 + A17 + A18: listed columns and the source timestamp dropped, the rest
+    split into numeric, text and neither (booleans and times, which no model
+    sees); values counted per counter."""
+    from hourcast.functions.calendar import to_local
+    from hourcast.operators.model import typed_columns
+    from hourcast.sources.files import drop_listed
+    ev = table(spark, sf_dir, "events")
+    raw = ev.select(F.concat_ws("_", "event_type", orientation_of()).alias("counter_id"), F.col("event_type").alias("site"),
+                    F.col("user_id").alias("hourly_count"), F.col("value").alias("temperature"), F.lit(48.8).alias("latitude"),
+                    F.lit(2.3).alias("longitude"), F.lit("x").alias("note"), F.lit(True).alias("is_open"), F.col("ts").alias("ts_utc"))
+    built = raw.withColumns({"ts_local": to_local("ts_utc"), "ts_hour": F.hour("ts_utc")}).drop("ts_utc")  # A17
+    kept = drop_listed(built, ["note", "absent"])
+    numeric, text = typed_columns(kept, ["counter_id"])
+    kinds = {**dict.fromkeys(numeric, "numeric"), **dict.fromkeys(text, "text")}
+    names = [c for c in kept.columns if c != "counter_id"]
+    counted = kept.groupBy("counter_id").agg(*[F.count(c).alias(c) for c in names]).unpivot("counter_id", names, "name", "n")
+    kind = F.element_at(F.create_map(*[F.lit(x) for c in names for x in (c, kinds.get(c, "neither"))]), F.col("name"))
+    return counted.groupBy("counter_id", kind.alias("kind")).agg(
+        F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"), F.sum("n").alias("n_values"))
+
+
+@query("identity_chains", f"""
+WITH e AS (SELECT DISTINCT user_id % 40 AS u, {COUNTER_SQL} AS folder, date_trunc('hour', ts) AS ts FROM events),
+c AS (SELECT *, CASE WHEN u % 4 = 0 THEN 'run-' || CAST(u AS VARCHAR) WHEN u % 4 = 1 THEN '  ' END AS run_given,
+        CASE WHEN u % 3 = 0 THEN 'env-run' END AS run_env, CASE WHEN u % 5 = 0 THEN 'flow-' || CAST(u AS VARCHAR) END AS flow_env,
+        CASE WHEN u % 6 = 0 THEN 'given_N-S' WHEN u % 6 = 1 THEN '' END AS counter_given, CASE WHEN u % 7 = 0 THEN 'env_S-N' END AS counter_env,
+        CASE WHEN u % 8 = 0 THEN 'models' END AS producer_given, CASE WHEN u % 9 = 0 THEN 'features' END AS producer_env FROM e)
+SELECT run_id, counter_id, producer, count(*) AS n_rows FROM (
+  SELECT coalesce(nullif(trim(run_given), ''), run_env, flow_env, strftime(ts, '%Y%m%dT%H%M%SZ')) AS run_id,
+         coalesce(nullif(trim(counter_given), ''), counter_env, folder) AS counter_id, coalesce(producer_given, producer_env, 'unknown') AS producer FROM c)
+GROUP BY 1, 2, 3""", FAM)
+def identity_chains(spark, sf_dir):
+    """Run id (given, two settings, UTC time text), counter id (given,
+    setting, folder) and producer (given, setting, default); blank is absent."""
+    from hourcast.functions.labels import first_present
+    u = F.col("u")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("u"), F.concat_ws("_", "event_type", orientation_of()).alias("folder"),
+                                              F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).distinct()
+    text = u.cast("string")
+    c = e.select("folder", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("time_text"),
+                 F.when(u % 4 == 0, F.concat(F.lit("run-"), text)).when(u % 4 == 1, "  ").alias("run_given"), F.when(u % 3 == 0, "env-run").alias("run_env"),
+                 F.when(u % 5 == 0, F.concat(F.lit("flow-"), text)).alias("flow_env"), F.when(u % 6 == 0, "given_N-S").when(u % 6 == 1, "").alias("counter_given"),
+                 F.when(u % 7 == 0, "env_S-N").alias("counter_env"), F.when(u % 8 == 0, "models").alias("producer_given"),
+                 F.when(u % 9 == 0, "features").alias("producer_env"))
+    return c.groupBy(first_present("run_given", "run_env", "flow_env", "time_text").alias("run_id"),
+                     first_present("counter_given", "counter_env", "folder").alias("counter_id"),
+                     first_present("producer_given", "producer_env", default="unknown").alias("producer")).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -91,6 +91,43 @@ def y_full_linear(spark, sf_dir):
     return round_doubles(y_full_linear_df(spark, sf_dir))
 
 
+_OUT_SQL = "SELECT '{name}' AS output, counter_id, count(*) AS n_rows, round(sum({value}), 4) AS total FROM e {where} GROUP BY counter_id"
+
+
+@query("evaluation_outputs", Y_FULL_SQL + """,
+e AS (SELECT yf.counter_id, y_true, y_pred, forecast_mode, hour(timezone('Europe/Paris', timezone('UTC', ts_utc))) AS hour_local, x AS lag_1
+      FROM yf JOIN (SELECT counter_id, ts_utc, x FROM s) USING (counter_id, ts_utc))
+""" + "\nUNION ALL ".join(_OUT_SQL.format(name=name, where="" if split is None else f"WHERE {'NOT ' if split == 'train' else ''}forecast_mode", value={
+    "features": "hour_local + lag_1" if split == "train" else "hour_local", "dates": "hour_local", "truth": "CAST(y_true AS DOUBLE)",
+    "prediction": "y_pred", "full": "CAST(y_true AS DOUBLE) + y_pred"}[kind]) for name, split, kind in (
+        ("X_train", "train", "features"), ("X_test", "test", "features"), ("X_train_dates", "train", "dates"), ("X_test_dates", "test", "dates"),
+        ("y_train", "train", "truth"), ("y_test", "test", "truth"), ("y_train_pred", "train", "prediction"),
+        ("y_test_pred", "test", "prediction"), ("y_full", None, "full"))), FAM)
+def evaluation_outputs(spark, sf_dir):
+    """The nine evaluation outputs written as CSV by counter and read back: rows and sums of each."""
+    import os
+    import uuid
+
+    from hourcast.session import ensure_checkpoint_dir
+    from hourcast.sources import sinks as SK
+    lagged = _split(spark, sf_dir).select("counter_id", "ts_utc", F.col("x").alias("lag_1"))
+    full = materialize(y_full_linear_df(spark, sf_dir).join(lagged, ["counter_id", "ts_utc"])
+                       .withColumn("hour_local", F.hour("ts_local")))
+    path = os.path.join(ensure_checkpoint_dir(spark), f"outputs-{uuid.uuid4().hex}")
+    SK.write_outputs(full, path, ["hour_local", "lag_1"], ["hour_local"])
+    values = {"features": ("hour_local double, lag_1 double", F.col("hour_local") + F.col("lag_1")), "dates": ("ts_local timestamp_ntz", F.hour("ts_local")),
+              "truth": ("y_true double", F.col("y_true")), "prediction": ("comptage_horaire_predit double", F.col("comptage_horaire_predit")),
+              "full": ("ts_local timestamp_ntz, y_true double, y_pred double, forecast_mode boolean", F.col("y_true") + F.col("y_pred"))}
+    out = None
+    for name, split, kind in SK.OUTPUTS:
+        schema, value = ("hour_local double", F.col("hour_local")) if name == "X_test" else values[kind]
+        got = spark.read.option("header", True).schema(f"row long, {schema}, counter_id string").csv(f"{path}/{name}").groupBy("counter_id").agg(
+            F.count(F.lit(1)).alias("n_rows"), round_scaled(F.sum(value.cast("double")), 4).alias("total"))
+        got = got.select(F.lit(name).alias("output"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 # Coefficients of a given model: seven lags, a 24-row trailing mean, two calendar inputs.
 AR7 = [0.12, 0.09, 0.07, 0.05, 0.04, 0.03, 0.02]
 MEAN24, WEEKEND, HOUR, INTERCEPT = 0.45, -0.6, 0.3, 0.25

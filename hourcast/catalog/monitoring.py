@@ -71,6 +71,22 @@ def job_rates(spark, sf_dir):
                          .select("job", "bucket", "increase", "rate", "n_series"))
 
 
+@query("container_panels", RATE_SQL + f""",
+g AS (SELECT job, instance, {HOUR_SQL} AS bucket, sum(value) / count(value) AS memory, max(value) AS peak FROM samples GROUP BY 1, 2, 3)
+SELECT job || '-' || CAST(instance AS VARCHAR) AS container, bucket, round(100 * increase / 3600.0, 6) AS cpu_pct,
+       round(memory, 6) AS memory_mean, round(peak, 6) AS memory_peak
+FROM r JOIN g USING (job, instance, bucket)""", FAM)
+def container_panels(spark, sf_dir):
+    """Per container and hour the CPU rate times 100 of a counter, and the
+    plain mean and peak of a gauge (a rate of a gauge means nothing)."""
+    s = materialize(samples(spark, sf_dir))
+    r = M.rate(s, SERIES, "counter_value", ORDER)
+    g = s.groupBy(*SERIES, M.hour_bucket().alias("bucket")).agg((F.sum("value") / F.count("value")).alias("memory_mean"), F.max("value").alias("memory_peak"))
+    return round_doubles(r.join(g, [*SERIES, "bucket"]).select(
+        F.concat_ws("-", "job", F.col("instance").cast("string")).alias("container"), "bucket", (F.lit(100) * F.col("increase") / F.lit(3600.0)).alias("cpu_pct"),
+        "memory_mean", "memory_peak"))
+
+
 @query("request_rates", with_views("access_log") + f"""
 SELECT {HOUR_SQL} AS bucket, count(*) AS n_requests,
   round(count(*) / 3600.0, 6) AS rate_total,

@@ -7,7 +7,7 @@ protocol)."""
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,31 @@ def write_evaluation(y_full: DataFrame, path: str) -> None:
     write_dataset(out, path, partition_by=("counter_id", "split"))
 
 
+#: The nine outputs of an evaluation: (name, split that it is cut from, columns besides the key and row number).
+OUTPUTS = (("X_train", "train", "features"), ("X_test", "test", "features"), ("X_train_dates", "train", "dates"),
+           ("X_test_dates", "test", "dates"), ("y_train", "train", "truth"), ("y_test", "test", "truth"),
+           ("y_train_pred", "train", "prediction"), ("y_test_pred", "test", "prediction"), ("y_full", None, "full"))
+
+
+def write_outputs(evaluated: DataFrame, path: str, train_features: list[str], test_features: list[str], key: str = "counter_id",
+                  date: str = "ts_local", predicted: str = "comptage_horaire_predit") -> None:
+    """The nine outputs as CSV datasets, one folder per key, numbered from 0 in time order.
+
+    ``evaluated(key, date, y_true, y_pred, forecast_mode, features)`` should be a
+    stored table: each output is cut from it.  Test rows have no lagged features,
+    as those of a recursive forecast are not known beforehand.
+    """
+    split = F.when(F.col("forecast_mode"), "test").otherwise("train")
+    in_split, whole = (Window.partitionBy(*k).orderBy(date) for k in ((key, "forecast_mode"), (key,)))
+    rows = evaluated.withColumns({"_split": split, "row": F.row_number().over(in_split) - 1, "_row": F.row_number().over(whole) - 1})
+    columns = {"dates": [F.col(date)], "truth": [F.col("y_true")], "prediction": [F.col("y_pred").alias(predicted)],
+               "full": [F.col(date), F.col("y_true"), F.col("y_pred"), F.col("forecast_mode")]}
+    for name, part, kind in OUTPUTS:
+        chosen = [F.col(c) for c in (train_features if part == "train" else test_features)] if kind == "features" else columns[kind]
+        own = rows if part is None else rows.filter(F.col("_split") == part)
+        write_dataset(own.select(key, F.col("_row" if part is None else "row").alias("row"), *chosen), f"{path}/{name}", "csv", (key,))
+
+
 def save_model(path: str, tables: dict[str, DataFrame]) -> int:
     """One new version of a model: its tables, then a marker row that names them.
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourcast.catalog.history import _merge_sql, _merged
+from hourcast.catalog.history import _merge_sql
 from hourcast.catalog.registry import ORACLE, query
 from hourcast.functions import labels as L
 from hourcast.functions.timecols import epoch_micros
 from hourcast.operators import canonical as C
 from hourcast.operators.evaluate import (STEP_DURATION_METRIC, STEP_RECORDS_METRIC, response_tally as tally,
                                          round_doubles)
-from hourcast.sources.tables import access_log, counts, job_log, materialize, with_views
+from hourcast.sources.tables import access_log, counts, job_log, materialize, snapshots, with_views
 
 FAM = "artifacts"
 
@@ -90,10 +90,12 @@ FROM declared d LEFT JOIN actual a ON d.counter_id = a.counter_id""", FAM)
 def payload_verification(spark, sf_dir):
     """Each manifest's declared checksum (payload as of snapshot 2)
     against the payload found now (after all corrections): no local path -> skipped, no payload -> missing, different -> mismatch."""
-    declared = dataset_checksum(_merged(spark, sf_dir, max_snapshot=2), "counter_id",
+    s = materialize(snapshots(spark, sf_dir))  # read for both states
+    rank = C.precedence_default(F.col("snapshot_no"))
+    declared = dataset_checksum(C.merge(C.as_of(s, 2), rank), "counter_id",
                                 "counter_id", "ts_utc", "hourly_count") \
         .select("counter_id", F.col("checksum_sha256").alias("declared_checksum"))
-    actual = dataset_checksum(_merged(spark, sf_dir), "counter_id", "counter_id", "ts_utc", "hourly_count") \
+    actual = dataset_checksum(C.merge(s, rank), "counter_id", "counter_id", "ts_utc", "hourly_count") \
         .select("counter_id", F.col("checksum_sha256").alias("actual_checksum"))
     j = declared.join(actual, "counter_id", "left")
     outcome = (F.when(F.col("counter_id").endswith("S-N"), "skipped")

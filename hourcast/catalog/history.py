@@ -231,8 +231,10 @@ def dst_day_slots(spark, sf_dir):
 
 
 def _coverage(spark, sf_dir):
-    slots = _slots(spark, sf_dir).withColumnRenamed("slot_utc", "ts_utc")
-    cur = _merged(spark, sf_dir).select("counter_id", "ts_utc", "tie")
+    s = materialize(snapshots(spark, sf_dir))  # read for the active range and the merge
+    act = s.groupBy("counter_id").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"))
+    slots = CV.expected_slots(act, "first_ts", "last_ts").select("counter_id", F.col("slot_utc").alias("ts_utc"))
+    cur = C.merge(s, C.precedence_default(F.col("snapshot_no"))).select("counter_id", "ts_utc", "tie")
     j = slots.join(cur, ["counter_id", "ts_utc"], "left")
     return j.select("counter_id", day_floor(to_local("ts_utc")).alias("local_day"),
                     F.when(F.col("tie").isNull(), "unavailable").when(F.col("tie"), "quarantined")
@@ -292,11 +294,12 @@ GROUP BY 1, 2""", FAM)
 def gap_repair(spark, sf_dir):
     """Outcome of a repair batch (snapshot 3) on each missing slot:
     filled, quarantined (implausible value) or still unavailable."""
-    g = CV.gaps(counts(spark, sf_dir))
+    s = materialize(snapshots(spark, sf_dir))  # read for the gaps and the repair batch
+    g = CV.gaps(s.select("counter_id", "ts_utc").distinct())
     miss = g.select("counter_id", F.explode(F.sequence(
         "gap_start", F.timestamp_add("HOUR", F.lit(-1), F.col("gap_end")),
         F.expr("INTERVAL 1 HOUR"))).alias("ts_utc"))
-    fix = snapshots(spark, sf_dir).filter(F.col("snapshot_no") == 3).select("counter_id", "ts_utc", "hourly_count")
+    fix = s.filter(F.col("snapshot_no") == 3).select("counter_id", "ts_utc", "hourly_count")
     j = miss.join(fix, ["counter_id", "ts_utc"], "left")
     outcome = (F.when(F.col("hourly_count").isNull(), "unavailable")
                .when(F.col("hourly_count") > 3, "quarantined").otherwise("filled"))
@@ -364,9 +367,10 @@ def backfill(spark, sf_dir):
     outside the interval are kept untouched."""
     lo = F.lit(BACKFILL_A).cast("timestamp_ntz")
     hi = F.lit(BACKFILL_B).cast("timestamp_ntz")
-    inside = (snapshots(spark, sf_dir, (BACKFILL_A, BACKFILL_B)).filter(F.col("snapshot_no") == 3)
+    s = materialize(snapshots(spark, sf_dir))  # read for the interval and the rows outside it
+    inside = (s.filter((F.col("snapshot_no") == 3) & (F.col("ts_utc") >= lo) & (F.col("ts_utc") < hi))
               .select("counter_id", "ts_utc", "hourly_count", F.lit("backfill").alias("source")))
-    m = _merged(spark, sf_dir)
+    m = C.merge(s, C.precedence_default(F.col("snapshot_no")))
     outside = (m.filter((F.col("ts_utc") < lo) | (F.col("ts_utc") >= hi))
                .select("counter_id", "ts_utc", "hourly_count", F.lit("kept").alias("source")))
     u = inside.unionByName(outside)

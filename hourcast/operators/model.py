@@ -209,13 +209,6 @@ def recursive_fold(buffer: Column, horizon: Column, intercept: Column, ar_coef:
     return F.aggregate(steps, init, step, lambda acc: acc["preds"])
 
 
-def expanding_folds(n: Column, rn: Column, fold: Column, n_splits: int) -> Column:
-    """A87 role of row ``rn`` in expanding fold ``fold`` (0-based)."""
-    ts = F.floor(n / F.lit(n_splits + 1))
-    test_end = n - (F.lit(n_splits - 1) - fold) * ts
-    return (F.when(rn <= test_end - ts, F.lit("train")).when(rn <= test_end, F.lit("test")))
-
-
 def tail_values(df: DataFrame, keys: list[str], order: str, value: str, k: int) -> DataFrame:
     """Last ``k`` values of each key, oldest first (bounded: ``k`` per key)."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())

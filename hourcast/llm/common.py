@@ -29,19 +29,20 @@ def id_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, bound: int, by: tuple[str, ...] = ()) -> DataFrame:
     """At most ``bound`` rows (all, if there are no more), chosen by a hash of the whole row.
 
     Rows of one ``key`` (null included) are chosen each by its own, since the
     other columns count, too; rows equal in all columns are alike and taken until
-    the bound is full.  The cut is found among the hashes of about twice the
+    the bound is full.  ``by`` names fewer columns to hash: those of one side of a
+    join below, so that Spark can filter that side before it joins.  The cut is found among the hashes of about twice the
     bound's share, which the driver holds as numbers.  Rows that are copies of
     few others may leave the sample under its bound, never over it.
     """
     n = df.count()
     if n <= bound:
         return df
-    lot = F.shiftrightunsigned(F.xxhash64(*df.columns, F.lit("sample")), 1)
+    lot = F.shiftrightunsigned(F.xxhash64(*(by or df.columns), F.lit("sample")), 1)
     most = ((1 << 63) - 1) * min(2 * bound, n) // n
     sizes = df.select(lot.alias("lot")).filter(F.col("lot") <= F.lit(most)).groupBy("lot").agg(F.count(F.lit(1)).alias("n")).toPandas()
     sizes = sizes.sort_values("lot")

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import bounded_sample
+from hourcast.llm.common import bounded_sample, shared_table
 
 # Word classes of the grammar (English, German, French, Spanish).
 TARGETS = ("you your you're he she they them his her their these those people everyone "
@@ -274,7 +274,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     """Lexicon, factors and logistic layer from a bounded hash sample of labelled rows."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("long").alias("y"))
-    sample = bounded_sample(rows, "k", train_rows)
+    sample = shared_table(bounded_sample(rows, "k", train_rows, by=("k", "t")), "labelled")
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic or toxic == n:
         return ToxicityModel({}, None, float(toxic / n) if n else 0.0)

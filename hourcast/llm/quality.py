@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import bounded_sample
+from hourcast.llm.common import bounded_sample, shared_table
 from hourcast.llm.toxicity import logistic
 
 _KIND = np.full(256, 5, np.int64)  # 0 lower, 1 upper, 2 digit, 3 space, 4 sentence marks, 5 symbols, 6 beyond ASCII
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     named = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
         F.col(key).alias("lk"), F.col(label).cast("long").alias("y"))
     rows = docs.select(F.col(key).alias("k"), "text", "source", "lang", "n_chars")
-    some = bounded_sample(named, "lk", train_rows)
+    some = shared_table(bounded_sample(named, "lk", train_rows), "labels")  # small by its file: the texts stay where they are
 
     def describe(batches):
         for pdf in batches:

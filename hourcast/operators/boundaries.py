@@ -3,9 +3,15 @@
 Each ring is cut into cells of its own level, cells whose side is about the
 ring's larger extent over ``PARTS``: a ring of any size has few cells.  A cell
 that no edge meets lies wholly inside or outside; only points in border cells are
-tested against the ring.  A point is looked up once per level that occurs
+tested against edges.  A point is looked up once per level that occurs
 (levels are powers of two: their number grows with the logarithm of the extents).
-The join is on (level, cell), so Spark deals it by cells and splits a hot one.
+
+A cell with many points is halved both ways until its leaves hold about ``LEAF``
+points each, and the rings in it are followed down: a leaf keeps the edges that
+can decide a point in it, and rings that hold a whole cell are counted once for
+the cell, with their smallest label.  So a point meets the borders near it, not
+every ring over it.  Points and edges of a leaf are joined in blocks of bounded
+size by (level, leaf, block of points): a hot leaf becomes more blocks.
 
 Rings are arrays of points; a last point equal to the first closes the ring and
 is not counted.  Invalid rings (null or missing points, fewer than three different
@@ -16,8 +22,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = 4
+LEAF = 512  # points that a leaf should hold
+BLOCK = 2048  # points, and edges, in one block
+PAIRS = 1 << 17  # edges by points tested at once, and borders followed at once
+CELL = ["level", "cx", "cy"]
+LEAF_KEY = ["level", "depth", "lx", "ly"]
 
 
 def parse_ring(text: Column) -> Column:
@@ -60,18 +72,27 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 1), F.lit(0), crossed) % 2 == 1
 
 
+def boxes(rings: DataFrame) -> DataFrame:
+    """Rings with their extents, the ``level`` and ``side`` of their cells and the cells' range."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    box = rings.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = box.withColumn("level", F.ceil(F.log2(extent / PARTS)).cast("int")).withColumn("side", F.pow(F.lit(2.0), F.col("level")))
+    return box.withColumns({c: F.floor(F.col(v) / F.col("side")) for c, v in (("cx0", "x0"), ("cx1", "x1"), ("cy0", "y0"), ("cy1", "y1"))})
+
+
+def spread(box: DataFrame) -> DataFrame:
+    """A row per cell that the extents of a ring meet."""
+    return box.withColumn("cx", F.explode(F.sequence("cx0", "cx1"))).withColumn("cy", F.explode(F.sequence("cy0", "cy1")))
+
+
 def cells(rings: DataFrame) -> DataFrame:
     """``(label, level, cx, cy, border, edges)``: the cells of valid rings that hold a part of them.
 
     A cell is border if an edge's bounding box meets the cell; for the others one
     inner point decides.  Border cells carry the ring, inner cells do not.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = rings.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    box = box.withColumn("level", F.ceil(F.log2(extent / PARTS)).cast("int")).withColumn("side", F.pow(F.lit(2.0), F.col("level")))
-    at = {c: F.floor(F.col(v) / F.col("side")) for c, v in (("cx0", "x0"), ("cx1", "x1"), ("cy0", "y0"), ("cy1", "y1"))}
-    box = box.withColumns(at).withColumn("cx", F.explode(F.sequence("cx0", "cx1"))).withColumn("cy", F.explode(F.sequence("cy0", "cy1")))
+    box = spread(boxes(rings))
     lo_x, lo_y = F.col("cx") * F.col("side"), F.col("cy") * F.col("side")
     hi_x, hi_y = lo_x + F.col("side"), lo_y + F.col("side")
 
@@ -86,6 +107,118 @@ def cells(rings: DataFrame) -> DataFrame:
     return out.filter(F.col("border") | middle).select("label", "level", "cx", "cy", "border", F.when(F.col("border"), F.col("ring")).alias("edges"))
 
 
+def refined(deep: DataFrame) -> DataFrame:
+    """Cells ``(…, depth)`` followed down ``depth`` halvings, as nodes ``(level, depth, at, nx, ny, label, border, odd, edges)``.
+
+    Border nodes are leaves (``at`` = ``depth``): a point in them is inside if
+    ``odd`` differs from the parity of the ``edges`` (ax, ay, bx, by after each
+    other) that it crosses.  The other nodes lie wholly inside at any ``at``.
+    """
+    def follow(level, cx, cy, depth, odd, row, edges):
+        """Nodes of some cells; ``row`` is the cell of each edge."""
+        import numpy as np
+        low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+        rounding = 1e-12 * (np.abs(edges[:, 0]) + np.abs(edges[:, 2]))  # of a computed crossing
+        left, right = np.minimum(edges[:, 0], edges[:, 2]) - rounding, np.maximum(edges[:, 0], edges[:, 2]) + rounding
+        cell, nx, ny, node, edge, at = np.arange(len(level)), cx, cy, row, np.arange(len(row)), 0
+        while len(cell):
+            side = np.exp2((level[cell] - at).astype(float))
+            x0, x1, y0, y1 = nx * side, (nx + 1) * side, ny * side, (ny + 1) * side
+            kept = (low[edge] < y1[node]) & (high[edge] > y0[node]) & (right[edge] >= x0[node])
+            node, edge = node[kept], edge[kept]
+            beyond = left[edge] > x1[node]
+            through = beyond & (low[edge] <= y0[node]) & (high[edge] >= y1[node])  # crossed by every point
+            odd = odd ^ (np.bincount(node[through], minlength=len(cell)) % 2 == 1)
+            border = np.bincount(node[~beyond], minlength=len(cell)) > 0
+            node, edge = node[~through], edge[~through]
+            middle = (y0 + y1)[node] / 2
+            crossed = (edges[edge, 1] > middle) != (edges[edge, 3] > middle)
+            whole = ~border & (odd ^ (np.bincount(node[crossed], minlength=len(cell)) % 2 == 1))
+            leaf = border & (depth[cell] == at)
+            out, sent = whole | leaf, leaf[node]
+            n = np.where(leaf, np.bincount(node[sent], minlength=len(cell)), 0)[out]
+            by_node = edge[sent][np.argsort(node[sent], kind="stable")]
+            yield cell[out], at, nx[out], ny[out], leaf[out], odd[out], n, edges[by_node]
+            # four children of the borders that go on, each with the edges kept
+            go = border & ~leaf
+            new = np.cumsum(go) - 1
+            on = go[node]
+            node, edge = new[node[on]], edge[on]
+            m, at = int(go.sum()), at + 1
+            node, edge = (node + m * np.arange(4)[:, None]).ravel(), np.tile(edge, 4)
+            nx = (2 * nx[go] + np.array([0, 1, 0, 1])[:, None]).ravel()
+            ny = (2 * ny[go] + np.array([0, 0, 1, 1])[:, None]).ravel()
+            cell, odd = np.tile(cell[go], 4), np.tile(odd[go], 4)
+
+    def nodes(batches):
+        import numpy as np
+        import pyarrow as pa
+        names = ["level", "depth", "at", "nx", "ny", "label", "border", "odd", "edges"]
+        for batch in batches:
+            level, cx, cy, depth, border = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("level", "cx", "cy", "depth", "border"))
+            n = batch.column("edges").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column("edges").flatten()
+            x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            start = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(n)), n)
+            follows = np.arange(len(x)) + 1
+            follows[(start + n - 1)[n > 0]] = start[n > 0]
+            edges = np.column_stack([x, y, x[follows], y[follows]])
+            work = np.cumsum((n + 1) << depth) // PAIRS
+            for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(work)) + 1):
+                if not len(cut):
+                    continue
+                i, j = cut[0], cut[-1] + 1
+                own = slice(start[i], start[j - 1] + n[j - 1])
+                for cell, at, nx, ny, leaf, odd, k, kept in follow(level[i:j], cx[i:j], cy[i:j], depth[i:j], ~border[i:j], row[own] - i, edges[own]):
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * k)]).astype(np.int32)), pa.array(kept.ravel()))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(level[i + cell]), pa.array(depth[i + cell]), pa.array(np.full(len(cell), at, np.int32)), pa.array(nx), pa.array(ny),
+                        batch.column("label").take(pa.array(i + cell)), pa.array(leaf), pa.array(odd), lists], names)
+
+    fields = T.StructType.fromDDL("level int, depth int, at int, nx long, ny long, border boolean, odd boolean, edges array<double>").fields
+    return deep.select(*CELL, "depth", "label", "border", "edges").mapInArrow(nodes, T.StructType([*fields[:5], deep.schema["label"], *fields[5:]]))
+
+
+def tested(blocks: DataFrame) -> DataFrame:
+    """``(points, n, hit)`` of blocks ``(points, xs, ys, pieces)``: per point the pieces that hold it, and the first of their labels."""
+    def test(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            xs, ys, pieces = batch.column("xs"), batch.column("ys"), batch.column("pieces")
+            counts, hits = [], []
+            for r in range(batch.num_rows):
+                x, y = (c[r].values.to_numpy(zero_copy_only=False) for c in (xs, ys))
+                own = pieces[r].values
+                label, odd, times, lists = (own.field(c) for c in ("label", "odd", "times", "edges"))
+                odd, times = odd.to_numpy(zero_copy_only=False), times.to_numpy()
+                k = lists.value_lengths().to_numpy() // 4
+                edges = lists.flatten().to_numpy().reshape(-1, 4)
+                inside = np.repeat(odd[:, None], len(x), axis=1)
+                piece, step = np.repeat(np.arange(len(k)), k), max(1, PAIRS // len(x))
+                for i in range(0, len(edges), step):
+                    ax, ay, bx, by = edges[i:i + step].T[:, :, None]
+                    with np.errstate(all="ignore"):
+                        crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+                    new = np.flatnonzero(np.diff(piece[i:i + step], prepend=-1))
+                    inside[piece[i + new]] ^= np.logical_xor.reduceat(crossed, new, axis=0)
+                n = inside.sum(axis=0)
+                for i in np.flatnonzero(times > 1):
+                    n += inside[i] * (times[i] - 1)
+                counts.append(n)
+                hits.append(label.take(pa.array(inside.argmax(axis=0), mask=n == 0)))
+            if counts:
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(n) for n in counts])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("points"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts))),
+                    pa.ListArray.from_arrays(offsets, pa.concat_arrays(hits))], ["points", "n", "hit"])
+
+    name = blocks.schema["pieces"].dataType.elementType["label"].dataType
+    schema = T.StructType([blocks.schema["points"], T.StructField("n", T.ArrayType(T.LongType())), T.StructField("hit", T.ArrayType(name))])
+    return blocks.select("points", "xs", "ys", "pieces").mapInArrow(test, schema)
+
+
 def join_boundaries(points: DataFrame, key: str, x: str, y: str, boundaries: DataFrame, label: str = "label",
                     ring: str = "ring") -> tuple[DataFrame, DataFrame]:
     """(every point with ``n_hits``, the smallest ``hit`` and ``warning``; quarantined boundaries).
@@ -95,13 +228,39 @@ def join_boundaries(points: DataFrame, key: str, x: str, y: str, boundaries: Dat
     """
     from hourcast.sources.tables import materialize
     known = checked(boundaries, label, ring)
-    grid = materialize(cells(known.filter("fault IS NULL")))  # read for its levels and joined
-    levels = grid.agg(F.array_sort(F.collect_set("level"))).scalar()  # powers of two between the smallest and the largest extent
-    looked = points.withColumn("_level", F.explode_outer(levels))
-    side = F.pow(F.lit(2.0), F.col("_level"))
-    looked = looked.withColumns({"_cx": F.floor(F.col(x) / side), "_cy": F.floor(F.col(y) / side)})
-    joined = looked.join(grid, (F.col("_level") == F.col("level")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")), "left")
-    hit = F.when(F.col("label").isNotNull() & (~F.col("border") | inside(F.col(x), F.col(y), F.col("edges"))), F.col("label"))
-    found = joined.groupBy(*points.columns).agg(F.count(hit).alias("n_hits"), F.min(hit).alias("hit"))
+    valid = known.filter("fault IS NULL AND label IS NOT NULL")
+    box = boxes(valid)
+    levels = box.agg(F.array_sort(F.collect_set("level"))).scalar()  # powers of two between the smallest and the largest extent
+    looked = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.struct(*points.columns).alias("point"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.explode(levels).alias("level"))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    looked = looked.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / LEAF) / 2)).cast("int")
+    roots = looked.groupBy(CELL).agg(depth.alias("depth")).join(spread(box).select(CELL).distinct(), CELL)
+    roots = materialize(roots)  # read for the points and the rings
+    part = F.pow(F.lit(2.0), F.col("level") - F.col("depth"))
+    looked = looked.join(roots, CELL).withColumns({"lx": F.floor(F.col("x") / part), "ly": F.floor(F.col("y") / part)})
+    leaves = materialize(looked.groupBy(LEAF_KEY).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks")))  # dealt to both sides
+    nodes = materialize(refined(cells(valid).join(roots, CELL)))  # read for its borders and the cells held whole
+
+    held = nodes.filter("NOT border").groupBy("level", "at", "nx", "ny").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("times"))
+    above = leaves.withColumn("at", F.explode(F.sequence(F.lit(0), "depth"))).withColumns(
+        {"nx": F.expr("shiftright(lx, depth - at)"), "ny": F.expr("shiftright(ly, depth - at)")})
+    held = above.join(held, ["level", "at", "nx", "ny"]).groupBy(*LEAF_KEY, "n_blocks").agg(F.min("label").alias("label"), F.sum("times").alias("times"))
+    held = held.select(*LEAF_KEY, "n_blocks", "label", F.lit(True).alias("odd"), "times", F.array(*[F.lit(0.0)] * 4).alias("edges"))  # no point crosses it
+    borders = nodes.filter("border").withColumnsRenamed({"nx": "lx", "ny": "ly"}).join(leaves, LEAF_KEY)
+    pieces = borders.select(*LEAF_KEY, "n_blocks", "label", "odd", F.lit(1).cast("long").alias("times"), "edges").unionByName(held)
+    parts = pieces.groupBy(LEAF_KEY).agg(F.ceil(F.sum(F.size("edges")) / 4 / BLOCK).alias("n_parts"))
+    piece = F.struct("label", "odd", "times", "edges")
+    pieces = (pieces.join(parts, LEAF_KEY).groupBy(*LEAF_KEY, "n_blocks", F.pmod(F.xxhash64(piece), "n_parts").alias("part"))
+              .agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))))
+    packed = (looked.join(leaves, LEAF_KEY).groupBy(*LEAF_KEY, F.pmod(F.xxhash64("point"), "n_blocks").alias("block"))
+              .agg(F.collect_list(F.struct("point", "x", "y")).alias("p")))
+    blocks = packed.select(*LEAF_KEY, "block", F.col("p.point").alias("points"), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+    hits = tested(blocks.join(pieces, [*LEAF_KEY, "block"])).select(F.explode(F.arrays_zip("points", "n", "hit")).alias("h")).filter("h.n > 0")
+    every = points.select("*", F.lit(0).cast("long").alias("_n"), F.lit(None).cast(valid.schema["label"].dataType).alias("_hit")).unionByName(
+        hits.select(*[F.col("h.points")[c].alias(c) for c in points.columns], F.col("h.n").alias("_n"), F.col("h.hit").alias("_hit")))
+    found = every.groupBy(*points.columns).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_hits"), F.min("_hit").alias("hit"))
     return (found.withColumn("warning", F.when(F.col("n_hits") > 1, "several_boundaries")),
             known.filter("fault IS NOT NULL").select("label", "fault"))

@@ -160,6 +160,53 @@ def test_boundary_index_equals_a_test_of_every_pair(spark, monkeypatch):
     assert max(r["count"] for r in BD.cells(BD.checked(df, "label", "ring").filter("fault IS NULL")).groupBy("label").count().collect()) <= (2 * BD.PARTS + 1) ** 2
 
 
+def test_rings_over_the_same_points_are_followed_to_small_leaves(spark, monkeypatch):
+    monkeypatch.setattr(BD, "LEAF", 8, raising=False)
+    monkeypatch.setattr(BD, "BLOCK", 5, raising=False)
+    monkeypatch.setattr(BD, "PAIRS", 300, raising=False)
+    rng = random.Random(11)
+    rings = []
+    for i in range(90):  # wide rings over each other, some crossing themselves, some on whole numbers
+        at = (lambda c: float(round(c))) if i % 3 == 0 else (lambda c: c)
+        size = 0.5 if i % 15 == 0 else 40
+        cx, cy = rng.uniform(-20, 20), rng.uniform(-20, 20)
+        rings.append((f"r{i:02}", [(at(cx + rng.uniform(-size, size)), at(cy + rng.uniform(-size, size))) for _ in range(rng.randrange(4, 9))]))
+    rings += [rings[1], ("box", [(-32.0, -32.0), (32.0, -32.0), (32.0, 32.0), (-32.0, 32.0)]), (None, [(-9.0, -9.0), (9.0, -9.0), (0.0, 9.0)])]
+    points = [(i, rng.uniform(-45, 45), rng.uniform(-45, 45)) for i in range(1500)]
+    points += [(3000 + i, float(rng.randrange(-40, 41)), float(rng.randrange(-40, 41))) for i in range(700)]
+    points += [(5000 + i, 1.5, 1.5) for i in range(60)] + [(6000 + i, *p) for i, p in enumerate(p for _, r in rings for p in r)]
+    points += [(7000, 2.5, -3.5), (7000, 2.5, -3.5), (7001, None, 1.0), (7002, 1.0, None), (None, 0.5, 0.5)]
+    df = spark.createDataFrame([(k, [{"x": a, "y": b} for a, b in r]) for k, r in rings], "label string, ring array<struct<x:double,y:double>>")
+    found, _ = BD.join_boundaries(spark.createDataFrame(points, "id int, x double, y double"), "id", "x", "y", df)
+    got = {(r.id, r.x, r.y): (r.n_hits, r.hit) for r in found.collect()}
+    hits = {}
+    for p in points:
+        own = [k for k, r in rings if k and None not in p[1:] and plainly_inside(*p[1:], r)]
+        hits[p] = hits.get(p, []) + own
+    assert got == {p: (len(own), min(own, default=None)) for p, own in hits.items()} and found.count() == len(hits)
+
+
+def test_points_under_many_rings_meet_few_of_them(spark, monkeypatch):
+    monkeypatch.setattr(BD, "LEAF", 8, raising=False)
+    rng = random.Random(3)
+    rings = {f"r{i:02}": [(i - 40.0, i - 40.0), (i + 20.0, i - 40.0), (i + 20.0, i + 20.0), (i - 40.0, i + 20.0)] for i in range(40)}
+    points = [(i, rng.uniform(-40, 60), rng.uniform(-40, 60)) for i in range(4000)]
+    work, tested = [], getattr(BD, "tested", None)
+
+    def counted(blocks):
+        work.append(blocks.agg(F.sum(F.size("xs") * F.size("pieces"))).first()[0])
+        return tested(blocks)
+
+    monkeypatch.setattr(BD, "tested", counted, raising=False)
+    df = spark.createDataFrame([(k, [{"x": a, "y": b} for a, b in r]) for k, r in rings.items()], "label string, ring array<struct<x:double,y:double>>")
+    found, _ = BD.join_boundaries(spark.createDataFrame(points, "id int, x double, y double"), "id", "x", "y", df)
+    got = {r.id: (r.n_hits, r.hit) for r in found.collect()}
+    own = {i: [k for k, r in rings.items() if plainly_inside(x, y, r)] for i, x, y in points}
+    assert got == {i: (len(k), min(k, default=None)) for i, k in own.items()}
+    pairs = sum(len(k) for k in own.values())
+    assert len(work) == 1 and work[0] < pairs / 2, (work, pairs)  # a join of each point with the rings over it forms all pairs
+
+
 def test_no_boundaries_and_no_points(spark):
     none = spark.createDataFrame([], "label string, ring array<struct<x:double,y:double>>")
     found, faulty = BD.join_boundaries(spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double"), "id", "x", "y", none)

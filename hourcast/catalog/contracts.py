@@ -203,6 +203,7 @@ def boundary_hits(spark, sf_dir):
     path = _folder(spark, "boundaries")
     boundary_texts(spark, sf_dir).write.option("header", True).csv(path)
     read = spark.read.option("header", True).schema("label string, geometry string").csv(path)
+    read = read.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a ring costs far more than its text
     points = table(spark, sf_dir, "events").select("event_id", (F.floor("value") % 250 + 0.5).cast("double").alias("x"),
                                                    (F.col("user_id") % 120 + 0.5).cast("double").alias("y"))
     found, _ = BD.join_boundaries(points, "event_id", "x", "y", read.withColumn("ring", BD.parse_ring(F.col("geometry"))))

@@ -9,9 +9,12 @@ tested against edges.  A point is looked up once per level that occurs
 A cell with many points is halved both ways until its leaves hold about ``LEAF``
 points each, and the rings in it are followed down: a leaf keeps the edges that
 can decide a point in it, and rings that hold a whole cell are counted once for
-the cell, with their smallest label.  So a point meets the borders near it, not
-every ring over it.  Points and edges of a leaf are joined in blocks of bounded
-size by (level, leaf, block of points): a hot leaf becomes more blocks.
+the cell, with their smallest label.  Points and edges of a leaf are joined in
+blocks of bounded size by (level, leaf, block of points): a hot leaf becomes more
+blocks.  The leaves are large, since what is stored and sent of a ring grows with
+the leaves along its border; in memory a block's points are halved on to boxes of
+``FEW`` and the rings followed down to them, so a point meets the borders near it,
+not every ring over it.
 
 Rings are arrays of points; a last point equal to the first closes the ring and
 is not counted.  Invalid rings (null or missing points, fewer than three different
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTS = 4
-LEAF = 512  # points that a leaf should hold
-BLOCK = 2048  # points, and edges, in one block
+LEAF = 1 << 15  # points that a leaf should hold
+BLOCK = 1 << 15  # points, and edges, in one block
+FEW = 32  # points in a box that are tested one by one
 PAIRS = 1 << 17  # edges by points tested at once, and borders followed at once
+SMALL = 1 << 16  # rows of a table of cells that every task may hold
 CELL = ["level", "cx", "cy"]
 LEAF_KEY = ["level", "depth", "lx", "ly"]
 
@@ -107,6 +112,40 @@ def cells(rings: DataFrame) -> DataFrame:
     return out.filter(F.col("border") | middle).select("label", "level", "cx", "cy", "border", F.when(F.col("border"), F.col("ring")).alias("edges"))
 
 
+def _met():
+    """The step that both descents share, made here so that it travels with their closures."""
+    def met(edges, edge, node, box, odd):
+        """Edges against the boxes ``(x0, x1, y0, y1)`` of their nodes: ``(node, edge)`` that
+        can still decide a point, the parity of the others, nodes that an edge meets, and
+        nodes that lie wholly inside.
+
+        An edge counts with its part between the box's rows: one that passes left of
+        the box is crossed by no point, one right of it by all points of its rows.
+        """
+        import numpy as np
+        x0, x1, y0, y1 = box
+        near = (np.minimum(edges[edge, 1], edges[edge, 3]) <= y1[node]) & (np.maximum(edges[edge, 1], edges[edge, 3]) > y0[node])
+        node, edge = node[near], edge[near]
+        ax, ay, bx, by = edges[edge].T
+        low, high, bottom, top = np.minimum(ay, by), np.maximum(ay, by), y0[node], y1[node]
+        with np.errstate(all="ignore"):
+            p, q = ((bx - ax) * (y - ay) / (by - ay) + ax for y in (np.maximum(low, bottom), np.minimum(high, top)))
+        flat = ay == by  # crossed by no point, but parts those above from those below
+        p, q = np.where(flat, ax, p), np.where(flat, bx, q)
+        rounding = 1e-12 * (np.abs(ax) + np.abs(bx))  # of a computed crossing
+        beyond = np.minimum(p, q) - rounding > x1[node]
+        through = beyond & (low <= bottom) & (high > top)  # crossed by every point
+        odd = odd ^ (np.bincount(node[through], minlength=len(odd)) % 2 == 1)
+        kept = (np.maximum(p, q) + rounding >= x0[node]) & ~through
+        border = np.bincount(node[kept & ~beyond], minlength=len(odd)) > 0
+        node, edge = node[kept], edge[kept]
+        middle = (y0 + y1)[node] / 2
+        crossed = (edges[edge, 1] > middle) != (edges[edge, 3] > middle)
+        whole = ~border & (odd ^ (np.bincount(node[crossed], minlength=len(odd)) % 2 == 1))
+        return node, edge, odd, border, whole
+    return met
+
+
 def refined(deep: DataFrame) -> DataFrame:
     """Cells ``(…, depth)`` followed down ``depth`` halvings, as nodes ``(level, depth, at, nx, ny, label, border, odd, edges)``.
 
@@ -114,26 +153,15 @@ def refined(deep: DataFrame) -> DataFrame:
     ``odd`` differs from the parity of the ``edges`` (ax, ay, bx, by after each
     other) that it crosses.  The other nodes lie wholly inside at any ``at``.
     """
+    met = _met()
+
     def follow(level, cx, cy, depth, odd, row, edges):
         """Nodes of some cells; ``row`` is the cell of each edge."""
         import numpy as np
-        low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-        rounding = 1e-12 * (np.abs(edges[:, 0]) + np.abs(edges[:, 2]))  # of a computed crossing
-        left, right = np.minimum(edges[:, 0], edges[:, 2]) - rounding, np.maximum(edges[:, 0], edges[:, 2]) + rounding
         cell, nx, ny, node, edge, at = np.arange(len(level)), cx, cy, row, np.arange(len(row)), 0
         while len(cell):
             side = np.exp2((level[cell] - at).astype(float))
-            x0, x1, y0, y1 = nx * side, (nx + 1) * side, ny * side, (ny + 1) * side
-            kept = (low[edge] < y1[node]) & (high[edge] > y0[node]) & (right[edge] >= x0[node])
-            node, edge = node[kept], edge[kept]
-            beyond = left[edge] > x1[node]
-            through = beyond & (low[edge] <= y0[node]) & (high[edge] >= y1[node])  # crossed by every point
-            odd = odd ^ (np.bincount(node[through], minlength=len(cell)) % 2 == 1)
-            border = np.bincount(node[~beyond], minlength=len(cell)) > 0
-            node, edge = node[~through], edge[~through]
-            middle = (y0 + y1)[node] / 2
-            crossed = (edges[edge, 1] > middle) != (edges[edge, 3] > middle)
-            whole = ~border & (odd ^ (np.bincount(node[crossed], minlength=len(cell)) % 2 == 1))
+            node, edge, odd, border, whole = met(edges, edge, node, (nx * side, (nx + 1) * side, ny * side, (ny + 1) * side), odd)
             leaf = border & (depth[cell] == at)
             out, sent = whole | leaf, leaf[node]
             n = np.where(leaf, np.bincount(node[sent], minlength=len(cell)), 0)[out]
@@ -182,6 +210,63 @@ def refined(deep: DataFrame) -> DataFrame:
 
 def tested(blocks: DataFrame) -> DataFrame:
     """``(points, n, hit)`` of blocks ``(points, xs, ys, pieces)``: per point the pieces that hold it, and the first of their labels."""
+    met = _met()
+
+    def counted(x, y, odd, times, k, edges):
+        """Per point the pieces that hold it and the first of them; ``k`` edges are a piece's own."""
+        import numpy as np
+        depth = max(0, int(np.ceil(np.log2(len(x) / FEW))))
+        at = np.resize(np.arange(len(x)), -(-len(x) // (1 << depth)) << depth)  # some points twice, so that halves are equal
+        for d in range(depth):
+            at = at.reshape(1 << d, -1)
+            at = np.take_along_axis(at, np.argpartition((x, y)[d % 2][at], at.shape[1] // 2, axis=1), 1)
+        at = at.reshape(1 << depth, -1)
+        px, py = x[at], y[at]
+        boxes = [np.stack([px.min(1), px.max(1), py.min(1), py.max(1)])]
+        for _ in range(depth):
+            b = boxes[0].reshape(4, -1, 2)
+            boxes.insert(0, np.stack([b[0].min(1), b[1].max(1), b[2].min(1), b[3].max(1)]))
+        n, first = ([np.full(1 << d, fill) for d in range(depth + 1)] for fill in (0, len(k)))
+        own_n, own_first = np.full(px.shape, 0), np.full(px.shape, len(k))
+        start, of = np.cumsum(k) - k, np.repeat(np.arange(len(k)), k)
+        for cut in np.split(np.arange(len(k)), np.flatnonzero(np.diff(start // max(1, PAIRS >> 6))) + 1):
+            i, j = cut[0], cut[-1] + 1
+            edge = np.arange(start[i], start[j - 1] + k[j - 1])
+            piece, node, inner, pair = cut, np.zeros(len(cut), int), odd[i:j], of[edge] - i
+            for d in range(depth + 1):
+                pair, edge, inner, go, whole = met(edges, edge, pair, boxes[d][:, node], inner)
+                np.add.at(n[d], node[whole], times[piece[whole]])
+                np.minimum.at(first[d], node[whole], piece[whole])
+                on = go[pair]
+                pair, edge = (np.cumsum(go) - 1)[pair[on]], edge[on]
+                piece, node, inner = piece[go], node[go], inner[go]
+                if d < depth:
+                    pair, edge = np.concatenate([pair, pair + len(piece)]), np.tile(edge, 2)
+                    piece, node, inner = np.tile(piece, 2), np.concatenate([2 * node, 2 * node + 1]), np.tile(inner, 2)
+            if not len(piece):
+                continue
+            inside, step = np.repeat(inner[:, None], px.shape[1], axis=1), max(1, PAIRS // px.shape[1])
+            for i in range(0, len(edge), step):
+                some = pair[i:i + step]
+                ax, ay, bx, by = edges[edge[i:i + step]].T[:, :, None]
+                qx, qy = px[node[some]], py[node[some]]
+                with np.errstate(all="ignore"):
+                    crossed = ((ay > qy) != (by > qy)) & (qx < (bx - ax) * (qy - ay) / (by - ay) + ax)
+                new = np.flatnonzero(np.diff(some, prepend=-1))
+                inside[some[new]] ^= np.logical_xor.reduceat(crossed, new, axis=0)
+            by_node = np.argsort(node, kind="stable")
+            piece, node, inside = piece[by_node], node[by_node], inside[by_node]
+            new = np.flatnonzero(np.diff(node, prepend=-1))
+            own_n[node[new]] += np.add.reduceat(inside * times[piece][:, None], new, axis=0)
+            lowest = np.minimum.reduceat(np.where(inside, piece[:, None], len(k)), new, axis=0)
+            own_first[node[new]] = np.minimum(own_first[node[new]], lowest)
+        for d in range(depth):
+            n[d + 1] += np.repeat(n[d], 2)
+            first[d + 1] = np.minimum(first[d + 1], np.repeat(first[d], 2))
+        out_n, out_first = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+        out_n[at], out_first[at] = n[depth][:, None] + own_n, np.minimum(first[depth][:, None], own_first)
+        return out_n, out_first
+
     def test(batches):
         import numpy as np
         import pyarrow as pa
@@ -195,19 +280,9 @@ def tested(blocks: DataFrame) -> DataFrame:
                 odd, times = odd.to_numpy(zero_copy_only=False), times.to_numpy()
                 k = lists.value_lengths().to_numpy() // 4
                 edges = lists.flatten().to_numpy().reshape(-1, 4)
-                inside = np.repeat(odd[:, None], len(x), axis=1)
-                piece, step = np.repeat(np.arange(len(k)), k), max(1, PAIRS // len(x))
-                for i in range(0, len(edges), step):
-                    ax, ay, bx, by = edges[i:i + step].T[:, :, None]
-                    with np.errstate(all="ignore"):
-                        crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-                    new = np.flatnonzero(np.diff(piece[i:i + step], prepend=-1))
-                    inside[piece[i + new]] ^= np.logical_xor.reduceat(crossed, new, axis=0)
-                n = inside.sum(axis=0)
-                for i in np.flatnonzero(times > 1):
-                    n += inside[i] * (times[i] - 1)
+                n, first = counted(x, y, odd, times, k, edges)
                 counts.append(n)
-                hits.append(label.take(pa.array(inside.argmax(axis=0), mask=n == 0)))
+                hits.append(label.take(pa.array(first, mask=n == 0)))
             if counts:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(n) for n in counts])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
@@ -219,6 +294,12 @@ def tested(blocks: DataFrame) -> DataFrame:
     return blocks.select("points", "xs", "ys", "pieces").mapInArrow(test, schema)
 
 
+def beside(df: DataFrame) -> DataFrame:
+    """A stored table of cells to join to rows of points or rings: sent to every task if it
+    is small, so that those rows need not be dealt out for it."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def join_boundaries(points: DataFrame, key: str, x: str, y: str, boundaries: DataFrame, label: str = "label",
                     ring: str = "ring") -> tuple[DataFrame, DataFrame]:
     """(every point with ``n_hits``, the smallest ``hit`` and ``warning``; quarantined boundaries).
@@ -228,19 +309,20 @@ def join_boundaries(points: DataFrame, key: str, x: str, y: str, boundaries: Dat
     """
     from hourcast.sources.tables import materialize
     known = checked(boundaries, label, ring)
-    valid = known.filter("fault IS NULL AND label IS NOT NULL")
+    valid = materialize(known.filter("fault IS NULL AND label IS NOT NULL").select("label", "ring"))  # read for levels, cells and borders
     box = boxes(valid)
     levels = box.agg(F.array_sort(F.collect_set("level"))).scalar()  # powers of two between the smallest and the largest extent
-    looked = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.struct(*points.columns).alias("point"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.explode(levels).alias("level"))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    looked = points.filter(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py)).select(
+        F.struct(*points.columns).alias("point"), px.alias("x"), py.alias("y"), F.explode(levels).alias("level"))
     side = F.pow(F.lit(2.0), F.col("level"))
     looked = looked.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / LEAF) / 2)).cast("int")
     roots = looked.groupBy(CELL).agg(depth.alias("depth")).join(spread(box).select(CELL).distinct(), CELL)
-    roots = materialize(roots)  # read for the points and the rings
+    roots = beside(materialize(roots))  # read for the points and the rings
     part = F.pow(F.lit(2.0), F.col("level") - F.col("depth"))
     looked = looked.join(roots, CELL).withColumns({"lx": F.floor(F.col("x") / part), "ly": F.floor(F.col("y") / part)})
-    leaves = materialize(looked.groupBy(LEAF_KEY).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks")))  # dealt to both sides
+    leaves = beside(materialize(looked.groupBy(LEAF_KEY).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))))  # dealt to both sides
     nodes = materialize(refined(cells(valid).join(roots, CELL)))  # read for its borders and the cells held whole
 
     held = nodes.filter("NOT border").groupBy("level", "at", "nx", "ny").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("times"))
@@ -250,14 +332,15 @@ def join_boundaries(points: DataFrame, key: str, x: str, y: str, boundaries: Dat
     held = held.select(*LEAF_KEY, "n_blocks", "label", F.lit(True).alias("odd"), "times", F.array(*[F.lit(0.0)] * 4).alias("edges"))  # no point crosses it
     borders = nodes.filter("border").withColumnsRenamed({"nx": "lx", "ny": "ly"}).join(leaves, LEAF_KEY)
     pieces = borders.select(*LEAF_KEY, "n_blocks", "label", "odd", F.lit(1).cast("long").alias("times"), "edges").unionByName(held)
-    parts = pieces.groupBy(LEAF_KEY).agg(F.ceil(F.sum(F.size("edges")) / 4 / BLOCK).alias("n_parts"))
+    parts = beside(materialize(pieces.groupBy(LEAF_KEY).agg(F.ceil(F.sum(F.size("edges")) / 4 / BLOCK).alias("n_parts"))))
     piece = F.struct("label", "odd", "times", "edges")
     pieces = (pieces.join(parts, LEAF_KEY).groupBy(*LEAF_KEY, "n_blocks", F.pmod(F.xxhash64(piece), "n_parts").alias("part"))
               .agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))))
     packed = (looked.join(leaves, LEAF_KEY).groupBy(*LEAF_KEY, F.pmod(F.xxhash64("point"), "n_blocks").alias("block"))
-              .agg(F.collect_list(F.struct("point", "x", "y")).alias("p")))
-    blocks = packed.select(*LEAF_KEY, "block", F.col("p.point").alias("points"), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+              .agg(F.collect_list("point").alias("points")))
+    xs, ys = (F.col("points")[c].cast("array<double>").alias(a) for c, a in ((x, "xs"), (y, "ys")))
+    blocks = packed.select(*LEAF_KEY, "block", "points", xs, ys)
     hits = tested(blocks.join(pieces, [*LEAF_KEY, "block"])).select(F.explode(F.arrays_zip("points", "n", "hit")).alias("h")).filter("h.n > 0")
     every = points.select("*", F.lit(0).cast("long").alias("_n"), F.lit(None).cast(valid.schema["label"].dataType).alias("_hit")).unionByName(
         hits.select(*[F.col("h.points")[c].alias(c) for c in points.columns], F.col("h.n").alias("_n"), F.col("h.hit").alias("_hit")))

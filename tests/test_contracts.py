@@ -226,3 +226,33 @@ def test_overlaps_with_another_label_equal_a_test_of_every_pair(spark, span, len
     want = {i: any(k2 == k and l2 != l and (s2, i2) < (s, i) and e2 is not None and e2 > s for k2, i2, s2, e2, l2, _ in rows)
             for k, i, s, _, l, _ in rows}
     assert got == want and 0 < sum(want.values()) < 400
+
+
+def test_boxes_of_a_block_equal_a_test_of_every_pair(spark, monkeypatch):
+    for name, size in (("LEAF", 300), ("BLOCK", 200), ("FEW", 3), ("PAIRS", 640), ("SMALL", 4)):
+        monkeypatch.setattr(BD, name, size)
+    rng = random.Random(5)
+    rings = []
+    for i in range(70):  # sizes of several levels, some on the points' grid with level and upright edges
+        size = (1.5, 6, 30)[i % 3]
+        at = (lambda c: round(2 * c) / 2) if i % 2 else (lambda c: c)
+        cx, cy = rng.uniform(-20, 20), rng.uniform(-20, 20)
+        rings.append((f"r{i:02}", [(at(cx + rng.uniform(-size, size)), at(cy + rng.uniform(-size, size))) for _ in range(rng.randrange(3, 12))]))
+    rings += [rings[2], ("box", [(-8.0, -8.0), (8.0, -8.0), (8.0, 8.0), (-8.0, 8.0)]), ("comb", [(float(i), 3.0 * (i % 2)) for i in range(-12, 13)] + [(0.0, -5.0)])]
+    points = [(i, rng.randrange(-50, 51) / 2, rng.randrange(-50, 51) / 2) for i in range(900)] + [(2000 + i, 0.5, 0.5) for i in range(260)]
+    points += [(3000 + i, rng.gauss(0, 9), rng.gauss(0, 9)) for i in range(500)] + [(4000, float("nan"), 0.5), (4001, 0.5, float("nan"))]
+    df = spark.createDataFrame([(k, [{"x": a, "y": b} for a, b in r]) for k, r in rings], "label string, ring array<struct<x:double,y:double>>")
+    df = df.filter(BD.ring_fault(BD.open_ring(F.col("ring"))).isNull())
+    known = {r.label for r in df.collect()}
+    found, _ = BD.join_boundaries(spark.createDataFrame(points, "id int, x double, y double"), "id", "x", "y", df)
+    got = {r.id: (r.n_hits, r.hit) for r in found.collect()}
+    hits = {i: [k for k, r in rings if k in known and plainly_inside(x, y, r)] for i, x, y in points}
+    assert got == {i: (len(own), min(own, default=None)) for i, own in hits.items()}
+    assert max(n for n, _ in got.values()) > 10
+
+
+def test_stored_borders_grow_with_the_length_of_a_ring(spark):
+    ring = [{"x": x, "y": y} for x, y in ((-21.0, 1.0), (0.0, -22.0), (20.0, 0.0), (3.0, 23.0))]
+    cells = BD.cells(spark.createDataFrame([("a", ring)], "label string, ring array<struct<x:double,y:double>>"))
+    n = [BD.refined(cells.withColumn("depth", F.lit(d))).filter("border").count() for d in (4, 5, 6)]
+    assert n[1] < 2.5 * n[0] and n[2] < 2.5 * n[1]  # about two, and four if by its area
